@@ -155,10 +155,10 @@ _KINDS = ("C", "N", "O", "F")
 
 @query(
     "composition_grid",
-    """WITH s AS (SELECT DISTINCT p_size AS n FROM part WHERE p_size BETWEEN 3 AND 6), g AS (SELECT s.n, c.c AS "C", x.x AS "N", y.y AS "O", s.n - c.c - x.x - y.y AS "F"
+    """WITH s AS (SELECT DISTINCT p_size AS n FROM part WHERE p_size BETWEEN 3 AND 6), g AS (SELECT s.n AS total, c.c AS k1, x.x AS k2, y.y AS k3, s.n - c.c - x.x - y.y AS k4
       FROM s, range(1, 7) c(c), range(0, 7) x(x), range(0, 7) y(y))
-    SELECT p.p_partkey, CAST(g."C" AS INTEGER) AS c, CAST(g."N" AS INTEGER) AS n, CAST(g."O" AS INTEGER) AS o, CAST(g."F" AS INTEGER) AS f
-    FROM part p JOIN g ON p.p_size = g.n WHERE g."F" >= 0""",
+    SELECT p.p_partkey, CAST(g.k1 AS INTEGER) AS c, CAST(g.k2 AS INTEGER) AS n, CAST(g.k3 AS INTEGER) AS o, CAST(g.k4 AS INTEGER) AS f
+    FROM part p JOIN g ON p.p_size = g.total WHERE g.k4 >= 0""",
 )
 def _(t):
     grid = G.composition_grid(t.spark, [k.lower() for k in _KINDS], 3, 6, "c").withColumnRenamed("total", "p_size")

@@ -27,9 +27,10 @@ def _halves(k: int) -> tuple[int, int]:
 def rw_return_wide(nodes: DataFrame, edges: DataFrame, ks: Sequence[int], limit: int = WALK_LIMIT) -> DataFrame:
     """(graph_id, node_id, rw array<double>): diagonal of (D⁻¹A)^k for each k; 1.0 for a node without edges.
 
-    Ordinary graphs are brought together once and multiplied as stacks of dense matrices. In a large graph a walk on an undirected graph on undirected edges is reversible, P^b(u,v) = P^b(v,u)·d(v)/d(u). So the return probability after k = a + b
-    steps is Σ_u P^a(v,u)·P^b(v,u)·d(v)/d(u), which needs walks of ⌈k/2⌉ steps only: half the rounds, and rows only for
-    the ball of half the radius. All walk lengths share one chain of rounds."""
+    Ordinary graphs are brought together once and multiplied as stacks of dense matrices. Large graphs use joins. There,
+    a walk on an undirected graph is reversible, P^b(u,v) = P^b(v,u)·d(v)/d(u), so the return probability after
+    k = a + b steps is Σ_u P^a(v,u)·P^b(v,u)·d(v)/d(u). That needs walks of ⌈k/2⌉ steps only: half the rounds, and rows
+    only for the ball of half the radius. All walk lengths share one chain of rounds."""
     rounds = max(_halves(max(ks))[0], 1)
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
