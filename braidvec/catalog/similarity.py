@@ -100,3 +100,11 @@ def _(t):
 def _(t):
     d = _neighbours(t).select("label", S.cosine_distance("v", "w").alias("d"))
     return S.variant_distances(d, "label", "d").select("label", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@query(
+    "mean_pairwise_tanimoto",
+    f"WITH {_WORDS}, n AS (SELECT count(*) AS n FROM sz) SELECT n.n, round(sum(co.c / (a.k + b.k - co.c)) / (n.n * (n.n - 1) / 2.0), 6) AS mean FROM n, co JOIN sz a ON a.doc_id = co.x JOIN sz b ON b.doc_id = co.y GROUP BY n.n",
+)
+def _(t):
+    return S.mean_pairwise_tanimoto(word_bits(t)).select("n", F.round("mean", 6).alias("mean"))

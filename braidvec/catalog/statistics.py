@@ -142,9 +142,14 @@ def _halves(t):
     return vectors(t).select("vec_id", "label", F.slice("v", 1, 16).alias("x"), F.slice("v", 33, 4).alias("y"))
 
 
-@query("fit_linear_map")
+# One input column here, so that SQL has the same fit; several inputs are compared with numpy in the tests.
+_FIT = """fit AS (SELECT i, regr_slope(embedding[i]::DOUBLE, embedding[1]::DOUBLE) AS w, regr_intercept(embedding[i]::DOUBLE, embedding[1]::DOUBLE) AS b FROM embeddings, range(33, 37) r(i) GROUP BY ALL),
+pred AS (SELECT vec_id, i, b + w * embedding[1]::DOUBLE AS p, embedding[i]::DOUBLE AS y FROM embeddings, fit)"""
+
+
+@query("fit_linear_map", f"WITH {_FIT} SELECT vec_id, CAST(i - 33 AS BIGINT) AS d, {sql_r6('p')} AS v, (SELECT {sql_r6('avg((p - y) ** 2)')} FROM pred) AS mse FROM pred")
 def _(t):
-    v = _halves(t)
+    v = vectors(t).select("vec_id", F.slice("v", 1, 1).alias("x"), F.slice("v", 33, 4).alias("y"))
     model = T.fit_linear_map(v, "x", "y")
     return long_rows(T.apply_linear_map(v, "x", model), ["vec_id"], "predicted").withColumn("mse", F.round(F.lit(model.mse), 6))
 
@@ -192,9 +197,9 @@ def _(t):
     return _nll(t).agg(r6(T.bits_per_dim(F.avg("nll"), 64)).alias("bpd"))
 
 
-@query("property_regression")
+@query("property_regression", f"WITH {_FIT} SELECT {sql_r6('avg(abs(p - y))')} AS mae, {sql_r6('sqrt(avg((p - y) ** 2))')} AS rmse, {sql_r6('1 - sum((p - y) ** 2) / (var_pop(y) * count(*))')} AS r2 FROM pred WHERE i = 33")
 def _(t):
-    v = vectors(t).select("vec_id", F.slice("v", 1, 32).alias("x"), F.col("v")[40].alias("y"))
+    v = vectors(t).select("vec_id", F.slice("v", 1, 1).alias("x"), F.col("v")[32].alias("y"))
     return _rounded(T.property_regression(v, "x", "y")[1])
 
 
