@@ -14,14 +14,15 @@ from braidvec.functions.features import feature_tuple
 from braidvec.operators import decode as D
 from braidvec.operators import encode as E
 from braidvec.operators import metrics as M
+from braidvec.operators.codebook import make_codebook
 
 WIDE = 256
 
 
 def _gram(dim: int, seed: int = 42) -> str:
-    """Inner products of the codebook rows that occur (all of the pruned codebook)."""
+    """Inner products of the codebook rows that occur with all rows."""
     return f"""{map_codebook('cb', ROWS, dim, seed)}, used AS (SELECT DISTINCT idx FROM idx_nodes), ucb AS (SELECT cb.* FROM cb JOIN used USING (idx)),
-    gram AS (SELECT a.idx AS i, b.idx AS j, sum(a.v * b.v) AS g FROM ucb a JOIN ucb b USING (d) GROUP BY ALL),
+    gram AS (SELECT a.idx AS i, b.idx AS j, sum(a.v * b.v) AS g FROM ucb a JOIN cb b USING (d) GROUP BY ALL),
     cnts AS (SELECT graph_id, idx, count(*) AS cnt FROM idx_nodes GROUP BY ALL),
     dots AS (SELECT c.graph_id, gram.j AS idx, sum(c.cnt * gram.g) AS dot FROM cnts c JOIN gram ON gram.i = c.idx GROUP BY ALL)"""
 
@@ -32,7 +33,7 @@ _COMPARED = f"""{_DECODED}, both_c AS (SELECT coalesce(d.graph_id, c.graph_id) A
 
 def decoded(t, dim: int = WIDE):
     """Order-0 vectors of all graphs and the counts decoded from them."""
-    cb = book(t, "MAP", dim)
+    cb = make_codebook(t.spark, BINS, dim, "MAP", 42)
     return D.decode_counts(E.node_terms(t.nodes, cb), cb)
 
 
@@ -78,13 +79,13 @@ def _(t):
 
 @query("decode_edges")
 def _(t):
-    cb = book(t, "MAP", WIDE)
+    cb = book(t, "HRR", WIDE)
     return D.decode_edges(E.edge_terms(t.nodes, t.edges, cb), truth(t), cb)
 
 
 @query("decode_edges_free")
 def _(t):
-    cb = book(t, "MAP", WIDE)
+    cb = book(t, "HRR", WIDE)
     pairs = E.edge_pair_counts(t.nodes, t.edges, BINS).select("a", "b").distinct()
     return D.decode_edges_free(E.edge_terms(t.nodes, t.edges, cb), cb, pairs=pairs)
 
@@ -153,7 +154,7 @@ def _(t):
     return sizes.join(edges.groupBy("graph_id").agg(F.count("*").alias("m")), "graph_id")
 
 
-_CB = map_codebook("cb", ROWS, 16, 42)
+_CB = map_codebook("cb", ROWS, 8, 42)
 _SCORED = f"""{WITH}, {_CB}, {wl_sql()}, {map_layers(2, False)}, emb AS (SELECT graph_id, d, sum(v) AS v FROM alls GROUP BY ALL),
   uq AS (SELECT min(graph_id) AS graph_id, graph_id // 4 AS query_id FROM gh GROUP BY graph_id // 4, wl, n, m),
   sims AS (SELECT u.query_id, u.graph_id AS cand_id, sum(e.v * q.v) / sqrt(sum(e.v * e.v)) / sqrt(sum(q.v * q.v)) AS sim FROM uq u JOIN emb e USING (graph_id) JOIN emb q ON q.graph_id = u.query_id * 4 AND q.d = e.d GROUP BY ALL)"""
@@ -207,7 +208,7 @@ def _(t):
     from braidvec.catalog.common import long_rows
 
     vectors = E.encode(t.nodes, t.edges, MAP_PLAIN).select("graph_id", F.col("graph_embedding").alias("vector"))
-    left = E.encode_edge_multiset(E.edge_pair_counts(t.nodes, t.edges.filter("src > 1"), BINS), book(t, "MAP"))
+    left = E.encode_edge_multiset(E.edge_pair_counts(t.nodes, t.edges.filter("src > 1"), BINS), book(t, "MAP", 8))
     return long_rows(D.residual_target(vectors, left, key="graph_id"), ["graph_id"], "vector", integer=True)
 
 
@@ -224,9 +225,9 @@ def _(t):
     return out.withColumn("avg_score", F.round("avg_score", 6))
 
 
-@query("nearest_entry", f"{WITH}, {_gram(WIDE)}, rk AS (SELECT graph_id, idx, row_number() OVER (PARTITION BY graph_id ORDER BY dot DESC, idx) AS r FROM dots) SELECT r.graph_id, r.idx, n.feat FROM rk r JOIN (SELECT DISTINCT idx, feat FROM idx_nodes) n USING (idx) WHERE r.r = 1")
+@query("nearest_entry", f"{WITH}, {_gram(WIDE)}, rk AS (SELECT graph_id, idx, row_number() OVER (PARTITION BY graph_id ORDER BY dot DESC, idx) AS r FROM dots) SELECT graph_id, idx, concat_ws(',', idx // 60, (idx // 10) % 6, (idx // 5) % 2, idx % 5) AS feat FROM rk WHERE r = 1")
 def _(t):
-    cb = book(t, "MAP", WIDE)
+    cb = make_codebook(t.spark, BINS, WIDE, "MAP", 42)
     near = D.nearest_entry(E.node_terms(t.nodes, cb), cb)
     return near.select("graph_id", "idx", text(feature_tuple("idx", BINS)).alias("feat"))
 

@@ -14,7 +14,7 @@ from braidvec.operators import graphs as G
 from braidvec.operators.walks import augment_rw
 from braidvec.schema import EncoderConfig, WalkConfig
 
-SEED, DIM = 42, 16
+SEED, DIM = 42, 8
 MAP_PLAIN = EncoderConfig(bins=BINS, dim=DIM, depth=2, vsa="MAP", seed=SEED, normalize=False)
 MAP_UNIT = EncoderConfig(bins=BINS, dim=DIM, depth=2, vsa="MAP", seed=SEED, normalize=True)
 
@@ -56,7 +56,7 @@ def _three(encoded):
 
 @query("node_terms", f"{WITH}, {_CB} SELECT n.graph_id, cb.d, CAST(sum(v) AS BIGINT) AS v FROM idx_nodes n JOIN cb USING (idx) GROUP BY ALL")
 def _(t):
-    return long_rows(E.node_terms(t.nodes, book(t, "MAP")), ["graph_id"], "node_terms", integer=True)
+    return long_rows(E.node_terms(t.nodes, book(t, "MAP", DIM)), ["graph_id"], "node_terms", integer=True)
 
 
 @query(
@@ -66,7 +66,7 @@ def _(t):
     SELECT g.graph_id, r.d, CAST(coalesce(x.v, 0) AS BIGINT) AS v FROM (SELECT DISTINCT graph_id FROM nodes) g CROSS JOIN range({DIM}) r(d) LEFT JOIN x ON x.graph_id = g.graph_id AND x.d = r.d""",
 )
 def _(t):
-    return long_rows(E.edge_terms(t.nodes, t.edges, book(t, "MAP")), ["graph_id"], "edge_terms", integer=True)
+    return long_rows(E.edge_terms(t.nodes, t.edges, book(t, "MAP", DIM)), ["graph_id"], "edge_terms", integer=True)
 
 
 @query("encode", f"{WITH}, {_CB}, {map_layers(2, True)} {_parts_sql()}")
@@ -136,11 +136,11 @@ def _(t):
 
 @query(
     "encode_ensemble",
-    f"""{WITH}, {_CB}, {map_codebook('cc', ROWS, 8, SEED + 1)}, {map_layers(2, True)}, {map_layers(1, True, 'cc', 'q')}
+    f"""{WITH}, {_CB}, {map_codebook('cc', ROWS, 4, SEED + 1)}, {map_layers(2, True)}, {map_layers(1, True, 'cc', 'q')}
     SELECT graph_id, d, {sql_r6('sum(v)')} AS v FROM alls GROUP BY ALL UNION ALL SELECT graph_id, d + {DIM}, {sql_r6('sum(v)')} FROM allq GROUP BY ALL""",
 )
 def _(t):
-    cfg = EncoderConfig(bins=BINS, dim=DIM, vsa="MAP", seed=SEED, members=((DIM, 2), (8, 1)))
+    cfg = EncoderConfig(bins=BINS, dim=DIM, vsa="MAP", seed=SEED, members=((DIM, 2), (4, 1)))
     return long_rows(E.encode_ensemble(t.nodes, t.edges, cfg), ["graph_id"], "graph_embedding")
 
 
@@ -153,7 +153,7 @@ def _(t):
 def _(t):
     counts = E.edge_pair_counts(t.nodes, t.edges, BINS)
     every = t.read("orders").select(F.col("o_orderkey").alias("graph_id")).distinct()
-    return long_rows(E.encode_edge_multiset(counts, book(t, "MAP"), keys=every), ["graph_id"], "edge_vector", integer=True)
+    return long_rows(E.encode_edge_multiset(counts, book(t, "MAP", DIM), keys=every), ["graph_id"], "edge_vector", integer=True)
 
 
 @query("encode_soft", f"{WITH}, {_CB}, soft AS (SELECT *, 1.0 / (1 + src + dst) AS w FROM edges), {map_layers(2, True, edges='soft', weight='e.w')} {_parts_sql()}")

@@ -118,15 +118,15 @@ def _(t):
 RINGS_SQL = """tri AS (SELECT a.graph_id, a.src AS x, a.dst AS y, b.dst AS z FROM edges a JOIN edges b ON b.graph_id = a.graph_id AND b.src = a.dst
     JOIN edges c ON c.graph_id = a.graph_id AND c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.dst < b.dst),
   rings AS (SELECT graph_id, concat_ws('-', x, y, z) AS ring_id, 3 AS size, unnest([x, y, z]) AS node_id FROM tri),
-  longer AS (SELECT graph_id, node_id, n AS size FROM nodes WHERE n > 3 AND graph_id % 2 = 0),
+  longer AS (SELECT graph_id, node_id, n AS size FROM nodes WHERE n > 3 AND graph_id % 256 = 0),
   member AS (SELECT DISTINCT graph_id, node_id, size FROM rings UNION SELECT graph_id, node_id, size FROM longer)"""
 
 
 def ring_table(t):
-    """Ring membership of the order graphs: triangles, and the outer ring of even orders."""
+    """Ring membership of the order graphs: triangles, and the outer ring of some even orders."""
     triangles = G.short_cycles(t.edges, 3).select("graph_id", "node_id", "size")
     sizes = t.nodes.groupBy("graph_id").agg(F.count("*").cast("int").alias("size"))
-    outer = t.nodes.select("graph_id", "node_id").join(sizes.filter("size > 3 AND graph_id % 2 = 0"), "graph_id")
+    outer = t.nodes.select("graph_id", "node_id").join(sizes.filter("size > 3 AND graph_id % 256 = 0"), "graph_id")
     return triangles.unionByName(outer.select("graph_id", "node_id", "size")).distinct()
 
 

@@ -81,17 +81,17 @@ def _(t):
     return _finish(t, S.stream_rejections(checked), folder, "complete")
 
 
-_UNIT = EncoderConfig(bins=BINS, dim=16, depth=2, vsa="MAP", seed=42, normalize=False)
+_UNIT = EncoderConfig(bins=BINS, dim=8, depth=2, vsa="MAP", seed=42, normalize=False)
 
 
 @query(
     "stream_encode",
-    f"""{WITH}, {map_codebook('cb', ROWS, 16, 42)}, {map_layers(2, False)}
-    SELECT graph_id, d, CAST(sum(v) AS BIGINT) AS v FROM s0 GROUP BY ALL UNION ALL SELECT graph_id, d + 16, CAST(sum(v) AS BIGINT) FROM alls GROUP BY ALL""",
+    f"""{WITH}, {map_codebook('cb', ROWS, 8, 42)}, {map_layers(2, False)}
+    SELECT graph_id, d, CAST(sum(v) AS BIGINT) AS v FROM s0 GROUP BY ALL UNION ALL SELECT graph_id, d + 8, CAST(sum(v) AS BIGINT) FROM alls GROUP BY ALL""",
 )
 def _(t):
     folder = scratch(t)
-    encoded = S.stream_encode(_graph_stream(t, folder), _UNIT, book(t, "MAP"))
+    encoded = S.stream_encode(_graph_stream(t, folder), _UNIT, book(t, "MAP", 8))
     out = _finish(t, encoded, folder).select("graph_id", F.posexplode("vector").alias("d", "v"))
     return out.select("graph_id", F.col("d").cast("long").alias("d"), F.rint("v").cast("long").alias("v"))
 
