@@ -162,18 +162,21 @@ def _(t):
 
 
 def _lanes(c: str) -> str:
-    return ", ".join(f"sum(CAST('0x' || substr({c}, {1 + 8 * i}, 8) AS BIGINT)) AS s{i}" for i in range(4))
+    return ", ".join(f"CAST('0x' || substr({c}, {1 + 8 * i}, 8) AS BIGINT) AS x{i}" for i in range(4))
+
+
+_SUMS = ", ".join(f"sum(x{i}) AS s{i}" for i in range(4))
 
 
 def wl_sql(iters: int = 3, nodes: str = "idx_nodes", edges: str = "edges") -> str:
-    parts = [f"w0 AS (SELECT graph_id, node_id, md5(feat) AS label FROM {nodes})"]
+    parts = [f"w0 AS (SELECT graph_id, node_id, label, {_lanes('label')} FROM (SELECT graph_id, node_id, md5(feat) AS label FROM {nodes}))"]
     for r in range(1, iters + 1):
         parts.append(
-            f"g{r} AS (SELECT e.graph_id, e.src AS node_id, {_lanes('w.label')} FROM {edges} e JOIN w{r - 1} w ON w.graph_id = e.graph_id AND w.node_id = e.dst GROUP BY ALL), "
-            f"w{r} AS (SELECT w.graph_id, w.node_id, md5(concat_ws('|', w.label, coalesce(s0, 0), coalesce(s1, 0), coalesce(s2, 0), coalesce(s3, 0))) AS label "
-            f"FROM w{r - 1} w LEFT JOIN g{r} g USING (graph_id, node_id))"
+            f"g{r} AS (SELECT e.graph_id, e.src AS node_id, {_SUMS} FROM {edges} e JOIN w{r - 1} w ON w.graph_id = e.graph_id AND w.node_id = e.dst GROUP BY ALL), "
+            f"w{r} AS (SELECT graph_id, node_id, label, {_lanes('label')} FROM (SELECT w.graph_id, w.node_id, "
+            f"md5(concat_ws('|', x0, x1, x2, x3, coalesce(s0, 0), coalesce(s1, 0), coalesce(s2, 0), coalesce(s3, 0))) AS label FROM w{r - 1} w LEFT JOIN g{r} g USING (graph_id, node_id)))"
         )
-    parts.append(f"gs AS (SELECT graph_id, count(*) AS n, {_lanes('label')} FROM w{iters} GROUP BY ALL), wl AS (SELECT graph_id, n, md5(concat_ws('|', n, s0, s1, s2, s3)) AS wl FROM gs)")
+    parts.append(f"gs AS (SELECT graph_id, count(*) AS n, {_SUMS} FROM w{iters} GROUP BY ALL), wl AS (SELECT graph_id, n, md5(concat_ws('|', n, s0, s1, s2, s3)) AS wl FROM gs)")
     parts.append(f"gh AS (SELECT wl.graph_id, wl.wl, wl.n, CAST(coalesce(e.m, 0) // 2 AS BIGINT) AS m FROM wl LEFT JOIN (SELECT graph_id, count(*) AS m FROM {edges} GROUP BY ALL) e USING (graph_id))")
     return ", ".join(parts)
 

@@ -74,7 +74,7 @@ def word_bits(t):
     """Set of hashed words of each document, as a fingerprint."""
     from braidvec.functions.hashing import hex_number
 
-    words = t.read("documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("w")).filter("w <> ''")
+    words = t.read("documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).filter("w <> ''")
     bits = words.select("doc_id", F.pmod(hex_number(F.md5("w")), F.lit(2048)).cast("int").alias("bit"))
     return bits.groupBy("doc_id").agg(F.collect_set("bit").alias("bits"))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CELLS_PER_CHUNK = 1 << 22  # vector cells handled at once: 32 MiB of doubles
+CELLS_PER_CHUNK = 1 << 20  # vector cells handled at once: 8 MiB of doubles
 
 
 @dataclass
@@ -32,7 +32,7 @@ def _list_parts(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 
 
 def flatten_graphs(batch: pa.RecordBatch) -> FlatGraphs:
-    """Flatten the list columns ``nodes`` and ``edges`` and resolve edge ends to node rows."""
+    """Flatten the list columns ``nodes`` and ``edges`` and resolve edge ends to node rows; edges are sorted by source."""
     graph_of_node, node = _list_parts(batch.column("nodes"))
     graph_of_edge, edge = _list_parts(batch.column("edges"))
     ids = node["node_id"].astype(np.int64)
@@ -48,17 +48,20 @@ def flatten_graphs(batch: pa.RecordBatch) -> FlatGraphs:
         if len(wanted) and (at.max(initial=0) >= len(ordered) or not np.array_equal(ordered[at], wanted)):
             raise ValueError("an edge names a node that its graph does not have")
         ends.append(order[at] if len(wanted) else at)
-    return FlatGraphs(batch.num_rows, graph_of_node, graph_of_edge, ends[0], ends[1], node, edge)
+    by_source = np.argsort(ends[0], kind="stable")
+    edge = {name: values[by_source] for name, values in edge.items()}
+    return FlatGraphs(batch.num_rows, graph_of_node, graph_of_edge[by_source], ends[0][by_source], ends[1][by_source], node, edge)
 
 
 def segment_sum(values: np.ndarray, segment: np.ndarray, count: int) -> np.ndarray:
     """Sum rows by segment number."""
     out = np.zeros((count, values.shape[1]), values.dtype)
     if len(segment):
-        order = np.argsort(segment, kind="stable")
-        ordered = segment[order]
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        out[ordered[starts]] = np.add.reduceat(values[order], starts, axis=0)
+        if (segment[1:] < segment[:-1]).any():
+            order = np.argsort(segment, kind="stable")
+            segment, values = segment[order], values[order]
+        starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        out[segment[starts]] = np.add.reduceat(values, starts, axis=0)
     return out
 
 
@@ -76,14 +79,40 @@ def chunks(batch: pa.RecordBatch, dim: int) -> Iterator[pa.RecordBatch]:
         begin += take
 
 
-def unit_rows(values: np.ndarray, parseval: int) -> np.ndarray:
-    """Divide rows by (length + 1e-8); ``parseval`` is D for spectra of real vectors and 1 otherwise."""
-    length = np.sqrt((np.abs(values) ** 2).sum(axis=1, keepdims=True) / parseval)
-    return values / (length + 1e-8)
+def measure(vsa: str, dim: int) -> np.ndarray:
+    """Weights w with ‖v‖² = Σ w|x|² for the engine form x of a vector v. HRR keeps the first half of the spectrum of a real
+    vector; by symmetry every position but the first (and the middle one) stands for two."""
+    if vsa != "HRR":
+        return np.ones(dim)
+    weights = np.full(dim // 2 + 1, 2.0 / dim)
+    weights[0] = 1.0 / dim
+    if dim % 2 == 0:
+        weights[-1] = 1.0 / dim
+    return weights
+
+
+def to_engine(values: np.ndarray, vsa: str) -> np.ndarray:
+    """Stored vectors in the form in which they are bound: half spectra for HRR."""
+    return np.fft.rfft(values, axis=1) if vsa == "HRR" else values
+
+
+def from_engine(values: np.ndarray, vsa: str, dim: int) -> np.ndarray:
+    """Inverse of ``to_engine``."""
+    return np.fft.irfft(values, n=dim, axis=1) if vsa == "HRR" else values
+
+
+def squares(values: np.ndarray) -> np.ndarray:
+    """|x|² per entry."""
+    return values.real**2 + values.imag**2 if np.iscomplexobj(values) else values**2
+
+
+def unit_rows(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Divide rows by (length + 1e-8)."""
+    return values / (np.sqrt(squares(values) @ weights) + 1e-8)[:, None]
 
 
 def message_passing(
-    flat: FlatGraphs, start: np.ndarray, depth: int, normalize: bool, parseval: int, isolated: str
+    flat: FlatGraphs, start: np.ndarray, depth: int, normalize: bool, weights: np.ndarray, isolated: str
 ) -> tuple[np.ndarray, np.ndarray]:
     """Sum of the node states over all layers, and the first bound layer before normalisation."""
     weight = flat.edge.get("weight")
@@ -101,7 +130,7 @@ def message_passing(
         if layer == 0:
             first = state
         if normalize:
-            state = unit_rows(state, parseval)
+            state = unit_rows(state, weights)
         total += state
     return total, first
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidvec.functions import vsa as V
+from braidvec.functions.batch import to_engine, vector_rows
 from braidvec.functions.features import feature_index, feature_tuple
 from braidvec.functions.hashing import keyed_md5, unit_uniform
 from braidvec.plans.skew import with_global_rank
@@ -43,18 +44,18 @@ class Codebook:
         return replace(self, table=self.table.withColumn("hv", V.to_spectral("hv")))
 
     def matrix(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted idx values and the engine-form matrix (real for MAP, complex for the others); size-checked."""
+        """Sorted idx values and the rows in engine form (half spectra for HRR); size-checked."""
         if not self.fits:
             raise ValueError("codebook too large to send to every task")
         rows = self.table.select("idx", "hv").orderBy("idx").toArrow().combine_chunks()
-        from braidvec.functions.batch import vector_rows
-
         if rows.num_rows == 0:
             return np.zeros(0, np.int64), np.zeros((0, self.dim))
         batch = rows.to_batches()[0]
         values = vector_rows(batch.column("hv"))
-        if self.vsa == "HRR" and not np.iscomplexobj(values):
-            values = np.fft.fft(values, axis=1)
+        if np.iscomplexobj(values) and self.vsa == "HRR":
+            values = values[:, : self.dim // 2 + 1]  # already a spectrum
+        else:
+            values = to_engine(values, self.vsa)
         return batch.column("idx").to_numpy(zero_copy_only=False).astype(np.int64), values
 
 

@@ -28,11 +28,6 @@ EDGE_LIMITS = (50, 122)
 # ---------------------------------------------------------------- codebook products inside tasks
 
 
-def _plain(values: np.ndarray, vsa: str) -> np.ndarray:
-    """Codebook rows in the form in which embeddings are stored."""
-    return np.fft.ifft(values, axis=1).real if vsa == "HRR" else values
-
-
 def codebook_blocks(codebook: Codebook) -> list[Codebook]:
     """The codebook itself when it may be sent whole, otherwise consecutive index ranges that may."""
     if codebook.fits:
@@ -59,7 +54,7 @@ def _over_blocks(df: DataFrame, codebook: Codebook, job: Callable, schema: str)
     out = None
     for block in codebook_blocks(codebook):
         known, matrix = block.matrix()
-        sent = df.sparkSession.sparkContext.broadcast((known, _plain(matrix, codebook.vsa)))
+        sent = df.sparkSession.sparkContext.broadcast((known, B.from_engine(matrix, codebook.vsa, codebook.dim)))
         part = df.mapInArrow(job(sent), schema)
         out = part if out is None else out.unionByName(part)
     return out
@@ -160,7 +155,7 @@ def decode_nodes_iterative(
             raise ValueError("debug needs a codebook that fits a task")
         return decode_nodes_rounds(embeddings, codebook, max_nodes, eps_share, key, vector)
     known, matrix = codebook.matrix()
-    sent = embeddings.sparkSession.sparkContext.broadcast((known, _plain(matrix, codebook.vsa)))
+    sent = embeddings.sparkSession.sparkContext.broadcast((known, B.from_engine(matrix, codebook.vsa, codebook.dim)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, matrix = sent.value
@@ -210,30 +205,29 @@ def decode_nodes_rounds(embeddings: DataFrame, codebook: Codebook, max_nodes: in
     return picked.groupBy(key, "idx").agg(F.count("*").alias("cnt"))
 
 
-def pair_scores(e: np.ndarray, left: np.ndarray, right: np.ndarray, parseval: float) -> np.ndarray:
-    """Inner product of ``e`` with bind(a, b) for all rows a, b, without forming the bound vectors."""
-    return ((e.conj() * left) @ right.T).real / parseval
-
+def _pair_lengths(matrix: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    square = B.squares(matrix)
+    return np.maximum(np.sqrt((square * weights) @ square.T), V.EPSILON)
 
-def _pair_lengths(matrix: np.ndarray, parseval: float) -> np.ndarray:
-    square = np.abs(matrix) ** 2
-    return np.maximum(np.sqrt(square @ square.T / parseval), V.EPSILON)
 
+def peel_pairs(e: np.ndarray, matrix: np.ndarray, allowed: np.ndarray | None, rounds: int, weights: np.ndarray, eps: float | None) -> list[tuple[int, int]]:
+    """Best pair per round, both directions subtracted. With ``eps`` also stop on a small or growing remainder.
 
-def peel_pairs(e: np.ndarray, matrix: np.ndarray, allowed: np.ndarray | None, rounds: int, parseval: float, eps: float | None) -> list[tuple[int, int]]:
-    """Best pair per round, both directions subtracted. With ``eps`` also stop on a small or growing remainder."""
-    lengths = _pair_lengths(matrix, parseval)
+    The products with bind(a, b) for all rows a, b are one matrix product; the bound vectors are never formed."""
+    if not rounds:
+        return []
+    lengths = _pair_lengths(matrix, weights)
     found: list[tuple[int, int]] = []
-    norm = math.sqrt((np.abs(e) ** 2).sum() / parseval)
+    norm = math.sqrt(B.squares(e) @ weights)
     for _ in range(rounds):
         if eps is not None and norm <= eps:
             break
-        sims = pair_scores(e, matrix, matrix, parseval) / lengths
+        sims = (((e.conj() * weights) * matrix) @ matrix.T).real / lengths
         if allowed is not None:
             sims = np.where(allowed, sims, -np.inf)
         a, b = divmod(int((sims >= sims.max() - 1e-12 * max(1.0, norm)).argmax()), len(matrix))
         after = e - 2 * matrix[a] * matrix[b]
-        length = math.sqrt((np.abs(after) ** 2).sum() / parseval)
+        length = math.sqrt(B.squares(after) @ weights)
         if eps is not None and length > norm:
             break
         e, norm = after, length
@@ -252,14 +246,10 @@ def _pair_rows(key: str, owners: pa.Array, found: list[list[tuple[int, int]]], n
     return pa.RecordBatch.from_arrays(columns, [key, "a", "b"])
 
 
-def _spectral_rows(x: np.ndarray, vsa: str) -> np.ndarray:
-    return np.fft.fft(x, axis=1) if vsa == "HRR" else x
-
-
 def decode_edges(embeddings: DataFrame, counts: DataFrame, codebook: Codebook, key: str = "graph_id", vector: str = "edge_terms") -> DataFrame:
     """(key, a, b, cnt) from edge vectors and decoded node counts (key, idx, cnt): ⌊Σ degree·cnt / 2⌋ rounds over the
     pairs of decoded tuples. The list of a key has at most one entry per codebook row."""
-    parseval = float(codebook.dim) if codebook.vsa == "HRR" else 1.0
+    weights = B.measure(codebook.vsa, codebook.dim)
     degree = feature_tuple("idx", codebook.bins)[1] + 1
     lists = counts.groupBy(key).agg(F.array_sort(F.collect_list("idx")).alias("ids"), F.sum(degree * F.col("cnt")).alias("total"))
     rows = embeddings.select(key, F.col(vector).alias("v")).join(lists, key)
@@ -270,10 +260,10 @@ def decode_edges(embeddings: DataFrame, counts: DataFrame, codebook: Codebook, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, matrix = sent.value
         for batch in batches:
-            x = _spectral_rows(B.vector_rows(batch.column("v")), vsa)
+            x = B.to_engine(B.vector_rows(batch.column("v")), vsa)
             names = [np.array(ids, np.int64) for ids in batch.column("ids").to_pylist()]
             totals = batch.column("total").to_pylist()
-            found = [peel_pairs(x[i], matrix[np.searchsorted(known, ids)], None, totals[i] // 2, parseval, None) for i, ids in enumerate(names)]
+            found = [peel_pairs(x[i], matrix[np.searchsorted(known, ids)], None, totals[i] // 2, weights, None) for i, ids in enumerate(names)]
             yield _pair_rows(key, batch.column(key), found, names)
 
     kind = embeddings.schema[key].dataType.simpleString()
@@ -283,7 +273,7 @@ def decode_edges(embeddings: DataFrame, counts: DataFrame, codebook: Codebook, k
 def decode_edges_free(embeddings: DataFrame, codebook: Codebook, limit: int = EDGE_LIMITS[1], pairs: DataFrame | None = None, key: str = "graph_id", vector: str = "edge_terms") -> DataFrame:
     """(key, a, b, cnt) without node counts: all pairs of the codebook, or only the given ones (a, b). ``limit`` is the
     decoder's own bound on directed edges."""
-    parseval = float(codebook.dim) if codebook.vsa == "HRR" else 1.0
+    weights = B.measure(codebook.vsa, codebook.dim)
     known, matrix = codebook.matrix()
     allowed = None
     if pairs is not None:
@@ -296,11 +286,11 @@ def decode_edges_free(embeddings: DataFrame, codebook: Codebook, limit: int = ED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, matrix, allowed = sent.value
-        lengths = _pair_lengths(matrix, parseval)
+        lengths = _pair_lengths(matrix, weights)
         eps = 0.01 * 2 * float(lengths.min() if allowed is None else lengths[allowed].min())
         for batch in batches:
-            x = _spectral_rows(B.vector_rows(batch.column("v")), vsa)
-            found = [peel_pairs(row, matrix, allowed, limit // 2, parseval, eps) for row in x]
+            x = B.to_engine(B.vector_rows(batch.column("v")), vsa)
+            found = [peel_pairs(row, matrix, allowed, limit // 2, weights, eps) for row in x]
             yield _pair_rows(key, batch.column(key), found, [known] * len(found))
 
     kind = embeddings.schema[key].dataType.simpleString()

@@ -48,10 +48,6 @@ def bundle(df: DataFrame, keys: Sequence[str], hv: str = "hv", weight: str | Non
     return packed.select(*keys, F.struct(F.col("_cells.re").alias("re"), F.col("_cells.im").alias("im")).alias(hv))
 
 
-def _finish(values: np.ndarray, vsa: str) -> np.ndarray:
-    return np.fft.ifft(values, axis=1).real if vsa == "HRR" else values
-
-
 def _finish_column(hv: Column, vsa: str) -> Column:
     return V.from_spectral(hv) if vsa == "HRR" else hv
 
@@ -92,7 +88,7 @@ def _sum_of_counts(counts: DataFrame, key: str, codebook: Codebook, out: str, pa
                 else:
                     values = matrix[_rows_of(known, cells["idx"])]
                 sums = B.segment_sum(values * cells["cnt"][:, None], owner, piece.num_rows)
-                yield pa.RecordBatch.from_arrays([piece.column(key), B.vector_column(_finish(sums, vsa))], [key, out])
+                yield pa.RecordBatch.from_arrays([piece.column(key), B.vector_column(B.from_engine(sums, vsa, dim))], [key, out])
 
     return grouped.mapInArrow(build, f"{key} {counts.schema[key].dataType.simpleString()}, {out} {_vector_type(vsa)}")
 
@@ -157,22 +153,22 @@ class BatchEncoder:
         weight = flat.node.get("weight")
         for i, depth in enumerate(self.depths):
             known, matrix = self.sent.value[i]
-            parseval = self.dims[i] if self.vsa == "HRR" else 1
+            weights = B.measure(self.vsa, self.dims[i])
             start = matrix[_rows_of(known, flat.node["idx"])]
-            total, first = B.message_passing(flat, start, depth, self.normalize, parseval, self.isolated)
+            total, first = B.message_passing(flat, start, depth, self.normalize, weights, self.isolated)
             if weight is not None:
                 total = total * weight[:, None]
             graph = B.segment_sum(total, flat.graph_of_node, flat.count)
             if self.normalize_graph:
-                graph = B.unit_rows(graph, parseval)
-            embeddings.append(_finish(graph, self.vsa))
+                graph = B.unit_rows(graph, weights)
+            embeddings.append(B.from_engine(graph, self.vsa, self.dims[i]))
             if i == 0:
                 plain = start
                 if self.node_terms_book:
                     known, matrix = self.sent.value[self.node_terms_book]
                     plain = matrix[_rows_of(known, flat.node["full_idx"])]
                 sums = [B.segment_sum(v, flat.graph_of_node, flat.count) for v in (plain, first)]
-                first_terms = [_finish(v, self.vsa) for v in sums]
+                first_terms = [B.from_engine(v, self.vsa, self.dims[i]) for v in sums]
         return first_terms[0], first_terms[1], np.concatenate(embeddings, axis=1)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

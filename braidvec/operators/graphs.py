@@ -198,31 +198,40 @@ def _spread_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return moves.unionByName(stays)
 
 
-def lanes_of(label: Column) -> list[Column]:
+def lanes_of(digest: Column) -> list[Column]:
     """Four 32-bit numbers of a digest; their sums over a multiset hash it without collecting or sorting it."""
-    return [hex_number(label, 1 + 8 * i, 8) for i in range(LANES)]
+    return [hex_number(digest, 1 + 8 * i, 8) for i in range(LANES)]
+
+
+def label_number(lanes: Sequence[Column]) -> Column:
+    """The first 52 bits of the digest that the lanes come from."""
+    return lanes[0] * F.lit(1 << 20) + F.shiftright(lanes[1], 12)
 
 
 def wl_labels(nodes: DataFrame, edges: DataFrame, iters: int = 3, keep_rounds: bool = False) -> DataFrame:
-    """Neighbourhood labels after ``iters`` rounds: md5(own label | summed lanes of the neighbours' labels)."""
+    """Neighbourhood labels after ``iters`` rounds: (graph_id, node_id, w0..w3), the lanes of the last digest.
+
+    A round hashes a node's own lanes with the summed lanes of its neighbours. Labels travel as numbers, so that joins
+    and aggregates stay in hash-based generated code; text exists only inside the md5 call. With ``keep_rounds`` the
+    columns l0, l1, ... hold the label number of every round."""
     spread = _spread_edges(nodes, edges)
-    start = F.md5(F.concat_ws(",", F.col("feat").cast("array<string>")))
-    state = nodes.select("graph_id", "node_id", start.alias("label"))
-    past = ["label"]
-    if keep_rounds:
-        state = state.withColumnRenamed("label", "l0")
-        past = ["l0"]
+    lanes = [f"w{i}" for i in range(LANES)]
+    digest = F.md5(F.concat_ws(",", F.col("feat").cast("array<string>")))
+
+    def cut(df: DataFrame, r: int, past: list[str]) -> DataFrame:
+        out = df.select("graph_id", "node_id", *past, *[c.alias(n) for c, n in zip(lanes_of(F.col("_d")), lanes, strict=True)])
+        return out.withColumn(f"l{r}", label_number([F.col(n) for n in lanes])) if keep_rounds else out
+
+    past: list[str] = []
+    state = cut(nodes.select("graph_id", "node_id", digest.alias("_d")), 0, past)
     for r in range(iters):
-        current = past[-1]
+        past = [f"l{i}" for i in range(r + 1)] if keep_rounds else []
         sent = state.withColumnRenamed("node_id", "src").join(spread, ["graph_id", "src"])
-        own = [F.max(F.when(F.col("stay"), F.col(c))).alias(c) for c in past]
-        sums = [F.sum(F.when(~F.col("stay"), lane)).alias(f"_s{i}") for i, lane in enumerate(lanes_of(F.col(current)))]
+        own = [F.max(F.when(F.col("stay"), F.col(c))).alias(c) for c in [*past, *lanes]]
+        sums = [F.sum(F.when(~F.col("stay"), F.col(c))).alias(f"_{c}") for c in lanes]
         gathered = sent.groupBy("graph_id", F.col("dst").alias("node_id")).agg(*own, *sums)
-        new = keyed_md5(F.col(current), *[F.coalesce(F.col(f"_s{i}"), F.lit(0)) for i in range(LANES)])
-        name = f"l{r + 1}" if keep_rounds else "label"
-        state = gathered.withColumn(name, new).drop(*[f"_s{i}" for i in range(LANES)])
-        if keep_rounds:
-            past = past + [name]
+        around = [F.coalesce(F.col(f"_{c}"), F.lit(0)) for c in lanes]
+        state = cut(gathered.withColumn("_d", keyed_md5(*[F.col(c) for c in lanes], *around)), r + 1, past)
     return state
 
 
@@ -231,7 +240,7 @@ def wl_hash(nodes: DataFrame, edges: DataFrame, iters: int = 3) -> DataFrame:
 
     def job(n: DataFrame, e: DataFrame, together: bool) -> DataFrame:
         labels = wl_labels(n, e, iters)
-        sums = [F.sum(lane).alias(f"_s{i}") for i, lane in enumerate(lanes_of(F.col("label")))]
+        sums = [F.sum(f"w{i}").alias(f"_s{i}") for i in range(LANES)]
         grouped = labels.groupBy("graph_id").agg(F.count("*").alias("n"), *sums)
         return grouped.select("graph_id", keyed_md5(F.col("n"), *[F.col(f"_s{i}") for i in range(LANES)]).alias("wl"), "n")
 
@@ -345,11 +354,8 @@ def cyclomatic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.withColumn("rings", F.col("m") - F.col("n") + F.col("c"))
 
 
-def short_cycles(edges: DataFrame, max_len: int = 6) -> DataFrame:
-    """Members of chordless cycles of 3 to ``max_len`` nodes: (graph_id, ring_id, node_id, size).
-
-    Paths start at the smallest node of the cycle and their second node is smaller than the last. A path is dropped as
-    soon as it has a chord, so what is kept grows with the number of chordless paths only."""
+def _cycles_spread(edges: DataFrame, max_len: int) -> DataFrame:
+    """Paths grown by joins with the edge table; a hub's neighbours are never brought together."""
     pairs = symmetrize(edges)
     steps = pairs.select("graph_id", F.col("src").alias("_at"), F.col("dst").alias("_to"))
     chord = pairs.select("graph_id", F.col("src").alias("_c"), F.col("dst").alias("_to"))
@@ -368,6 +374,44 @@ def short_cycles(edges: DataFrame, max_len: int = 6) -> DataFrame:
         rings = marked.filter("closed AND path[1] < element_at(path, -1)").select("graph_id", "path")
         found = rings if found is None else found.unionByName(rings)
         paths = marked.filter("NOT closed").select("graph_id", "path")
+    return found
+
+
+def _cycles_together(edges: DataFrame, max_len: int) -> DataFrame:
+    """Paths grown by one join per length with the neighbour lists of size-checked graphs, in a single chain of joins."""
+    pairs = symmetrize(edges)
+    lists = pairs.groupBy("graph_id", F.col("src").alias("_at")).agg(F.collect_list("dst").alias("_near"))
+    paths = pairs.filter("src < dst").select("graph_id", F.array("src", "dst").alias("path"), F.lit(False).alias("closed"))
+    for size in range(2, max_len + 1):
+        joined = paths.withColumn("_at", F.element_at("path", -1)).join(lists, ["graph_id", "_at"])
+        if size > 2:
+            closes = F.array_contains("_near", F.col("path")[0])
+            chord = F.arrays_overlap("_near", F.slice("path", 2, size - 3)) if size > 3 else F.lit(False)
+            joined = joined.filter(F.col("closed") | ~chord).withColumn("closed", F.col("closed") | closes)
+            joined = joined.filter(~F.col("closed") | (F.col("path")[1] < F.element_at("path", -1)))
+        if size == max_len:
+            return joined.filter("closed").select("graph_id", "path")
+        step = F.when(F.col("closed"), F.array(F.lit(None).cast("int"))).otherwise(F.col("_near"))
+        stepped = joined.select("graph_id", "path", "closed", F.explode(step).alias("_to"))
+        open_step = (F.col("_to") > F.col("path")[0]) & ~F.array_contains("path", F.col("_to"))
+        longer = F.when(F.col("closed"), F.col("path")).otherwise(F.concat("path", F.array("_to")))
+        paths = stepped.filter(F.col("closed") | open_step).select("graph_id", longer.alias("path"), "closed")
+    raise ValueError("max_len must be at least 3")
+
+
+def short_cycles(edges: DataFrame, max_len: int = 6, limit: int = GRAPH_LIMIT) -> DataFrame:
+    """Members of chordless cycles of 3 to ``max_len`` nodes: (graph_id, ring_id, node_id, size).
+
+    Paths start at the smallest node of the cycle and their second node is smaller than the last. A path is dropped as
+    soon as it has a chord, so what is kept grows with the number of chordless paths only."""
+    if max_len < 3:
+        raise ValueError("max_len must be at least 3")
+    edges = edges.select("graph_id", "src", "dst")
+
+    def job(_: DataFrame, e: DataFrame, together: bool) -> DataFrame:
+        return _cycles_together(e, max_len) if together else _cycles_spread(e, max_len)
+
+    found = per_graph(edges.select("graph_id").limit(0), edges, job, limit)
     ring_id = F.concat_ws("-", F.col("path").cast("array<string>"))
     return found.select("graph_id", ring_id.alias("ring_id"), F.size("path").alias("size"), F.explode("path").alias("node_id"))
 

@@ -55,8 +55,13 @@ def per_graph(
 
 
 def together(df: DataFrame) -> DataFrame:
-    """Hash-partition by graph_id; later joins and aggregates on (graph_id, ...) reuse this."""
-    return df.repartition("graph_id")
+    """Hash-partition by graph_id; later joins and aggregates on (graph_id, ...) reuse this.
+
+    The number of partitions is given, so that adaptive execution does not merge them by the size of these narrow rows:
+    the vectors and paths made from them later are many times larger."""
+    spark = df.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted, "graph_id")
 
 
 def with_global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:

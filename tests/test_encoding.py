@@ -7,13 +7,13 @@ import pytest
 from conftest import graph_tables
 from pyspark.sql import functions as F
 
+from braidvec.functions import batch as B
 from braidvec.functions import vsa as V
 from braidvec.operators import codebook as C
 from braidvec.operators import decode as D
 from braidvec.operators import encode as E
 from braidvec.plans.tables import ORDER_BINS
 from braidvec.schema import EncoderConfig, WalkConfig
-from braidvec.session import BROADCAST_CELLS  # noqa: F401
 
 
 def plain_encode(nodes, edges, book, depth, normalize, isolated="zero"):
@@ -67,7 +67,7 @@ def test_encode_matches_numpy(spark, sample, vsa, limit):
         got = {r["graph_id"]: r for r in E.encode(nodes, edges, cfg, limit=limit).collect()}
         assert got.keys() == want.keys()
         for g, (n, e) in want.items():
-            expected = plain_encode(n, e, (None, D._plain(matrix, vsa), vsa), 3, True, isolated)
+            expected = plain_encode(n, e, (None, B.from_engine(matrix, vsa, 16), vsa), 3, True, isolated)
             for name, value in zip(("node_terms", "edge_terms", "graph_embedding"), expected):
                 assert np.allclose(vector(got[g][name]), value, atol=1e-9), (g, name)
         if vsa != "MAP":
@@ -139,7 +139,7 @@ def test_decode_edges_recovers_the_edges(spark, sample):
 def test_peel_against_a_direct_loop(spark, sample):
     book = C.make_codebook(spark, ORDER_BINS, 32, "HRR", 7)
     known, spectra = book.matrix()
-    matrix = np.fft.ifft(spectra, axis=1).real
+    matrix = B.from_engine(spectra, "HRR", 32)
     terms = E.node_terms(sample[0], book).persist()
     got = {}
     for r in D.decode_nodes_iterative(terms, book, 18).collect():

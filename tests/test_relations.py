@@ -141,7 +141,12 @@ def test_unknown_tuple(spark):
 def test_short_cycles(spark):
     six = [(i, (i + 1) % 6) for i in range(6)]
     _, edges = graph_tables(spark, {1: ([F0] * 6, six), 2: ([F0] * 6, six + [(0, 3)]), 3: ([F0] * 4, [(i, j) for i in range(4) for j in range(i)])})
-    rings = G.short_cycles(edges, 6).select("graph_id", "ring_id", "size").distinct().groupBy("graph_id", "size").count()
+    for limit in (1000, 0):
+        check_rings(G.short_cycles(edges, 6, limit))
+
+
+def check_rings(found):
+    rings = found.select("graph_id", "ring_id", "size").distinct().groupBy("graph_id", "size").count()
     assert rows(rings, "graph_id", "size", "count") == [(1, 6, 1), (2, 4, 2), (3, 3, 4)]
 
 
