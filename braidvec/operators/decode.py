@@ -17,6 +17,7 @@ from braidvec.functions.hashing import keyed_md5, unit_uniform
 from braidvec.operators.codebook import Codebook
 from braidvec.operators.encode import encode
 from braidvec.operators.graphs import components, double_edges, draw_class, graph_hash
+from braidvec.plans.skew import with_group_rank
 from braidvec.schema import EncoderConfig
 from braidvec.session import BROADCAST_CELLS, cut_lineage
 
@@ -275,9 +276,11 @@ def decode_edges_free(embeddings: DataFrame, codebook: Codebook, limit: int = ED
     decoder's own bound on directed edges."""
     weights = B.measure(codebook.vsa, codebook.dim)
     known, matrix = codebook.matrix()
+    if len(known) ** 2 > BROADCAST_CELLS:
+        raise ValueError("too many pairs for one task; prune the codebook to the tuples that occur")
     allowed = None
     if pairs is not None:
-        seen = pairs.select("a", "b").distinct().toPandas()  # at most the square of the (size-checked) codebook
+        seen = pairs.select("a", "b").distinct().toPandas()  # no more than the pairs just checked
         allowed = np.zeros((len(known), len(known)), bool)
         a, b = np.searchsorted(known, seen["a"]), np.searchsorted(known, seen["b"])
         allowed[a, b] = allowed[b, a] = True
@@ -353,8 +356,8 @@ def halve_edges(edges: DataFrame, key: str = "graph_id") -> DataFrame:
 def sample_matchings(edges: DataFrame, bins: Sequence[int], n: int, seed: int, key: str = "graph_id") -> tuple[DataFrame, DataFrame]:
     """Random stub matchings of decoded edges: (candidate nodes, candidate edges), connected and loop-free ones only.
 
-    For each sample and tuple the edge ends are put in hash order and meet the node stubs of that tuple in turn. Edge ends
-    per query are bounded by the decoder's edge limit. Candidates have graph_id = query · n + sample and ``query_id``."""
+    For each sample and tuple the edge ends are put in hash order and meet the node stubs of that tuple in turn.
+    Candidates have graph_id = query · n + sample and ``query_id``."""
     half = halve_edges(edges, key)
     nodes = node_counts_from_edges(edges, bins, "floor", key)
     before = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -367,8 +370,9 @@ def sample_matchings(edges: DataFrame, bins: Sequence[int], n: int, seed: int, k
     ends = copies.select(key, "a", "b", "_copy", F.explode(ends).alias("_e")).select(key, "a", "b", "_copy", "_e.side", "_e.idx")
     drawn = ends.withColumn("_sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     order = keyed_md5(seed, F.col(key), F.col("_sample"), F.col("a"), F.col("b"), F.col("_copy"), F.col("side"))
-    turn = Window.partitionBy(key, "_sample", "idx").orderBy("_h", "a", "b", "_copy", "side")
-    drawn = drawn.withColumn("_h", order).withColumn("_at", (F.row_number().over(turn) - 1).cast("long"))
+    drawn = cut_lineage(drawn.withColumn("_h", order))
+    turn = [F.col(c) for c in ("_h", "a", "b", "_copy", "side")]
+    drawn = with_group_rank(drawn, [key, "_sample", "idx"], turn, "_at")
     matched = drawn.join(stubs, [key, "idx", "_at"])
     side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
     joined = matched.groupBy(key, "_sample", "a", "b", "_copy").agg(side(0, "node_id").alias("src"), side(1, "node_id").alias("dst"))

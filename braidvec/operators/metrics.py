@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidvec.functions import vsa as V
-from braidvec.operators.stats import lower_median, moments
+from braidvec.operators.stats import moments
+from braidvec.plans.skew import order_statistics
 
 
 def _ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
@@ -277,8 +278,9 @@ def rejection_report(df: DataFrame, reason: str, ok: str = "valid") -> DataFrame
 def similarity_quantiles(df: DataFrame, sim: str) -> DataFrame:
     """One row: mean, lower median, min, max, and percent above 0.90, 0.95 and 0.99."""
     above = lambda x: F.avg(F.when(F.col(sim) > x, 1.0).otherwise(0.0)) * 100
+    _, middle = order_statistics(df, sim, [0.5], "lower")
     return df.agg(
-        F.avg(sim).alias("mean"), lower_median(sim).alias("median"), F.min(sim).alias("min"), F.max(sim).alias("max"),
+        F.avg(sim).alias("mean"), F.lit(middle[0] if middle else None).cast("double").alias("median"), F.min(sim).alias("min"), F.max(sim).alias("max"),
         above(0.90).alias("pct_above_090"), above(0.95).alias("pct_above_095"), above(0.99).alias("pct_above_099"),
     )
 
@@ -315,7 +317,8 @@ def reconstruction_summary(df: DataFrame, valid: str, match: str, nodes_ok: str,
     out = [F.count("*").alias("num_samples")]
     for name, c in (("valid", valid), ("match", match), ("node_decode", nodes_ok)):
         out += [F.count_if(F.col(c)).alias(f"{name}_count"), F.avg(F.when(F.col(c), 1.0).otherwise(0.0)).alias(f"{name}_rate")]
-    out += [F.coalesce(F.avg(tanimoto), F.lit(0.0)).alias("mean_tanimoto"), F.coalesce(F.median(tanimoto), F.lit(0.0)).alias("median_tanimoto")]
+    _, middle = order_statistics(df, tanimoto, [0.5])
+    out += [F.coalesce(F.avg(tanimoto), F.lit(0.0)).alias("mean_tanimoto"), F.lit(middle[0] if middle else 0.0).alias("median_tanimoto")]
     return df.agg(*out)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from braidvec.functions import vsa as V
 from braidvec.functions.batch import vector_column, vector_rows
 from braidvec.functions.hashing import keyed_md5, unit_uniform
-from braidvec.plans.skew import GROUP_LIMIT, large_keys, smallest_by_hash, split_large, with_global_rank
+from braidvec.plans.skew import GROUP_LIMIT, large_keys, order_statistics, smallest_by_hash, split_large, with_global_rank
 
 MIN_STD = 1e-8
 
@@ -168,13 +168,9 @@ def pca_inverse(df: DataFrame, vector: str, pca: Pca, out: str = "restored") ->
 def pca_roundtrip(df: DataFrame, vector: str, pca: Pca) -> DataFrame:
     """One row: mean, max and (lower middle) median cosine distance after projection and back."""
     back = pca_inverse(pca_project(df, vector, pca, "_p"), "_p", pca, "_back")
-    distance = back.select((1 - V.cosine(F.col(vector).cast("array<double>"), "_back")).alias("_d"))
-    return distance.agg(F.avg("_d").alias("mean"), F.max("_d").alias("max"), lower_median("_d").alias("median"))
-
-
-def lower_median(value: str) -> Column:
-    """Middle value, the lower one of two."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})")
+    distance = back.select((1 - V.cosine(F.col(vector).cast("array<double>"), "_back")).alias("_d")).persist()
+    _, middle = order_statistics(distance, "_d", [0.5], "lower")
+    return distance.agg(F.avg("_d").alias("mean"), F.max("_d").alias("max"), F.lit(middle[0] if middle else None).cast("double").alias("median"))
 
 
 @dataclass(frozen=True)
@@ -356,9 +352,7 @@ def random_split(df: DataFrame, id_col: str, seed: int, train: float = 0.8, vali
 
 def size_strata(df: DataFrame, size_col: str, q: int = 4) -> DataFrame:
     """Append ``stratum`` from the distinct size quantiles (linear interpolation); an edge belongs to the lower side."""
-    shares = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    counts = df.groupBy(size_col).agg(F.count("*").alias("_f"))
-    edges = sorted(set(counts.agg(F.percentile(size_col, shares, F.col("_f"))).first()[0]))
+    edges = sorted(set(order_statistics(df, size_col, [i / q for i in range(q + 1)])[1]))
     stratum = F.lit(0)
     for edge in edges[1:-1]:
         stratum = stratum + F.when(F.col(size_col) > edge, 1).otherwise(0)

@@ -12,8 +12,9 @@ from braidvec.functions import batch as B
 from braidvec.functions.features import bin_walk
 from braidvec.operators.encode import nest_graphs
 from braidvec.operators.graphs import symmetrize
-from braidvec.plans.skew import per_graph
+from braidvec.plans.skew import order_statistics, per_graph
 from braidvec.schema import WalkConfig
+from braidvec.session import cut_lineage
 
 
 # Graphs up to this many nodes and edges together use stacked dense matrices; larger ones use joins.
@@ -91,11 +92,15 @@ def scan_rw(nodes: DataFrame, edges: DataFrame, walk: WalkConfig) -> DataFrame:
 def fit_quantile_bounds(probs: DataFrame, num_bins: int) -> DataFrame:
     """Equal-frequency boundaries per walk length from (k, p) rows, rounded to six decimals: (k, bounds).
 
-    Equal values are counted first, so the exact percentile works on distinct values with frequencies."""
-    shares = [F.lit(i / num_bins) for i in range(1, num_bins)]
-    counts = probs.groupBy("k", "p").agg(F.count("*").alias("_f"))
-    exact = F.percentile("p", F.array(*shares), F.col("_f"))
-    return counts.groupBy("k").agg(exact.alias("_b")).select("k", F.transform("_b", lambda b: F.round(b, 6)).alias("bounds"))
+    One exact selection per walk length; the result is one small row for each."""
+    counts = cut_lineage(probs.groupBy("k", "p").agg(F.count("*").alias("_c")))
+    ks = sorted(r["k"] for r in counts.select("k").distinct().collect())
+    shares = [i / num_bins for i in range(1, num_bins)]
+    rows = []
+    for k in ks:
+        _, bounds = order_statistics(counts.filter(F.col("k") == k), "p", shares, weight="_c")
+        rows.append((k, [round(b, 6) for b in bounds]))
+    return probs.sparkSession.createDataFrame(rows, "k int, bounds array<double>")
 
 
 def preset_bounds(presets: Mapping[int, Mapping[int, Sequence[float]]], num_bins: int) -> Mapping[int, Sequence[float]]:
@@ -107,7 +112,7 @@ def preset_bounds(presets: Mapping[int, Mapping[int, Sequence[float]]], num_bins
 
 def fit_presets(probs: DataFrame, counts: Sequence[int] = (3, 4, 5, 6, 7)) -> dict[int, dict[int, tuple[float, ...]]]:
     """Preset table for several bin counts; one small row per walk length and bin count reaches the driver."""
-    out = {}
+    out, probs = {}, cut_lineage(probs.select("k", "p"))
     for n in counts:
         rows = fit_quantile_bounds(probs, n).collect()
         out[n] = {row["k"]: tuple(row["bounds"]) for row in rows}

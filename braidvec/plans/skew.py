@@ -6,6 +6,7 @@ pre-aggregated count, and take a second, exact way in which no single task holds
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,6 +104,43 @@ def with_group_rank(
     return out.unionByName(ranked.drop("_global", "_first"))
 
 
+def order_statistics(df: DataFrame, value: str, shares: Sequence[float], method: str = "linear", weight: str | None = None) -> tuple[int, list[float]]:
+    """(n, exact quantiles of the non-null values). ``lower`` takes the lower of two middle values, ``linear`` goes between.
+    With ``weight`` a row stands for that many equal values.
+
+    Equal values are merged into counts first, so a frequent value is one row. The distinct values are sorted by range, and
+    only the ranges that hold a wanted position are summed up inside; no task sees the whole column."""
+    times = F.count("*") if weight is None else F.sum(weight)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(times.alias("_c"))
+    ordered = cut_lineage(counts.orderBy("_v").withColumn("_part", F.spark_partition_id()))
+    parts = sorted(ordered.groupBy("_part").agg(F.sum("_c").alias("_c")).collect(), key=lambda r: r["_part"])
+    begin, n = {}, 0
+    for row in parts:
+        begin[row["_part"]] = n
+        n += row["_c"]
+    if n == 0:
+        return 0, []
+    wanted: list[tuple[int, int, float]] = []
+    for share in shares:
+        at = (n - 1) * share
+        low = math.floor(at + 1e-12)
+        wanted.append((low, low, 0.0) if method == "lower" else (low, min(low + 1, n - 1), at - low))
+    ranks = sorted({r for low, high, _ in wanted for r in (low, high)})
+    holding = {max(p for p, first in begin.items() if first <= r) for r in ranks}
+    running = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = ordered.filter(F.col("_part").isin(sorted(holding))).withColumn("_end", F.sum("_c").over(running))
+    first = F.lit(0)
+    for p in sorted(holding):
+        first = F.when(F.col("_part") == p, begin[p]).otherwise(first)
+    placed = inside.withColumn("_end", F.col("_end") + first)
+    hit = F.lit(False)
+    for r in ranks:
+        hit = hit | ((F.col("_end") > r) & (F.col("_end") - F.col("_c") <= r))
+    found = placed.filter(hit).collect()
+    at_rank = {r: float(row["_v"]) for r in ranks for row in found if row["_end"] - row["_c"] <= r < row["_end"]}
+    return n, [at_rank[low] + (at_rank[high] - at_rank[low]) * share for low, high, share in wanted]
+
+
 def smallest_by_hash(df: DataFrame, hash_col: str, tie: str, wanted: Sequence[int], name: str = "band") -> DataFrame:
     """Split rows, in the order (hash, tie), at exact positions: ``band`` is the number of cut points passed.
 

@@ -18,6 +18,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Vector aggregates keep their map-side hash tables instead of falling back to sorting at 128 keys.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
+    # Row-number limits of wide beams are applied in every task before the shuffle, too.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }

@@ -19,8 +19,8 @@ from braidvec.functions import batch as B
 from braidvec.functions.features import bin_walk, feature_index
 from braidvec.functions.hashing import hex_number, keyed_md5, unit_uniform
 from braidvec.operators.codebook import Codebook, make_codebook
-from braidvec.operators.encode import BatchEncoder, _vector_type
-from braidvec.plans.skew import with_global_rank
+from braidvec.operators.encode import GRAPH_LIMIT, BatchEncoder, _vector_type
+from braidvec.plans.skew import large_keys, with_global_rank
 from braidvec.schema import EncoderConfig
 from braidvec.session import BROADCAST_KEYS
 
@@ -98,7 +98,10 @@ def run_steps(stream: DataFrame, steps: int, step: Callable[[DataFrame, int], No
 
 
 def nested_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Batch form of the stream rows: one nested row per graph. The stream item is a whole graph by definition."""
+    """Batch form of the stream rows: one nested row per graph. A graph too large to be one row is refused; the batch
+    encoder spreads such graphs over the cluster."""
+    if large_keys(nodes.select("graph_id").unionByName(edges.select("graph_id")), ["graph_id"], GRAPH_LIMIT) is not None:
+        raise ValueError(f"a graph has more than {GRAPH_LIMIT} nodes and edges; use encode for it")
     n = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "feat"))).alias("nodes"))
     e = edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("edges"))
     empty = F.array().cast(e.schema["edges"].dataType)

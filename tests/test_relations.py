@@ -107,6 +107,15 @@ def test_group_rank_of_a_large_key(spark):
     assert rows(a, "id", "r") == rows(b, "id", "r")
 
 
+def test_order_statistics(spark):
+    values = [float(v) for v in np.random.default_rng(2).integers(0, 50, 999)] + [7.0] * 500
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(6)
+    n, got = skew.order_statistics(df, "v", [0.0, 0.1, 0.5, 0.77, 1.0])
+    assert n == 1499 and np.allclose(got, np.quantile(values, [0.0, 0.1, 0.5, 0.77, 1.0]))
+    assert skew.order_statistics(df.filter("v < 3").limit(4), "v", [0.5], "lower")[1] == [sorted(r["v"] for r in df.filter("v < 3").limit(4).collect())[1]]
+    assert skew.order_statistics(df.filter("v > 90"), "v", [0.5]) == (0, [])
+
+
 def test_hash_split_is_exact(spark):
     df = spark.range(5000).select("id", F.md5(F.col("id").cast("string")).alias("h"))
     got = skew.smallest_by_hash(df, "h", "id", [777, 4000]).collect()
