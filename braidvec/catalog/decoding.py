@@ -157,7 +157,7 @@ def _(t):
 _CB = map_codebook("cb", ROWS, 8, 42)
 _SCORED = f"""{WITH}, {_CB}, {wl_sql()}, {map_layers(2, False)}, emb AS (SELECT graph_id, d, sum(v) AS v FROM alls GROUP BY ALL),
   uq AS (SELECT min(graph_id) AS graph_id, graph_id // 4 AS query_id FROM gh GROUP BY graph_id // 4, wl, n, m),
-  sims AS (SELECT u.query_id, u.graph_id AS cand_id, sum(e.v * q.v) / sqrt(sum(e.v * e.v)) / sqrt(sum(q.v * q.v)) AS sim FROM uq u JOIN emb e USING (graph_id) JOIN emb q ON q.graph_id = u.query_id * 4 AND q.d = e.d GROUP BY ALL)"""
+  sims AS (SELECT u.query_id, u.graph_id AS cand_id, sum(e.v * q.v) / greatest(sqrt(sum(e.v * e.v)), 1e-8) / greatest(sqrt(sum(q.v * q.v)), 1e-8) AS sim FROM uq u JOIN emb e USING (graph_id) JOIN emb q ON q.graph_id = u.query_id * 4 AND q.d = e.d GROUP BY ALL)"""
 
 
 def _grouped(t):
