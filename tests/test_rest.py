@@ -137,6 +137,28 @@ def test_combine_and_strip(spark):
     assert {r["graph_id"] for r in n.collect()} == {1} and e.count() == 2
 
 
+def test_assembled_graphs_are_connected(spark):
+    from braidvec.operators.graphs import is_valid_graph
+
+    c = (1, 0, 0, 2)
+    chain = [(0, 1), (1, 2), (2, 3)]
+    nodes, edges = fragment(spark, {g: ([(c, label), (c, None), (c, None), (c, label)], chain) for g, label in ((1, 7), (2, 5), (3, 16), (4, 0))})
+    items = spark.range(30).withColumnRenamed("id", "item_id")
+    draws = X.sample_fragments(items, nodes.select("graph_id").distinct(), 2, 3).persist()
+    assert draws.count() == 60 and draws.groupBy("item_id").agg(F.countDistinct("fragment_id").alias("k")).filter("k < 2").count() == 0
+    made, bonds = X.assemble(draws, nodes, edges, 2, X.label_rules(spark), 1)
+    sizes = made.groupBy("graph_id").agg(F.count("*").alias("n"), F.count("label").alias("dummies")).collect()
+    label = {1: 7, 2: 5, 3: 16, 4: 0}
+    rules = {tuple(r) for r in X.label_rules(spark).collect()}
+    by_item = {}
+    for r in draws.collect():
+        by_item.setdefault(r["item_id"], []).append(label[r["fragment_id"]])
+    assert {r["graph_id"] for r in sizes} == {i for i, (a, b) in by_item.items() if (a, b) in rules}
+    # Two inner nodes of each fragment stay; the joined and the left-over dummies go.
+    assert all((r["n"], r["dummies"]) == (4, 0) for r in sizes)
+    assert is_valid_graph(made, bonds).filter("NOT valid").count() == 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "train_smile.txt").write_text("smiles\nCCO extra\n\n  C.C\nc1ccccc1\n")
     for name in ("valid", "test"):
