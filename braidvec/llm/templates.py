@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .text import BLOCK_BYTES, BYTE_VALUE, LOWER, U64, bitmap, blocks, might_hold, mix, prefix_sums, range_hash, record, string_buffer
 
 WINDOW = 5
@@ -131,7 +132,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, covered, n_windows, exact of every pair whose consistent alignments cover enough of the item."""
-    known = benchmark_windows(benchmark, window).persist()
+    known = cut_lineage(benchmark_windows(benchmark, window))
     bits = bitmap(known, F.col("hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null and text is not null")
     found = texts.mapInArrow(_windows(window, bits), _WINDOW_SQL).withColumnRenamed("id", "doc_id")
