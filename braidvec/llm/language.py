@@ -168,14 +168,18 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """Rows whose language is known with at least ``least`` probability; all columns stay as they are."""
+    """Rows whose language is known with at least ``least`` probability; all columns stay as they are. A model that has learned
+    no language rejects only texts without a letter."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score = sent.value.predict(batch.column(at).to_pylist())
-            keep = (np.array([x != UNKNOWN for x in lang], bool)) & (score >= least)
+            if sent.value.langs:
+                keep = np.array([x != UNKNOWN for x in lang], bool) & (score >= least)
+            else:
+                keep = np.array([has_letter(t) for t in batch.column(at).to_pylist()], bool)
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(task, docs.schema)

@@ -239,7 +239,7 @@ def piece_model(path: str = MODEL) -> PieceModel:
 
 
 def encode_pieces(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns, n_pieces and ids: array<int> of every row; one pass, no shuffle."""
+    """The ``keep`` columns, n_pieces, ids: array<int>, and whether decoding gives the text back, of every row; one pass."""
     schema = docs.select(*keep).schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,20 +248,23 @@ def encode_pieces(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                ids, counts = model.encode([t or "" for t in texts])
+                plain = [t or "" for t in texts]
+                ids, counts = model.encode(plain)
                 gone = np.array([t is None for t in texts])
+                back = [a == b for a, b in zip(plain, model.decode(ids, counts), strict=True)]
                 cuts = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32(), mask=np.append(gone, False))
                 lists = pa.ListArray.from_arrays(cuts, pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(counts, pa.int64(), mask=gone), lists], [*part.schema.names[:-1], "n_pieces", "ids"])
+                own = [pa.array(counts, pa.int64(), mask=gone), lists, pa.array(back, pa.bool_(), mask=gone)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own], [*part.schema.names[:-1], "n_pieces", "ids", "round_trip"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(task, f"{names}, n_pieces long, ids array<int>")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(task, f"{names}, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def decode_pieces(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """The columns of ``encoded`` with ``text`` in place of ids."""
     names = [c for c in encoded.columns if c != "ids"]
-    sql = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c != "ids")
+    sql = "".join(f"`{c}` {t}, " for c, t in encoded.dtypes if c != "ids")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
@@ -269,9 +272,10 @@ def decode_pieces(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             lists = batch.column(len(names))
             counts = lists.value_lengths().fill_null(0).to_numpy()
             texts = model.decode(lists.flatten().to_numpy(), counts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))], [*names, "text"])
+            gone = lists.is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string(), mask=gone)], [*names, "text"])
 
-    return encoded.select(*names, "ids").mapInArrow(task, f"{sql}, text string")
+    return encoded.select(*names, "ids").mapInArrow(task, f"{sql}text string")
 
 
 def piece_report(docs: DataFrame, path: str = MODEL) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir
-from . import language, pieces, pii, quality, rollups, sigtree, suffix, templates, topk
+from . import language, maxent, pieces, pii, quality, rollups, sigtree, suffix, templates, topk
 from .sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,11 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
