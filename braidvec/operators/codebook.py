@@ -15,7 +15,7 @@ from braidvec.functions.batch import to_engine, vector_rows
 from braidvec.functions.features import feature_index, feature_tuple
 from braidvec.functions.hashing import keyed_md5, unit_uniform
 from braidvec.plans.skew import with_global_rank
-from braidvec.session import BROADCAST_CELLS, BROADCAST_KEYS
+from braidvec.session import BROADCAST_CELLS, BROADCAST_KEYS, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -144,13 +144,14 @@ def pair_codebook(pairs: DataFrame, codebook: Codebook) -> DataFrame:
 
 def prune_codebook(codebook: Codebook, observed: DataFrame) -> Codebook:
     """Keep the observed tuples. ``pos`` is the new index in sorted tuple order; ``idx`` stays the flat index."""
-    wanted = with_index(observed, codebook.bins).select("idx").distinct()
-    if codebook.rows <= BROADCAST_KEYS:
+    wanted = cut_lineage(with_index(observed, codebook.bins).select("idx").distinct())
+    rows = wanted.count()
+    if rows <= BROADCAST_KEYS:
         ranked = wanted.withColumn("pos", (F.row_number().over(Window.orderBy("idx")) - 1).cast("long"))
     else:
         ranked = with_global_rank(wanted, [F.col("idx")], "pos")
     table = codebook.table.select("idx", "hv").join(ranked, "idx")
-    return replace(codebook, table=table.withColumn("feat", feature_tuple("idx", codebook.bins)))
+    return replace(codebook, table=table.withColumn("feat", feature_tuple("idx", codebook.bins)), rows=rows)
 
 
 def rebuild_codebook(codebook: Codebook, seed: int) -> Codebook:

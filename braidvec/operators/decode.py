@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -15,13 +16,13 @@ from braidvec.functions import vsa as V
 from braidvec.functions.features import feature_tuple
 from braidvec.functions.hashing import keyed_md5, unit_uniform
 from braidvec.operators.codebook import Codebook
-from braidvec.operators.encode import encode
+from braidvec.operators.encode import _rows_of, encode
 from braidvec.operators.graphs import components, double_edges, draw_class, graph_hash
 from braidvec.plans.skew import with_group_rank
 from braidvec.schema import EncoderConfig
 from braidvec.session import BROADCAST_CELLS, cut_lineage
 
-# Most nodes and directed edges that one vector is decoded into, for the small and the large layout.
+# Customary bounds on nodes and directed edges for the small and the large layout. No decoder uses them by default.
 NODE_LIMITS = (18, 60)
 EDGE_LIMITS = (50, 122)
 
@@ -118,13 +119,13 @@ def _first_best(sims: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- peeling
 
 
-def peel(x: np.ndarray, matrix: np.ndarray, most: int, eps: float) -> tuple[list[list[int]], list[list[float]], list[list[float]]]:
-    """Subtract the best codebook row from every vector until it is used up, stops shrinking, or has ``most`` rows."""
+def peel(x: np.ndarray, matrix: np.ndarray, most: int | None, eps: float) -> tuple[list[list[int]], list[list[float]], list[list[float]]]:
+    """Subtract the best codebook row from every vector until it is used up, stops shrinking, or has ``most`` rows (None: any)."""
     lengths = np.maximum(np.linalg.norm(matrix, axis=1), V.EPSILON)
     residual, norm = x.copy(), np.linalg.norm(x, axis=1)
     picks, norms, sims = ([[] for _ in x] for _ in range(3))
     active = np.arange(len(x))
-    for _ in range(most):
+    for _ in itertools.count() if most is None else range(most):
         for row in active:
             norms[row].append(float(norm[row]))
         active = active[norm[active] > eps]
@@ -136,7 +137,7 @@ def peel(x: np.ndarray, matrix: np.ndarray, most: int, eps: float) -> tuple[list
         length = np.linalg.norm(after, axis=1)
         for at, row in enumerate(active):
             sims[row].append(float(scores[at, best[at]]))
-        good = length <= norm[active]
+        good = length < norm[active]
         for at in np.flatnonzero(good):
             picks[active[at]].append(int(best[at]))
         residual[active[good]], norm[active[good]] = after[good], length[good]
@@ -145,12 +146,13 @@ def peel(x: np.ndarray, matrix: np.ndarray, most: int, eps: float) -> tuple[list
 
 
 def decode_nodes_iterative(
-    embeddings: DataFrame, codebook: Codebook, max_nodes: int = NODE_LIMITS[1], eps_share: float = 0.01, key: str = "graph_id", vector: str = "node_terms", debug: bool = False
+    embeddings: DataFrame, codebook: Codebook, max_nodes: int | None = None, eps_share: float = 0.01, key: str = "graph_id", vector: str = "node_terms", debug: bool = False
 ) -> DataFrame:
     """(key, idx, cnt) by peeling; with ``debug`` one row per key with the picks, lengths and similarities in order.
 
-    ``max_nodes`` is the decoder's own stop rule. A codebook that may not be sent whole must be pruned to the tuples that
-    occur, or peeled with ``decode_nodes_rounds``."""
+    A vector is peeled until its remainder is small or no longer shrinks. ``max_nodes`` sets a bound in addition; the output
+    then has a column ``capped`` that is true for keys that reached it. A codebook that may not be sent whole must be pruned
+    to the tuples that occur for ``debug``; else it is searched in blocks (``decode_nodes_rounds``)."""
     if not codebook.fits:
         if debug:
             raise ValueError("debug needs a codebook that fits a task")
@@ -164,9 +166,11 @@ def decode_nodes_iterative(
         for whole in batches:
             for piece in _tiles(whole, len(known)):
                 picks, norms, sims = peel(B.vector_rows(piece.column("v")), matrix, max_nodes, eps)
+                full = np.array([max_nodes is not None and len(p) >= max_nodes for p in picks], bool)
+                more = [] if max_nodes is None else ["capped"]
                 if debug:
                     columns = [piece.column(key), pa.array([[int(known[i]) for i in p] for p in picks], pa.list_(pa.int64())), pa.array(norms, pa.list_(pa.float64())), pa.array(sims, pa.list_(pa.float64()))]
-                    yield pa.RecordBatch.from_arrays(columns, [key, "picks", "norms", "sims"])
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(full)] * len(more), [key, "picks", "norms", "sims", *more])
                     continue
                 rows, idx, cnt = [], [], []
                 for row, p in enumerate(picks):
@@ -176,34 +180,38 @@ def decode_nodes_iterative(
                     cnt.append(times)
                 empty = np.zeros(0, np.int64)
                 columns = [piece.column(key).take(pa.array(rows, pa.int64())), pa.array(np.concatenate([empty, *idx])), pa.array(np.concatenate([empty, *cnt]))]
-                yield pa.RecordBatch.from_arrays(columns, [key, "idx", "cnt"])
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(full[np.array(rows, np.int64)])] * len(more), [key, "idx", "cnt", *more])
 
     kind = embeddings.schema[key].dataType.simpleString()
-    tail = "picks array<long>, norms array<double>, sims array<double>" if debug else "idx long, cnt long"
+    tail = ("picks array<long>, norms array<double>, sims array<double>" if debug else "idx long, cnt long") + (", capped boolean" if max_nodes is not None else "")
     return embeddings.select(key, F.col(vector).alias("v")).mapInArrow(run, f"{key} {kind}, {tail}")
 
 
-def decode_nodes_rounds(embeddings: DataFrame, codebook: Codebook, max_nodes: int, eps_share: float = 0.01, key: str = "graph_id", vector: str = "node_terms") -> DataFrame:
+def decode_nodes_rounds(embeddings: DataFrame, codebook: Codebook, max_nodes: int | None = None, eps_share: float = 0.01, key: str = "graph_id", vector: str = "node_terms") -> DataFrame:
     """The same peeling for a codebook of any size: each round is a search over codebook blocks and a join."""
     if codebook.vsa == "FHRR":
         raise ValueError("prune the codebook before peeling complex vectors")
     table = codebook.table.select("idx", F.col("hv").alias("_hv"))
     eps = eps_share * table.agg(F.min(V.norm("_hv"))).first()[0]
-    state = embeddings.select(key, F.col(vector).alias("_v"), V.norm(vector).alias("_n"))
+    state = cut_lineage(embeddings.select(key, F.col(vector).alias("_v"), V.norm(vector).alias("_n")))
     picked = None
-    for _ in range(max_nodes):
-        state = cut_lineage(state.filter(F.col("_n") > eps))
-        if state.limit(1).count() == 0:
+    for _ in itertools.count() if max_nodes is None else range(max_nodes):
+        open_rows = state.filter(F.col("_n") > eps)
+        if not open_rows.head(1):
             break
-        best = nearest_entry(state, codebook, key, "_v").select(key, "idx").join(table, "idx")
-        after = state.join(best, key).withColumn("_a", F.zip_with("_v", "_hv", lambda x, y: x - y))
-        after = cut_lineage(after.withColumn("_m", V.norm("_a")).filter(F.col("_m") <= F.col("_n")))
+        best = nearest_entry(open_rows, codebook, key, "_v").select(key, "idx").join(table, "idx")
+        after = open_rows.join(best, key).withColumn("_a", F.zip_with("_v", "_hv", lambda x, y: x - y))
+        after = cut_lineage(after.withColumn("_m", V.norm("_a")).filter(F.col("_m") < F.col("_n")))
         found = after.select(key, "idx")
         picked = found if picked is None else picked.unionByName(found)
         state = after.select(key, F.col("_a").alias("_v"), F.col("_m").alias("_n"))
     if picked is None:
-        return embeddings.select(key, F.lit(0).cast("long").alias("idx"), F.lit(0).cast("long").alias("cnt")).limit(0)
-    return picked.groupBy(key, "idx").agg(F.count("*").alias("cnt"))
+        picked = embeddings.select(key, F.lit(0).cast("long").alias("idx")).limit(0)
+    counted = picked.groupBy(key, "idx").agg(F.count("*").alias("cnt"))
+    if max_nodes is None:
+        return counted
+    total = counted.groupBy(key).agg((F.sum("cnt") >= max_nodes).alias("capped"))
+    return counted.join(total, key)
 
 
 def _pair_lengths(matrix: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -211,29 +219,41 @@ def _pair_lengths(matrix: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.maximum(np.sqrt((square * weights) @ square.T), V.EPSILON)
 
 
-def peel_pairs(e: np.ndarray, matrix: np.ndarray, allowed: np.ndarray | None, rounds: int, weights: np.ndarray, eps: float | None) -> list[tuple[int, int]]:
-    """Best pair per round, both directions subtracted. With ``eps`` also stop on a small or growing remainder.
-
-    The products with bind(a, b) for all rows a, b are one matrix product; the bound vectors are never formed."""
-    if not rounds:
-        return []
-    lengths = _pair_lengths(matrix, weights)
-    found: list[tuple[int, int]] = []
-    norm = math.sqrt(B.squares(e) @ weights)
-    for _ in range(rounds):
-        if eps is not None and norm <= eps:
-            break
-        sims = (((e.conj() * weights) * matrix) @ matrix.T).real / lengths
+def peel_pairs(e: np.ndarray, matrix: np.ndarray, allowed: np.ndarray | None, rounds: np.ndarray | None, weights: np.ndarray, eps: np.ndarray | None) -> list[list[tuple[int, int]]]:
+    """Pairs of every vector of ``e``, best first, both directions subtracted; all vectors advance together.
+
+    ``matrix`` is (vectors, tuples, dim), or (1, tuples, dim) when they share their tuples. ``rounds`` bounds the pairs of each
+    vector; with ``eps`` a vector also stops when its remainder is below it or no longer shrinks. The products with bind(a, b)
+    for all tuples a, b are one matrix product; the bound vectors are never formed."""
+    found: list[list[tuple[int, int]]] = [[] for _ in e]
+    if not len(e) or not matrix.shape[1]:
+        return found
+    shared = len(matrix) == 1
+    lengths = np.stack([_pair_lengths(m, weights) for m in matrix])
+    e, norm = e.copy(), np.sqrt(B.squares(e) @ weights)
+    active, size = np.arange(len(e)), matrix.shape[1]
+    while True:
+        if rounds is not None:
+            active = active[np.array([len(found[k]) for k in active], np.int64) < rounds[active]]
+        if eps is not None:
+            active = active[norm[active] > eps]
+        if not len(active):
+            return found
+        m = matrix if shared else matrix[active]
+        sims = (((e[active].conj() * weights)[:, None, :] * m) @ m.transpose(0, 2, 1)).real / (lengths if shared else lengths[active])
         if allowed is not None:
             sims = np.where(allowed, sims, -np.inf)
-        a, b = divmod(int((sims >= sims.max() - 1e-12 * max(1.0, norm)).argmax()), len(matrix))
-        after = e - 2 * matrix[a] * matrix[b]
-        length = math.sqrt(B.squares(after) @ weights)
-        if eps is not None and length > norm:
-            break
-        e, norm = after, length
-        found.append((a, b))
-    return found
+        flat = sims.reshape(len(active), -1)
+        best = (flat >= flat.max(1, keepdims=True) - 1e-12 * np.maximum(1.0, norm[active])[:, None]).argmax(1)
+        a, b = np.divmod(best, size)
+        own = np.zeros(len(active), np.int64) if shared else active
+        after = e[active] - 2 * matrix[own, a] * matrix[own, b]
+        length = np.sqrt(B.squares(after) @ weights)
+        good = np.ones(len(active), bool) if eps is None else length < norm[active]
+        for k, x, y in zip(active[good], a[good], b[good], strict=True):
+            found[k].append((int(x), int(y)))
+        active, after, length = active[good], after[good], length[good]
+        e[active], norm[active] = after, length
 
 
 def _pair_rows(key: str, owners: pa.Array, found: list[list[tuple[int, int]]], names: list[np.ndarray]) -> pa.RecordBatch:
@@ -247,33 +267,58 @@ def _pair_rows(key: str, owners: pa.Array, found: list[list[tuple[int, int]]], n
     return pa.RecordBatch.from_arrays(columns, [key, "a", "b"])
 
 
+def _own_vectors(counts: DataFrame, codebook: Codebook, key: str) -> DataFrame:
+    """(key, ids, hvs) for a codebook that may not be sent whole: every key brings the vectors of its own tuples."""
+    own = counts.select(key, "idx").distinct().join(codebook.table.select("idx", "hv"), "idx", "left")
+    checked = F.when(F.col("hv").isNull(), F.raise_error(F.lit("a feature index is not in the codebook"))).otherwise(F.col("hv"))
+    lists = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", checked.alias("hv")))).alias("_l"))
+    return lists.select(key, F.col("_l.idx").alias("ids"), F.col("_l.hv").alias("hvs"))
+
+
 def decode_edges(embeddings: DataFrame, counts: DataFrame, codebook: Codebook, key: str = "graph_id", vector: str = "edge_terms") -> DataFrame:
     """(key, a, b, cnt) from edge vectors and decoded node counts (key, idx, cnt): ⌊Σ degree·cnt / 2⌋ rounds over the
-    pairs of decoded tuples. The list of a key has at most one entry per codebook row."""
+    pairs of decoded tuples. The list of a key has at most one entry per codebook row. An id outside the codebook is an error."""
     weights = B.measure(codebook.vsa, codebook.dim)
     degree = feature_tuple("idx", codebook.bins)[1] + 1
-    lists = counts.groupBy(key).agg(F.array_sort(F.collect_list("idx")).alias("ids"), F.sum(degree * F.col("cnt")).alias("total"))
+    lists = counts.groupBy(key).agg(F.array_sort(F.collect_set("idx")).alias("ids"), F.sum(degree * F.col("cnt")).alias("total"))
     rows = embeddings.select(key, F.col(vector).alias("v")).join(lists, key)
-    known, matrix = codebook.matrix()
-    sent = embeddings.sparkSession.sparkContext.broadcast((known, matrix))
-    vsa = codebook.vsa
+    vsa, fits = codebook.vsa, codebook.fits
+    if fits:
+        sent = embeddings.sparkSession.sparkContext.broadcast(codebook.matrix())
+    else:
+        sent = None
+        rows = rows.drop("ids").join(_own_vectors(counts, codebook, key), key).select(key, "v", "ids", "total", "hvs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, matrix = sent.value
         for batch in batches:
             x = B.to_engine(B.vector_rows(batch.column("v")), vsa)
             names = [np.array(ids, np.int64) for ids in batch.column("ids").to_pylist()]
-            totals = batch.column("total").to_pylist()
-            found = [peel_pairs(x[i], matrix[np.searchsorted(known, ids)], None, totals[i] // 2, weights, None) for i, ids in enumerate(names)]
+            rounds = np.array(batch.column("total").to_pylist(), np.int64) // 2
+            found: list[list[tuple[int, int]]] = [[] for _ in names]
+            sizes = np.array([len(ids) for ids in names], np.int64)
+            for size in np.unique(sizes[sizes > 0]):
+                group = np.flatnonzero(sizes == size)
+                step = max(1, B.CELLS_PER_CHUNK // int(size * max(x.shape[1], size)))
+                for low in range(0, len(group), step):
+                    some = group[low : low + step]
+                    if fits:
+                        known, matrix = sent.value
+                        own = matrix[_rows_of(known, np.concatenate([names[k] for k in some]))]
+                    else:
+                        own = np.concatenate([B.to_engine(B.vector_rows(batch.column("hvs")[int(k)].values), vsa) for k in some])
+                    pairs = peel_pairs(x[some], own.reshape(len(some), size, -1), None, rounds[some], weights, None)
+                    for k, p in zip(some, pairs, strict=True):
+                        found[k] = p
             yield _pair_rows(key, batch.column(key), found, names)
 
     kind = embeddings.schema[key].dataType.simpleString()
     return rows.mapInArrow(run, f"{key} {kind}, a long, b long").groupBy(key, "a", "b").agg(F.count("*").alias("cnt"))
 
 
-def decode_edges_free(embeddings: DataFrame, codebook: Codebook, limit: int = EDGE_LIMITS[1], pairs: DataFrame | None = None, key: str = "graph_id", vector: str = "edge_terms") -> DataFrame:
-    """(key, a, b, cnt) without node counts: all pairs of the codebook, or only the given ones (a, b). ``limit`` is the
-    decoder's own bound on directed edges."""
+def decode_edges_free(embeddings: DataFrame, codebook: Codebook, limit: int | None = None, pairs: DataFrame | None = None, key: str = "graph_id", vector: str = "edge_terms") -> DataFrame:
+    """(key, a, b, cnt) without node counts: all pairs of the codebook, or only the given ones (a, b). Vectors are peeled until
+    the remainder is small or no longer shrinks; ``limit`` sets a bound on directed edges in addition (an odd one is rounded
+    down), and the output then has a column ``capped``."""
     weights = B.measure(codebook.vsa, codebook.dim)
     known, matrix = codebook.matrix()
     if len(known) ** 2 > BROADCAST_CELLS:
@@ -282,7 +327,7 @@ def decode_edges_free(embeddings: DataFrame, codebook: Codebook, limit: int = ED
     if pairs is not None:
         seen = pairs.select("a", "b").distinct().toPandas()  # no more than the pairs just checked
         allowed = np.zeros((len(known), len(known)), bool)
-        a, b = np.searchsorted(known, seen["a"]), np.searchsorted(known, seen["b"])
+        a, b = _rows_of(known, seen["a"].to_numpy()), _rows_of(known, seen["b"].to_numpy())
         allowed[a, b] = allowed[b, a] = True
     sent = embeddings.sparkSession.sparkContext.broadcast((known, matrix, allowed))
     vsa = codebook.vsa
@@ -290,15 +335,24 @@ def decode_edges_free(embeddings: DataFrame, codebook: Codebook, limit: int = ED
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, matrix, allowed = sent.value
         lengths = _pair_lengths(matrix, weights)
-        eps = 0.01 * 2 * float(lengths.min() if allowed is None else lengths[allowed].min())
+        eps = 0.01 * 2 * float(lengths.min() if allowed is None else lengths[allowed].min()) if lengths.size else 0.0
+        step = max(1, B.CELLS_PER_CHUNK // max(1, len(known) * max(matrix.shape[1], len(known))))
         for batch in batches:
             x = B.to_engine(B.vector_rows(batch.column("v")), vsa)
-            found = [peel_pairs(row, matrix, allowed, limit // 2, weights, eps) for row in x]
-            yield _pair_rows(key, batch.column(key), found, [known] * len(found))
+            for low in range(0, len(x), step):
+                some = x[low : low + step]
+                rounds = None if limit is None else np.full(len(some), limit // 2)
+                found = peel_pairs(some, matrix[None], allowed, rounds, weights, eps)
+                out = _pair_rows(key, batch.column(key).slice(low, step), found, [known] * len(found))
+                if limit is not None:
+                    full = np.repeat([len(p) >= limit // 2 for p in found], [2 * len(p) for p in found])
+                    out = pa.RecordBatch.from_arrays([*out.columns, pa.array(full.astype(bool))], [*out.schema.names, "capped"])
+                yield out
 
     kind = embeddings.schema[key].dataType.simpleString()
-    rows = embeddings.select(key, F.col(vector).alias("v")).mapInArrow(run, f"{key} {kind}, a long, b long")
-    return rows.groupBy(key, "a", "b").agg(F.count("*").alias("cnt"))
+    tail, more = (", capped boolean", ["capped"]) if limit is not None else ("", [])
+    rows = embeddings.select(key, F.col(vector).alias("v")).mapInArrow(run, f"{key} {kind}, a long, b long{tail}")
+    return rows.groupBy(key, "a", "b", *more).agg(F.count("*").alias("cnt"))
 
 
 # ---------------------------------------------------------------- consistency of decoded edges

@@ -308,27 +308,36 @@ def encode_weighted_readout(nodes: DataFrame, edges: DataFrame, weights: DataFra
 
 
 def encode_split_rw(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, limit: int = GRAPH_LIMIT) -> DataFrame:
-    """Message passing on the base tuple; order-0 terms on the tuple with walk bins, from its own codebook (seed + 1000)."""
+    """Message passing on the base tuple; order-0 terms on the tuple with walk bins, from its own codebook (seed + 1000).
+
+    With members, one encoder per (dim, depth), as in ``encode_ensemble``; the order-0 codebook has the first member's size."""
     if cfg.walk is None:
         raise ValueError("encode_split_rw needs a walk configuration")
     spark, width = nodes.sparkSession, len(cfg.bins)
     base = with_index(nodes.withColumn("_base", F.slice("feat", 1, width)), cfg.bins, feat="_base")
     both = with_index(base.withColumnRenamed("idx", "_idx"), cfg.all_bins()).withColumnRenamed("idx", "full_idx")
-    full = make_codebook(spark, cfg.all_bins(), cfg.dim, cfg.vsa, cfg.seed + 1000)
+    members = cfg.members or [(cfg.dim, cfg.depth)]
+    full = make_codebook(spark, cfg.all_bins(), members[0][0], cfg.vsa, cfg.seed + 1000)
     if not full.fits:
         from braidvec.operators.codebook import prune_codebook
 
         full = prune_codebook(full, nodes.select("feat").distinct())
-    return _encode(both.withColumnRenamed("_idx", "idx"), edges.drop("weight"), cfg, [codebook_for(spark, cfg)], [cfg.depth], full, limit)
+    books = _member_books(spark, cfg) if cfg.members else [codebook_for(spark, cfg)]
+    return _encode(both.withColumnRenamed("_idx", "idx"), edges.drop("weight"), cfg, books, [depth for _, depth in members], full, limit)
+
+
+def _member_books(spark, cfg: EncoderConfig) -> list[Codebook]:
+    return [make_codebook(spark, cfg.bins, dim, cfg.vsa, cfg.seed + i) for i, (dim, _) in enumerate(cfg.members)]
 
 
 def encode_ensemble(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, limit: int = GRAPH_LIMIT) -> DataFrame:
-    """One encoder per (dim, depth) member, seed + i each; graph vectors are joined, terms come from the first."""
+    """One encoder per (dim, depth) member, seed + i each; graph vectors are joined, terms come from the first. With a walk
+    configuration ``nodes`` must carry the walk bins, and each member encodes as ``encode_split_rw`` does."""
     if not cfg.members:
         raise ValueError("encode_ensemble needs members")
-    spark = nodes.sparkSession
-    books = [make_codebook(spark, cfg.bins, dim, cfg.vsa, cfg.seed + i) for i, (dim, _) in enumerate(cfg.members)]
-    return _encode(with_index(nodes, cfg.bins), edges.drop("weight"), cfg, books, [d for _, d in cfg.members], limit=limit)
+    if cfg.walk is not None:
+        return encode_split_rw(nodes, edges, cfg, limit)
+    return _encode(with_index(nodes, cfg.bins), edges.drop("weight"), cfg, _member_books(nodes.sparkSession, cfg), [d for _, d in cfg.members], limit=limit)
 
 
 def encode_dataset(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, path: str | None = None) -> DataFrame:

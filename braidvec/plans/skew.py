@@ -19,7 +19,7 @@ GROUP_LIMIT = 100_000
 
 
 def large_keys(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None. The result is safe to broadcast only if ``is_small`` says so."""
+    """Keys with more than ``limit`` rows, or None. Few keys come marked for broadcast; many stay a table that is joined."""
     counts = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
     found = counts.limit(BROADCAST_KEYS + 1).collect()
     if not found:
@@ -45,6 +45,7 @@ def per_graph(
 ) -> DataFrame:
     """Run ``job(nodes, edges, together)`` on the ordinary graphs, brought together once by graph_id, and on the
     large graphs, left spread over the cluster (``together`` is False there)."""
+    safe_unions(nodes.sparkSession)
     rows = nodes.select("graph_id").unionByName(edges.select("graph_id"))
     large = large_keys(rows, ["graph_id"], limit)
     small_nodes, large_nodes = split_large(nodes, large, ["graph_id"])
@@ -52,7 +53,21 @@ def per_graph(
     out = job(together(small_nodes), together(small_edges), True)
     if large is None:
         return out
-    return out.unionByName(job(large_nodes, large_edges, False))
+    return out.unionByName(job(apart(large_nodes, "node_id"), apart(large_edges, "src"), False))
+
+
+def apart(df: DataFrame, column: str) -> DataFrame:
+    """Hash-partition by (graph_id, column), so that an earlier partitioning by graph_id cannot hold a large graph in one task."""
+    spark = df.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted, "graph_id", column)
+
+
+def safe_unions(spark) -> None:
+    """A union of tables that are partitioned alike must not claim their partitioning: with nested unions the claim is wrong in
+    the number of partitions, and the plan fails."""
+    if spark.conf.get("spark.sql.unionOutputPartitioning", "true") != "false":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
 def together(df: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     # Row-number limits of wide beams are applied in every task before the shuffle, too.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    # Unions of tables partitioned alike do not claim their partitioning (see plans.skew.safe_unions).
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
@@ -76,7 +78,7 @@ def get_session(app: str = "braidvec", master: str | None = None, partitions: in
         builder = builder.master(master)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    spark = builder.config("spark.driver.memory", "20g").getOrCreate()
+    spark = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 

@@ -1,5 +1,6 @@
 """Encoders, codebooks and decoders against numpy, hand values and brute force."""
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -116,7 +117,7 @@ def test_two_atom_graph(spark):
         want = [(1, 3, 2)]
         assert [tuple(r) for r in D.decode_counts(terms, book).collect()] == want
         if vsa != "FHRR":
-            assert [tuple(r) for r in D.decode_nodes_iterative(terms, book, 18).collect()] == want
+            assert [tuple(r) for r in D.decode_nodes_iterative(terms, book, 18).collect()] == [(1, 3, 2, False)]
 
 
 def test_decode_edges_recovers_the_edges(spark, sample):
@@ -228,3 +229,42 @@ def test_exact_rate_of_the_flagship(spark, tables):
 
     for dim, exact in ((32, 133), (256, 1359), (1024, 1473)):
         assert compare_counts(decoded(tables, dim), truth(tables)).filter("exact_match").count() == exact
+
+
+@pytest.mark.parametrize("size", [100, 1000])
+def test_decoders_have_no_bound_of_their_own(spark, size):
+    nodes, edges = graph_tables(spark, {1: ([(1, 0, 0, 0)] * size, []), 2: ([(0, 1, 0, 0), (2, 0, 1, 0)], [(0, 1)])})
+    book = C.make_codebook(spark, (4, 2, 3, 2), 64, "MAP", 42)
+    terms = E.node_terms(nodes, book)
+    want = {(1, 12, size)} | {(2, r["idx"], 1) for r in C.with_index(nodes.filter("graph_id = 2"), book.bins).collect()}
+    assert {tuple(r) for r in D.decode_nodes_iterative(terms, book).collect()} == want
+    capped = {r["graph_id"]: (r["cnt"], r["capped"]) for r in D.decode_nodes_iterative(terms, book, 60).filter("graph_id = 1").collect()}
+    assert capped == {1: (60, True)}
+
+
+def test_pruned_books_fit_and_large_books_decode_edges(spark, monkeypatch):
+    from braidvec import session
+    from braidvec.operators import codebook as module
+
+    nodes, edges = graph_tables(spark, {1: ([(1, 1, 0, 0), (2, 0, 1, 0), (3, 1, 0, 1)], [(0, 1), (1, 2)]), 2: ([(0, 0, 0, 0)] * 2, [(0, 1)])})
+    book = C.make_codebook(spark, (4, 3, 3, 2), 2048, "HRR", 42)
+    counts = C.with_index(nodes, book.bins).groupBy("graph_id", "idx").agg(F.count("*").alias("cnt"))
+    terms = E.edge_terms(nodes, edges, book).persist()
+    want = {tuple(r) for r in D.decode_edges(terms, counts.withColumn("cnt", F.lit(1)), book).collect()}
+    monkeypatch.setattr(module, "BROADCAST_CELLS", 6 * 2048 * 2)
+    pruned = C.prune_codebook(book, nodes.select("feat").distinct())
+    assert not book.fits and pruned.rows == 4 and pruned.fits and len(pruned.matrix()[0]) == 4
+    assert {tuple(r) for r in D.decode_edges(terms, counts.withColumn("cnt", F.lit(1)), book).collect()} == want
+    assert session.BROADCAST_CELLS > 6 * 2048 * 2
+
+
+def test_unknown_ids_are_errors(spark, sample):
+    nodes, edges = (df.filter("graph_id < 3") for df in sample)
+    book = C.make_codebook(spark, ORDER_BINS, 64, "HRR", 42)
+    observed = C.prune_codebook(book, nodes.select("feat").distinct())
+    terms = E.edge_terms(nodes, edges, observed)
+    known = {r["idx"] for r in observed.table.select("idx").collect()}
+    stranger = next(k for k in range(math.prod(ORDER_BINS)) if k not in known)
+    counts = terms.select("graph_id", F.lit(stranger).cast("long").alias("idx"), F.lit(1).cast("long").alias("cnt"))
+    with pytest.raises(Exception, match="not in the codebook"):
+        D.decode_edges(terms, counts, observed).collect()

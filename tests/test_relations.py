@@ -164,3 +164,26 @@ def test_preset_bounds():
     assert W.preset_bounds(table, 3)[2] == (0.1, 0.2)
     with pytest.raises(ValueError, match=r"available: \[3\]"):
         W.preset_bounds(table, 8)
+
+
+def test_large_graphs_spread_whatever_the_input_partitioning(spark, sample, monkeypatch):
+    """Edges that are a union of tables partitioned by graph_id, broadcast joins off, one graph above the limit."""
+    ring = [(9_000_000, k, (k + 1) % 600, 1) for k in range(600)]
+    nodes, edges = sample
+    nodes = nodes.select("graph_id", "node_id", "feat").unionByName(spark.createDataFrame([(9_000_000, k, [k % 3, 1, 0, 0]) for k in range(600)], "graph_id long, node_id int, feat array<int>"))
+    half = edges.filter("src < dst").select("graph_id", "src", "dst", "bond").unionByName(spark.createDataFrame(ring, "graph_id long, src int, dst int, bond int"))
+    cols = ("graph_id", "wl", "n", "m")
+    want = rows(G.graph_hash(nodes, G.double_edges(half).persist()), *cols)
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        parted_nodes, parted = nodes.repartition(4, "graph_id"), G.double_edges(half.repartition(4, "graph_id"))
+        monkeypatch.setattr(G, "GRAPH_LIMIT", 500)
+        assert rows(G.graph_hash(parted_nodes, parted), *cols) == want
+        assert G.components(parted_nodes, parted, limit=500).filter("graph_id = 9000000").select("label").distinct().count() == 1
+        held = []
+        skew.per_graph(parted_nodes, parted, lambda n, e, whole: held.append((whole, e)) or n, 500)
+        spread = next(e for whole, e in held if not whole)
+        assert spread.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)

@@ -107,10 +107,18 @@ def test_empty_and_short_inputs(spark):
     assert score.first()[:] == (0.0, None)
 
 
-def test_group_collects_refuse_what_they_cannot_hold(spark):
-    df = spark.range(20).select(F.lit(1).alias("b"), F.array(F.lit(1.0)).alias("x"))
-    with pytest.raises(ValueError):
-        T.info_nce(df, "b", "x", "x", 1.0, max_batch=10)
+def test_contrastive_score_does_not_depend_on_the_block(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k % 2, rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for k in range(41)]
+    df = spark.createDataFrame(rows, "b int, x array<double>, y array<double>")
+    whole, cut = ({r.b: (r.n, r.loss) for r in T.info_nce(df, "b", "x", "y", 0.5, block=k).collect()} for k in (1000, 3))
+    for b in (0, 1):
+        x, y = (np.array([r[k] for r in rows if r[0] == b]) for k in (1, 2))
+        x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+        z = x @ y.T / 0.5
+        want = ((np.log(np.exp(z).sum(1)) - np.diag(z)).mean() + (np.log(np.exp(z).sum(0)) - np.diag(z)).mean()) / 2
+        assert whole[b][0] == cut[b][0] == len(x)
+        assert abs(whole[b][1] - want) < 1e-12 and abs(cut[b][1] - want) < 1e-12
 
 
 def test_label_rules(spark):
