@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from braidvec.functions import batch as B
 from braidvec.functions.hashing import hex_number, keyed_md5, unit_uniform
 from braidvec.operators.encode import GRAPH_LIMIT, nest_graphs
-from braidvec.plans.skew import per_graph
+from braidvec.plans.skew import apart, per_graph, together
 from braidvec.session import cut_lineage
 
 LANES = 4  # 32-bit pieces of an md5 digest that are summed to hash a multiset
@@ -191,11 +191,14 @@ def valence_deficit(nodes: DataFrame, edges: DataFrame, valences: DataFrame) ->
 # ---------------------------------------------------------------- structural hashes
 
 
-def _spread_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges plus one 'stay' row per node, so that a round is one join and one aggregate over a single chain."""
+def _spread_edges(nodes: DataFrame, edges: DataFrame, whole: bool) -> DataFrame:
+    """Edges plus one 'stay' row per node, so that a round is one join and one aggregate over a single chain.
+
+    The union is dealt out once, by graph or (large graphs) by source node; all rounds read that exchange."""
     moves = edges.select("graph_id", "src", "dst", F.lit(False).alias("stay"))
     stays = nodes.select("graph_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(True).alias("stay"))
-    return moves.unionByName(stays)
+    both = moves.unionByName(stays)
+    return together(both) if whole else apart(both, "src")
 
 
 def lanes_of(digest: Column) -> list[Column]:
@@ -208,13 +211,13 @@ def label_number(lanes: Sequence[Column]) -> Column:
     return lanes[0] * F.lit(1 << 20) + F.shiftright(lanes[1], 12)
 
 
-def wl_labels(nodes: DataFrame, edges: DataFrame, iters: int = 3, keep_rounds: bool = False) -> DataFrame:
+def wl_labels(nodes: DataFrame, edges: DataFrame, iters: int = 3, keep_rounds: bool = False, whole: bool = True) -> DataFrame:
     """Neighbourhood labels after ``iters`` rounds: (graph_id, node_id, w0..w3), the lanes of the last digest.
 
     A round hashes a node's own lanes with the summed lanes of its neighbours. Labels travel as numbers, so that joins
     and aggregates stay in hash-based generated code; text exists only inside the md5 call. With ``keep_rounds`` the
     columns l0, l1, ... hold the label number of every round."""
-    spread = _spread_edges(nodes, edges)
+    spread = _spread_edges(nodes, edges, whole)
     lanes = [f"w{i}" for i in range(LANES)]
     digest = F.md5(F.concat_ws(",", F.col("feat").cast("array<string>")))
 
@@ -238,8 +241,8 @@ def wl_labels(nodes: DataFrame, edges: DataFrame, iters: int = 3, keep_rounds: b
 def wl_hash(nodes: DataFrame, edges: DataFrame, iters: int = 3) -> DataFrame:
     """Structural hash of each graph: (graph_id, wl)."""
 
-    def job(n: DataFrame, e: DataFrame, together: bool) -> DataFrame:
-        labels = wl_labels(n, e, iters)
+    def job(n: DataFrame, e: DataFrame, whole: bool) -> DataFrame:
+        labels = wl_labels(n, e, iters, whole=whole)
         sums = [F.sum(f"w{i}").alias(f"_s{i}") for i in range(LANES)]
         grouped = labels.groupBy("graph_id").agg(F.count("*").alias("n"), *sums)
         return grouped.select("graph_id", keyed_md5(F.col("n"), *[F.col(f"_s{i}") for i in range(LANES)]).alias("wl"), "n")

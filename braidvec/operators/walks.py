@@ -12,7 +12,7 @@ from braidvec.functions import batch as B
 from braidvec.functions.features import bin_walk
 from braidvec.operators.encode import nest_graphs
 from braidvec.operators.graphs import symmetrize
-from braidvec.plans.skew import order_statistics, per_graph
+from braidvec.plans.skew import apart, order_statistics, per_graph
 from braidvec.schema import WalkConfig
 from braidvec.session import cut_lineage
 
@@ -50,7 +50,7 @@ def rw_return_wide(nodes: DataFrame, edges: DataFrame, ks: Sequence[int], limit:
         ends = known.select("graph_id", F.col("node_id").alias("dst"), F.col("deg").alias("ddeg"))
         moves = pairs.join(ends, ["graph_id", "dst"]).select("graph_id", "src", "dst", "ddeg", F.lit(False).alias("stay"))
         stays = known.select("graph_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.col("deg").alias("ddeg"), F.lit(True).alias("stay"))
-        spread = moves.unionByName(stays)
+        spread = apart(moves.unionByName(stays), "src")
         walk = known.select("graph_id", F.col("node_id").alias("start"), F.col("node_id").alias("at"), F.col("deg").alias("sdeg"), F.col("deg").alias("adeg"), F.lit(1.0).alias("p0"))
         for step in range(1, rounds + 1):
             joined = walk.withColumnRenamed("at", "src").join(spread, ["graph_id", "src"])
