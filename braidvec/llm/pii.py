@@ -31,7 +31,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _URL = re.compile(r"[^\x00-\x20\"'<>]+")
-_ACCOUNT = re.compile(r"[\x20:=#.\"']{0,4}([A-Za-z0-9][A-Za-z0-9-]{5,33})(?![A-Za-z0-9-])")
+_ACCOUNT = re.compile(r"(?:\x20?(?:number|no|nr|id)\b)?[\x20:=#.\"']{0,4}([A-Za-z0-9][A-Za-z0-9-]{5,33})(?![A-Za-z0-9-])")
 _SECRET = re.compile(r"[\x20:=\"']{1,4}([A-Za-z0-9_/+-]{20,128})(?![A-Za-z0-9_/+-])")
 
 #: Anchors and the parser each one starts. Cues of identifiers are compared without case.

@@ -95,9 +95,11 @@ def asked(size: np.ndarray) -> np.ndarray:
 
 # --- classes and thinning ------------------------------------------------------------------------------------------------------
 
-_SCAN = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("credit", pa.int64()), ("keys", pa.binary()), ("sets", pa.binary())])
-_SCAN_SQL = "kind int, part int, doc_id long, n long, d1 long, d2 long, credit long, keys binary, sets binary"
-_DOC, _OFFER, _CREDIT = 0, 1, 2
+_DOCS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+_DOCS_SQL = "doc_id long, n long, d1 long, d2 long"
+_SCAN = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())])
+_SCAN_SQL = "kind int, part int, keys binary, sets binary"
+_OFFER, _CREDIT = 0, 1
 _MANY = U64(0)  # in place of a set's digest: the shingle is known to occur in several sets
 
 
@@ -108,16 +110,26 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(lead), np.cumsum(lead) - 1
 
 
-def _credits(sets: np.ndarray, kind: int = _CREDIT) -> Iterator[pa.RecordBatch]:
-    """One row a set: how many of its offered shingles were found in another set."""
+def _credits(sets: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """How many of each set's offered shingles were found in another set: one row for each part of the next exchange."""
     name, count = np.unique(sets, return_counts=True)
-    n = len(name)
-    if n:
-        none = pa.nulls(n, pa.binary())
-        yield record(_SCAN, np.full(n, kind, np.int32), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), name.view(np.int64), pa.nulls(n, pa.int64()), count, none, none)
+    for p, a, b in deal((mix(name) % U64(parts)).astype(np.int64), parts, count.astype(np.uint32), name):
+        yield record(_SCAN, [_CREDIT], [p], [a], [b])
 
 
-def _scan(parts: int, width: int):
+def _describe(width: int):
+    """Size and digests of every row's set."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_blocks(batches):
+            hashes, at = shingle_sets(data, offsets, width)
+            d1, d2 = set_digests(hashes, at)
+            yield record(_DOCS, rows.column("doc_id"), np.diff(at), d1.view(np.int64), d2.view(np.int64))
+
+    return task
+
+
+def _offer(parts: int, width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, names, size = [], [], 0
         known: set[int] = set()  # sets of this task that are counted already; forgotten when it grows too large
@@ -129,21 +141,18 @@ def _scan(parts: int, width: int):
             first, run = _runs(key)
             several = np.maximum.reduceat(name, first) != name[first]
             # Found in two sets here: they are credited here, and one row tells all others.
-            yield from _credits(name[several[run]])
+            yield from _credits(name[several[run]], parts)
             name = name[first].copy()
             name[several] = _MANY
             part = ((key[first] >> U64(32)) % U64(parts)).astype(np.int64)
             low = (key[first] & U64(0xFFFFFFFF)).astype(np.uint32)
             for p, a, b in deal(part, parts, low, name):
-                yield record(_SCAN, [_OFFER], [p], [None], [None], [None], [None], [None], [a], [b])
+                yield record(_SCAN, [_OFFER], [p], [a], [b])
 
-        for rows, data, offsets in text_blocks(batches):
+        for _, data, offsets in text_blocks(batches):
             hashes, at = shingle_sets(data, offsets, width)
-            d1, d2 = set_digests(hashes, at)
+            d1, _ = set_digests(hashes, at)
             n = np.diff(at)
-            none = pa.nulls(len(n), pa.binary())
-            empty = pa.nulls(len(n), pa.int64())
-            yield record(_SCAN, np.full(len(n), _DOC, np.int32), pa.nulls(len(n), pa.int32()), rows.column("doc_id"), n, d1.view(np.int64), d2.view(np.int64), empty, none, none)
             fresh = np.array([int(x) not in known and not known.add(int(x)) for x in d1], bool) & (n > 0)
             if len(known) > 1 << 20:
                 known.clear()
@@ -161,31 +170,51 @@ def _scan(parts: int, width: int):
     return task
 
 
-def _count_offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one hash range: credit the sets whose shingles occur in a second one."""
-    keys, names = [], []
-    for b in batches:
-        keys.append(np.frombuffer(string_buffer(b.column("keys"))[0].tobytes(), np.uint32))
-        names.append(np.frombuffer(string_buffer(b.column("sets"))[0].tobytes(), U64))
-    if keys:
-        key, name = np.concatenate(keys), np.concatenate(names)
-        order = np.lexsort((name, key))
-        key, name = key[order], name[order]
-        first, run = _runs(key)
-        several = (np.maximum.reduceat(name, first) != name[first]) | (name[first] == _MANY)
-        hit = name[several[run] & (name != _MANY)]
-        yield from _credits(hit)
+def _count_offers(parts: int):
+    """Of one hash range: credit the sets whose shingles occur in a second one. Credits given earlier pass through."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, names = [], []
+        for batch in batches:
+            offers = batch.column("kind").to_numpy() == _OFFER
+            yield batch.filter(pa.array(~offers))
+            some = batch.filter(pa.array(offers))
+            keys.append(np.frombuffer(string_buffer(some.column("keys"))[0].tobytes(), np.uint32))
+            names.append(np.frombuffer(string_buffer(some.column("sets"))[0].tobytes(), U64))
+        if keys and sum(map(len, keys)):
+            key, name = np.concatenate(keys), np.concatenate(names)
+            order = np.lexsort((name, key))
+            key, name = key[order], name[order]
+            first, run = _runs(key)
+            several = (np.maximum.reduceat(name, first) != name[first]) | (name[first] == _MANY)
+            yield from _credits(name[several[run] & (name != _MANY)], parts)
+
+    return task
+
+
+_SUM = pa.schema([("d1", pa.int64()), ("credit", pa.int64())])
+
+
+def _add_credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(np.frombuffer(string_buffer(b.column("keys"))[0].tobytes(), np.uint32), np.frombuffer(string_buffer(b.column("sets"))[0].tobytes(), U64)) for b in batches]
+    if held:
+        count, name = (np.concatenate(x) for x in zip(*held, strict=True))
+        name, inverse = np.unique(name, return_inverse=True)
+        total = np.bincount(inverse, weights=count, minlength=len(name)).astype(np.int64)
+        for k in range(0, len(name), 10_000):
+            yield record(_SUM, name[k : k + 10_000].view(np.int64), total[k : k + 10_000])
 
 
 def _thin(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, d1, d2) of every row; (rep, n, d1, d2) of the classes that may link with another."""
+    """(doc_id, n, d1, d2) of every row; (rep, n, d1, d2) of the classes that may link with another.
+
+    The text is read twice, so that the offered shingles travel once and are never stored."""
     parts = parts_of(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = cut_lineage(texts.mapInArrow(_scan(parts, width), _SCAN_SQL))
-    rows = scanned.filter(F.col("kind") == _DOC).select("doc_id", "n", "d1", "d2")
-    offers = scanned.filter(F.col("kind") == _OFFER).select("part", "keys", "sets")
-    found = offers.repartitionById(parts, F.col("part")).mapInArrow(_count_offers, _SCAN_SQL)
-    credit = scanned.filter(F.col("kind") == _CREDIT).unionByName(found).groupBy("d1").agg(F.sum("credit").alias("credit"))
+    rows = cut_lineage(texts.mapInArrow(_describe(width), _DOCS_SQL))
+    offers = texts.select("text").mapInArrow(_offer(parts, width), _SCAN_SQL).repartitionById(parts, F.col("part"))
+    given = offers.mapInArrow(_count_offers(parts), _SCAN_SQL).repartitionById(parts, F.col("part"))
+    credit = given.mapInArrow(_add_credits, "d1 long, credit long")
     classes = rows.filter("doc_id is not null and n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     least = F.ceil(F.ceil(F.col("n") * PERCENT / 100) / 4)
     return rows, cut_lineage(classes.join(credit, "d1").filter(F.col("credit") >= least).select("rep", "n", "d1", "d2"))
@@ -354,7 +383,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     parts = parts_of(edges)
     some = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = cut_lineage(some.repartition(parts, "a").mapInArrow(_contract, _EDGE_SQL).distinct())
+    edges = cut_lineage(some.repartition(parts, "b").mapInArrow(_contract, _EDGE_SQL).distinct())
     maps: list[DataFrame] = []
     while edges.count() > EDGES_AT_ONCE:
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
@@ -579,27 +608,32 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, chunk: int = CHUNK
     spark = docs.sparkSession
     ties = sets.mapInArrow(_ties(parts, _sketch(sets), spark), _TIE_SQL).repartitionById(parts, F.col("part")).mapInArrow(_tie_edges, _EDGE_SQL)
     blocks = components(ties).select(F.col("node").alias("rep"), F.col("label").alias("block"))
-    placed = cut_lineage(blocks.join(sets, "rep"))
+    # Everything is planned on narrow rows; the sets join last.
+    placed = cut_lineage(blocks.join(classes.select("rep", "n"), "rep"))
     share = F.greatest(F.count("*") / chunk, F.sum("n") / CHUNK_ITEMS)
     size = placed.groupBy("block").agg(share.alias("share"))
-    few = placed.join(size.filter("share <= 1"), "block").select("block", F.lit(0).alias("level"), F.lit(0).alias("chunk"), "rep", "n", "items")
+    few = placed.join(size.filter("share <= 1"), "block").select("block", F.lit(0).alias("level"), F.lit(0).alias("chunk"), "rep", "n")
     # Large blocks are cut by size of the set, in steps such that linked sets are on one level or on neighbouring ones, and by hash.
     level = F.floor(F.ln("n") / F.lit(LEVEL)).cast("int")
     levels = placed.join(size.filter("share > 1"), "block").withColumn("level", level)
     count = levels.groupBy("block", "level").agg(F.ceil(2 * share).alias("chunks"))
-    many = levels.join(count, ["block", "level"]).select("block", "level", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", "n", "items")
-    ready = cut_lineage(few.unionByName(many))
-    within = ready.repartition(parts, "block", "level", "chunk").sortWithinPartitions("block", "level", "chunk").mapInArrow(_link_within, _EDGE_SQL)
-    links = cut_lineage(within)
-    large = ready.join(size.filter("share > 1").select("block"), "block", "left_semi")
-    if large.head(1):
-        links = _link_large(large, links, parts, chunk)
+    many = cut_lineage(levels.join(count, ["block", "level"]).select("block", "level", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", "n"))
+    links = cut_lineage(_links_within(few.unionByName(many), sets, parts))
+    if many.head(1):
+        links = _link_large(many, sets, links, parts, chunk)
     joined = components(links)
     named = classes.join(joined, classes["rep"] == joined["node"]).select("n", "d1", "d2", "label")
     return _answer(rows, named)
 
 
-def _link_large(large: DataFrame, links: DataFrame, parts: int, chunk: int) -> DataFrame:
+def _links_within(placed: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Links inside the chunks of (rep, block, level, chunk)."""
+    key = ["block", "level", "chunk"]
+    rows = sets.select("rep", "items").join(placed.select("rep", *key), "rep")
+    return rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_link_within, _EDGE_SQL)
+
+
+def _link_large(large: DataFrame, sets: DataFrame, links: DataFrame, parts: int, chunk: int) -> DataFrame:
     """Links so far and those between chunks of large blocks."""
     # One member of each component so far: chunks of a group of near copies become one component without being compared.
     state = _labelled(large, links)
@@ -607,8 +641,7 @@ def _link_large(large: DataFrame, links: DataFrame, parts: int, chunk: int) -> D
     pivots = large.join(alone.select("block", "rep"), ["block", "rep"])
     count = pivots.groupBy("block", "level").agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum("n") / CHUNK_ITEMS)).alias("chunks"))
     pivots = pivots.drop("chunk").join(count, ["block", "level"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    found = pivots.repartition(parts, "block", "level", "chunk").sortWithinPartitions("block", "level", "chunk").mapInArrow(_link_within, _EDGE_SQL)
-    links = cut_lineage(links.unionByName(found))
+    links = cut_lineage(links.unionByName(_links_within(pivots, sets, parts)))
     state = cut_lineage(_labelled(large, links).withColumn("at", F.struct("level", "chunk")))
     # Pairs of chunks that hold more than one component, on levels that can hold linked sets.
     chunks = state.groupBy("block", "at").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -620,7 +653,7 @@ def _link_large(large: DataFrame, links: DataFrame, parts: int, chunk: int) -> D
     side = lambda k, t: F.struct(F.lit(k).alias("side"), F.col(f"{t}.at").alias("at"))
     both = F.explode(F.array(side(0, "p"), side(1, "q"))).alias("one")
     sides = pairs.select(F.col("p.block").alias("block"), F.col("p.at.level").alias("x_level"), F.col("p.at.chunk").alias("x_chunk"), F.col("q.at.level").alias("y_level"), F.col("q.at.chunk").alias("y_chunk"), both).select(*key, "one.side", "one.at")
-    sent = sides.join(state, ["block", "at"]).select(*key, "side", "rep", "items", "label")
+    sent = sides.join(state, ["block", "at"]).join(sets.select("rep", "items"), "rep").select(*key, "side", "rep", "items", "label")
     between = sent.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_link_between, _EDGE_SQL)
     return links.unionByName(cut_lineage(between))
 
