@@ -84,9 +84,8 @@ _WALK = WalkConfig(ks=(2, 3, 6), num_bins=4, boundaries={2: (0.333333, 0.416667,
       WHEN 2 THEN (p::FLOAT >= 0.333333::FLOAT)::INTEGER + (p::FLOAT >= 0.416667::FLOAT)::INTEGER + (p::FLOAT >= 0.5::FLOAT)::INTEGER
       WHEN 6 THEN (p::FLOAT >= 0.199846::FLOAT)::INTEGER + (p::FLOAT >= 0.238426::FLOAT)::INTEGER + (p::FLOAT >= 0.287616::FLOAT)::INTEGER
       ELSE least(greatest(CAST(trunc(p::FLOAT * 4::FLOAT) AS INTEGER), 0), 3) END AS bin FROM rw)
-    SELECT n.graph_id, n.node_id, concat_ws(',', n.feat, x.bin, y.bin, z.bin) AS feat FROM idx_nodes n
-    JOIN b x ON x.graph_id = n.graph_id AND x.node_id = n.node_id AND x.k = 2 JOIN b y ON y.graph_id = n.graph_id AND y.node_id = n.node_id AND y.k = 3
-    JOIN b z ON z.graph_id = n.graph_id AND z.node_id = n.node_id AND z.k = 6""",
+    , w AS (SELECT graph_id, node_id, max(bin) FILTER (WHERE k = 2) AS x, max(bin) FILTER (WHERE k = 3) AS y, max(bin) FILTER (WHERE k = 6) AS z FROM b GROUP BY graph_id, node_id)
+    SELECT n.graph_id, n.node_id, concat_ws(',', n.feat, w.x, w.y, w.z) AS feat FROM idx_nodes n JOIN w ON w.graph_id = n.graph_id AND w.node_id = n.node_id""",
 )
 def _(t):
     return W.augment_rw(t.nodes, t.edges, _WALK).select("graph_id", "node_id", text().alias("feat"))

@@ -5,20 +5,20 @@ from __future__ import annotations
 LINE_ORDER = "l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"
 
 GRAPHS = f"""
-base AS (SELECT l_orderkey AS graph_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) - 1 AS INTEGER) AS node_id,
+base AS MATERIALIZED (SELECT l_orderkey AS graph_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) - 1 AS INTEGER) AS node_id,
   CAST(count(*) OVER (PARTITION BY l_orderkey) AS INTEGER) AS n, l_quantity AS q, l_returnflag AS rf, l_linestatus AS ls FROM lineitem),
-und AS (SELECT graph_id, node_id AS a, node_id + 1 AS b FROM base WHERE node_id + 1 < n
+und AS MATERIALIZED (SELECT graph_id, node_id AS a, node_id + 1 AS b FROM base WHERE node_id + 1 < n
   UNION SELECT graph_id, node_id, node_id + 2 FROM base WHERE q > 40 AND node_id + 2 < n
   UNION SELECT graph_id, 0, n - 1 FROM base WHERE node_id = 0 AND n >= 3 AND graph_id % 2 = 0),
-edges AS (SELECT graph_id, a AS src, b AS dst FROM und UNION ALL SELECT graph_id, b, a FROM und),
-deg AS (SELECT graph_id, src AS node_id, count(*) AS degree FROM edges GROUP BY ALL),
-nodes AS (SELECT base.graph_id, base.node_id, base.n, coalesce(degree, 0) AS degree,
+edges AS MATERIALIZED (SELECT graph_id, a AS src, b AS dst FROM und UNION ALL SELECT graph_id, b, a FROM und),
+deg AS MATERIALIZED (SELECT graph_id, src AS node_id, count(*) AS degree FROM edges GROUP BY ALL),
+nodes AS MATERIALIZED (SELECT base.graph_id, base.node_id, base.n, coalesce(degree, 0) AS degree,
   CASE rf WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS f0, CAST(greatest(coalesce(degree, 0) - 1, 0) AS INTEGER) AS f1,
   CASE ls WHEN 'F' THEN 0 ELSE 1 END AS f2, CAST(least(floor((q - 1) / 10), 4) AS INTEGER) AS f3
   FROM base LEFT JOIN deg ON base.graph_id = deg.graph_id AND base.node_id = deg.node_id),
-idx_nodes AS (SELECT *, CAST(((f0 * 6 + f1) * 2 + f2) * 5 + f3 AS BIGINT) AS idx,
+idx_nodes AS MATERIALIZED (SELECT *, CAST(((f0 * 6 + f1) * 2 + f2) * 5 + f3 AS BIGINT) AS idx,
   concat_ws(',', f0, f1, f2, f3) AS feat FROM nodes),
-bonds AS (SELECT *, CAST(1 + (src + dst) % 4 AS INTEGER) AS bond FROM edges)"""
+bonds AS MATERIALIZED (SELECT *, CAST(1 + (src + dst) % 4 AS INTEGER) AS bond FROM edges)"""
 
 WITH = f"WITH {GRAPHS}"
 WITH_RECURSIVE = f"WITH RECURSIVE {GRAPHS}"
