@@ -467,7 +467,8 @@ def prune_candidates(scored: DataFrame, beam: int, ratio: float, seed: int, by_s
     """Top int((1 − ratio)·beam) by similarity and int(ratio·beam) of the others in hash order, per query (and size).
 
     Both limits are row-number filters, which Spark applies in every task before the shuffle; a query with very many
-    candidates sends only that many rows per task."""
+    candidates sends only that many rows per task. The scored rows are written once and read by both."""
+    scored = cut_lineage(scored)
     keys = ["query_id", "size"] if by_size else ["query_id"]
     keep, more = int((1 - ratio) * beam), int(ratio * beam)
     best = Window.partitionBy(*keys).orderBy(F.desc("sim"), "cand_id")

@@ -43,23 +43,21 @@ def read_pool_csv(spark: SparkSession, path: str, column: str = HEADER) -> DataF
 
 
 def write_graphs(root: str, graphs: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
-    """Processed-graph cache: three parquet tables, the graphs partitioned by split."""
+    """Processed-graph cache: three parquet tables, all partitioned by split."""
     graphs.write.mode("overwrite").partitionBy("split").parquet(f"{root}/graphs")
-    nodes.write.mode("overwrite").parquet(f"{root}/nodes")
-    edges.write.mode("overwrite").parquet(f"{root}/edges")
+    split_of = graphs.select("graph_id", "split")
+    for name, rows in (("nodes", nodes), ("edges", edges)):
+        rows.join(split_of, "graph_id", "left").write.mode("overwrite").partitionBy("split").parquet(f"{root}/{name}")
 
 
 def read_graphs(spark: SparkSession, root: str, split: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(graphs, nodes, edges), of one split when named; the split filter prunes partitions."""
     if split is not None and split not in SPLITS:
         raise ValueError(f"unknown split {split!r}; known: {SPLITS}")
-    graphs = spark.read.parquet(f"{root}/graphs")
-    nodes, edges = spark.read.parquet(f"{root}/nodes"), spark.read.parquet(f"{root}/edges")
-    if split is None:
-        return graphs, nodes, edges
-    graphs = graphs.filter(F.col("split") == split)
-    ids = graphs.select("graph_id")
-    return graphs, nodes.join(ids, "graph_id", "left_semi"), edges.join(ids, "graph_id", "left_semi")
+    graphs, nodes, edges = (spark.read.parquet(f"{root}/{name}") for name in ("graphs", "nodes", "edges"))
+    if split is not None:
+        graphs, nodes, edges = (df.filter(F.col("split") == split) for df in (graphs, nodes, edges))
+    return graphs, nodes.drop("split"), edges.drop("split")
 
 
 def save_encoder(root: str, cfg: EncoderConfig, codebooks: Mapping[str, Codebook], spark: SparkSession) -> None:
