@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import BROADCAST_KEYS, cut_lineage
 from .text import ARRAY_ROWS, U64, array_rows, bitmap, deal, might_hold, mix, parts_of, prefix_sums, range_hash, record, string_buffer, sum_arrays, text_blocks, word_hashes
 
 SHINGLE = 5
@@ -222,12 +222,13 @@ def _thin(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
 # --- sets of the candidates and blocks -------------------------------------------------------------------------------------------
 
-_SETS = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
-_SETS_SQL = "rep long, n long, items binary"
+_SETS = pa.schema([("rep", pa.int64()), ("d1", pa.int64()), ("items", pa.binary())])
+_SETS_SQL = "rep long, d1 long, items binary"
 
 
 def _candidate_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """rep, n, items: the sorted hashes of the candidates' sets."""
+    """rep, d1, items: the sorted hashes of the candidates' sets, and of a few others that the filter lets through; those and
+    repeated rows do no harm, as later joins are by (rep, d1) and a set's links with itself are dropped."""
     bits = bitmap(classes, F.xxhash64("rep"))
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -238,11 +239,10 @@ def _candidate_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFram
                 hashes, at = shingle_sets(data, offsets, width)
                 raw = hashes.tobytes()
                 items = [raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield record(_SETS, rows.column("doc_id"), np.diff(at), items)
+                yield record(_SETS, rows.column("doc_id"), set_digests(hashes, at)[0].view(np.int64), items)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("key")).filter("doc_id is not null and text is not null")
-    sets = texts.mapInArrow(task, _SETS_SQL)
-    return sets.join(classes.select("rep", "n"), ["rep", "n"]).dropDuplicates(["rep"])
+    return texts.mapInArrow(task, _SETS_SQL)
 
 
 def _iter_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -609,15 +609,15 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, chunk: int = CHUNK
     ties = sets.mapInArrow(_ties(parts, _sketch(sets), spark), _TIE_SQL).repartitionById(parts, F.col("part")).mapInArrow(_tie_edges, _EDGE_SQL)
     blocks = components(ties).select(F.col("node").alias("rep"), F.col("label").alias("block"))
     # Everything is planned on narrow rows; the sets join last.
-    placed = cut_lineage(blocks.join(classes.select("rep", "n"), "rep"))
+    placed = cut_lineage(blocks.join(classes.select("rep", "n", "d1"), "rep"))
     share = F.greatest(F.count("*") / chunk, F.sum("n") / CHUNK_ITEMS)
     size = placed.groupBy("block").agg(share.alias("share"))
-    few = placed.join(size.filter("share <= 1"), "block").select("block", F.lit(0).alias("level"), F.lit(0).alias("chunk"), "rep", "n")
+    few = placed.join(size.filter("share <= 1"), "block").select("block", F.lit(0).alias("level"), F.lit(0).alias("chunk"), "rep", "n", "d1")
     # Large blocks are cut by size of the set, in steps such that linked sets are on one level or on neighbouring ones, and by hash.
     level = F.floor(F.ln("n") / F.lit(LEVEL)).cast("int")
     levels = placed.join(size.filter("share > 1"), "block").withColumn("level", level)
     count = levels.groupBy("block", "level").agg(F.ceil(2 * share).alias("chunks"))
-    many = cut_lineage(levels.join(count, ["block", "level"]).select("block", "level", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", "n"))
+    many = cut_lineage(levels.join(count, ["block", "level"]).select("block", "level", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", "n", "d1"))
     links = cut_lineage(_links_within(few.unionByName(many), sets, parts))
     if many.head(1):
         links = _link_large(many, sets, links, parts, chunk)
@@ -626,10 +626,16 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, chunk: int = CHUNK
     return _answer(rows, named)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """The narrow rows, marked for broadcast if they are at most BROADCAST_KEYS; else the join with the sets is a shuffle."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
 def _links_within(placed: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """Links inside the chunks of (rep, block, level, chunk)."""
     key = ["block", "level", "chunk"]
-    rows = sets.select("rep", "items").join(placed.select("rep", *key), "rep")
+    rows = sets.join(_few(placed.select("rep", "d1", *key)), ["rep", "d1"]).select("rep", "items", *key)
     return rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_link_within, _EDGE_SQL)
 
 
@@ -653,7 +659,8 @@ def _link_large(large: DataFrame, sets: DataFrame, links: DataFrame, parts: int,
     side = lambda k, t: F.struct(F.lit(k).alias("side"), F.col(f"{t}.at").alias("at"))
     both = F.explode(F.array(side(0, "p"), side(1, "q"))).alias("one")
     sides = pairs.select(F.col("p.block").alias("block"), F.col("p.at.level").alias("x_level"), F.col("p.at.chunk").alias("x_chunk"), F.col("q.at.level").alias("y_level"), F.col("q.at.chunk").alias("y_chunk"), both).select(*key, "one.side", "one.at")
-    sent = sides.join(state, ["block", "at"]).join(sets.select("rep", "items"), "rep").select(*key, "side", "rep", "items", "label")
+    members = sides.join(state, ["block", "at"]).select(*key, "side", "rep", "d1", "label")
+    sent = sets.join(_few(members), ["rep", "d1"]).select(*key, "side", "rep", "items", "label")
     between = sent.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_link_between, _EDGE_SQL)
     return links.unionByName(cut_lineage(between))
 
