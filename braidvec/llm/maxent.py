@@ -401,11 +401,39 @@ def _score_task(parts: int, totals, model):
     return task
 
 
-_BACK = pa.schema([("key", pa.int64()), ("logs", pa.float64()), ("found", pa.int64())])
+_BACK_SQL = "part int, keys binary, logs binary, found binary"
+_BACK = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("logs", pa.binary()), ("found", pa.binary())])
+_BACK_TYPES = {"keys": np.int64, "logs": np.float64, "found": np.int64}
+_SUM = pa.schema([("key", pa.int64()), ("logs", pa.float64()), ("found", pa.int64())])
 
 
-def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one hash range: the counts' row and the questions; per document the sum of log10(count + 0.1) and the known tokens."""
+def _sum_by_key(keys: np.ndarray, logs: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    name, inverse = np.unique(keys, return_inverse=True)
+    n = len(name)
+    return name, np.bincount(inverse, weights=logs, minlength=n), np.bincount(inverse, weights=found, minlength=n).astype(np.int64)
+
+
+def _add_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    name, logs, found = _sum_by_key(*_concat(batches, _BACK_TYPES))
+    for k in range(0, len(name), 10_000):
+        yield record(_SUM, name[k : k + 10_000], logs[k : k + 10_000], found[k : k + 10_000])
+
+
+def _answer_words(parts: int):
+    """Of one hash range: the counts' row and the questions; per document the sum of log10(count + 0.1) and the known tokens,
+    packed for the parts of the exchange in which the documents' sums are added."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = list(_answers(batches))
+        if sums:
+            name, logs, found = _sum_by_key(*(np.concatenate(x) for x in zip(*sums, strict=True)))
+            for p, a, b, c in deal((mix(name.view(U64)) % U64(parts)).astype(np.int64), parts, name, logs, found):
+                yield record(_BACK, [p], [a], [b], [c])
+
+    return task
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     words, counts = np.zeros(0, U64), np.zeros(0, np.int64)
     asked: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
@@ -424,11 +452,7 @@ def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         word, times, doc = (np.concatenate(x) for x in zip(*asked[low : low + 64], strict=True))
         at = np.minimum(np.searchsorted(words, word), max(0, len(words) - 1))
         c = np.where(words[at] == word, counts[at], 0) if len(words) else np.zeros(len(word), np.int64)
-        name, inverse = np.unique(doc, return_inverse=True)
-        logs = np.bincount(inverse, weights=np.log10(c + ALPHA) * times)
-        found = np.bincount(inverse, weights=(c > 0) * times).astype(np.int64)
-        for k in range(0, len(name), 10_000):
-            yield record(_BACK, name[k : k + 10_000], logs[k : k + 10_000], found[k : k + 10_000])
+        yield _sum_by_key(doc, np.log10(c + ALPHA) * times, (c > 0) * times)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -446,7 +470,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     questions = asked.filter(F.col("kind") == _ASKED).select("kind", "part", "words", "times", "docs")
     known = counts.select(F.lit(_ROW).alias("kind"), "part", "words", F.col("counts").alias("times"), F.lit(None).cast("binary").alias("docs"))
     both = known.unionByName(questions).repartitionById(parts, F.col("part"))
-    back = both.mapInArrow(_answer_words, "key long, logs double, found long").groupBy("key").agg(F.sum("logs").alias("logs"), F.sum("found").alias("found"))
+    packed = both.mapInArrow(_answer_words(parts), _BACK_SQL).repartitionById(parts, F.col("part"))
+    back = packed.mapInArrow(_add_answers, "key long, logs double, found long")
     # A key's sums are of all its rows; rows with one key are equal, so each takes its share.
     times = rows.groupBy("key").agg(F.count("*").alias("times"))
     shared = back.join(times, "key").select("key", (F.col("logs") / F.col("times")).alias("logs"), (F.col("found") / F.col("times")).alias("found"))
