@@ -77,25 +77,27 @@ def _(t):
     return t.read("part").select("p_partkey", X.bond_class("p_type").alias("other"), X.bond_class(name).alias("named"))
 
 
-@query("bin_uniform", "SELECT vec_id, least(greatest(CAST(trunc(embedding[1]::FLOAT * 10::FLOAT) AS INTEGER), 0), 9) AS bin FROM embeddings")
+_ENTRIES = "(SELECT vec_id, unnest(embedding)::FLOAT AS x, unnest(range(len(embedding)))::INTEGER AS d FROM embeddings)"
+
+
+def _entries(t):
+    """All components of all vectors: (vec_id, d, x)."""
+    return t.read("embeddings").select("vec_id", F.posexplode("embedding").alias("d", "x"))
+
+
+@query("bin_uniform", f"SELECT vec_id, d, least(greatest(CAST(trunc(x * 10::FLOAT) AS INTEGER), 0), 9) AS bin FROM {_ENTRIES}")
 def _(t):
-    return t.read("embeddings").select("vec_id", X.bin_uniform(F.col("embedding")[0], 10).alias("bin"))
+    return _entries(t).select("vec_id", "d", X.bin_uniform(F.col("x"), 10).alias("bin"))
 
 
-@query(
-    "bin_clipped",
-    "SELECT vec_id, least(greatest(CAST(trunc(((embedding[1]::FLOAT - (-0.2)::FLOAT) / 0.4::FLOAT)::FLOAT * 8::FLOAT) AS INTEGER), 0), 7) AS bin FROM embeddings",
-)
+@query("bin_clipped", f"SELECT vec_id, d, least(greatest(CAST(trunc(((x - (-0.2)::FLOAT) / 0.4::FLOAT)::FLOAT * 8::FLOAT) AS INTEGER), 0), 7) AS bin FROM {_ENTRIES}")
 def _(t):
-    return t.read("embeddings").select("vec_id", X.bin_clipped(F.col("embedding")[0], 8, -0.2, 0.2).alias("bin"))
+    return _entries(t).select("vec_id", "d", X.bin_clipped(F.col("x"), 8, -0.2, 0.2).alias("bin"))
 
 
-@query(
-    "bin_quantile",
-    "SELECT vec_id, len(list_filter([-0.1, 0.0, 0.0, 0.1], lambda b: embedding[1]::FLOAT >= b::FLOAT))::INTEGER AS bin FROM embeddings",
-)
+@query("bin_quantile", f"SELECT vec_id, d, len(list_filter([-0.1, 0.0, 0.0, 0.1], lambda b: x >= b::FLOAT))::INTEGER AS bin FROM {_ENTRIES}")
 def _(t):
-    return t.read("embeddings").select("vec_id", X.bin_quantile(F.col("embedding")[0], 5, [-0.1, 0.0, 0.0, 0.1]).alias("bin"))
+    return _entries(t).select("vec_id", "d", X.bin_quantile(F.col("x"), 5, [-0.1, 0.0, 0.0, 0.1]).alias("bin"))
 
 
 @query(

@@ -188,12 +188,12 @@ _PROFILE = f"""{WITH}, {RINGS_SQL}, pr AS (
   SELECT 'atom' AS kind, f0::BIGINT AS value, count(*) AS cnt FROM nodes GROUP BY ALL UNION ALL SELECT 'bond', bond, count(*) FROM bonds WHERE src < dst GROUP BY ALL
   UNION ALL SELECT 'degree', degree, count(*) FROM nodes GROUP BY ALL UNION ALL SELECT 'num_atoms', n, count(*) FROM (SELECT graph_id, count(*) AS n FROM nodes GROUP BY ALL) GROUP BY ALL
   UNION ALL SELECT 'num_bonds', m, count(*) FROM (SELECT n.graph_id, count(e.src) AS m FROM (SELECT DISTINCT graph_id FROM nodes) n LEFT JOIN edges e ON e.graph_id = n.graph_id AND e.src < e.dst GROUP BY ALL) GROUP BY ALL
-  UNION ALL SELECT 'ring_size', 3, count(*) FROM tri GROUP BY ALL HAVING count(*) > 0
-  UNION ALL SELECT 'num_rings', k, count(*) FROM (SELECT n.graph_id, count(t.x) AS k FROM (SELECT DISTINCT graph_id FROM nodes) n LEFT JOIN tri t ON t.graph_id = n.graph_id GROUP BY ALL) GROUP BY ALL)"""
+  UNION ALL SELECT 'ring_size', size, count(*) FROM (SELECT DISTINCT graph_id, ring_id, size FROM rings) GROUP BY ALL
+  UNION ALL SELECT 'num_rings', k, count(*) FROM (SELECT n.graph_id, count(t.ring_id) AS k FROM (SELECT DISTINCT graph_id FROM nodes) n LEFT JOIN (SELECT DISTINCT graph_id, ring_id FROM rings) t ON t.graph_id = n.graph_id GROUP BY ALL) GROUP BY ALL)"""
 
 
 def _profile(t):
-    return M.structure_profile(t.nodes, t.bonds, G.short_cycles(t.edges, 3))
+    return M.structure_profile(t.nodes, t.bonds, G.short_cycles(t.edges, 6))
 
 
 @query("structure_profile", f"{_PROFILE} SELECT * FROM pr")

@@ -114,19 +114,23 @@ def _(t):
     return W.scan_rw(t.nodes, t.edges, WalkConfig(ks=(6,), num_bins=10)).select(text().alias("feat"))
 
 
-RINGS_SQL = """tri AS (SELECT a.graph_id, a.src AS x, a.dst AS y, b.dst AS z FROM edges a JOIN edges b ON b.graph_id = a.graph_id AND b.src = a.dst
-    JOIN edges c ON c.graph_id = a.graph_id AND c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.dst < b.dst),
-  rings AS (SELECT graph_id, concat_ws('-', x, y, z) AS ring_id, 3 AS size, unnest([x, y, z]) AS node_id FROM tri),
-  longer AS (SELECT graph_id, node_id, n AS size FROM nodes WHERE n > 3 AND graph_id % 256 = 0),
-  member AS (SELECT DISTINCT graph_id, node_id, size FROM rings UNION SELECT graph_id, node_id, size FROM longer)"""
+_STEP = """grow{n} AS (SELECT p.graph_id, list_append(p.path, e.dst) AS path FROM p{m} p JOIN edges e ON e.graph_id = p.graph_id AND e.src = p.path[-1]
+    WHERE e.dst > p.path[1] AND NOT list_contains(p.path, e.dst)),
+  ok{n} AS (SELECT g.graph_id, g.path, EXISTS (SELECT 1 FROM edges c WHERE c.graph_id = g.graph_id AND c.src = g.path[-1] AND c.dst = g.path[1]) AS closed FROM grow{n} g
+    WHERE NOT EXISTS (SELECT 1 FROM edges c WHERE c.graph_id = g.graph_id AND c.src = g.path[-1] AND list_contains(g.path[2:-3], c.dst))),
+  p{n} AS (SELECT graph_id, path FROM ok{n} WHERE NOT closed)"""
+
+
+RINGS_SQL = f"""p2 AS (SELECT graph_id, [src, dst] AS path FROM edges WHERE src < dst), {', '.join(_STEP.format(n=n, m=n - 1) for n in (3, 4, 5, 6))},
+  found AS (SELECT * FROM ok3 UNION ALL SELECT * FROM ok4 UNION ALL SELECT * FROM ok5 UNION ALL SELECT * FROM ok6),
+  rings AS MATERIALIZED (SELECT graph_id, array_to_string(path, '-') AS ring_id, CAST(len(path) AS INTEGER) AS size, unnest(path) AS node_id
+    FROM found WHERE closed AND path[2] < path[-1]),
+  member AS (SELECT DISTINCT graph_id, node_id, size FROM rings)"""
 
 
 def ring_table(t):
-    """Ring membership of the order graphs: triangles, and the outer ring of some even orders."""
-    triangles = G.short_cycles(t.edges, 3).select("graph_id", "node_id", "size")
-    sizes = t.nodes.groupBy("graph_id").agg(F.count("*").cast("int").alias("size"))
-    outer = t.nodes.select("graph_id", "node_id").join(sizes.filter("size > 3 AND graph_id % 256 = 0"), "graph_id")
-    return triangles.unionByName(outer.select("graph_id", "node_id", "size")).distinct()
+    """Ring membership of the order graphs: all chordless cycles of up to six nodes."""
+    return G.short_cycles(t.edges, 6).select("graph_id", "node_id", "size").distinct()
 
 
 @query("ring_histogram", f"{WITH}, {RINGS_SQL} SELECT n.feat, m.size, count(*) AS cnt FROM member m JOIN idx_nodes n USING (graph_id, node_id) WHERE m.size BETWEEN 3 AND 20 GROUP BY ALL")
@@ -143,19 +147,7 @@ def _(t):
     return G.single_ring_features(t.nodes, ring_table(t)).select(text().alias("feat"))
 
 
-_STEP = """grow{n} AS (SELECT p.graph_id, list_append(p.path, e.dst) AS path FROM p{m} p JOIN edges e ON e.graph_id = p.graph_id AND e.src = p.path[-1]
-    WHERE e.dst > p.path[1] AND NOT list_contains(p.path, e.dst)),
-  ok{n} AS (SELECT g.graph_id, g.path, EXISTS (SELECT 1 FROM edges c WHERE c.graph_id = g.graph_id AND c.src = g.path[-1] AND c.dst = g.path[1]) AS closed FROM grow{n} g
-    WHERE NOT EXISTS (SELECT 1 FROM edges c WHERE c.graph_id = g.graph_id AND c.src = g.path[-1] AND list_contains(g.path[2:-3], c.dst))),
-  p{n} AS (SELECT graph_id, path FROM ok{n} WHERE NOT closed)"""
-
-
-@query(
-    "short_cycles",
-    f"""{WITH}, p2 AS (SELECT graph_id, [src, dst] AS path FROM edges WHERE src < dst), {', '.join(_STEP.format(n=n, m=n - 1) for n in (3, 4, 5, 6))},
-    found AS (SELECT * FROM ok3 UNION ALL SELECT * FROM ok4 UNION ALL SELECT * FROM ok5 UNION ALL SELECT * FROM ok6)
-    SELECT graph_id, array_to_string(path, '-') AS ring_id, CAST(len(path) AS INTEGER) AS size, unnest(path) AS node_id FROM found WHERE closed AND path[2] < path[-1]""",
-)
+@query("short_cycles", f"{WITH}, {RINGS_SQL} SELECT * FROM rings")
 def _(t):
     return G.short_cycles(t.edges, 6)
 
