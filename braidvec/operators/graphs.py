@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from braidvec.functions import batch as B
 from braidvec.functions.hashing import hex_number, keyed_md5, unit_uniform
 from braidvec.operators.encode import GRAPH_LIMIT, nest_graphs
-from braidvec.plans.skew import apart, per_graph, together
+from braidvec.plans.skew import apart, if_small, per_graph, together
 from braidvec.session import cut_lineage
 
 LANES = 4  # 32-bit pieces of an md5 digest that are summed to hash a multiset
@@ -181,7 +181,7 @@ def valence_deficit(nodes: DataFrame, edges: DataFrame, valences: DataFrame) ->
     order = F.when(F.col("bond") == 4, 1.5).otherwise(F.col("bond").cast("double"))
     used = edges.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.sum(order).alias("used"))
     charge = F.when(F.col("feat")[2] == 1, 1).when(F.col("feat")[2] == 2, -1).otherwise(0)
-    table = F.broadcast(valences.select(F.col("kind").alias("_kind"), "valence"))
+    table = if_small(valences.select(F.col("kind").alias("_kind"), "valence"))
     joined = nodes.join(table, nodes["feat"][0] == table["_kind"], "left").join(used, ["graph_id", "node_id"], "left")
     target = F.coalesce("valence", F.lit(4)) - charge - F.col("feat")[3]
     deficit = (target - F.coalesce("used", F.lit(0.0))).alias("deficit")
@@ -507,7 +507,7 @@ def noise_edges(nodes: DataFrame, edges: DataFrame, marginals: DataFrame, t: flo
     true = edges.filter("src < dst").groupBy("graph_id", "src", "dst").agg(F.max("bond").alias("bond"))
     joined = upper.join(true, ["graph_id", "src", "dst"], "left").withColumn("bond", F.coalesce("bond", F.lit(0)))
     joined = joined.join(sizes, "graph_id").withColumn("size", F.least(F.col("n"), F.lit(top)))
-    joined = joined.join(F.broadcast(marginals.select("size", "probs")), "size")
+    joined = joined.join(if_small(marginals.select("size", "probs")), "size")
     probs = F.array(
         *[F.lit(t) * F.when(F.col("bond") == c, 1.0).otherwise(0.0) + F.lit(1 - t) * F.col("probs")[c] for c in range(classes)]
     )

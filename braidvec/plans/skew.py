@@ -30,6 +30,11 @@ def large_keys(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) ->
     return cut_lineage(counts)
 
 
+def if_small(df: DataFrame) -> DataFrame:
+    """A caller's table, marked for broadcast if it has at most BROADCAST_KEYS rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
+
+
 def split_large(df: DataFrame, large: DataFrame | None, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys and rows of large keys."""
     if large is None:

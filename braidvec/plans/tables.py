@@ -72,12 +72,12 @@ class Tables:
         return ranked.withColumnRenamed("node", "src").join(after, ["graph_id", "pos"]).select("graph_id", "src", "dst")
 
 
-_known: dict[tuple[int, str], Tables] = {}
+_known: dict[tuple[str, str], Tables] = {}
 
 
 def tables(spark: SparkSession, root: str) -> Tables:
     """Tables of a folder; the derived graph tables are shared by all queries of a session."""
-    key = (id(spark.sparkContext), str(root))
+    key = (spark.sparkContext.applicationId, str(root))
     if key not in _known:
         configure(spark)
         _known[key] = Tables(spark, str(root))

@@ -41,15 +41,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_shipped: set[int] = set()
+_shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per context, so that tasks can import it wherever the driver runs."""
     context = spark.sparkContext
-    if id(context) in _shipped:
+    if context.applicationId in _shipped:
         return
-    _shipped.add(id(context))
+    _shipped.add(context.applicationId)
     package = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="spark-")
     archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,9 +97,12 @@ def append_new(spark: SparkSession, target: str, df: DataFrame, key: str) -> int
     from braidvec.session import cut_lineage
 
     fresh = df.dropDuplicates([key])
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
         seen = spark.read.parquet(target).select(key)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
         fresh = fresh.join(seen, key, "left_anti")
     fresh = cut_lineage(fresh)
     fresh.write.mode("append").parquet(target)
