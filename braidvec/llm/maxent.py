@@ -5,14 +5,13 @@ frequent words hold ``MEMBERS`` words each, in order of frequency; all other wor
 where a word has its smoothed share of the class's counts, with one share left for all words never seen. Class scores are
 sums over hashed features of the history (one and two words before, the pair, the skip to the third, and the class before) and
 a bias; frequent words within a class have a score for every class before. Weights are learned by distributed gradient updates:
-in every round the tasks run over their part of the training sample from the same weights and the changes are averaged.
+in every round the tasks run over their part of the training rows from the same weights and the changes are averaged. Each round
+has its own share of the rows, by a hash of id and text, and the rounds together cover every training row.
 
 Counts are exact and cover all training documents: words travel as 64-bit hashes with counts, combined in the tasks, and every
 document gets the counts of its own words back, so no vocabulary is ever in one place. Only the counts of the most frequent
 words (a fixed number) are broadcast, which keeps common words out of the exchange. Two words are one if their hashes are equal.
 
-The gradient rounds use at most about ``SAMPLE_DOCS`` training documents, chosen by a hash of doc_id (all, if there are fewer).
-
 Defined results: a null text is empty: one token, its end. Repeated rows teach, and are answered, as often as they occur. Rows
 without doc_id are held out of nothing and teach. With no training document, counts are zero and all words are unseen.
 """
@@ -36,8 +35,7 @@ MEMBERS, FREQUENT_CLASSES, ENDING_CLASSES = 32, 32, 64
 CLASSES = FREQUENT_CLASSES + ENDING_CLASSES
 BUCKETS = 1 << 12  # rows of hashed features
 FEATURES = 5
-SAMPLE_DOCS = 4096
-ROUNDS, RATE, PASS_TOKENS, TASKS = 3, 0.4, 4096, 8
+ROUNDS, RATE, PASS_TOKENS = 3, 0.4, 4096
 ALPHA = 0.1
 GATHERED = 1 << 21  # distinct (document, word) pairs that a task gathers before it sends them
 
@@ -270,6 +268,23 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
+def _sums_by_row(flat: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sum of the gradients of each); position k of ``flat`` has the gradient ``k % len(g)``."""
+    order = np.argsort(flat.astype(np.min_scalar_type(BUCKETS)), kind="stable")
+    name = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    size = np.diff(np.append(first, len(name)))
+    x = g[order % len(g)]
+    out = x[first]
+    # Short runs are added place by place for all rows at once, long ones singly.
+    for k in range(1, 8):
+        some = np.flatnonzero((size > k) & (size <= 8))
+        out[some] += x[first[some] + k]
+    for k in np.flatnonzero(size > 8):
+        out[k] = x[first[k] : first[k] + size[k]].sum(0)
+    return name[first], out
+
+
 def update(model: Model, tokens: np.ndarray, slot: np.ndarray, classes: np.ndarray, at: np.ndarray, rate: float, seen: np.ndarray, seen_inner: np.ndarray) -> None:
     """Adaptive gradient steps over small runs of tokens; ``seen`` holds the squared gradients so far."""
     rows, before = model.features(tokens, classes, at)
@@ -278,12 +293,8 @@ def update(model: Model, tokens: np.ndarray, slot: np.ndarray, classes: np.ndarr
         r, c = rows[cut], classes[cut]
         g = _softmax(model.class_scores(r))
         g[np.arange(len(c)), c] -= 1
-        flat = np.concatenate([*(r[:, k] for k in range(FEATURES)), np.full(len(c), BUCKETS)])
-        order = np.argsort(flat, kind="stable")
-        name = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        grad = np.add.reduceat(g[order % len(c)], first, axis=0)
-        name = name[first]
+        name, grad = _sums_by_row(r.T.ravel(), g)
+        name, grad = np.append(name, BUCKETS), np.concatenate([grad, g.sum(0, keepdims=True)])
         seen[name] += grad * grad
         model.weights[name] -= rate * grad / np.sqrt(seen[name] + 1)
         own = np.flatnonzero(slot[cut] >= 0)
@@ -295,8 +306,8 @@ def update(model: Model, tokens: np.ndarray, slot: np.ndarray, classes: np.ndarr
             scores = np.where(inside, model.inner[b[:, None], lane], -np.inf)
             p = np.where(inside, _softmax(scores), 0)
             p[np.arange(len(s)), s % MEMBERS] -= 1
-            total = np.zeros_like(model.inner)
-            np.add.at(total, (b[:, None], lane), p)
+            flat = (b[:, None] * model.slots + lane).ravel()
+            total = np.bincount(flat, weights=p.ravel(), minlength=model.inner.size).reshape(model.inner.shape).astype(np.float32)
             seen_inner += total * total
             model.inner -= rate * total / np.sqrt(seen_inner + 1)
     model._inner_log = None
@@ -308,11 +319,7 @@ def train(docs: DataFrame, totals: Totals) -> Model:
     if not totals.n:
         return model
     rows = docs.filter(~held_out())
-    n = rows.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, n))
-    near = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(17)), F.lit(1 << 30)) <= int(share * (1 << 30))
-    # The scan uses all tasks; the few rows it leaves are dealt to a few, whose changes are worth averaging.
-    sample = cut_lineage(rows.filter(near).select("text")).coalesce(TASKS)
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
     spark = docs.sparkSession
     for number in range(ROUNDS):
         sent = spark.sparkContext.broadcast((model.weights, model.inner))
@@ -335,8 +342,9 @@ def train(docs: DataFrame, totals: Totals) -> Model:
                     yield from array_rows(name, ((now - before) * weigh).ravel().astype(np.float32), 1 << 15)
                     yield from array_rows(f"{name}n", weigh.ravel().astype(np.float32), 1 << 15)
 
+        part = rows.filter(turn == number).select("text")
         summed = {k: np.zeros(x.size, np.float32) for k, x in (("w", model.weights), ("wn", model.weights), ("i", model.inner), ("in", model.inner))}
-        for r in sum_arrays(sample.mapInArrow(task, ARRAY_ROWS), np.float32).collect():  # as many numbers as the model has
+        for r in sum_arrays(part.mapInArrow(task, ARRAY_ROWS), np.float32).collect():  # as many numbers as the model has
             x = np.frombuffer(r["data"], np.float32)
             summed[r["key"]][r["at"] : r["at"] + len(x)] = x
         model = Model(

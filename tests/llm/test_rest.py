@@ -167,6 +167,18 @@ def test_probabilities_of_all_next_tokens_sum_to_one():
     assert abs(p.sum() + unseen - 1) < 1e-4
 
 
+def test_every_training_row_moves_the_weights(spark):
+    rows = [(k, f"only{k} follows" if k % 100 == 1 else "a b") for k in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = maxent.train(docs, maxent.totals_of(maxent.training_counts(docs)))
+    taught = [t for k, t in rows if t != "a b" and zlib.crc32(str(k).encode()) % 10]
+    for text in taught:
+        data = np.frombuffer(text.encode(), np.uint8)
+        tokens, ending, at = maxent.token_stream(data, np.array([0, len(data)]))
+        seen, _ = model.features(tokens, maxent.ending_class(ending), at)
+        assert model.weights[seen[1, 0]].any() and model.weights[seen[1, 2]].any(), text
+
+
 def test_empty_language_model(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert maxent.score_texts(empty).count() == 0
