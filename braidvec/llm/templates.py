@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become tokens (runs of letters and digits); numbers, units and names turn into typed placeholders, so a question whose
+Texts become tokens (runs of letters and digits; in scripts without blanks, every character is one); numbers, units and names turn into typed placeholders, so a question whose
 figures or names were exchanged keeps its template. Windows of ``WINDOW`` template tokens of the documents are hash-joined with
 those of the benchmark. Matches of one document and item that lie on one diagonal (the same distance between their places) form
 an alignment. In an alignment the slots must be consistent: every value of the item must always meet the same value of the
@@ -11,14 +11,17 @@ changed capitals do not hide a copy.
 A fixed-size filter of the benchmark's hashes thins out the documents' windows inside the tasks before the join, whatever the
 size of the benchmark; the few windows left are joined in Spark, by broadcast only if the benchmark's windows are few.
 
-Defined results: null and empty texts match nothing; an item with fewer tokens than a window is one window of all of them, and an
-item without tokens is not looked for. Items with equal text are all reported. Repeated rows of documents are judged alike.
+Defined results: null and empty texts match nothing; an item with fewer tokens than a window is one window of all of them, for
+which documents have windows of its length too (one of placeholders only must then match word for word). An item without tokens is
+not looked for. Items with equal text are all reported. Repeated rows of documents are judged alike.
 Rows without doc_id or item_id are neither judged nor looked for.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,38 @@ _STOP[[0x0A, 0x0D, 0x21, 0x2E, 0x3A, 0x3B, 0x3F]] = True  # a capital after thes
 _NUMBER, _NAME, _UNIT = (U64(x) for x in (0xA5A5A5A500000001, 0xA5A5A5A500000002, 0xA5A5A5A500000003))
 
 
+#: Scripts written without blanks: Thai to Lao, Myanmar, Khmer, kana, bopomofo, Han, half-width kana.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Of every code point: 0 between tokens, 1 within one, 2 a token of its own."""
+    between = [c for c in range(0x20000) if unicodedata.category(chr(c))[0] in "PSZ" or unicodedata.category(chr(c)) == "Cc"]
+    out = np.ones(0x110000, np.int8)
+    for low, high in _UNSPACED:
+        out[low : high + 1] = 2
+    out[[*between, 0x200B, 0xFEFF]] = 0
+    return out
+
+
+def _wide(data: np.ndarray, solid: np.ndarray, edge: np.ndarray) -> None:
+    """Characters outside ASCII: those between tokens are not solid, those that are tokens have an edge on both sides."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return
+    first = data[lead].astype(np.int64)
+    n1, n2, n3 = (data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 63 for k in (1, 2, 3))
+    point = np.where(first < 0xE0, (first & 31) << 6 | n1, np.where(first < 0xF0, (first & 15) << 12 | n1 << 6 | n2, (first & 7) << 18 | n1 << 12 | n2 << 6 | n3))
+    kind = _kinds()[np.minimum(point, 0x10FFFF)]
+    end = np.minimum(lead + 2 + (first >= 0xE0) + (first >= 0xF0), len(data))
+    for k in range(4):
+        some = (kind == 0) & (lead + k < end)
+        solid[lead[some] + k] = False
+    edge[lead[kind == 2]] = True
+    edge[end[kind == 2]] = True
+
+
 def _hash_of(word: str) -> np.uint64:
     data = np.frombuffer(word.encode(), np.uint8)
     return range_hash(prefix_sums(BYTE_VALUE[data]), np.array([0]), np.array([len(data)]))[0]
@@ -56,6 +91,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     solid = _WORD[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
+    _wide(data, solid, edge)
     # A point or comma between digits belongs to the number.
     if len(data) > 2:
         digit = (data >= 48) & (data <= 57)
@@ -82,10 +118,10 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return words, plain, typed, at
 
 
-def window_hashes(items: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every window, in order; a row with fewer tokens has one window of all, if it has any."""
+def window_hashes(items: np.ndarray, at: np.ndarray, window: int = WINDOW, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every window, in order; if ``short``, a row with fewer tokens has one window of all, if it has any."""
     size = np.diff(at)
-    count = np.where(size >= window, size - window + 1, np.minimum(size, 1))
+    count = np.where(size >= window, size - window + 1, np.minimum(size, 1) if short else 0)
     row = np.repeat(np.arange(len(size)), count)
     place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     start = at[row] + place
@@ -97,7 +133,9 @@ _WINDOW_SCHEMA = pa.schema([("id", pa.int64()), ("form", pa.int32()), ("hash", p
 _WINDOW_SQL = "id long, form int, hash long, place long, slots binary"
 
 
-def _windows(window: int, bits: np.ndarray | None):
+def _windows(window: int, bits: np.ndarray | None, lengths: tuple[int, ...] = ()):
+    """Windows of items (without ``bits``), or those of documents, of ``window`` and of the shorter ``lengths``, that the filter holds."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_buffer(batch.column("text"))
@@ -105,19 +143,24 @@ def _windows(window: int, bits: np.ndarray | None):
             for low, high in blocks(offsets, BLOCK_BYTES):
                 words, plain, typed, at = tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 shown = words.view(np.int64)
-                for form, stream in enumerate((plain, typed)):
-                    row, hashes = window_hashes(stream, at, window)
+                for form, stream, size in ((f, x, n) for f, x in enumerate((plain, typed)) for n in (window, *lengths)):
+                    row, hashes = window_hashes(stream, at, size, bits is None)
+                    count = np.bincount(row, minlength=len(at) - 1)
+                    place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+                    start = at[row] + place
+                    stop = np.minimum(start + size, at[row + 1])
+                    # A short window of placeholders only says too little: it stands for its very words.
+                    literal = np.concatenate([[0], np.cumsum(~np.isin(stream, (_NUMBER, _NAME, _UNIT)))])
+                    bare = (stop - start < window) & (literal[stop] == literal[start])
+                    if bare.any():
+                        hashes = np.where(bare, window_hashes(words, at, size, bits is None)[1], hashes)
                     keys = hashes.view(np.int64)
                     hit = np.arange(len(row)) if bits is None else np.flatnonzero(might_hold(bits, keys))
                     if not len(hit):
                         continue
-                    count = np.bincount(row, minlength=len(at) - 1)
-                    place = hit - (np.cumsum(count) - count)[row[hit]]
-                    start = at[row[hit]] + place
                     # The values in the window, to compare slot by slot.
-                    stop = np.minimum(start + window, at[row[hit] + 1])
-                    slots = [shown[a:b].tobytes() for a, b in zip(start, stop, strict=True)]
-                    yield record(_WINDOW_SCHEMA, ids[low + row[hit]], np.full(len(hit), form, np.int32), keys[hit], place, slots)
+                    slots = [shown[a:b].tobytes() for a, b in zip(start[hit], stop[hit], strict=True)]
+                    yield record(_WINDOW_SCHEMA, ids[low + row[hit]], np.full(len(hit), form, np.int32), keys[hit], place[hit], slots)
 
     return task
 
@@ -135,7 +178,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     known = cut_lineage(benchmark_windows(benchmark, window))
     bits = bitmap(known, F.col("hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null and text is not null")
-    found = texts.mapInArrow(_windows(window, bits), _WINDOW_SQL).withColumnRenamed("id", "doc_id")
+    size = (F.octet_length("item_slots") / 8).cast("int").alias("size")
+    lengths = tuple(r.size for r in known.select(size).distinct().filter(F.col("size") < window).collect())  # of short items
+    found = texts.mapInArrow(_windows(window, bits, lengths), _WINDOW_SQL).withColumnRenamed("id", "doc_id")
     few = known.count() <= BROADCAST_WINDOWS
     matched = found.join(F.broadcast(known) if few else known, ["hash", "form"])
     # Slot values lie at item_place + k of the item and place + k of the document.

@@ -118,6 +118,13 @@ def test_leaks_are_found_also_with_other_figures_names_and_capitals(spark):
     assert templates.find_leaks(docs, bench.limit(0)).count() == 0 and templates.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_and_scripts_without_blanks_are_found_in_longer_documents(spark):
+    items = [(1, "two words"), (2, "白马非马"), (3, "この文章は評価用の問題です。答えを一つ選んでください。"), (4, "12 kg"), (5, "Why is 4 even")]
+    docs = [(1, "here are Two words, in a longer text"), (2, "中文：「白马非马」，可乎？"), (3, "前の文。この文章は評価用の問題です。答えを一つ選んでください。後の文"), (4, "it weighs 5 kg"), (5, "it weighs 12 kg in all"), (6, "they asked why is 6 even so small"), (7, "two other words — “two”"), (8, "“two words”—said again"), (9, "白马"), (10, "two")]
+    found = templates.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2), (3, 3), (5, 4), (6, 5), (8, 1)}
+
+
 # --- language model
 
 
