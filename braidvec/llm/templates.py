@@ -5,7 +5,8 @@ figures or names were exchanged keeps its template. Windows of ``WINDOW`` templa
 those of the benchmark. Matches of one document and item that lie on one diagonal (the same distance between their places) form
 an alignment. In an alignment the slots must be consistent: every value of the item must always meet the same value of the
 document. Consistent alignments count the item's windows that they cover; a document leaks an item when it covers at least
-``COVERAGE`` of them. Two templates are kept of every text: one with names typed, one with plain lower-cased words, so that
+``COVERAGE`` of them, or when it has ``RUN`` tokens of the item in a row word for word, whatever their share and whatever else the
+alignment changes. Two templates are kept of every text: one with names typed, one with plain lower-cased words, so that
 changed capitals do not hide a copy.
 
 A fixed-size filter of the benchmark's hashes thins out the documents' windows inside the tasks before the join, whatever the
@@ -33,6 +34,7 @@ from .text import BLOCK_BYTES, BYTE_VALUE, LOWER, U64, bitmap, blocks, might_hol
 
 WINDOW = 5
 COVERAGE = 0.5
+RUN = 14  # tokens in a row
 # Windows of the benchmark that are broadcast at most (24 bytes each); above, the join is a shuffle.
 BROADCAST_WINDOWS = 1 << 20
 #: Units of measure and money, typed as placeholders when they follow a number.
@@ -173,8 +175,9 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.join(counted, "id").select(F.col("id").alias("item_id"), "form", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), (F.col("last") + 1).alias("n_windows"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_id, covered, n_windows, exact of every pair whose consistent alignments cover enough of the item."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
+    """doc_id, item_id, covered, n_windows, exact of every pair whose consistent alignments cover enough of the item, or that has a
+    verbatim run of enough tokens."""
     known = cut_lineage(benchmark_windows(benchmark, window))
     bits = bitmap(known, F.col("hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null and text is not null")
@@ -195,13 +198,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
         F.sort_array(F.collect_set("item_place")).alias("places"),
         F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
         F.min("same").alias("exact"),
+        F.sort_array(F.collect_set(F.when(F.col("same"), F.col("item_place")))).alias("verbatim"),
     )
+    # Places in a row keep their distance to their position in the list: the longest stretch of one distance is the longest run.
+    start = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+    step = lambda a, x: F.when(a["at"] == x, a["n"] + 1).otherwise(F.lit(1))
+    longest = F.aggregate(F.transform("verbatim", lambda p, k: p - k), start, lambda a, x: F.struct(x.alias("at"), step(a, x).alias("n"), F.greatest(a["most"], step(a, x)).alias("most")), lambda a: a["most"])
+    aligned = aligned.withColumn("long", longest + window - 1 >= run)
     # Consistent: as many different pairs as different values of the item.
     one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["was"])))
-    covered = aligned.filter(one).select("doc_id", "item_id", "form", "n_windows", "exact", F.explode("places").alias("place"))
-    per_form = covered.groupBy("doc_id", "item_id", "form", "n_windows").agg(F.countDistinct("place").alias("covered"), F.min("exact").alias("exact"))
-    best = per_form.groupBy("doc_id", "item_id", "n_windows").agg(F.max("covered").alias("covered"), F.max("exact").alias("exact"))
-    return best.filter(F.col("covered") >= F.col("n_windows") * coverage).select("doc_id", "item_id", "covered", "n_windows", "exact")
+    # Of an inconsistent alignment with a long verbatim run, the verbatim places count.
+    places = F.when(one, F.col("places")).otherwise(F.col("verbatim"))
+    covered = aligned.filter(one | F.col("long")).select("doc_id", "item_id", "form", "n_windows", "exact", "long", F.explode(places).alias("place"))
+    per_form = covered.groupBy("doc_id", "item_id", "form", "n_windows").agg(F.countDistinct("place").alias("covered"), F.min("exact").alias("exact"), F.max("long").alias("long"))
+    best = per_form.groupBy("doc_id", "item_id", "n_windows").agg(F.max("covered").alias("covered"), F.max("exact").alias("exact"), F.max("long").alias("long"))
+    return best.filter((F.col("covered") >= F.col("n_windows") * coverage) | F.col("long")).select("doc_id", "item_id", "covered", "n_windows", "exact")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

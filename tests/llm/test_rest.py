@@ -125,6 +125,14 @@ def test_short_items_and_scripts_without_blanks_are_found_in_longer_documents(sp
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2), (3, 3), (5, 4), (6, 5), (8, 1)}
 
 
+def test_long_verbatim_runs_leak_whatever_their_share_and_slots(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    items = [(1, " ".join(words)), (2, "give 12 " + " ".join(words[::2]) + " then 12 more")]
+    docs = [(1, "a b c " + " ".join(words[50:70]) + " d e f"), (2, " ".join(words[50:60]) + " and " + " ".join(words[70:80])), (3, "give 48 " + " ".join(words[::2]) + " then 50 more")]
+    found = templates.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.covered, r.n_windows) for r in found.collect()} == {(1, 1): (16, 196), (3, 2): (97, 101)}
+
+
 # --- language model
 
 
