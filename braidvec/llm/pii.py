@@ -32,7 +32,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _URL = re.compile(r"[^\x00-\x20\"'<>]+")
 _ACCOUNT = re.compile(r"(?:\x20?(?:number|no|nr|id)\b)?[\x20:=#.\"']{0,4}([A-Za-z0-9][A-Za-z0-9-]{5,33})(?![A-Za-z0-9-])")
-_SECRET = re.compile(r"[\x20:=\"']{1,4}([A-Za-z0-9_/+-]{20,128})(?![A-Za-z0-9_/+-])")
+#: Printed in groups; where it ends is told by its check digits.
+_IBAN = re.compile(r"(?:\x20?(?:number|no|nr|id)\b)?[\x20:=#.\"']{0,4}([A-Za-z]{2}[0-9]{2}(?:[\x20\xa0]?[A-Za-z0-9]){11,30})")
+_SECRET = re.compile(r"[\x20:=\"']{1,4}([A-Za-z0-9_/+-]{20,}+)")
+#: Lower case that never changes the length; with the two letters of other alphabets that become i and k.
+_LOW = {**{c: c + 32 for c in range(65, 91)}, 0x130: 0x69, 0x212A: 0x6B}
 
 #: Anchors and the parser each one starts. Cues of identifiers are compared without case.
 ANCHORS = {"@": "email", "://": "url", "www.": "url", "iban": "account", "account": "account", "ssn": "account", "passport": "account", "token": "secret", "api_key": "secret", "apikey": "secret", "secret": "secret", "password": "secret"}
@@ -56,6 +60,19 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """The last end of a group, up to ``end``, where the account number has valid check digits."""
+    value = "".join(c for c in text[start:end] if c.isalnum())
+    while end > start and len(value) >= 15:
+        if not text[end : end + 1].isalnum() and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
+            return end
+        end -= 1
+        while not text[end - 1].isalnum():
+            end -= 1
+        value = value[:-1]
+    return None
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -99,6 +116,10 @@ def _urls(text: str, anchors: list[tuple[int, str]]) -> Iterator[tuple[int, int]
 def _cued(text: str, ends: list[int], rule: re.Pattern, needs_digit: bool) -> Iterator[tuple[int, int]]:
     floor = 0
     for at in ends:
+        if needs_digit and (m := _IBAN.match(text, at)) and m.start(1) >= floor and (end := iban_end(text, *m.span(1))):
+            floor = end
+            yield m.start(1), end
+            continue
         m = rule.match(text, at)
         if m and m.start(1) >= floor and (not needs_digit or sum("0" <= c <= "9" for c in m.group(1)) >= 5):
             floor = m.end(1)
@@ -115,9 +136,8 @@ class Finder:
         """(kind, start, end) by start, then kind as listed, then end."""
         found: list[tuple[str, int, int]] = []
         signs, urls, accounts, secrets = [], [], [], []
-        low = text.lower()
-        same = len(low) == len(text)  # a few capitals become two letters; then cues are only taken as they are written
-        for end, (kind, length) in self.automaton.iter(low if same else text):
+        low = text.lower() if text.isascii() else text.translate(_LOW)
+        for end, (kind, length) in self.automaton.iter(low):
             if kind == "email":
                 signs.append(end)
             elif kind == "url":

@@ -58,6 +58,17 @@ def test_added_kinds_and_redaction():
     assert pii.redact(text, finder.spans(text)) == "see [URL], account no. [ACCOUNT] and api_key = '[SECRET]' or [EMAIL]"
 
 
+def test_long_secrets_printed_ibans_and_letters_that_grow_in_lower_case():
+    finder = pii.Finder()
+    clean = lambda t: pii.redact(t, [s for s in finder.spans(t) if s[0] in pii.EXTRA_KINDS])
+    for n in (20, 128, 129, 5000):
+        assert clean(f"token={'aB3_' * n} end"[: n + 6] + " end") == "token=[SECRET] end"
+    for number in ("DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "de89370400440532013000", "NO93 8601 1117 947", "MT84\xa0MALT 0110 0001 2345 MTLC AST0 01S"):
+        assert clean(f"IBAN: {number} please pay") == "IBAN: [ACCOUNT] please pay"
+    assert clean("IBAN: DE88 3704 0044 0532 0130 00") == "IBAN: DE88 3704 0044 0532 0130 00"  # wrong check digits
+    assert clean("\u0130stanbul, IBAN DE89370400440532013000, Password: abcdefghij0123456789 and ACCOUNT 12345678") == "\u0130stanbul, IBAN [ACCOUNT], Password: [SECRET] and ACCOUNT [ACCOUNT]"
+
+
 def test_long_runs_take_linear_time():
     finder = pii.Finder()
     begin = time.process_time()
