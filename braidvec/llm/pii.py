@@ -136,7 +136,9 @@ class Finder:
         """(kind, start, end) by start, then kind as listed, then end."""
         found: list[tuple[str, int, int]] = []
         signs, urls, accounts, secrets = [], [], [], []
-        low = text.lower() if text.isascii() else text.translate(_LOW)
+        low = text.lower()
+        if len(low) != len(text):  # one capital becomes two letters
+            low = text.translate(_LOW)
         for end, (kind, length) in self.automaton.iter(low):
             if kind == "email":
                 signs.append(end)
