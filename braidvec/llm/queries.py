@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir
-from . import language, maxent, pieces, pii, quality, rollups, sigtree, suffix, templates, topk
+from . import binpack, language, maxent, pieces, pii, quality, rollups, sigtree, suffix, templates, topk
 from .sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,5 +88,10 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+@query
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     return dict(QUERIES), dict(SQL)
