@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir
-from . import binpack, language, maxent, pieces, pii, quality, rollups, sigtree, suffix, templates, topk
+from . import binpack, language, maxent, pieces, pii, quality, repair, rollups, sigtree, suffix, templates, topk
 from .sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,12 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damage(conversations), conversations.select("conv_id"))
+
+
 @query
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.pack_documents(table(spark, sf_dir, "documents"))
