@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from braidvec.functions import batch as B
 from braidvec.functions.hashing import hex_number, keyed_md5, unit_uniform
+from braidvec.operators.cycles import short_cycles  # noqa: F401 (part of this module's interface)
 from braidvec.operators.encode import GRAPH_LIMIT, nest_graphs
 from braidvec.plans.skew import apart, if_small, per_graph, together
 from braidvec.session import cut_lineage
@@ -357,68 +358,6 @@ def cyclomatic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.withColumn("rings", F.col("m") - F.col("n") + F.col("c"))
 
 
-def _cycles_spread(edges: DataFrame, max_len: int) -> DataFrame:
-    """Paths grown by joins with the edge table; a hub's neighbours are never brought together."""
-    pairs = symmetrize(edges)
-    steps = pairs.select("graph_id", F.col("src").alias("_at"), F.col("dst").alias("_to"))
-    chord = pairs.select("graph_id", F.col("src").alias("_c"), F.col("dst").alias("_to"))
-    paths = pairs.filter("src < dst").select("graph_id", F.array("src", "dst").alias("path"))
-    found = None
-    for size in range(3, max_len + 1):
-        grown = paths.withColumn("_at", F.element_at("path", -1)).join(steps, ["graph_id", "_at"])
-        grown = grown.filter((F.col("_to") > F.col("path")[0]) & ~F.array_contains("path", F.col("_to"))).drop("_at")
-        # Inner path nodes that touch the new node would be chords.
-        inner = grown.withColumn("_c", F.explode_outer(F.slice("path", 2, size - 3) if size > 3 else F.array().cast("array<int>")))
-        touched = inner.join(chord, ["graph_id", "_c", "_to"], "left_semi").select("graph_id", "path", "_to").distinct()
-        clean = grown.join(touched, ["graph_id", "path", "_to"], "left_anti") if size > 3 else grown
-        closes = chord.select("graph_id", F.col("_c").alias("_first"), "_to", F.lit(True).alias("_closed"))
-        marked = clean.withColumn("_first", F.col("path")[0]).join(closes, ["graph_id", "_first", "_to"], "left")
-        marked = cut_lineage(marked.select("graph_id", F.concat("path", F.array("_to")).alias("path"), F.coalesce("_closed", F.lit(False)).alias("closed")))
-        rings = marked.filter("closed AND path[1] < element_at(path, -1)").select("graph_id", "path")
-        found = rings if found is None else found.unionByName(rings)
-        paths = marked.filter("NOT closed").select("graph_id", "path")
-    return found
-
-
-def _cycles_together(edges: DataFrame, max_len: int) -> DataFrame:
-    """Paths grown by one join per length with the neighbour lists of size-checked graphs, in a single chain of joins."""
-    pairs = symmetrize(edges)
-    lists = pairs.groupBy("graph_id", F.col("src").alias("_at")).agg(F.collect_list("dst").alias("_near"))
-    paths = pairs.filter("src < dst").select("graph_id", F.array("src", "dst").alias("path"), F.lit(False).alias("closed"))
-    for size in range(2, max_len + 1):
-        joined = paths.withColumn("_at", F.element_at("path", -1)).join(lists, ["graph_id", "_at"])
-        if size > 2:
-            closes = F.array_contains("_near", F.col("path")[0])
-            chord = F.arrays_overlap("_near", F.slice("path", 2, size - 3)) if size > 3 else F.lit(False)
-            joined = joined.filter(F.col("closed") | ~chord).withColumn("closed", F.col("closed") | closes)
-            joined = joined.filter(~F.col("closed") | (F.col("path")[1] < F.element_at("path", -1)))
-        if size == max_len:
-            return joined.filter("closed").select("graph_id", "path")
-        step = F.when(F.col("closed"), F.array(F.lit(None).cast("int"))).otherwise(F.col("_near"))
-        stepped = joined.select("graph_id", "path", "closed", F.explode(step).alias("_to"))
-        open_step = (F.col("_to") > F.col("path")[0]) & ~F.array_contains("path", F.col("_to"))
-        longer = F.when(F.col("closed"), F.col("path")).otherwise(F.concat("path", F.array("_to")))
-        paths = stepped.filter(F.col("closed") | open_step).select("graph_id", longer.alias("path"), "closed")
-    raise ValueError("max_len must be at least 3")
-
-
-def short_cycles(edges: DataFrame, max_len: int = 6, limit: int = GRAPH_LIMIT) -> DataFrame:
-    """Members of chordless cycles of 3 to ``max_len`` nodes: (graph_id, ring_id, node_id, size).
-
-    Paths start at the smallest node of the cycle and their second node is smaller than the last. A path is dropped as
-    soon as it has a chord, so what is kept grows with the number of chordless paths only."""
-    if max_len < 3:
-        raise ValueError("max_len must be at least 3")
-    edges = edges.select("graph_id", "src", "dst")
-
-    def job(_: DataFrame, e: DataFrame, together: bool) -> DataFrame:
-        return _cycles_together(e, max_len) if together else _cycles_spread(e, max_len)
-
-    found = per_graph(edges.select("graph_id").limit(0), edges, job, limit)
-    ring_id = F.concat_ws("-", F.col("path").cast("array<string>"))
-    return found.select("graph_id", ring_id.alias("ring_id"), F.size("path").alias("size"), F.explode("path").alias("node_id"))
-
-
 # ---------------------------------------------------------------- centrality
 
 

@@ -20,14 +20,17 @@ GROUP_LIMIT = 100_000
 
 def large_keys(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> DataFrame | None:
     """Keys with more than ``limit`` rows, or None. Few keys come marked for broadcast; many stay a table that is joined."""
-    counts = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-    found = counts.limit(BROADCAST_KEYS + 1).collect()
+    return few_keys(df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys))
+
+
+def few_keys(keys: DataFrame) -> DataFrame | None:
+    """A table of keys that is expected to be small, read once: None if empty, marked for broadcast up to BROADCAST_KEYS rows."""
+    found = keys.limit(BROADCAST_KEYS + 1).collect()
     if not found:
         return None
     if len(found) <= BROADCAST_KEYS:
-        schema = df.select(*keys).schema
-        return F.broadcast(df.sparkSession.createDataFrame(found, schema))
-    return cut_lineage(counts)
+        return F.broadcast(keys.sparkSession.createDataFrame(found, keys.schema))
+    return cut_lineage(keys)
 
 
 def if_small(df: DataFrame) -> DataFrame:
