@@ -16,7 +16,8 @@ from braidvec.functions import vsa as V
 from braidvec.functions.features import feature_tuple
 from braidvec.functions.hashing import keyed_md5, unit_uniform
 from braidvec.operators.codebook import Codebook
-from braidvec.operators.encode import _rows_of, encode
+from braidvec.operators.bundling import rows_of
+from braidvec.operators.encode import encode
 from braidvec.operators.graphs import components, double_edges, draw_class, graph_hash
 from braidvec.plans.skew import with_group_rank
 from braidvec.schema import EncoderConfig
@@ -303,7 +304,7 @@ def decode_edges(embeddings: DataFrame, counts: DataFrame, codebook: Codebook, k
                     some = group[low : low + step]
                     if fits:
                         known, matrix = sent.value
-                        own = matrix[_rows_of(known, np.concatenate([names[k] for k in some]))]
+                        own = matrix[rows_of(known, np.concatenate([names[k] for k in some]))]
                     else:
                         own = np.concatenate([B.to_engine(B.vector_rows(batch.column("hvs")[int(k)].values), vsa) for k in some])
                     pairs = peel_pairs(x[some], own.reshape(len(some), size, -1), None, rounds[some], weights, None)
@@ -327,7 +328,7 @@ def decode_edges_free(embeddings: DataFrame, codebook: Codebook, limit: int | No
     if pairs is not None:
         seen = pairs.select("a", "b").distinct().toPandas()  # no more than the pairs just checked
         allowed = np.zeros((len(known), len(known)), bool)
-        a, b = _rows_of(known, seen["a"].to_numpy()), _rows_of(known, seen["b"].to_numpy())
+        a, b = rows_of(known, seen["a"].to_numpy()), rows_of(known, seen["b"].to_numpy())
         allowed[a, b] = allowed[b, a] = True
     sent = embeddings.sparkSession.sparkContext.broadcast((known, matrix, allowed))
     vsa = codebook.vsa

@@ -1,7 +1,7 @@
 """Encoding graphs into hypervectors.
 
-Order-0 and order-1 terms depend on a graph only through how often each tuple, or pair of tuples, occurs. They are built
-from pre-aggregated counts, so no task ever holds the nodes of a large graph. Deeper encodings bring each ordinary graph
+Order-0 and order-1 terms depend on a graph only through how often each tuple, or pair of tuples, occurs. Every task counts its
+own rows and sends counts, or a vector where that is shorter, so no task ever holds the nodes of a large graph. Deeper encodings bring each ordinary graph
 together once by graph_id and run all layers there on Arrow batches; graphs above the size limit take the join path, where
 every layer is a join and a pre-aggregated element-wise sum spread over the cluster.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from braidvec.functions import batch as B
 from braidvec.functions import vsa as V
+from braidvec.operators.bundling import bundle, rows_of, sum_counted
 from braidvec.operators.codebook import Codebook, make_codebook, with_index
 from braidvec.plans.skew import GROUP_LIMIT, per_graph
 from braidvec.schema import EncoderConfig
@@ -30,39 +31,16 @@ def _vector_type(vsa: str) -> str:
     return V.COMPLEX_TYPE if vsa == "FHRR" else "array<double>"
 
 
-def bundle(df: DataFrame, keys: Sequence[str], hv: str = "hv", weight: str | None = None) -> DataFrame:
-    """Element-wise sum of vectors per key, as a partial and a final hash aggregate over (key, position)."""
-    is_struct = df.schema[hv].dataType.typeName() == "struct"
-    factor = F.col(weight) if weight else F.lit(1.0)
-    if not is_struct:
-        cells = df.select(*keys, factor.alias("_w"), F.posexplode(hv).alias("_pos", "_v"))
-        sums = cells.groupBy(*keys, "_pos").agg(F.sum(F.col("_v") * F.col("_w")).alias("_v"))
-        packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_v"))).alias("_cells"))
-        return packed.select(*keys, F.col("_cells._v").alias(hv))
-    pairs = F.arrays_zip(F.col(f"{hv}.re").alias("re"), F.col(f"{hv}.im").alias("im"))
-    cells = df.select(*keys, factor.alias("_w"), F.posexplode(pairs).alias("_pos", "_v"))
-    sums = cells.groupBy(*keys, "_pos").agg(
-        F.sum(F.col("_v.re") * F.col("_w")).alias("re"), F.sum(F.col("_v.im") * F.col("_w")).alias("im")
-    )
-    packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "re", "im"))).alias("_cells"))
-    return packed.select(*keys, F.struct(F.col("_cells.re").alias("re"), F.col("_cells.im").alias("im")).alias(hv))
-
-
 def _finish_column(hv: Column, vsa: str) -> Column:
     return V.from_spectral(hv) if vsa == "HRR" else hv
 
 
-def _rows_of(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(known, wanted)
-    if len(wanted) and (at.max() >= len(known) or not np.array_equal(known[at], wanted)):
-        raise ValueError("a feature index is not in the codebook")
-    return at
-
-
 def _sum_of_counts(counts: DataFrame, key: str, codebook: Codebook, out: str, pairs: bool) -> DataFrame:
-    """Σ count · vector per key from rows (key, idx, cnt), or Σ count · bind from rows (key, a, b, cnt)."""
+    """Σ count · vector per key from rows (key, idx, cnt), or Σ count · bind from rows (key, a, b, cnt); equal rows may repeat."""
     vsa, dim = codebook.vsa, codebook.dim
+    parts = ["a", "b"] if pairs else ["idx"]
     if not codebook.fits:
+        counts = counts.groupBy(key, *parts).agg(F.sum("cnt").alias("cnt"))
         book = codebook.spectral()
         if pairs:
             left = book.table.select(F.col("idx").alias("a"), F.col("hv").alias("_ha"))
@@ -73,45 +51,34 @@ def _sum_of_counts(counts: DataFrame, key: str, codebook: Codebook, out: str, pa
         sums = bundle(rows, [key], weight="cnt")
         return sums.select(key, _finish_column(F.col("hv"), vsa).alias(out))
     sent = counts.sparkSession.sparkContext.broadcast(codebook.matrix())
-    parts = ["a", "b", "cnt"] if pairs else ["idx", "cnt"]
-    # At most one entry per codebook row (or pair of rows): bounded by the codebook, not by the graph.
-    grouped = counts.groupBy(key).agg(F.collect_list(F.struct(*parts)).alias("nodes"))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, matrix = sent.value
-        for whole in batches:
-            padded = whole.append_column("edges", pa.array([[]] * whole.num_rows, pa.list_(pa.int32())))
-            for piece in B.chunks(padded, dim):
-                owner, cells = B._list_parts(piece.column("nodes"))
-                if pairs:
-                    values = matrix[_rows_of(known, cells["a"])] * matrix[_rows_of(known, cells["b"])]
-                else:
-                    values = matrix[_rows_of(known, cells["idx"])]
-                sums = B.segment_sum(values * cells["cnt"][:, None], owner, piece.num_rows)
-                yield pa.RecordBatch.from_arrays([piece.column(key), B.vector_column(B.from_engine(sums, vsa, dim))], [key, out])
-
-    return grouped.mapInArrow(build, f"{key} {counts.schema[key].dataType.simpleString()}, {out} {_vector_type(vsa)}")
+    rows = counts.select(key, F.col(parts[0]).alias("a"), *(["b"] if pairs else []), F.col("cnt").alias("n"))
+    return sum_counted(rows, key, sent, out, pairs, lambda sums: B.vector_column(B.from_engine(sums, vsa, dim)), _vector_type(vsa))
 
 
 def node_terms(nodes: DataFrame, codebook: Codebook) -> DataFrame:
     """Sum of the node vectors of each graph."""
-    counts = with_index(nodes, codebook.bins).groupBy("graph_id", "idx").agg(F.count("*").alias("cnt"))
-    return _sum_of_counts(counts, "graph_id", codebook, "node_terms", pairs=False)
+    rows = with_index(nodes, codebook.bins).select("graph_id", "idx", F.lit(1).alias("cnt"))
+    return _sum_of_counts(rows, "graph_id", codebook, "node_terms", pairs=False)
 
 
-def edge_pair_counts(nodes: DataFrame, edges: DataFrame, bins: Sequence[int]) -> DataFrame:
-    """How often each ordered pair of tuples is joined by a directed edge: (graph_id, a, b, cnt)."""
+def _edge_pairs(nodes: DataFrame, edges: DataFrame, bins: Sequence[int]) -> DataFrame:
+    """(graph_id, a, b) of the tuples of every directed edge."""
     indexed = with_index(nodes, bins).select("graph_id", "node_id", "idx")
     source = indexed.select("graph_id", F.col("node_id").alias("src"), F.col("idx").alias("a"))
     target = indexed.select("graph_id", F.col("node_id").alias("dst"), F.col("idx").alias("b"))
     joined = edges.select("graph_id", "src", "dst").join(source, ["graph_id", "src"]).join(target, ["graph_id", "dst"])
-    return joined.groupBy("graph_id", "a", "b").agg(F.count("*").alias("cnt"))
+    return joined.select("graph_id", "a", "b")
+
+
+def edge_pair_counts(nodes: DataFrame, edges: DataFrame, bins: Sequence[int]) -> DataFrame:
+    """How often each ordered pair of tuples is joined by a directed edge: (graph_id, a, b, cnt)."""
+    return _edge_pairs(nodes, edges, bins).groupBy("graph_id", "a", "b").agg(F.count("*").alias("cnt"))
 
 
 def edge_terms(nodes: DataFrame, edges: DataFrame, codebook: Codebook) -> DataFrame:
     """Sum over directed edges of bind(source, target); graphs without edges get zeros."""
-    counts = edge_pair_counts(nodes, edges, codebook.bins)
-    sums = _sum_of_counts(counts, "graph_id", codebook, "edge_terms", pairs=True)
+    rows = _edge_pairs(nodes, edges, codebook.bins).withColumn("cnt", F.lit(1))
+    sums = _sum_of_counts(rows, "graph_id", codebook, "edge_terms", pairs=True)
     zeros = F.array_repeat(F.lit(0.0), codebook.dim)
     if codebook.vsa == "FHRR":
         zeros = F.struct(zeros.alias("re"), zeros.alias("im"))
@@ -121,7 +88,7 @@ def edge_terms(nodes: DataFrame, edges: DataFrame, codebook: Codebook) -> DataFr
 
 def encode_edge_multiset(edges: DataFrame, codebook: Codebook, key: str = "graph_id", keys: DataFrame | None = None) -> DataFrame:
     """Σ cnt · bind(a, b) from rows (key, a, b, cnt). With ``keys``, those without an edge get a zero vector."""
-    sums = _sum_of_counts(edges.groupBy(key, "a", "b").agg(F.sum("cnt").alias("cnt")), key, codebook, "edge_vector", pairs=True)
+    sums = _sum_of_counts(edges, key, codebook, "edge_vector", pairs=True)
     if keys is None:
         return sums
     zeros = F.array_repeat(F.lit(0.0), codebook.dim)
@@ -154,7 +121,7 @@ class BatchEncoder:
         for i, depth in enumerate(self.depths):
             known, matrix = self.sent.value[i]
             weights = B.measure(self.vsa, self.dims[i])
-            start = matrix[_rows_of(known, flat.node["idx"])]
+            start = matrix[rows_of(known, flat.node["idx"])]
             total, first = B.message_passing(flat, start, depth, self.normalize, weights, self.isolated)
             if weight is not None:
                 total = total * weight[:, None]
@@ -166,7 +133,7 @@ class BatchEncoder:
                 plain = start
                 if self.node_terms_book:
                     known, matrix = self.sent.value[self.node_terms_book]
-                    plain = matrix[_rows_of(known, flat.node["full_idx"])]
+                    plain = matrix[rows_of(known, flat.node["full_idx"])]
                 sums = [B.segment_sum(v, flat.graph_of_node, flat.count) for v in (plain, first)]
                 first_terms = [B.from_engine(v, self.vsa, self.dims[i]) for v in sums]
         return first_terms[0], first_terms[1], np.concatenate(embeddings, axis=1)
@@ -223,7 +190,7 @@ def _encode_spread(nodes: DataFrame, edges: DataFrame, books: list[Codebook], de
         if "weight" in nodes.columns:
             total = total.join(nodes.select("graph_id", "node_id", "weight"), ["graph_id", "node_id"])
             readout = "weight"
-        graph = bundle(total, ["graph_id"], weight=readout)
+        graph = bundle(total, ["graph_id"], weight=readout, tree=True)
         if cfg.normalize_graph:
             graph = graph.withColumn("hv", _unit(F.col("hv"), vsa, parseval))
         graph = graph.select("graph_id", _finish_column(F.col("hv"), vsa).alias("graph_embedding"))
@@ -231,9 +198,9 @@ def _encode_spread(nodes: DataFrame, edges: DataFrame, books: list[Codebook], de
             plain = layers[0]
             if full is not None:
                 plain = nodes.join(full.spectral().joinable().select(F.col("idx").alias("full_idx"), "hv"), "full_idx")
-            terms = bundle(plain.select("graph_id", "hv"), ["graph_id"])
+            terms = bundle(plain.select("graph_id", "hv"), ["graph_id"], tree=True)
             terms = terms.select("graph_id", _finish_column(F.col("hv"), vsa).alias("node_terms"))
-            pairs = bundle(first, ["graph_id"]) if first is not None else terms.select("graph_id").withColumn("hv", _zeros(vsa, book.dim))
+            pairs = bundle(first, ["graph_id"], tree=True) if first is not None else terms.select("graph_id").withColumn("hv", _zeros(vsa, book.dim))
             pairs = pairs.select("graph_id", _finish_column(F.col("hv"), vsa).alias("edge_terms"))
             embedding = terms.join(pairs, "graph_id").join(graph, "graph_id")
         else:
