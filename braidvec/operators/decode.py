@@ -19,15 +19,10 @@ from braidvec.operators.codebook import Codebook
 from braidvec.operators.bundling import rows_of
 from braidvec.operators.encode import encode
 from braidvec.operators.graphs import components, double_edges, draw_class, graph_hash
-from braidvec.plans.skew import with_group_rank
+from braidvec.plans.skew import graph_sizes, with_group_rank
 from braidvec.schema import EncoderConfig
 from braidvec.session import BROADCAST_CELLS, cut_lineage
 
-# Customary bounds on nodes and directed edges for the small and the large layout. No decoder uses them by default.
-NODE_LIMITS = (18, 60)
-EDGE_LIMITS = (50, 122)
-
-
 # ---------------------------------------------------------------- codebook products inside tasks
 
 
@@ -448,18 +443,35 @@ def sample_matchings(edges: DataFrame, bins: Sequence[int], n: int, seed: int, k
 # ---------------------------------------------------------------- candidates
 
 
-def rank_candidates(queries: DataFrame, nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, top_k: int = 1) -> DataFrame:
-    """(query_id, rank, cand_id, sim): candidates encoded, equal structures of a query merged, best cosine first.
+def score_candidates(queries: DataFrame, nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, codebook: Codebook | None = None, target: str = "graph") -> DataFrame:
+    """(query_id, cand_id, wl, n, m, sim): candidates encoded and compared with their query's vector, equal structures of a query
+    merged (the lowest id stays).
 
-    ``queries`` has (query_id, vector); candidate tables carry query_id. The rank limit is applied before the shuffle."""
+    ``queries`` has (query_id, vector); candidate tables carry query_id. ``target`` is the candidate's graph vector, or with
+    "sum" the sum of its node, edge and graph vectors. The sizes of all candidates are counted once for hashing and encoding."""
+    if target not in ("graph", "sum"):
+        raise ValueError("target must be 'graph' or 'sum'")
+    sizes = cut_lineage(graph_sizes(nodes, edges))
     owner = nodes.select("graph_id", "query_id").distinct()
-    hashes = graph_hash(nodes, edges).join(owner, "graph_id")
-    unique = hashes.groupBy("query_id", "wl", "n", "m").agg(F.min("graph_id").alias("graph_id")).select("graph_id", "query_id")
-    unique = cut_lineage(unique)
+    hashes = graph_hash(nodes, edges, sizes=sizes).join(owner, "graph_id")
+    unique = cut_lineage(hashes.groupBy("query_id", "wl", "n", "m").agg(F.min("graph_id").alias("graph_id")))
     kept = unique.select("graph_id")
-    encoded = encode(nodes.join(kept, "graph_id", "left_semi"), edges.join(kept, "graph_id", "left_semi"), cfg)
-    scored = encoded.select("graph_id", "graph_embedding").join(unique, "graph_id").join(queries, "query_id")
-    scored = scored.select("query_id", F.col("graph_id").alias("cand_id"), V.cosine("graph_embedding", "vector").alias("sim"))
+    encoded = encode(nodes.join(kept, "graph_id", "left_semi"), edges.join(kept, "graph_id", "left_semi"), cfg, codebook, sizes=sizes)
+    vector = F.col("graph_embedding")
+    if target == "sum":
+        add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+        terms = [F.col(c) for c in ("node_terms", "edge_terms", "graph_embedding")]
+        if cfg.vsa == "FHRR":
+            vector = F.struct(*(add(add(terms[0][p], terms[1][p]), terms[2][p]).alias(p) for p in ("re", "im")))
+        else:
+            vector = add(add(terms[0], terms[1]), terms[2])
+    scored = encoded.select("graph_id", vector.alias("_v")).join(unique, "graph_id").join(queries.select("query_id", "vector"), "query_id")
+    return scored.select("query_id", F.col("graph_id").alias("cand_id"), "wl", "n", "m", V.cosine("_v", "vector").alias("sim"))
+
+
+def rank_candidates(queries: DataFrame, nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, top_k: int = 1, target: str = "graph") -> DataFrame:
+    """(query_id, rank, cand_id, sim): the best of ``score_candidates``. The rank limit is applied before the shuffle."""
+    scored = score_candidates(queries, nodes, edges, cfg, target=target).select("query_id", "cand_id", "sim")
     window = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 12)), "cand_id")
     return scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= top_k)
 

@@ -232,7 +232,7 @@ def _unit(hv: Column, vsa: str, parseval: int) -> Column:
     )
 
 
-def _encode(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, books: list[Codebook], depths: Sequence[int], full: Codebook | None = None, limit: int = GRAPH_LIMIT) -> DataFrame:
+def _encode(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, books: list[Codebook], depths: Sequence[int], full: Codebook | None = None, limit: int = GRAPH_LIMIT, sizes: DataFrame | None = None) -> DataFrame:
     node_cols = ["idx"] + [c for c in ("full_idx", "weight") if c in nodes.columns]
     edge_cols = [c for c in ("weight",) if c in edges.columns]
     nodes = nodes.select("graph_id", "node_id", *node_cols)
@@ -248,7 +248,7 @@ def _encode(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, books: list[
             return _encode_spread(part_nodes, part_edges, books, depths, cfg, full)
         return nest_graphs(part_nodes, part_edges, node_cols, edge_cols).mapInArrow(task, _encoded_schema(cfg.vsa))
 
-    return per_graph(nodes, edges, job, limit)
+    return per_graph(nodes, edges, job, limit, sizes)
 
 
 def codebook_for(spark: SparkSession, cfg: EncoderConfig) -> Codebook:
@@ -256,10 +256,10 @@ def codebook_for(spark: SparkSession, cfg: EncoderConfig) -> Codebook:
     return make_codebook(spark, cfg.bins, cfg.dim, cfg.vsa, cfg.seed)
 
 
-def encode(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, codebook: Codebook | None = None, limit: int = GRAPH_LIMIT) -> DataFrame:
-    """(graph_id, node_terms, edge_terms, graph_embedding) for every graph."""
+def encode(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, codebook: Codebook | None = None, limit: int = GRAPH_LIMIT, sizes: DataFrame | None = None) -> DataFrame:
+    """(graph_id, node_terms, edge_terms, graph_embedding) for every graph. ``sizes`` may hold the graphs' ``graph_sizes``."""
     book = codebook or codebook_for(nodes.sparkSession, cfg)
-    return _encode(with_index(nodes, cfg.bins), edges.drop("weight"), cfg, [book], [cfg.depth], limit=limit)
+    return _encode(with_index(nodes, cfg.bins), edges.drop("weight"), cfg, [book], [cfg.depth], limit=limit, sizes=sizes)
 
 
 def encode_soft(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, codebook: Codebook | None = None, limit: int = GRAPH_LIMIT) -> DataFrame:

@@ -239,7 +239,7 @@ def wl_labels(nodes: DataFrame, edges: DataFrame, iters: int = 3, keep_rounds: b
     return state
 
 
-def wl_hash(nodes: DataFrame, edges: DataFrame, iters: int = 3) -> DataFrame:
+def wl_hash(nodes: DataFrame, edges: DataFrame, iters: int = 3, sizes: DataFrame | None = None) -> DataFrame:
     """Structural hash of each graph: (graph_id, wl)."""
 
     def job(n: DataFrame, e: DataFrame, whole: bool) -> DataFrame:
@@ -248,13 +248,13 @@ def wl_hash(nodes: DataFrame, edges: DataFrame, iters: int = 3) -> DataFrame:
         grouped = labels.groupBy("graph_id").agg(F.count("*").alias("n"), *sums)
         return grouped.select("graph_id", keyed_md5(F.col("n"), *[F.col(f"_s{i}") for i in range(LANES)]).alias("wl"), "n")
 
-    return per_graph(nodes.select("graph_id", "node_id", "feat"), edges.select("graph_id", "src", "dst"), job, GRAPH_LIMIT)
+    return per_graph(nodes.select("graph_id", "node_id", "feat"), edges.select("graph_id", "src", "dst"), job, GRAPH_LIMIT, sizes)
 
 
-def graph_hash(nodes: DataFrame, edges: DataFrame, iters: int = 3) -> DataFrame:
-    """(graph_id, wl, n, m) with m undirected edges."""
+def graph_hash(nodes: DataFrame, edges: DataFrame, iters: int = 3, sizes: DataFrame | None = None) -> DataFrame:
+    """(graph_id, wl, n, m) with m undirected edges. ``sizes`` may hold the graphs' ``graph_sizes``."""
     counts = edges.groupBy("graph_id").agg(F.count("*").alias("_m"))
-    joined = wl_hash(nodes, edges, iters).join(counts, "graph_id", "left")
+    joined = wl_hash(nodes, edges, iters, sizes).join(counts, "graph_id", "left")
     m = F.floor(F.coalesce("_m", F.lit(0)) / 2).cast("long")
     return joined.select("graph_id", "wl", "n", m.alias("m"))
 

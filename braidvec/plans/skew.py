@@ -45,17 +45,24 @@ def split_large(df: DataFrame, large: DataFrame | None, keys: Sequence[str]) ->
     return df.join(large, list(keys), "left_anti"), df.join(large, list(keys), "left_semi")
 
 
+def graph_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, size): nodes and edges of each graph. Written once, it serves all operators that run on the same graphs."""
+    rows = nodes.select("graph_id").unionByName(edges.select("graph_id"))
+    return rows.groupBy("graph_id").agg(F.count("*").alias("size"))
+
+
 def per_graph(
     nodes: DataFrame,
     edges: DataFrame,
     job: Callable[[DataFrame, DataFrame, bool], DataFrame],
     limit: int = GROUP_LIMIT,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``job(nodes, edges, together)`` on the ordinary graphs, brought together once by graph_id, and on the
-    large graphs, left spread over the cluster (``together`` is False there)."""
+    large graphs, left spread over the cluster (``together`` is False there). ``sizes`` saves counting the rows here."""
     safe_unions(nodes.sparkSession)
-    rows = nodes.select("graph_id").unionByName(edges.select("graph_id"))
-    large = large_keys(rows, ["graph_id"], limit)
+    counted = graph_sizes(nodes, edges) if sizes is None else sizes
+    large = few_keys(counted.filter(F.col("size") > limit).select("graph_id"))
     small_nodes, large_nodes = split_large(nodes, large, ["graph_id"])
     small_edges, large_edges = split_large(edges, large, ["graph_id"])
     out = job(together(small_nodes), together(small_edges), True)
