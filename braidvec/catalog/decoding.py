@@ -266,9 +266,7 @@ def _decoded_graphs(t):
 
 @query("decode_graph")
 def _(t):
-    return _decoded_graphs(t).ranked.withColumn("sim", r6("sim"))
-
-
-@query("decode_graph_states")
-def _(t):
-    return _decoded_graphs(t).states.withColumn("best_sim", r6("best_sim"))
+    """One row a ranked graph, and one a query without any."""
+    out = _decoded_graphs(t)
+    joined = out.states.join(out.ranked, "query_id", "left")
+    return joined.withColumns({"sim": r6("sim"), "best_sim": r6("best_sim")})
