@@ -7,7 +7,8 @@ an alignment. In an alignment the slots must be consistent: every value of the i
 document. Consistent alignments count the item's windows that they cover; a document leaks an item when it covers at least
 ``COVERAGE`` of them, or when it has ``RUN`` tokens of the item in a row word for word, whatever their share and whatever else the
 alignment changes. Two templates are kept of every text: one with names typed, one with plain lower-cased words, so that
-changed capitals do not hide a copy.
+changed capitals do not hide a copy. A window with fewer than ``LITERAL`` tokens besides its placeholders matches word for word only:
+rows of figures would otherwise match each other without bound.
 
 A fixed-size filter of the benchmark's hashes thins out the documents' windows inside the tasks before the join, whatever the
 size of the benchmark; the few windows left are joined in Spark, by broadcast only if the benchmark's windows are few.
@@ -35,6 +36,7 @@ from .text import BLOCK_BYTES, BYTE_VALUE, LOWER, U64, bitmap, blocks, might_hol
 WINDOW = 5
 COVERAGE = 0.5
 RUN = 14  # tokens in a row
+LITERAL = 2  # tokens of a window that are no placeholders, for it to match by its template
 # Windows of the benchmark that are broadcast at most (24 bytes each); above, the join is a shuffle.
 BROADCAST_WINDOWS = 1 << 20
 #: Units of measure and money, typed as placeholders when they follow a number.
@@ -109,6 +111,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     plain = words.copy()
     plain[number] = _NUMBER
     after = np.concatenate([[False], number[:-1]])
+    after[at[:-1][at[:-1] < len(start)]] = False  # the number before belongs to another row
     plain[after & ~number & np.isin(words, _UNIT_HASHES)] = _UNIT
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
     opens = np.ones(len(start), bool)  # first of its row, or after the end of a sentence
@@ -151,9 +154,9 @@ def _windows(window: int, bits: np.ndarray | None, lengths: tuple[int, ...] = ()
                     place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
                     start = at[row] + place
                     stop = np.minimum(start + size, at[row + 1])
-                    # A short window of placeholders only says too little: it stands for its very words.
+                    # A window with hardly any literal token says too little: it stands for its very words.
                     literal = np.concatenate([[0], np.cumsum(~np.isin(stream, (_NUMBER, _NAME, _UNIT)))])
-                    bare = (stop - start < window) & (literal[stop] == literal[start])
+                    bare = literal[stop] - literal[start] < LITERAL
                     if bare.any():
                         hashes = np.where(bare, window_hashes(words, at, size, bits is None)[1], hashes)
                     keys = hashes.view(np.int64)
