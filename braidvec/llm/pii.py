@@ -31,7 +31,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _URL = re.compile(r"[^\x00-\x20\"'<>]+")
-_ACCOUNT = re.compile(r"(?:\x20?(?:number|no|nr|id)\b)?[\x20:=#.\"']{0,4}([A-Za-z0-9][A-Za-z0-9-]{5,33})(?![A-Za-z0-9-])")
+_ACCOUNT = re.compile(r"(?:\x20?(?:number|no|nr|id)\b)?[\x20:=#.\"']{0,4}([A-Za-z0-9][A-Za-z0-9-]{5,}+)")
 #: Printed in groups; where it ends is told by its check digits.
 _IBAN = re.compile(r"(?:\x20?(?:number|no|nr|id)\b)?[\x20:=#.\"']{0,4}([A-Za-z]{2}[0-9]{2}(?:[\x20\xa0]?[A-Za-z0-9]){11,30})")
 _SECRET = re.compile(r"[\x20:=\"']{1,4}([A-Za-z0-9_/+-]{20,}+)")
@@ -107,20 +107,25 @@ def _urls(text: str, anchors: list[tuple[int, str]]) -> Iterator[tuple[int, int]
         elif at and text[at - 1].isalnum():
             continue
         m = _URL.match(text, at + len(word))
-        end = len(text[: m.end()].rstrip(".,;:!?)]}")) if m and m.end() - m.start() < 4096 else (m.end() if m else at)
+        end = m.end() if m else at
+        while m and end > m.start() and text[end - 1] in ".,;:!?)]}":
+            end -= 1
         if m and end > m.start():
             floor = end
             yield start, end
 
 
 def _cued(text: str, ends: list[int], rule: re.Pattern, needs_digit: bool) -> Iterator[tuple[int, int]]:
-    floor = 0
+    floor = done = 0
     for at in ends:
+        if at + 12 < done:  # within a run that was looked at: no later value begins there (12: what may stand before a value)
+            continue
         if needs_digit and (m := _IBAN.match(text, at)) and m.start(1) >= floor and (end := iban_end(text, *m.span(1))):
-            floor = end
+            floor = done = end
             yield m.start(1), end
             continue
         m = rule.match(text, at)
+        done = max(done, m.end(1) if m else 0)
         if m and m.start(1) >= floor and (not needs_digit or sum("0" <= c <= "9" for c in m.group(1)) >= 5):
             floor = m.end(1)
             yield m.span(1)
