@@ -4,10 +4,10 @@ A batch of changes becomes rows with a sign: an insert adds a document's counts,
 Rows are pre-aggregated by (source, lang, tokenizer version) and written to the batch's own folder in one overwrite; a folder
 counts once Spark has finished it. Committing a batch again replaces it by itself, so a repeated or restarted commit changes
 nothing, and a lost executor costs only its tasks. Totals are the sum of all batches: additive, in any order. ``compact`` folds
-many batches into one.
+many batches into one; the new folder remembers their numbers, so that an old batch that comes again is left out.
 
 Defined results: null source, lang or version is a group of its own. A null text has no tokens but is a document. Repeated rows
-of one change count as often as they occur. Totals that fall to no documents and no tokens are left out. An empty batch is valid.
+of one change count as often as they occur. Totals that fall to no documents and no tokens are left out. An empty batch is valid, and a store without a batch has no totals.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import tiktoken
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,12 +104,23 @@ class Rollups:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def commit(self, batch: int, deltas: DataFrame) -> None:
-        """Add a batch; the same number again replaces what it added before."""
+        """Add a batch; the same number again replaces what it added before, and changes nothing once it was folded."""
+        if self._read("folded", "batch long").filter(F.col("batch") == int(batch)).limit(1).count():
+            return
         rows = deltas.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
         rows.write.mode("overwrite").parquet(f"{self.folder}/batch={int(batch):012d}")
 
+    def _read(self, below: str, columns: str) -> DataFrame:
+        """Rows below the folder, none if nothing was written there."""
+        try:
+            return self.spark.read.option("basePath", self.folder).schema(columns).parquet(f"{self.folder}/{below}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], columns)
+
     def _batches(self) -> DataFrame:
-        return self.spark.read.option("basePath", self.folder).parquet(f"{self.folder}/batch=*")
+        return self._read("batch=*", ", ".join([*(f"{k} string" for k in KEYS), *(f"{m} long" for m in MEASURES), "batch long"]))
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens, n_bytes over all batches."""
@@ -116,7 +128,9 @@ class Rollups:
         return rows.filter(" or ".join(f"{m} <> 0" for m in MEASURES))
 
     def compact(self, batch: int, to: str) -> Rollups:
-        """Totals so far as one batch of a new folder."""
+        """Totals so far as one batch of a new folder, which knows the batches that were folded into it."""
         out = Rollups(self.spark, to)
         out.commit(batch, self.totals())
+        folded = self._batches().select("batch").unionByName(self._read("folded", "batch long")).filter(F.col("batch") != int(batch)).distinct()
+        folded.write.mode("overwrite").parquet(f"{out.folder}/folded")
         return out
