@@ -92,6 +92,12 @@ def with_index(nodes: DataFrame, bins: Sequence[int], on_unknown: str = "error",
     return nodes.withColumn("idx", F.coalesce(index, F.raise_error(message).cast("long")))
 
 
+def named_rows(codebook: Codebook, rows: DataFrame, column: str) -> Codebook:
+    """The codebook with those rows only that a column names: the others are left out before their vectors are made."""
+    wanted = rows.select(F.col(column).alias("idx")).distinct()
+    return replace(codebook, table=codebook.table.join(wanted, "idx", "left_semi"))
+
+
 def lookup_hv(nodes: DataFrame, codebook: Codebook) -> DataFrame:
     """Append the vector of each node's tuple."""
     return with_index(nodes, codebook.bins).join(codebook.joinable(), "idx")

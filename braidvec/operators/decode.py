@@ -17,6 +17,7 @@ from braidvec.functions.features import feature_tuple
 from braidvec.functions.hashing import keyed_md5, unit_uniform
 from braidvec.operators.codebook import Codebook
 from braidvec.operators.bundling import rows_of
+from braidvec.operators.decode_wide import decode_pairs_by_rounds, decode_pairs_in_tasks, pair_blocks
 from braidvec.operators.encode import encode
 from braidvec.operators.graphs import components, double_edges, draw_class, graph_hash
 from braidvec.plans.skew import graph_sizes, with_group_rank
@@ -316,9 +317,19 @@ def decode_edges_free(embeddings: DataFrame, codebook: Codebook, limit: int | No
     the remainder is small or no longer shrinks; ``limit`` sets a bound on directed edges in addition (an odd one is rounded
     down), and the output then has a column ``capped``."""
     weights = B.measure(codebook.vsa, codebook.dim)
+    if codebook.rows**2 > BROADCAST_CELLS or not codebook.fits:
+        rows = embeddings.select(key, F.col(vector).alias("v"))
+        blocks = None if pairs is None else pair_blocks(pairs, codebook, BROADCAST_CELLS)
+        if blocks is not None and len(blocks) == 1:
+            found = decode_pairs_in_tasks(rows, blocks[0], codebook, limit, key)
+        else:
+            found = decode_pairs_by_rounds(rows, codebook, blocks, limit, key)
+        counted = found.groupBy(key, "a", "b").agg(F.count("*").alias("cnt"))
+        if limit is None:
+            return counted
+        total = counted.groupBy(key).agg((F.sum("cnt") >= limit // 2 * 2).alias("capped"))
+        return counted.join(total, key).select(key, "a", "b", "capped", "cnt")
     known, matrix = codebook.matrix()
-    if len(known) ** 2 > BROADCAST_CELLS:
-        raise ValueError("too many pairs for one task; prune the codebook to the tuples that occur")
     allowed = None
     if pairs is not None:
         seen = pairs.select("a", "b").distinct().toPandas()  # no more than the pairs just checked

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from braidvec.functions import batch as B
 from braidvec.functions import vsa as V
 from braidvec.operators.bundling import bundle, rows_of, sum_counted
-from braidvec.operators.codebook import Codebook, make_codebook, with_index
+from braidvec.operators.codebook import Codebook, make_codebook, named_rows, with_index
 from braidvec.plans.skew import GROUP_LIMIT, per_graph
 from braidvec.schema import EncoderConfig
 from braidvec.session import cut_lineage
@@ -40,14 +40,12 @@ def _sum_of_counts(counts: DataFrame, key: str, codebook: Codebook, out: str, pa
     vsa, dim = codebook.vsa, codebook.dim
     parts = ["a", "b"] if pairs else ["idx"]
     if not codebook.fits:
-        counts = counts.groupBy(key, *parts).agg(F.sum("cnt").alias("cnt"))
-        book = codebook.spectral()
-        if pairs:
-            left = book.table.select(F.col("idx").alias("a"), F.col("hv").alias("_ha"))
-            right = book.table.select(F.col("idx").alias("b"), F.col("hv").alias("_hb"))
-            rows = counts.join(left, "a").join(right, "b").withColumn("hv", V.bind("_ha", "_hb", vsa))
-        else:
-            rows = counts.join(book.table.select("idx", "hv"), "idx")
+        # A book of this size is joined, and never broadcast on the strength of an estimate.
+        rows = counts.groupBy(key, *parts).agg(F.sum("cnt").alias("cnt"))
+        for part in parts:
+            book = named_rows(codebook, rows, part).spectral()
+            rows = rows.join(book.table.select(F.col("idx").alias(part), F.col("hv").alias(f"_h{part}")).hint("merge"), part)
+        rows = rows.withColumn("hv", V.bind("_ha", "_hb", vsa) if pairs else F.col("_hidx"))
         sums = bundle(rows, [key], weight="cnt")
         return sums.select(key, _finish_column(F.col("hv"), vsa).alias(out))
     sent = counts.sparkSession.sparkContext.broadcast(codebook.matrix())
