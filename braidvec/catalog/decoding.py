@@ -113,6 +113,11 @@ def _(t):
     return D.node_counts_from_edges(_pairs(t).filter("a % 2 = 0"), BINS, "ceil")
 
 
+@query("node_counts_from_edges_ceil_whole", f"{_EDGE_COUNTS} SELECT graph_id, idx, CAST(ceil(s / dg) AS BIGINT) AS cnt FROM stubs")
+def _(t):
+    return D.node_counts_from_edges(_pairs(t), BINS, "ceil")
+
+
 _BROKEN = _EDGE_COUNTS.replace("stubs AS (SELECT graph_id, a AS idx, dg, sum(cnt) AS s FROM pe GROUP BY ALL)", "stubs AS (SELECT graph_id, a AS idx, dg, sum(cnt) AS s FROM pe WHERE (a + b + graph_id) % 5 <> 0 GROUP BY ALL)")
 
 

@@ -134,6 +134,21 @@ def _(t):
     return _three(E.encode_split_rw(augment_rw(t.nodes, t.edges, _WALK), t.edges, cfg)).filter("part <> 'edge'")
 
 
+@query(
+    "encode_dataset_walks",
+    f"""{_RW_SQL}, fullx AS (SELECT n.graph_id, n.node_id, n.idx * 4 + least(greatest(CAST(trunc(w.p::FLOAT * 4::FLOAT) AS INTEGER), 0), 3) AS fidx FROM idx_nodes n JOIN rw w ON w.graph_id = n.graph_id AND w.node_id = n.node_id AND w.k = 6),
+    {map_codebook('cf', ROWS * 4, DIM, SEED + 1000)}, {_CB}, {map_layers(2, False)},
+    x AS (SELECT e.graph_id, a.d, sum(a.v * b.v) AS v FROM edges e JOIN idx_nodes m ON m.graph_id = e.graph_id AND m.node_id = e.src JOIN idx_nodes n ON n.graph_id = e.graph_id AND n.node_id = e.dst
+      JOIN cb a ON a.idx = m.idx JOIN cb b ON b.idx = n.idx AND b.d = a.d GROUP BY ALL)
+    SELECT 'node' AS part, f.graph_id, cf.d, {sql_r6('sum(cf.v)')} AS v FROM fullx f JOIN cf ON cf.idx = f.fidx GROUP BY ALL UNION ALL SELECT 'graph', graph_id, d, {sql_r6('sum(v)')} FROM alls GROUP BY ALL
+    UNION ALL SELECT 'edge', g.graph_id, r.d, {sql_r6('coalesce(x.v, 0)')} FROM (SELECT DISTINCT graph_id FROM nodes) g CROSS JOIN range({DIM}) r(d) LEFT JOIN x ON x.graph_id = g.graph_id AND x.d = r.d""",
+)
+def _(t):
+    """All three parts, walk features computed on the way."""
+    cfg = EncoderConfig(bins=BINS, dim=DIM, depth=2, vsa="MAP", seed=SEED, normalize=False, walk=_WALK)
+    return _three(E.encode_dataset(t.nodes, t.edges, cfg))
+
+
 @query(
     "encode_ensemble",
     f"""{WITH}, {_CB}, {map_codebook('cc', ROWS, 4, SEED + 1)}, {map_layers(2, True)}, {map_layers(1, True, 'cc', 'q')}
@@ -173,9 +188,9 @@ def _(t):
 
 @query("encode_dataset", f"{WITH}, {_CB}, {map_layers(2, True)} {_parts_sql()}")
 def _(t):
-    import tempfile
+    import uuid
 
     from braidvec.session import ensure_checkpoint_dir
 
-    folder = f"{ensure_checkpoint_dir(t.spark)}/encoded-{next(tempfile._get_candidate_names())}"
+    folder = f"{ensure_checkpoint_dir(t.spark)}/encoded-{uuid.uuid4().hex}"
     return _three(E.encode_dataset(t.nodes, t.edges, MAP_UNIT, folder))

@@ -166,6 +166,15 @@ def _(t):
     return _rounded(M.category_frequencies(g.filter("p_brand <> 'Brand#3'"), r.filter("p_brand <> 'Brand#5'"), "p_brand"))
 
 
+@query(
+    "category_frequencies_whole",
+    f"WITH a AS (SELECT p_brand, count(*) AS c FROM part WHERE {_GEN} GROUP BY ALL), b AS (SELECT p_brand, count(*) AS c FROM part WHERE {_REF} GROUP BY ALL) "
+    "SELECT coalesce(a.p_brand, b.p_brand) AS p_brand, round(coalesce(a.c, 0) / (SELECT sum(c) FROM a), 6) AS gen_freq, round(coalesce(b.c, 0) / (SELECT sum(c) FROM b), 6) AS ref_freq FROM a FULL JOIN b ON a.p_brand = b.p_brand",
+)
+def _(t):
+    return _rounded(M.category_frequencies(*_halves(t), "p_brand"))
+
+
 @query(
     "shared_histogram",
     f"""WITH b AS (SELECT min(p_retailprice) AS lo, least(30, greatest(10, CAST(trunc(max(p_retailprice) - min(p_retailprice)) AS INTEGER) + 1)) AS nb, max(p_retailprice) - min(p_retailprice) AS rg FROM part),

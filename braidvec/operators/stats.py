@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from braidvec.functions import vsa as V
 from braidvec.functions.batch import vector_column, vector_rows
 from braidvec.functions.hashing import keyed_md5, unit_uniform
-from braidvec.plans.skew import GROUP_LIMIT, large_keys, order_statistics, smallest_by_hash, split_large, with_global_rank
+from braidvec.plans.skew import GROUP_LIMIT, if_small, large_keys, order_statistics, smallest_by_hash, split_large, with_global_rank
+from braidvec.session import cut_lineage
 
 MIN_STD = 1e-8
 
@@ -318,19 +319,37 @@ def size_histogram(nodes: DataFrame) -> DataFrame:
     return every.join(counts, "size", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
 
+def running_totals(counts: DataFrame, order: str, value: str) -> DataFrame:
+    """Append ``lo`` and ``hi``, the sums of ``value`` before and up to each row in the order of a column without repeats: by a
+    range-partitioned sort, windows inside the ranges, and one sum a range."""
+    ordered = cut_lineage(counts.orderBy(order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = ordered.groupBy("_part").agg(F.sum(value).alias("_sum"))  # one row a range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranges.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_first"))
+    joined = ordered.withColumn("hi", F.sum(value).over(inside)).join(F.broadcast(first), "_part")
+    return joined.withColumn("hi", F.col("hi") + F.col("_first")).withColumn("lo", F.col("hi") - F.col(value)).drop("_part", "_first")
+
+
+# Least number of buckets that points are dealt into.
+_BUCKETS = 1024
+
+
 def sample_sizes(draws: DataFrame, histogram: DataFrame, seed: int, draw_id: str = "draw_id") -> DataFrame:
-    """One size per draw, with replacement, in proportion to the histogram (one small row per size)."""
-    rows = [r for r in histogram.orderBy("size").collect() if r["cnt"] > 0]
-    total, ends = 0, []
-    for r in rows:
-        total += r["cnt"]
-        ends.append(total)
-    table = F.lit([float(e) for e in ends])
-    sizes = F.lit([int(r["size"]) for r in rows])
-    point = unit_uniform(keyed_md5(seed, F.col(draw_id))) * F.lit(float(total))
-    marked = draws.select(draw_id, point.alias("_u"))
-    at = F.size(F.filter(table, lambda e: e <= F.col("_u")))
-    return marked.select(draw_id, F.get(sizes, at).alias("size"))
+    """One size per draw, with replacement, in proportion to the histogram; null if that is empty.
+
+    Every size stands for an interval of the running total. Points and intervals meet by bucket; with as many buckets as sizes, a
+    point meets two intervals on average, whatever the distribution."""
+    bounds = cut_lineage(running_totals(histogram.filter("cnt > 0").select("size", "cnt"), "size", "cnt"))
+    n, total = bounds.agg(F.count("*"), F.max("hi")).first()
+    if not n:
+        return draws.select(draw_id, F.lit(None).cast("int").alias("size"))
+    buckets = max(_BUCKETS, n)
+    bucket = lambda x: F.least(F.floor(x * F.lit(float(buckets)) / F.lit(float(total))), F.lit(buckets - 1))
+    spread = bounds.select("size", "lo", "hi", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))).alias("_b"))
+    points = draws.select(draw_id, (unit_uniform(keyed_md5(seed, F.col(draw_id))) * F.lit(float(total))).alias("_u"))
+    met = points.withColumn("_b", bucket(F.col("_u"))).join(if_small(spread), "_b")
+    return met.filter((F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))).select(draw_id, F.col("size").cast("int").alias("size"))
 
 
 # ---------------------------------------------------------------- sampling and splitting
