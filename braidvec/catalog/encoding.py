@@ -149,11 +149,11 @@ def _(t):
     return _three(E.encode_dataset(t.nodes, t.edges, cfg))
 
 
-@query(
-    "encode_ensemble",
-    f"""{WITH}, {_CB}, {map_codebook('cc', ROWS, 4, SEED + 1)}, {map_layers(2, True)}, {map_layers(1, True, 'cc', 'q')}
-    SELECT graph_id, d, {sql_r6('sum(v)')} AS v FROM alls GROUP BY ALL UNION ALL SELECT graph_id, d + {DIM}, {sql_r6('sum(v)')} FROM allq GROUP BY ALL""",
-)
+ENSEMBLE_SQL = f"""{WITH}, {_CB}, {map_codebook('cc', ROWS, 4, SEED + 1)}, {map_layers(2, True)}, {map_layers(1, True, 'cc', 'q')}
+    SELECT graph_id, d, {sql_r6('sum(v)')} AS v FROM alls GROUP BY ALL UNION ALL SELECT graph_id, d + {DIM}, {sql_r6('sum(v)')} FROM allq GROUP BY ALL"""
+
+
+@query("encode_ensemble", ENSEMBLE_SQL)
 def _(t):
     cfg = EncoderConfig(bins=BINS, dim=DIM, vsa="MAP", seed=SEED, members=((DIM, 2), (4, 1)))
     return long_rows(E.encode_ensemble(t.nodes, t.edges, cfg), ["graph_id"], "graph_embedding")
@@ -186,6 +186,37 @@ def _(t):
     return long_rows(E.encode_weighted_readout(t.nodes, t.edges, weights, MAP_UNIT), ["graph_id"], "graph_embedding")
 
 
+@query("encode_ensemble_files", ENSEMBLE_SQL)
+def _(t):
+    """With the configuration and the member codebooks written to files and loaded again."""
+    from braidvec.catalog.sources import scratch
+    from braidvec.sources import io
+
+    folder = scratch(t)
+    made = EncoderConfig(bins=BINS, dim=DIM, vsa="MAP", seed=SEED, kind="ensemble", members=((DIM, 2), (4, 1)))
+    io.save_encoder(folder, made, io.encoder_codebooks(t.spark, made), t.spark)
+    cfg, books = io.load_encoder(t.spark, folder, "ensemble")
+    return long_rows(E.encode_ensemble(t.nodes, t.edges, cfg, books=books), ["graph_id"], "graph_embedding")
+
+
+_WIDE = 256
+
+
+@query(
+    "encode_map_d256",
+    f"{WITH}, {map_codebook('cw', ROWS, _WIDE, SEED)}, {map_layers(2, False, 'cw')}, w AS (SELECT graph_id, d, CAST(sum(v) AS BIGINT) AS v FROM alls GROUP BY ALL) "
+    "SELECT graph_id, CAST(sum(v * (1 + d * 37 % 101)) AS BIGINT) AS checksum, CAST(sum(v * v) AS BIGINT) AS squares FROM w GROUP BY ALL",
+)
+def _(t):
+    """At a vector size of practical use; every entry counts in the sums."""
+    cfg = EncoderConfig(bins=BINS, dim=_WIDE, depth=2, vsa="MAP", seed=SEED, normalize=False)
+    v = F.transform("graph_embedding", lambda x: F.rint(x).cast("long"))
+    add = lambda acc, x: acc + x
+    checksum = F.aggregate(F.transform(v, lambda x, d: x * (1 + d * 37 % 101)), F.lit(0).cast("long"), add)
+    squares = F.aggregate(F.transform(v, lambda x: x * x), F.lit(0).cast("long"), add)
+    return E.encode(t.nodes, t.edges, cfg).select("graph_id", checksum.alias("checksum"), squares.alias("squares"))
+
+
 @query("encode_dataset", f"{WITH}, {_CB}, {map_layers(2, True)} {_parts_sql()}")
 def _(t):
     import uuid

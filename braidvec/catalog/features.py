@@ -167,6 +167,22 @@ def _(t):
     return t.read("part").select("p_partkey", "p_size").join(grid, "p_size").drop("p_size")
 
 
+@query(
+    "composition_grid_whole",
+    """WITH m AS (SELECT max(p_size) AS top FROM part), g AS (SELECT n.n AS total, c.c AS c, x.x AS n2, y.y AS o, n.n - c.c - x.x - y.y AS f
+      FROM m, range(1, 1000) n(n), range(1, 1000) c(c), range(0, 1000) x(x), range(0, 1000) y(y) WHERE n.n <= m.top AND c.c <= n.n AND x.x <= n.n - c.c AND y.y <= n.n - c.c - x.x),
+    s AS (SELECT total, count(*) AS vectors, CAST(sum(c * c + 2 * n2 * n2 + 3 * o * o + 5 * f * f + c * f) AS BIGINT) AS checksum FROM g GROUP BY ALL)
+    SELECT p_partkey, vectors, checksum FROM part JOIN s ON p_size = total""",
+)
+def _(t):
+    """Every size of the table; the vectors of a size are counted and summed before they meet its rows."""
+    part = t.read("part").select("p_partkey", "p_size")
+    grid = G.composition_grid(t.spark, [k.lower() for k in _KINDS], 1, part.agg(F.max("p_size")).first()[0], "c")
+    c, n, o, f = (F.col(k.lower()).cast("long") for k in _KINDS)
+    sizes = grid.groupBy(F.col("total").alias("p_size")).agg(F.count("*").alias("vectors"), F.sum(c * c + 2 * n * n + 3 * o * o + 5 * f * f + c * f).alias("checksum"))
+    return part.join(sizes, "p_size").drop("p_size")
+
+
 @query(
     "hill_formula",
     f"""{WITH}, c AS (SELECT graph_id, count(*) FILTER (f0 = 0) AS c, count(*) FILTER (f0 = 1) AS n, count(*) FILTER (f0 = 2) AS o FROM nodes GROUP BY ALL)

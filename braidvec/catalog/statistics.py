@@ -168,6 +168,18 @@ def _(t):
     return _rounded(T.info_nce(v, "batch", "a", "b", 0.5))
 
 
+@query(
+    "info_nce_whole",
+    f"""WITH l AS (SELECT x.vec_id AS i, y.vec_id AS j, list_cosine_similarity({_I}, {_J}) / 0.5 AS l FROM embeddings x, embeddings y),
+    r AS (SELECT i, ln(sum(exp(l))) - max(l) FILTER (i = j) AS a FROM l GROUP BY ALL), c AS (SELECT j, ln(sum(exp(l))) - max(l) FILTER (i = j) AS a FROM l GROUP BY ALL)
+    SELECT CAST(0 AS BIGINT) AS batch, count(*) AS n, {sql_r6('(avg(r.a) + avg(c.a)) / 2')} AS loss FROM r JOIN c ON r.i = c.j""",
+)
+def _(t):
+    """All vectors as one batch, scored on the grid."""
+    v = vectors(t).select(F.lit(0).cast("long").alias("batch"), F.slice("v", 1, 32).alias("a"), F.slice("v", 33, 32).alias("b"))
+    return _rounded(T.info_nce(v, "batch", "a", "b", 0.5, limit=64, group_rows=128))
+
+
 @query(
     "translation_loss",
     f"""WITH r AS (SELECT 1 - list_cosine_similarity(embedding[1:32]::DOUBLE[], embedding[33:64]::DOUBLE[]) AS c, list_distance(embedding[1:32]::DOUBLE[], embedding[33:64]::DOUBLE[]) ** 2 AS s FROM embeddings)
@@ -203,6 +215,33 @@ def _(t):
     return _rounded(T.property_regression(v, "x", "y")[1])
 
 
+def _least_squares(inputs: int, outputs: int) -> str:
+    """CTE ``pred`` (vec_id, d, p, y): the first entries of a vector and a constant as inputs, the last ones as outputs. The normal
+    equations of the whole table are solved by elimination, one column a step."""
+    n = inputs + 1
+    return f"""z AS MATERIALIZED (SELECT vec_id, [1.0::DOUBLE] || embedding[1:{inputs}]::DOUBLE[] || embedding[{65 - outputs}:64]::DOUBLE[] AS v FROM embeddings),
+    cells AS (SELECT i.i, j.j, sum(v[i.i] * v[j.j]) AS s FROM z, range(1, {n + 1}) i(i), range(1, {n + outputs + 1}) j(j) GROUP BY ALL),
+    grid AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM cells GROUP BY i)),
+    el AS (SELECT 1 AS k, m FROM grid UNION ALL SELECT k + 1, list_transform(m, lambda r, a: CASE WHEN a = k THEN list_transform(r, lambda x: x / m[k][k])
+      ELSE list_transform(r, lambda x, b: x - r[k] * m[k][b] / m[k][k]) END) FROM el WHERE k <= {n}),
+    sol AS (SELECT m FROM el WHERE k = {n + 1}),
+    pred AS (SELECT vec_id, d.d, list_sum(list_transform(v[1:{n}], lambda x, a: x * m[a][{n} + 1 + d.d])) AS p, v[{n} + 1 + d.d] AS y FROM z, sol, range({outputs}) d(d))"""
+
+
+@query("fit_linear_map_whole", f"WITH RECURSIVE {_least_squares(60, 4)} SELECT vec_id, d, {sql_r6('p')} AS v, (SELECT {sql_r6('avg((p - y) ** 2)')} FROM pred) AS mse FROM pred")
+def _(t):
+    """Sixty input columns and four outputs."""
+    v = vectors(t).select("vec_id", F.slice("v", 1, 60).alias("x"), F.slice("v", 61, 4).alias("y"))
+    model = T.fit_linear_map(v, "x", "y")
+    return long_rows(T.apply_linear_map(v, "x", model), ["vec_id"], "predicted").withColumn("mse", F.round(F.lit(model.mse), 6))
+
+
+@query("property_regression_whole", f"WITH RECURSIVE {_least_squares(63, 1)} SELECT {sql_r6('avg(abs(p - y))')} AS mae, {sql_r6('sqrt(avg((p - y) ** 2))')} AS rmse, {sql_r6('1 - sum((p - y) ** 2) / (var_pop(y) * count(*))')} AS r2 FROM pred")
+def _(t):
+    v = vectors(t).select("vec_id", F.slice("v", 1, 63).alias("x"), F.col("v")[63].alias("y"))
+    return _rounded(T.property_regression(v, "x", "y")[1])
+
+
 @query("regression_metrics", "SELECT round(avg(abs(l_quantity * 1500 - l_extendedprice)), 6) AS mae, round(sqrt(avg((l_quantity * 1500 - l_extendedprice) ** 2)), 6) AS rmse, round(1 - sum((l_quantity * 1500 - l_extendedprice) ** 2) / (var_pop(l_extendedprice) * count(*)), 6) AS r2 FROM lineitem")
 def _(t):
     rows = t.read("lineitem").withColumn("guess", F.col("l_quantity") * 1500)

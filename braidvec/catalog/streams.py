@@ -63,6 +63,40 @@ def _(t):
     return S.take_steps(events, 32, steps, "event_id").groupBy("batch_no").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+_EPOCH_STEPS = 8
+
+
+@query(
+    "run_epoch",
+    f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS pos, -(-count(*) OVER () // {_EPOCH_STEPS}) AS size FROM events)
+    SELECT pos // size AS batch_no, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, round(sum(value), 4) AS total FROM p GROUP BY ALL""",
+)
+def _(t):
+    """All events in a fixed number of micro-batches."""
+    folder, events = scratch(t), t.read("events").select("event_id", "value")
+    size = -(-events.count() // _EPOCH_STEPS)
+
+    def step(rows, number):
+        sums = rows.agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.round(F.sum("value"), 4).alias("total"))
+        sums.write.mode("overwrite").parquet(f"{folder}/out/batch_no={number}")
+
+    S.run_epoch(events, ["event_id"], size, folder, step)
+    out = t.spark.read.parquet(f"{folder}/out")
+    return out.withColumn("batch_no", F.col("batch_no").cast("long"))
+
+
+@query("run_novel", "SELECT DISTINCT CAST(l_shipdate AS VARCHAR) AS day FROM lineitem WHERE l_shipdate IS NOT NULL AND l_shipdate NOT IN (SELECT o_orderdate FROM orders WHERE o_orderdate IS NOT NULL)")
+def _(t):
+    """Ship dates on which nothing was ordered, each once, from a stream of several micro-batches."""
+    folder = scratch(t)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias("day")
+    S.write_key_store(t.read("orders").select(day("o_orderdate")), "day", f"{folder}/store", 16)
+    t.read("lineitem").select(day("l_shipdate")).repartition(4).write.parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema("day string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    S.run_novel(stream, "day", f"{folder}/store", 16, f"{folder}/out", f"{folder}/checkpoint")
+    return t.spark.read.parquet(f"{folder}/out").select("day")
+
+
 _CHECK = f"""{WITH}, s AS (SELECT graph_id, count(*) AS k, bool_or(f0 = 2) AS odd, bool_or(degree > 0) AS has FROM nodes GROUP BY ALL),
 ck AS (SELECT graph_id, CASE WHEN k > 8 THEN 'oversized' WHEN odd THEN 'unsupported' WHEN NOT has THEN 'no_edges' ELSE 'valid' END AS reason FROM s)"""
 

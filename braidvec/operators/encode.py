@@ -8,7 +8,7 @@ every layer is a join and a pre-aggregated element-wise sum spread over the clus
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -272,37 +272,42 @@ def encode_weighted_readout(nodes: DataFrame, edges: DataFrame, weights: DataFra
     return _encode(weighted, edges.drop("weight"), cfg, [codebook_for(nodes.sparkSession, cfg)], [cfg.depth], limit=limit)
 
 
-def encode_split_rw(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, limit: int = GRAPH_LIMIT) -> DataFrame:
+def encode_split_rw(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, limit: int = GRAPH_LIMIT, books: Mapping[str, Codebook] | None = None) -> DataFrame:
     """Message passing on the base tuple; order-0 terms on the tuple with walk bins, from its own codebook (seed + 1000).
 
-    With members, one encoder per (dim, depth), as in ``encode_ensemble``; the order-0 codebook has the first member's size."""
+    With members, one encoder per (dim, depth), as in ``encode_ensemble``; the order-0 codebook has the first member's size.
+    ``books`` are codebooks loaded with the configuration."""
     if cfg.walk is None:
         raise ValueError("encode_split_rw needs a walk configuration")
     spark, width = nodes.sparkSession, len(cfg.bins)
     base = with_index(nodes.withColumn("_base", F.slice("feat", 1, width)), cfg.bins, feat="_base")
     both = with_index(base.withColumnRenamed("idx", "_idx"), cfg.all_bins()).withColumnRenamed("idx", "full_idx")
     members = cfg.members or [(cfg.dim, cfg.depth)]
-    full = make_codebook(spark, cfg.all_bins(), members[0][0], cfg.vsa, cfg.seed + 1000)
+    full = books["full"] if books else make_codebook(spark, cfg.all_bins(), members[0][0], cfg.vsa, cfg.seed + 1000)
     if not full.fits:
         from braidvec.operators.codebook import prune_codebook
 
         full = prune_codebook(full, nodes.select("feat").distinct())
-    books = _member_books(spark, cfg) if cfg.members else [codebook_for(spark, cfg)]
-    return _encode(both.withColumnRenamed("_idx", "idx"), edges.drop("weight"), cfg, books, [depth for _, depth in members], full, limit)
+    own = _member_books(spark, cfg, books) if cfg.members else [books["nodes"] if books else codebook_for(spark, cfg)]
+    return _encode(both.withColumnRenamed("_idx", "idx"), edges.drop("weight"), cfg, own, [depth for _, depth in members], full, limit)
 
 
-def _member_books(spark, cfg: EncoderConfig) -> list[Codebook]:
+def _member_books(spark, cfg: EncoderConfig, books: Mapping[str, Codebook] | None = None) -> list[Codebook]:
+    if books:
+        return [books[f"member_{i}"] for i in range(len(cfg.members))]
     return [make_codebook(spark, cfg.bins, dim, cfg.vsa, cfg.seed + i) for i, (dim, _) in enumerate(cfg.members)]
 
 
-def encode_ensemble(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, limit: int = GRAPH_LIMIT) -> DataFrame:
+def encode_ensemble(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, limit: int = GRAPH_LIMIT, books: Mapping[str, Codebook] | None = None) -> DataFrame:
     """One encoder per (dim, depth) member, seed + i each; graph vectors are joined, terms come from the first. With a walk
-    configuration ``nodes`` must carry the walk bins, and each member encodes as ``encode_split_rw`` does."""
+    configuration ``nodes`` must carry the walk bins, and each member encodes as ``encode_split_rw`` does. ``books`` are the
+    codebooks loaded with the configuration, in place of those made from the seed."""
     if not cfg.members:
         raise ValueError("encode_ensemble needs members")
     if cfg.walk is not None:
-        return encode_split_rw(nodes, edges, cfg, limit)
-    return _encode(with_index(nodes, cfg.bins), edges.drop("weight"), cfg, _member_books(nodes.sparkSession, cfg), [d for _, d in cfg.members], limit=limit)
+        return encode_split_rw(nodes, edges, cfg, limit, books)
+    own = _member_books(nodes.sparkSession, cfg, books)
+    return _encode(with_index(nodes, cfg.bins), edges.drop("weight"), cfg, own, [d for _, d in cfg.members], limit=limit)
 
 
 def encode_dataset(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, path: str | None = None) -> DataFrame:

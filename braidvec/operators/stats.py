@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from braidvec.functions import vsa as V
 from braidvec.functions.batch import vector_column, vector_rows
 from braidvec.functions.hashing import keyed_md5, unit_uniform
+from braidvec.operators.contrastive import info_nce  # noqa: F401  (one of the scores of this module)
 from braidvec.plans.skew import GROUP_LIMIT, if_small, large_keys, order_statistics, smallest_by_hash, split_large, with_global_rank
 from braidvec.session import cut_lineage
 
@@ -219,31 +220,6 @@ def regression_metrics(df: DataFrame, predicted: str, actual: str) -> DataFrame:
 # ---------------------------------------------------------------- scores of vectors
 
 
-def info_nce(df: DataFrame, batch: str, a: str, b: str, temperature: float, block: int = 1024) -> DataFrame:
-    """Symmetric contrastive score per batch: (batch, n, loss). A batch is a training batch and is held by one task; its products
-    are made ``block`` rows at a time and merged as log-sum-exp, so memory grows with the rows and not with their square."""
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        left, right = unit(np.stack(pdf["_a"].to_numpy())), unit(np.stack(pdf["_b"].to_numpy()))
-        own = (left * right).sum(axis=1) / temperature
-        top, total, across = np.full(len(pdf), -np.inf), np.zeros(len(pdf)), 0.0
-        for low in range(0, len(pdf), block):
-            logits = left[low : low + block] @ right.T / temperature
-            peak = logits.max(axis=1)
-            across += float((peak + np.log(np.exp(logits - peak[:, None]).sum(axis=1))).sum())
-            peak = np.maximum(top, logits.max(axis=0))
-            total = total * np.exp(top - peak) + np.exp(logits - peak[None, :]).sum(axis=0)
-            top = peak
-        down = float((top + np.log(total)).sum())
-        loss = ((across + down) / 2 - float(own.sum())) / len(pdf)
-        return pd.DataFrame({batch: [pdf[batch].iloc[0]], "n": [len(pdf)], "loss": [loss]})
-
-    rows = df.select(batch, F.col(a).cast("array<double>").alias("_a"), F.col(b).cast("array<double>").alias("_b"))
-    kind = df.schema[batch].dataType.simpleString()
-    return rows.groupBy(batch).applyInPandas(score, f"{batch} {kind}, n long, loss double")
-
-
 def translation_loss(df: DataFrame, predicted: str, target: str, cosine_weight: float, mse_weight: float) -> DataFrame:
     """One row: mean cosine loss, mean square error per entry, and their weighted sum."""
     p, t = F.col(predicted).cast("array<double>"), F.col(target).cast("array<double>")

@@ -78,17 +78,29 @@ def load_encoder(spark: SparkSession, root: str, kind: str | None = None) -> tup
     books = {}
     for name in row["books"]:
         table = spark.read.parquet(f"{root}/codebook_{name}")
-        bins = cfg.all_bins() if name == "full" else cfg.bins
-        books[name] = Codebook(table, bins, cfg.dim, cfg.vsa, table.count())
+        bins, dim, _ = _book_shape(cfg, name)
+        books[name] = Codebook(table, bins, dim, cfg.vsa, table.count())
     return cfg, books
 
 
+def _book_shape(cfg: EncoderConfig, name: str) -> tuple[tuple[int, ...], int, int]:
+    """(bins, dim, seed) of a codebook of an encoder: ``nodes``, ``full`` or ``member_<i>``."""
+    if name == "full":
+        return cfg.all_bins(), cfg.members[0][0] if cfg.members else cfg.dim, cfg.seed + 1000
+    if name.startswith("member_"):
+        i = int(name.removeprefix("member_"))
+        return cfg.bins, cfg.members[i][0], cfg.seed + i
+    return cfg.bins, cfg.dim, cfg.seed
+
+
 def encoder_codebooks(spark: SparkSession, cfg: EncoderConfig) -> dict[str, Codebook]:
-    """The codebooks an encoder of this configuration uses: nodes, and the full one when walk bins are on."""
-    books = {"nodes": make_codebook(spark, cfg.bins, cfg.dim, cfg.vsa, cfg.seed)}
+    """The codebooks an encoder of this configuration uses: ``nodes``, or one ``member_<i>`` for each member of an ensemble with
+    its own size and seed, and ``full`` when walk bins are on."""
+    names = [f"member_{i}" for i in range(len(cfg.members))] or ["nodes"]
     if cfg.walk is not None:
-        books["full"] = make_codebook(spark, cfg.all_bins(), cfg.dim, cfg.vsa, cfg.seed + 1000)
-    return books
+        names.append("full")
+    shapes = {name: _book_shape(cfg, name) for name in names}
+    return {name: make_codebook(spark, bins, dim, cfg.vsa, seed) for name, (bins, dim, seed) in shapes.items()}
 
 
 def append_new(spark: SparkSession, target: str, df: DataFrame, key: str) -> int:

@@ -94,6 +94,26 @@ def run_steps(stream: DataFrame, steps: int, step: Callable[[DataFrame, int], No
     query.stop()
 
 
+def run_epoch(pool: DataFrame, order: Sequence[str], batch_size: int, folder: str, step: Callable[[DataFrame, int], None]) -> int:
+    """Every row of a pool exactly once, in a fixed order: ``step(rows, number)`` on ⌈n / batch_size⌉ micro-batches of an endless
+    stream of numbers; returns their count. Rows carry their position ``pos``.
+
+    The pool is written once, ordered by position, so a micro-batch reads its own range of positions only. A replayed micro-batch
+    gets the same rows, so a step that overwrites what it wrote under its number is exact. An empty pool raises."""
+    placed, n = index_pool(pool, order)
+    path = f"{folder}/pool"
+    placed.write.mode("overwrite").parquet(path)
+    steps = -(-n // batch_size)
+
+    def once(batch: DataFrame, number: int) -> None:
+        low = number * batch_size
+        rows = batch.sparkSession.read.parquet(path).filter(F.col("pos").between(low, low + batch_size - 1))
+        step(batch.select(F.col("value").alias("pos")).join(rows, "pos"), number)
+
+    run_steps(draws(pool.sparkSession, batch_size), steps, once, f"{folder}/steps")
+    return steps
+
+
 # ---------------------------------------------------------------- nested graphs
 
 
@@ -189,6 +209,47 @@ def stream_novel(stream: DataFrame, reference: DataFrame, key: str, time: str |
     return fresh.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def write_key_store(keys: DataFrame, key: str, store: str, buckets: int) -> None:
+    """Known keys as a table in hash buckets, the start of what ``run_novel`` reads and adds to. Null keys are left out."""
+    known = keys.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("bucket", _bucket(key, buckets))
+    known.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch=-1")
+
+
+def run_novel(stream: DataFrame, key: str, store: str, buckets: int, sink: str, checkpoint: str) -> StreamingQuery:
+    """Write the first row of every key that is neither in the store nor came before, over all time and with no streaming state.
+
+    A micro-batch reads the buckets of its own keys only; its new keys go to ``sink/batch=<number>`` and into the store under the
+    same number. Both are overwritten, and the store is read below the number, so a replayed micro-batch gives the same keys.
+    Null keys are dropped; which of several rows of a key in one micro-batch is kept is not fixed."""
+    schema = T.StructType([stream.schema[key], T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        marked = batch.filter(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("bucket", _bucket(key, buckets)).persist()
+        # At most one number a bucket.
+        touched = [r["bucket"] for r in marked.select("bucket").distinct().collect()]
+        known = spark.read.schema(schema).parquet(store).filter(F.col("bucket").isin(touched) & (F.col("batch") < number))
+        marked.join(known.select(key, "bucket"), [key, "bucket"], "left_anti").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        marked.unpersist()
+        fresh = spark.read.schema(marked.schema).parquet(f"{sink}/batch={number}").select(key, "bucket")
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def fold_key_store(spark: SparkSession, store: str, target: str, key: str) -> None:
+    """The keys of a store in as few files as buckets, in a new folder: for a stopped stream whose many small additions slow its
+    reads. All additions count as known from the start there."""
+    keys = spark.read.parquet(store).select(key, "bucket")
+    keys.repartition("bucket").write.partitionBy("bucket").parquet(f"{target}/batch=-1")
+
+
 def buffer_stats(log: DataFrame, source: str, size: str, order: Sequence[str], capacity: int, sources: DataFrame | None = None) -> DataFrame:
     """Per source: min, max, mean, utilisation in percent and the last ten sizes; zeros for a source without entries.
 
