@@ -44,6 +44,15 @@ def _(t):
     return _rounded(t.spark.createDataFrame(rows, "component long, ratio double"))
 
 
+@query("pca_fit_wide")
+def _(t):
+    """The same components without a matrix of all positions."""
+    from braidvec.operators.wide import pca_fit_wide
+
+    pca = pca_fit_wide(vectors(t), "v", 8)
+    return _rounded(t.spark.createDataFrame([(i, float(pca.ratio[i])) for i in range(8)], "component long, ratio double"))
+
+
 @query("pca_project")
 def _(t):
     v = vectors(t)
