@@ -95,7 +95,31 @@ def _(t):
     return _rounded(M.kl_divergence(*_halves(t), "p_retailprice"))
 
 
-@query("frechet_distance")
+def _by_rows(cells: str) -> str:
+    """A table (i, j, s) as one list of rows."""
+    return f"(SELECT list(r ORDER BY i) FROM (SELECT i, list(s ORDER BY j) AS r FROM {cells} GROUP BY i))"
+
+
+_TURN = "list_transform({m}[1], lambda zero, j: list_transform({m}, lambda r: r[j]))"
+
+
+def _times(a: str, b: str) -> str:
+    return f"list_transform({a}, lambda r: list_transform({_TURN.format(m=b)}, lambda q: list_dot_product(r, q)))"
+
+
+# The root of the product of both covariances by the coupled iteration Y' = Y·T, Z' = T·Z with T = (3I − Z·Y) / 2.
+@query(
+    "frechet_distance",
+    f"""WITH RECURSIVE z AS MATERIALIZED (SELECT embedding::DOUBLE[] AS v, label < 5 AS g FROM embeddings WHERE label IS NOT NULL),
+    mu AS MATERIALIZED (SELECT g, i, avg(v[i]) AS m, count(*) AS n FROM z, range(1, 65) r(i) GROUP BY ALL),
+    cv AS MATERIALIZED (SELECT z.g, a.i, b.i AS j, sum((v[a.i] - a.m) * (v[b.i] - b.m)) / (any_value(a.n) - 1) AS s FROM z JOIN mu a ON a.g = z.g JOIN mu b ON b.g = z.g GROUP BY ALL),
+    pr AS (SELECT {_times("a", "b")} AS m FROM (SELECT {_by_rows("(SELECT * FROM cv WHERE g)")} AS a, {_by_rows("(SELECT * FROM cv WHERE NOT g)")} AS b)),
+    sc AS (SELECT m, sqrt(list_sum(list_transform(m, lambda r: list_dot_product(r, r)))) AS f FROM pr),
+    it AS (SELECT 0 AS k, f, list_transform(m, lambda r: list_transform(r, lambda a: a / f)) AS y, list_transform(m, lambda r, i: list_transform(r, lambda a, j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END)) AS z FROM sc
+      UNION ALL SELECT k + 1, f, {_times("y", "t")}, {_times("t", "z")}
+      FROM (SELECT *, list_transform({_times("z", "y")}, lambda r, i: list_transform(r, lambda a, j: (CASE WHEN i = j THEN 3 ELSE 0 END - a) / 2)) AS t FROM it WHERE k < 40))
+    SELECT {sql_r6("(SELECT sum((a.m - b.m) ** 2) FROM mu a JOIN mu b ON a.i = b.i AND a.g AND NOT b.g) + (SELECT sum(s) FROM cv WHERE i = j) - 2 * sqrt(f) * list_sum(list_transform(y, lambda r, i: r[i]))")} AS distance FROM it WHERE k = 40""",
+)
 def _(t):
     v = vectors(t)
     value = M.frechet_distance(v.filter("label < 5"), v.filter("label >= 5"), "v")

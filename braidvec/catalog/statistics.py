@@ -37,14 +37,35 @@ def _(t):
     return long_rows(z.withColumn("back", T.destandardize("z", mean, std)), ["vec_id"], "back")
 
 
-@query("pca_fit")
+def _components(k: int) -> str:
+    """CTEs up to ``comp`` (i, e, l): the k leading eigenvectors and eigenvalues of the covariance, each with its largest entry
+    positive. A matrix squared 24 times has the leading eigenvector in every column; it is then taken out of the covariance."""
+    return f"""z AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    mu AS (SELECT list(m ORDER BY i) AS mu FROM (SELECT i, avg(v[i]) AS m FROM z, range(1, 65) r(i) GROUP BY ALL)),
+    x AS MATERIALIZED (SELECT vec_id, v, list_transform(v, lambda a, i: a - mu[i]) AS c FROM z, mu),
+    cv AS MATERIALIZED (SELECT i.i, j.j, sum(c[i.i] * c[j.j]) / (SELECT count(*) - 1 FROM z) AS s FROM x, range(1, 65) i(i), range(1, 65) j(j) GROUP BY ALL),
+    co AS (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(s ORDER BY j) AS r FROM cv GROUP BY i)),
+    it AS (SELECT 0 AS k, c, c AS m, []::DOUBLE[][] AS found FROM co
+      UNION ALL SELECT k + 1, CASE WHEN e IS NULL THEN c ELSE rest END, CASE WHEN e IS NULL THEN list_transform(m, lambda r: list_transform(m, lambda q: list_dot_product(r, q) / t)) ELSE rest END,
+        CASE WHEN e IS NULL THEN found ELSE list_append(found, list_append(e, l)) END
+      FROM (SELECT *, list_transform(c, lambda r, i: list_transform(r, lambda a, j: a - l * e[i] * e[j])) AS rest
+        FROM (SELECT *, list_sum(list_transform(e, lambda a, i: a * list_dot_product(c[i], e))) AS l
+          FROM (SELECT *, CASE WHEN k % 25 = 24 THEN list_transform(top, lambda a: a / sqrt(list_dot_product(top, top)) * CASE WHEN list_max(top) >= -list_min(top) THEN 1 ELSE -1 END) END AS e
+            FROM (SELECT *, m[list_position(d, list_max(d))] AS top, list_dot_product(d, d) AS t FROM (SELECT *, list_transform(m, lambda r, i: r[i]) AS d FROM it WHERE k < 25 * {k})))))),
+    comp AS MATERIALIZED (SELECT i, found[i][1:64] AS e, found[i][65] AS l FROM it, range(1, {k + 1}) r(i) WHERE k = 25 * {k})"""
+
+
+_RATIO = f"WITH RECURSIVE {_components(8)} SELECT i - 1 AS component, {sql_r6('l / (SELECT sum(s) FROM cv WHERE i = j)')} AS ratio FROM comp"
+
+
+@query("pca_fit", _RATIO)
 def _(t):
     pca = T.pca_fit(vectors(t), "v", 8)
     rows = [(i, float(pca.ratio[i])) for i in range(8)]
     return _rounded(t.spark.createDataFrame(rows, "component long, ratio double"))
 
 
-@query("pca_fit_wide")
+@query("pca_fit_wide", _RATIO)
 def _(t):
     """The same components without a matrix of all positions."""
     from braidvec.operators.wide import pca_fit_wide
@@ -53,7 +74,7 @@ def _(t):
     return _rounded(t.spark.createDataFrame([(i, float(pca.ratio[i])) for i in range(8)], "component long, ratio double"))
 
 
-@query("pca_project")
+@query("pca_project", f"WITH RECURSIVE {_components(8)} SELECT vec_id, i - 1 AS d, {sql_r6('list_dot_product(c, e)')} AS v FROM x, comp")
 def _(t):
     v = vectors(t)
     return long_rows(T.pca_project(v, "v", T.pca_fit(v, "v", 8)), ["vec_id"], "projected")
@@ -67,7 +88,12 @@ def _(t):
     return long_rows(T.pca_inverse(T.pca_project(v, "v", pca), "projected", pca), ["vec_id"], "restored")
 
 
-@query("pca_roundtrip")
+@query(
+    "pca_roundtrip",
+    f"""WITH RECURSIVE {_components(32)}, p AS (SELECT vec_id, v, j.j, sum(list_dot_product(c, e) * e[j.j]) + any_value(mu[j.j]) AS b FROM x, mu, comp, range(1, 65) j(j) GROUP BY vec_id, v, j.j),
+    ds AS (SELECT 1 - list_cosine_similarity(v, list(b ORDER BY j)) AS d FROM p GROUP BY vec_id, v)
+    SELECT {sql_r6('avg(d)')} AS mean, {sql_r6('max(d)')} AS max, {sql_r6('list_sort(list(d))[(count(*) + 1) // 2]')} AS median FROM ds""",
+)
 def _(t):
     v = vectors(t)
     return _rounded(T.pca_roundtrip(v, "v", T.pca_fit(v, "v", 32)))
