@@ -87,7 +87,14 @@ def _(t):
     return S.internal_diversity(word_bits(t)).select("n", F.round("diversity", 6).alias("diversity"))
 
 
-@query("internal_diversity_graphs")
+# Equal fingerprints are merged; the others meet as bit strings.
+@query(
+    "internal_diversity_graphs",
+    f"""{WITH}, {_FP}, s AS (SELECT graph_id, list_sort(list(bit)) AS bits FROM fp GROUP BY ALL), m AS MATERIALIZED (SELECT bits, count(*) AS w, len(bits) AS k, row_number() OVER () AS r FROM s GROUP BY bits),
+    b AS MATERIALIZED (SELECT r, w, k, unnest(bits) AS bit FROM m), f AS MATERIALIZED (SELECT r, any_value(w) AS w, any_value(k) AS k, bitstring_agg(bit, 0, 2047) AS f FROM b GROUP BY r),
+    p AS (SELECT sum(CASE WHEN x.r = y.r THEN x.w * (x.w - 1) / 2.0 ELSE x.w * y.w * bit_count(x.f & y.f) / (x.k + y.k - bit_count(x.f & y.f))::DOUBLE END) AS s FROM f x JOIN f y ON x.r <= y.r), n AS (SELECT sum(w) AS n FROM m)
+    SELECT CAST(n AS BIGINT) AS n, round(100 * (1 - s / (n * (n - 1) / 2.0)), 6) AS diversity FROM p, n""",
+)
 def _(t):
     fp = S.circular_fingerprint(t.nodes, t.edges)
     return S.internal_diversity(fp).select("n", F.round("diversity", 6).alias("diversity"))

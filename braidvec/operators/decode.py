@@ -5,11 +5,14 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from braidvec.functions import batch as B
 from braidvec.functions import vsa as V
@@ -27,14 +30,22 @@ from braidvec.session import BROADCAST_CELLS, cut_lineage
 # ---------------------------------------------------------------- codebook products inside tasks
 
 
+# Vectors, and codebook numbers, that a task holds where the codebook cannot be sent whole.
+GROUP_ROWS = 1 << 14
+BLOCK_CELLS = 1 << 22
+
+
+def _block_rows(codebook: Codebook, cells: int) -> int:
+    return max(cells // (codebook.dim * (2 if V.is_complex(codebook.vsa) else 1)), 1)
+
+
 def codebook_blocks(codebook: Codebook) -> list[Codebook]:
     """The codebook itself when it may be sent whole, otherwise consecutive index ranges that may."""
     if codebook.fits:
         return [codebook]
     from dataclasses import replace
 
-    per_row = codebook.dim * (2 if V.is_complex(codebook.vsa) else 1)
-    step = max(BROADCAST_CELLS // per_row, 1)
+    step = _block_rows(codebook, BROADCAST_CELLS)
     top = math.prod(codebook.bins)
     return [
         replace(codebook, table=codebook.table.filter((F.col("idx") >= lo) & (F.col("idx") < lo + step)), rows=step)
@@ -49,14 +60,36 @@ def _tiles(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 
 
 def _over_blocks(df: DataFrame, codebook: Codebook, job: Callable, schema: str) -> DataFrame:
-    """Union over the codebook blocks of ``job(known idx, matrix)`` run on Arrow batches."""
-    out = None
-    for block in codebook_blocks(codebook):
-        known, matrix = block.matrix()
-        sent = df.sparkSession.sparkContext.broadcast((known, B.from_engine(matrix, codebook.vsa, codebook.dim)))
-        part = df.mapInArrow(job(sent), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """``job(known idx, matrix)`` run on Arrow batches against the whole codebook.
+
+    A codebook that fits is sent to every task. One of any other size meets the vectors on a grid: the vectors are cut into groups of
+    about GROUP_ROWS, the codebook into ranges of at most BLOCK_CELLS numbers, and a task holds one of each; the driver sees neither."""
+    if codebook.fits:
+        known, matrix = codebook.matrix()
+        return df.mapInArrow(job(df.sparkSession.sparkContext.broadcast((known, B.from_engine(matrix, codebook.vsa, codebook.dim)))), schema)
+    vsa, dim = codebook.vsa, codebook.dim
+    step = _block_rows(codebook, min(BLOCK_CELLS, BROADCAST_CELLS))
+    numbered = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    groups, blocks = max(1, -(-numbered.count() // GROUP_ROWS)), -(-math.prod(codebook.bins) // step)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = numbered.withColumn("_g", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int")).drop("_row").withColumn("_k", every(blocks))
+    right = codebook.table.select("idx", "hv", F.floor(F.col("idx") / step).cast("int").alias("_k")).withColumn("_g", every(groups))
+    names = df.columns
+    empty = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
+
+    def cell(vectors: pa.Table, book: pa.Table) -> pa.Table:
+        book = book.sort_by("idx").combine_chunks()
+        found = []
+        if vectors.num_rows and book.num_rows:
+            batch = book.to_batches()[0]
+            values = B.vector_rows(batch.column("hv"))
+            half = np.iscomplexobj(values) and vsa == "HRR"  # already a spectrum
+            matrix = B.from_engine(values[:, : dim // 2 + 1] if half else B.to_engine(values, vsa), vsa, dim)
+            sent = SimpleNamespace(value=(batch.column("idx").to_numpy(zero_copy_only=False).astype(np.int64), matrix))
+            found = list(job(sent)(iter(vectors.select(names).combine_chunks().to_batches())))
+        return pa.Table.from_batches(found) if found else empty
+
+    return left.groupBy("_g", "_k").cogroup(right.groupBy("_g", "_k")).applyInArrow(cell, schema)
 
 
 def decode_counts(embeddings: DataFrame, codebook: Codebook, key: str = "graph_id", vector: str = "node_terms") -> DataFrame:

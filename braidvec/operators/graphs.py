@@ -13,11 +13,13 @@ from braidvec.functions import batch as B
 from braidvec.functions.hashing import hex_number, keyed_md5, unit_uniform
 from braidvec.operators.cycles import short_cycles  # noqa: F401 (part of this module's interface)
 from braidvec.operators.encode import GRAPH_LIMIT, nest_graphs
-from braidvec.plans.skew import apart, if_small, per_graph, together
+from braidvec.plans.skew import apart, few_keys, if_small, per_graph, safe_unions, split_large, together
 from braidvec.session import cut_lineage
 
 LANES = 4  # 32-bit pieces of an md5 digest that are summed to hash a multiset
 MAX_ROUNDS = 64
+# Nodes of one graph that a task pairs with all its nodes.
+PAIR_NODES = 2000
 
 
 # ---------------------------------------------------------------- edges and degrees
@@ -63,11 +65,25 @@ def anchors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return residual_degree(nodes, edges).filter("residual > 0")
 
 
-def all_pairs(nodes: DataFrame) -> DataFrame:
-    """Every ordered pair of different nodes of a graph, as class 0."""
+def all_pairs(nodes: DataFrame, limit: int = PAIR_NODES) -> DataFrame:
+    """Every ordered pair of different nodes of a graph, as class 0.
+
+    A graph of more than ``limit`` nodes is cut into groups of about so many: its pairs are made by (graph, group of src), each by
+    another task."""
     left = nodes.select("graph_id", F.col("node_id").alias("src"))
     right = nodes.select("graph_id", F.col("node_id").alias("dst"))
-    return left.join(right, "graph_id").filter("src <> dst").withColumn("bond", F.lit(0))
+    wide = nodes.groupBy("graph_id").count().filter(F.col("count") > limit)
+    large = few_keys(wide.select("graph_id", F.ceil(F.col("count") / limit).cast("int").alias("_n")))
+    if large is None:
+        out = left.join(right, "graph_id")
+    else:
+        safe_unions(nodes.sparkSession)
+        small, _ = split_large(left, large.drop("_n"), ["graph_id"])
+        one = left.join(large, "graph_id").withColumn("_g", F.pmod(F.xxhash64("src"), F.col("_n")).cast("int"))
+        other = right.join(large, "graph_id").withColumn("_g", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        met = apart(one.drop("_n"), "_g").join(apart(other.drop("_n"), "_g"), ["graph_id", "_g"]).drop("_g")
+        out = small.join(right, "graph_id").unionByName(met)
+    return out.filter("src <> dst").withColumn("bond", F.lit(0))
 
 
 def edges_from_classes(pairs: DataFrame) -> DataFrame:
