@@ -58,7 +58,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sigtree.jaccard_components(table(spark, sf_dir, "documents"))
+    return sigtree.jaccard_links(table(spark, sf_dir, "documents"))
 
 
 @query

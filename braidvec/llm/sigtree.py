@@ -16,15 +16,21 @@ The result is one row per document with the component of the link graph it belon
    compared exactly. Links are kept as a spanning forest: copies need not be expanded into all pairs.
 5. *Rest.* Chunks of one block are compared with each other by the same traversal, unless all members of both are linked already.
 
+``jaccard_components`` stops there. ``jaccard_links`` also counts every document's links: its traversal drops pairs of nodes by size
+and overlap only, and the leaf pairs left are compared whole, with one 64-bit mask of the left leaf's sets for every shingle. Links
+between classes are weighed by the classes' members, so copies are counted without being expanded. No pair is written: a task sends
+one number a set. Counting all links costs the square of the different texts of a group, in pieces of two chunks a task.
+
 Sets travel as 64-bit hashes of shingles; sets are compared by them.
 
 Defined results: null texts, and texts without words, have an empty set and link with nothing. A text with fewer words than a
-shingle has its whole sequence as its one shingle. Rows without doc_id get component null. Repeated rows are answered alike.
+shingle has its whole sequence as its one shingle. Rows without doc_id get component null and no links. Repeated rows are answered
+alike; each counts as a document, so it links with the others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +45,11 @@ PERCENT = 75
 CHUNK = 4096  # sets of a block that one task compares with each other, at most
 CHUNK_ITEMS = 1 << 22  # shingles of those sets, at most
 LEAF = 8
+LINK_CHUNK = 1024  # as CHUNK, where all links are counted
 LEVEL = float(np.log(100 / PERCENT))  # linked sets differ in the logarithm of their size by this much at most
 OFFERED = 1 << 21  # offered shingles that a task gathers before it sends them
 SKETCH = 1 << 18  # counters of the rarity order
+FILTER_BUCKETS = 1 << 13  # most buckets (4 KiB each) of the filter of candidates; beyond, candidates are found by a join
 
 
 # --- sets --------------------------------------------------------------------------------------------------------------------
@@ -206,7 +214,7 @@ def _add_credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _thin(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, d1, d2) of every row; (rep, n, d1, d2) of the classes that may link with another.
+    """(doc_id, n, d1, d2) of every row; (rep, n, d1, d2, members) of the classes that may link with another.
 
     The text is read twice, so that the offered shingles travel once and are never stored."""
     parts = parts_of(docs)
@@ -215,9 +223,9 @@ def _thin(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     offers = texts.select("text").mapInArrow(_offer(parts, width), _SCAN_SQL).repartitionById(parts, F.col("part"))
     given = offers.mapInArrow(_count_offers(parts), _SCAN_SQL).repartitionById(parts, F.col("part"))
     credit = given.mapInArrow(_add_credits, "d1 long, credit long")
-    classes = rows.filter("doc_id is not null and n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = rows.filter("doc_id is not null and n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
     least = F.ceil(F.ceil(F.col("n") * PERCENT / 100) / 4)
-    return rows, cut_lineage(classes.join(credit, "d1").filter(F.col("credit") >= least).select("rep", "n", "d1", "d2"))
+    return rows, cut_lineage(classes.join(credit, "d1").filter(F.col("credit") >= least).select("rep", "n", "d1", "d2", "members"))
 
 
 # --- sets of the candidates and blocks -------------------------------------------------------------------------------------------
@@ -229,19 +237,24 @@ _SETS_SQL = "rep long, d1 long, items binary"
 def _candidate_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """rep, d1, items: the sorted hashes of the candidates' sets, and of a few others that the filter lets through; those and
     repeated rows do no harm, as later joins are by (rep, d1) and a set's links with itself are dropped."""
-    bits = bitmap(classes, F.xxhash64("rep"))
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("key")).filter("doc_id is not null and text is not null")
+    # Sixteen bits a candidate.
+    buckets = max(256, -(-16 * classes.count() // 32768))
+    if buckets > FILTER_BUCKETS:
+        texts = texts.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sent = None
+    else:
+        sent = docs.sparkSession.sparkContext.broadcast(bitmap(classes, F.xxhash64("rep"), buckets))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(might_hold(sent.value, batch.column("key").to_numpy())))
+            some = batch if sent is None else batch.filter(pa.array(might_hold(sent.value, batch.column("key").to_numpy())))
             for rows, data, offsets in text_blocks(iter([some])):
                 hashes, at = shingle_sets(data, offsets, width)
                 raw = hashes.tobytes()
                 items = [raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield record(_SETS, rows.column("doc_id"), set_digests(hashes, at)[0].view(np.int64), items)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("key")).filter("doc_id is not null and text is not null")
     return texts.mapInArrow(task, _SETS_SQL)
 
 
@@ -409,8 +422,8 @@ def components(edges: DataFrame) -> DataFrame:
 class Tree:
     """Leaves of up to LEAF sets and their ancestors, with OR bitmaps, size ranges and the most collisions of a bitmap."""
 
-    def __init__(self, sets: list[np.ndarray], width: int) -> None:
-        self.sets = sets
+    def __init__(self, sets: list[np.ndarray], width: int, leaf: int = LEAF) -> None:
+        self.sets, self.leaf = sets, leaf
         self.size = np.array([len(s) for s in sets])
         self.bits = np.zeros((len(sets), width // 64), U64)
         owner = np.repeat(np.arange(len(sets)), self.size)
@@ -418,7 +431,7 @@ class Tree:
         np.bitwise_or.at(self.bits, (owner, (bit >> U64(6)).astype(np.int64)), U64(1) << (bit & U64(63)))
         self.extra = self.size - np.bitwise_count(self.bits).sum(1)
         # Levels from the leaves to the root; node k of a level covers nodes 2k and 2k + 1 below it.
-        starts = np.arange(0, len(sets), LEAF)
+        starts = np.arange(0, len(sets), leaf)
         level = [np.bitwise_or.reduceat(self.bits, starts, axis=0), np.minimum.reduceat(self.size, starts), np.maximum.reduceat(self.size, starts), np.maximum.reduceat(self.extra, starts)]
         self.levels = [level]
         while len(level[0]) > 1:
@@ -427,7 +440,7 @@ class Tree:
             self.levels.append(level)
 
     def members(self, level: int, node: int) -> range:
-        step = LEAF << level
+        step = self.leaf << level
         return range(node * step, min(len(self.sets), (node + 1) * step))
 
     def below(self, level: int, node: int) -> list[int]:
@@ -450,11 +463,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * same >= PERCENT * (both - same)
 
 
-def dual_join(left: Tree, right: Tree, forest: Forest, shift: int) -> Iterator[tuple[int, int]]:
-    """Links (member of left, member of right) that connect what was apart; ``shift`` is the right tree's place in the forest.
-
-    With ``left is right``, pairs within the tree.
-    """
+def leaf_pairs(left: Tree, right: Tree, settled: Callable[[range, range], bool] | None = None) -> Iterator[tuple[range, range]]:
+    """Pairs of leaves whose members may link, by size and largest overlap of all nodes above them; pairs of nodes whose members
+    are ``settled`` are left out. With ``left is right``, every unordered pair within the tree comes once."""
     same_tree = left is right
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
@@ -468,24 +479,10 @@ def dual_join(left: Tree, right: Tree, forest: Forest, shift: int) -> Iterator[t
             if most * (100 + PERCENT) < PERCENT * (int(sa[a]) + int(sb[b])):
                 continue
         inner, outer = left.members(la, a), right.members(lb, b)
-        roots = {forest.root(x) for x in inner} | {forest.root(shift + y) for y in outer} if len(inner) + len(outer) <= 4 * LEAF else None
-        if roots is not None and len(roots) == 1:
+        if settled is not None and settled(inner, outer):
             continue
-        if roots is None:
-            lab = forest.labels()
-            one = lab[inner.start]
-            if (lab[inner.start : inner.stop] == one).all() and (lab[shift + outer.start : shift + outer.stop] == one).all():
-                continue
         if la == 0 and lb == 0:
-            x, y = np.arange(inner.start, inner.stop), np.arange(outer.start, outer.stop)
-            common = np.bitwise_count(left.bits[x][:, None, :] & right.bits[y][None, :, :]).sum(2)
-            most = common + np.minimum(left.extra[x][:, None], right.extra[y][None, :])
-            maybe = most * (100 + PERCENT) >= PERCENT * (left.size[x][:, None] + right.size[y][None, :])
-            for i, j in zip(*np.nonzero(maybe), strict=True):
-                p, q = int(x[i]), int(y[j])
-                if (not same_tree or p < q) and forest.root(p) != forest.root(shift + q) and linked(left.sets[p], right.sets[q]):
-                    forest.join(p, shift + q)
-                    yield p, q
+            yield inner, outer
         elif la >= lb:
             if same_tree and la == lb and a == b:
                 kids = left.below(la, a)
@@ -498,6 +495,110 @@ def dual_join(left: Tree, right: Tree, forest: Forest, shift: int) -> Iterator[t
             stack += [(la, a, lb - 1, j) for j in right.below(lb, b)]
 
 
+def may_link(left: Tree, inner: range, right: Tree, outer: range) -> np.ndarray:
+    """Which members of two leaves may link, by their own bitmaps."""
+    x, y = slice(inner.start, inner.stop), slice(outer.start, outer.stop)
+    common = np.bitwise_count(left.bits[x][:, None, :] & right.bits[y][None, :, :]).sum(2)
+    most = common + np.minimum(left.extra[x][:, None], right.extra[y][None, :])
+    return most * (100 + PERCENT) >= PERCENT * (left.size[x][:, None] + right.size[y][None, :])
+
+
+def dual_join(left: Tree, right: Tree, forest: Forest, shift: int) -> Iterator[tuple[int, int]]:
+    """Links (member of left, member of right) that connect what was apart; ``shift`` is the right tree's place in the forest.
+
+    With ``left is right``, pairs within the tree.
+    """
+    same_tree = left is right
+
+    def settled(inner: range, outer: range) -> bool:
+        if len(inner) + len(outer) <= 4 * LEAF:
+            return len({forest.root(x) for x in inner} | {forest.root(shift + y) for y in outer}) == 1
+        lab = forest.labels()
+        one = lab[inner.start]
+        return bool((lab[inner.start : inner.stop] == one).all() and (lab[shift + outer.start : shift + outer.stop] == one).all())
+
+    for inner, outer in leaf_pairs(left, right, settled):
+        for i, j in zip(*np.nonzero(may_link(left, inner, right, outer)), strict=True):
+            p, q = inner[i], outer[j]
+            if (not same_tree or p < q) and forest.root(p) != forest.root(shift + q) and linked(left.sets[p], right.sets[q]):
+                forest.join(p, shift + q)
+                yield p, q
+
+
+_MASK = 64  # sets of a leaf where links are counted: one bit each
+_ENTRIES = 1 << 17  # shingles that are looked up at once
+
+
+class Overlaps:
+    """Exact sizes of the intersections of leaves, from numbers of the shingles that occur in several sets."""
+
+    def __init__(self, trees: list[Tree]) -> None:
+        sets = [s for tree in trees for s in tree.sets]
+        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        several = count[code] > 1
+        kept = np.concatenate([[0], np.cumsum(several)])[at]
+        code = number[code[several]]
+        self.codes = [code[a:b] for a, b in zip(kept[:-1], kept[1:], strict=True)]
+        self.mask = np.zeros(int(number[-1]) + 1 if len(number) else 0, U64)
+        self.held = range(0)
+
+    def hold(self, inner: range) -> None:
+        """Mark the shingles of these sets (places in the list of all trees' sets)."""
+        if inner != self.held:
+            for k in self.held:
+                self.mask[self.codes[k]] = 0
+            for i, k in enumerate(inner):
+                self.mask[self.codes[k]] |= U64(1 << i)
+            self.held = inner
+
+    def sizes(self, outer: range) -> np.ndarray:
+        """(sets held, sets of ``outer``): sizes of the intersections."""
+        owner = np.repeat(np.arange(len(outer)), [len(self.codes[k]) for k in outer])
+        code = np.concatenate([self.codes[k] for k in outer])
+        out = np.zeros((len(outer), _MASK), np.int64)
+        for low in range(0, len(code), _ENTRIES):
+            word, row = self.mask[code[low : low + _ENTRIES]], owner[low : low + _ENTRIES]
+            hit = word != 0
+            word, row = word[hit], row[hit]
+            if len(row):
+                bits = np.unpackbits(word.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                out[row[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        return out[:, : len(self.held)].T
+
+
+def count_links(left: Tree, right: Tree, weigh_left: np.ndarray, weigh_right: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(weight of the partners of each set of left, of right, links that span the components) over all links of two trees, or
+    within one. Both trees have leaves of ``_MASK`` sets."""
+    same_tree = left is right
+    shift = 0 if same_tree else len(left.sets)
+    forest = Forest(shift + len(right.sets))
+    one, two, spanning = np.zeros(len(left.sets), np.int64), np.zeros(len(right.sets), np.int64), []
+    pairs = sorted(leaf_pairs(left, right), key=lambda p: (p[0].start, p[1].start))
+    overlaps = Overlaps([left] if same_tree else [left, right]) if pairs else None
+    for inner, outer in pairs:
+        maybe = may_link(left, inner, right, outer)
+        if same_tree and inner == outer:
+            np.fill_diagonal(maybe, False)
+        if not maybe.any():
+            continue
+        x, y = slice(inner.start, inner.stop), slice(outer.start, outer.stop)
+        overlaps.hold(inner)
+        shared = overlaps.sizes(range(shift + outer.start, shift + outer.stop))
+        link = maybe & (100 * shared >= PERCENT * (left.size[x][:, None] + right.size[y][None, :] - shared))
+        one[x] += link @ weigh_right[y]
+        if not (same_tree and inner == outer):
+            two[y] += weigh_left[x] @ link
+        p, q = np.nonzero(link)
+        p, q = p + inner.start, q + outer.start
+        label = forest.labels()
+        new = label[p] != label[shift + q]
+        spanning += [(a, b) for a, b in zip(p[new].tolist(), q[new].tolist(), strict=True) if forest.join(a, shift + b)]
+    return one, two, spanning
+
+
 def _block_order(sets: list[np.ndarray]) -> np.ndarray:
     """Sets that are alike come together: by their smallest hashes, then by size."""
     low = np.array([[s[0], s[min(1, len(s) - 1)], len(s)] for s in sets], U64)
@@ -595,35 +696,111 @@ def _link_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield from _edges(list(link_chunks(pick(one), pick(two))))
 
 
+_FOUND_SQL = "a long, b long, links long"
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+_PAIR = ("block", "x_level", "x_chunk", "y_level", "y_chunk")
+
+
+def _count_within_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of chunks, or single ones: (rep, d1, weight of the partners) of every set that has some, and spanning links of
+    (rep, rep, null)."""
+    for _, (reps, d1, sets, side, weight) in _groups(batches, _PAIR, ("rep", "d1", "items", "side", "weight")):
+        # A row may be repeated in the table; a class counts once.
+        _, first = np.unique(np.stack([side.astype(np.int64), reps, d1]), axis=1, return_index=True)
+        if len(first) < 2:
+            continue
+        sides = []
+        for k in (0, 1):
+            own = first[side[first] == k]
+            own = own[_block_order([sets[m] for m in own])] if len(own) else own
+            sides.append(own)
+        if not len(sides[1]):
+            sides[1] = sides[0]
+        elif not len(sides[0]):
+            continue
+        width = bitmap_width(max(len(sets[m]) for own in sides for m in own))
+        trees = [Tree([sets[m] for m in own], width, _MASK) for own in sides]
+        same = sides[0] is sides[1]
+        if same:
+            trees[1] = trees[0]
+        one, two, spanning = count_links(trees[0], trees[1], weight[sides[0]], weight[sides[1]])
+        if same:
+            one, two = one + two, np.zeros_like(two)
+        for own, links in zip(sides, (one, two), strict=True):
+            some = links > 0
+            if some.any():
+                yield record(_FOUND, reps[own[some]], d1[own[some]], links[some])
+        if spanning:
+            at = np.array(spanning)
+            yield record(_FOUND, reps[sides[0][at[:, 0]]], reps[sides[1][at[:, 1]]], pa.nulls(len(at), pa.int64()))
+
+
 def _labelled(df: DataFrame, edges: DataFrame) -> DataFrame:
     names = components(edges)
     return df.join(names, df["rep"] == names["node"], "left").select(df["*"], F.coalesce("label", "rep").alias("label"))
 
 
-def jaccard_components(docs: DataFrame, width: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of (doc_id, text)."""
-    rows, classes = _thin(docs, width)
-    sets = cut_lineage(_candidate_sets(docs, classes, width))
-    parts = parts_of(docs)
-    spark = docs.sparkSession
+def _placed(classes: DataFrame, sets: DataFrame, parts: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(block, level, chunk, rep, n, d1, members) of the classes in blocks of one chunk, and of those in larger blocks."""
+    spark = sets.sparkSession
     ties = sets.mapInArrow(_ties(parts, _sketch(sets), spark), _TIE_SQL).repartitionById(parts, F.col("part")).mapInArrow(_tie_edges, _EDGE_SQL)
     blocks = components(ties).select(F.col("node").alias("rep"), F.col("label").alias("block"))
     # Everything is planned on narrow rows; the sets join last.
-    placed = cut_lineage(blocks.join(classes.select("rep", "n", "d1"), "rep"))
+    placed = cut_lineage(blocks.join(classes.select("rep", "n", "d1", "members"), "rep"))
     share = F.greatest(F.count("*") / chunk, F.sum("n") / CHUNK_ITEMS)
     size = placed.groupBy("block").agg(share.alias("share"))
-    few = placed.join(size.filter("share <= 1"), "block").select("block", F.lit(0).alias("level"), F.lit(0).alias("chunk"), "rep", "n", "d1")
+    columns = ["rep", "n", "d1", "members"]
+    few = placed.join(size.filter("share <= 1"), "block").select("block", F.lit(0).alias("level"), F.lit(0).alias("chunk"), *columns)
     # Large blocks are cut by size of the set, in steps such that linked sets are on one level or on neighbouring ones, and by hash.
     level = F.floor(F.ln("n") / F.lit(LEVEL)).cast("int")
     levels = placed.join(size.filter("share > 1"), "block").withColumn("level", level)
     count = levels.groupBy("block", "level").agg(F.ceil(2 * share).alias("chunks"))
-    many = cut_lineage(levels.join(count, ["block", "level"]).select("block", "level", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", "n", "d1"))
+    many = levels.join(count, ["block", "level"]).select("block", "level", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), *columns)
+    return few, cut_lineage(many)
+
+
+def jaccard_components(docs: DataFrame, width: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of (doc_id, text)."""
+    rows, classes = _thin(docs, width)
+    sets = cut_lineage(_candidate_sets(docs, classes, width))
+    parts = parts_of(docs)
+    few, many = _placed(classes, sets, parts, chunk)
     links = cut_lineage(_links_within(few.unionByName(many), sets, parts))
     if many.head(1):
-        links = _link_large(many, sets, links, parts, chunk)
+        links = _link_large(many.drop("members"), sets, links, parts, chunk)
     joined = components(links)
-    named = classes.join(joined, classes["rep"] == joined["node"]).select("n", "d1", "d2", "label")
-    return _answer(rows, named)
+    named = classes.join(joined, classes["rep"] == joined["node"]).select("n", "d1", "d2", "label", F.lit(0).alias("links"))
+    return _answer(rows, named).drop("n_links")
+
+
+def jaccard_links(docs: DataFrame, width: int = SHINGLE, chunk: int = LINK_CHUNK) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other rows that it links with) of every row of (doc_id, text)."""
+    rows, classes = _thin(docs, width)
+    sets = cut_lineage(_candidate_sets(docs, classes, width))
+    parts = parts_of(docs)
+    few, many = _placed(classes, sets, parts, chunk)
+    found = cut_lineage(_count_all(few, many, sets, parts))
+    joined = components(found.filter("links is null").select("a", "b"))
+    counts = found.filter("links is not null").groupBy(F.col("a").alias("rep"), F.col("b").alias("d1")).agg(F.sum("links").alias("links"))
+    named = classes.join(joined, classes["rep"] == joined["node"]).join(counts, ["rep", "d1"], "left")
+    return _answer(rows, named.select("n", "d1", "d2", "label", F.coalesce("links", F.lit(0)).alias("links")))
+
+
+def _count_all(few: DataFrame, many: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Counted and spanning links of all chunks, and of all pairs of chunks of a block that can hold linked sets."""
+    at = F.struct("level", "chunk").alias("at")
+    chunks = many.select("block", at).distinct()
+    one, two = chunks.alias("p"), chunks.alias("q")
+    near = F.abs(F.col("p.at.level") - F.col("q.at.level")) <= 1
+    pairs = one.join(two, (F.col("p.block") == F.col("q.block")) & (F.col("p.at") <= F.col("q.at")) & near)
+    side = lambda k, t: F.struct(F.lit(k).alias("side"), F.col(f"{t}.at").alias("at"))
+    sides = F.when(F.col("p.at") == F.col("q.at"), F.array(side(0, "p"))).otherwise(F.array(side(0, "p"), side(1, "q")))
+    ends = [F.col(f"{t}.at.{c}").alias(f"{n}_{c}") for t, n in (("p", "x"), ("q", "y")) for c in ("level", "chunk")]
+    dealt = pairs.select(F.col("p.block").alias("block"), *ends, F.explode(sides).alias("one")).select(*_PAIR, "one.side", "one.at")
+    large = dealt.join(many.select("block", at, "rep", "d1", "members"), ["block", "at"]).select(*_PAIR, "side", "rep", "d1", F.col("members").alias("weight"))
+    small = few.select("block", *[F.lit(0).alias(c) for c in _PAIR[1:]], F.lit(0).alias("side"), "rep", "d1", F.col("members").alias("weight"))
+    sent = sets.join(_few(small.unionByName(large)), ["rep", "d1"]).select(*_PAIR, "side", "rep", "d1", "weight", "items")
+    return sent.repartition(parts, *_PAIR).sortWithinPartitions(*_PAIR).mapInArrow(_count_within_pairs, _FOUND_SQL)
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -669,15 +846,17 @@ _SALTS = 16
 
 
 def _answer(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """Give every row its class's component. A class of copies may hold a large share of the rows, so classes with several rows
-    stand under salted keys; classes of one row need no join with the rows."""
+    """Give every row its class's component and links: those with other classes, and with the other members of its own. A class of
+    copies may hold a large share of the rows, so classes with several rows stand under salted keys; classes of one row need no
+    join with the rows."""
     full = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    own = rows.filter(full).groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")).join(named, ["n", "d1", "d2"], "left").withColumn("component_id", F.coalesce("label", "rep"))
-    single = own.filter("members = 1").select(F.col("rep").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    keys = own.filter("members > 1").select("n", "d1", "d2", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("salt"))
+    own = rows.filter(full).groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")).join(named, ["n", "d1", "d2"], "left")
+    own = own.withColumn("component_id", F.coalesce("label", "rep")).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("members") - 1)
+    single = own.filter("members = 1").select(F.col("rep").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    keys = own.filter("members > 1").select("n", "d1", "d2", "component_id", "n_links", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("salt"))
     several = rows.filter(full).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("long")).join(keys, ["n", "d1", "d2", "salt"])
-    rest = rows.filter(~full).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return single.unionByName(several.select("doc_id", F.col("n").alias("n_shingles"), "component_id")).unionByName(rest)
+    rest = rows.filter(~full).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return single.unionByName(several.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")).unionByName(rest)
 
 
 def keep_first_of_components(docs: DataFrame) -> DataFrame:

@@ -101,3 +101,44 @@ def test_components_of_paths_stars_and_chains(spark, monkeypatch, at_once):
     pairs = [(k, k + 1) for k in range(30)] + [(100 + k, 150) for k in range(20)] + [(200, 201), (201, 202), (200, 202), (5, 5)]
     got = {r.node: r.label for r in sigtree.components(spark.createDataFrame(pairs, "a long, b long").repartition(3)).collect()}
     assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys([*range(100, 120), 150], 100), **dict.fromkeys([200, 201, 202], 200)}
+
+
+def links_of(rows):
+    """Links of every row with all others, by comparing all pairs of rows."""
+    sets = []
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w and d is not None else set())
+    return [sum(1 for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= 75 * len(a | b)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("chunk, buckets", [(sigtree.LINK_CHUNK, sigtree.FILTER_BUCKETS), (12, 0)])
+def test_links_match_all_pairs(spark, monkeypatch, chunk, buckets):
+    monkeypatch.setattr(sigtree, "FILTER_BUCKETS", buckets)  # without the filter, candidates are found by a join
+    rows = texts()
+    docs = spark.createDataFrame(rows + [(None, rows[0][1])], "doc_id long, text string").selectExpr("*", "1 as n", "'z' as label", "0 as members").repartition(6)
+    got = sorted(tuple(r) for r in sigtree.jaccard_links(docs, chunk=chunk).filter("doc_id is not null").collect())
+    plain = {d: (n, c) for d, n, c in brute(rows)}
+    want = sorted((d, *plain[d], links) for (d, _), links in zip(rows, links_of(rows), strict=True))
+    assert got == want
+    assert sum(links for *_, links in got) > 3 * len(got)
+
+
+def test_links_of_two_texts_under_one_id_and_of_an_empty_table(spark):
+    rows = [(1, "a b c d e f g h i j k l"), (1, "a b c d e f g h i j k z"), (2, "a b c d e f g h i j k l m"), (3, None), (None, "a b c d e f g h i j k l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.n_links) for r in sigtree.jaccard_links(docs).collect())
+    want = sorted((d or 0, len({tuple((t or "").split()[k : k + 5]) for k in range(len((t or "").split()) - 4)}), n) for (d, t), n in zip(rows, links_of(rows), strict=True))
+    assert got == want
+    assert sigtree.jaccard_links(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_counted_overlaps_are_those_of_the_sets():
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64))
+    sets = [np.unique(rng.choice(pool, int(rng.integers(1, 250)))) for _ in range(150)]
+    trees = [sigtree.Tree(sets[:70], 1024, 64), sigtree.Tree(sets[70:], 1024, 64)]
+    overlaps = sigtree.Overlaps(trees)
+    for inner, outer in ((range(0, 64), range(70, 134)), (range(64, 70), range(134, 150)), (range(0, 64), range(0, 64))):
+        overlaps.hold(inner)
+        assert overlaps.sizes(outer).tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in outer] for i in inner]
