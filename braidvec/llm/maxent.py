@@ -6,7 +6,8 @@ where a word has its smoothed share of the class's counts, with one share left f
 sums over hashed features of the history (one and two words before, the pair, the skip to the third, and the class before) and
 a bias; frequent words within a class have a score for every class before. Weights are learned by distributed gradient updates:
 in every round the tasks run over their part of the training rows from the same weights and the changes are averaged. Each round
-has its own share of the rows, by a hash of id and text, and the rounds together cover every training row.
+has its own share of the rows, by a hash of id and text, and the rounds together cover every training row. The table of hashed
+features grows with the cube root of the number of training tokens, so that what all tasks send stays in proportion to the input.
 
 Counts are exact and cover all training documents: words travel as 64-bit hashes with counts, combined in the tasks, and every
 document gets the counts of its own words back, so no vocabulary is ever in one place. Only the counts of the most frequent
@@ -33,7 +34,8 @@ START = U64(0x9E6C63D0876A9A47)  # stands before the first word; never scored
 FREQUENT = 1 << 16  # most frequent words whose counts are broadcast (16 bytes each)
 MEMBERS, FREQUENT_CLASSES, ENDING_CLASSES = 32, 32, 64
 CLASSES = FREQUENT_CLASSES + ENDING_CLASSES
-BUCKETS = 1 << 12  # rows of hashed features
+BUCKETS, GROWTH = 1 << 12, 4  # rows of hashed features: BUCKETS, and GROWTH times the cube root of the training tokens
+LANES = 1 << 10  # tokens whose scores are computed at once
 FEATURES = 5
 ROUNDS, RATE, PASS_TOKENS = 3, 0.4, 4096
 ALPHA = 0.1
@@ -191,6 +193,11 @@ def totals_of(counts: DataFrame) -> Totals:
     return Totals(n, distinct, word, count, left, kinds)
 
 
+def buckets_of(n: int) -> int:
+    """Rows of hashed features for ``n`` training tokens."""
+    return BUCKETS + int(GROWTH * n ** (1 / 3))
+
+
 # --- the model ------------------------------------------------------------------------------------------------------------------
 
 
@@ -199,6 +206,7 @@ class Model:
 
     def __init__(self, weights: np.ndarray, inner: np.ndarray, slots: int) -> None:
         self.weights, self.inner, self.slots = weights, inner, slots
+        self.buckets = len(weights) - 1
         self._inner_log: np.ndarray | None = None
 
     def features(self, tokens: np.ndarray, classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,14 +217,20 @@ class Model:
         back = [np.where(place - k >= first, tokens[np.maximum(place - k, 0)], START) for k in (1, 2, 3)]
         before = np.where(place > first, classes[np.maximum(place - 1, 0)], CLASSES)
         mixed = (back[0], back[1] * U64(3) + U64(1), back[0] * U64(5) + back[1] * U64(7) + U64(2), back[2] * U64(11) + back[0] + U64(3), before.astype(U64) * U64(13) + U64(4))
-        rows = np.stack([(mix(x) % U64(BUCKETS)).astype(np.int64) for x in mixed], 1)
+        rows = np.stack([(mix(x) % U64(self.buckets)).astype(np.int64) for x in mixed], 1)
         return rows, before
 
     def class_scores(self, rows: np.ndarray) -> np.ndarray:
         """Scores of all classes, (tokens, classes); the last row of the weights is the bias."""
-        out = self.weights[rows[:, 0]] + self.weights[BUCKETS]
-        for k in range(1, FEATURES):
-            out += self.weights[rows[:, k]]
+        out = np.empty((len(rows), CLASSES), self.weights.dtype)
+        more = np.empty((min(LANES, len(rows)), CLASSES), self.weights.dtype)
+        for low in range(0, len(rows), LANES):
+            part, some = rows[low : low + LANES], out[low : low + LANES]
+            # Rows are below the table's length, so clipping changes nothing; it spares a check and a copy.
+            np.take(self.weights, part[:, 0], axis=0, out=some, mode="clip")
+            some += self.weights[self.buckets]
+            for k in range(1, FEATURES):
+                some += np.take(self.weights, part[:, k], axis=0, out=more[: len(part)], mode="clip")
         return out
 
     def inner_log(self) -> np.ndarray:
@@ -234,11 +248,12 @@ class Model:
         """Natural logarithm of each token's probability; ``rare`` is that of a token without a slot in its class."""
         rows, before = self.features(tokens, classes, at)
         out = np.empty(len(tokens))
-        for low in range(0, len(tokens), 1 << 14):
-            cut = slice(low, low + (1 << 14))
+        for low in range(0, len(tokens), LANES):
+            cut = slice(low, low + LANES)
             s = self.class_scores(rows[cut])
-            top = s.max(1)
-            out[cut] = s[np.arange(len(s)), classes[cut]] - top - np.log(np.exp(s - top[:, None]).sum(1))
+            s -= s.max(1, keepdims=True)
+            own = s[np.arange(len(s)), classes[cut]]
+            out[cut] = own - np.log(np.exp(s, out=s).sum(1))
         own = slot >= 0
         out[own] += self.inner_log()[before[own], slot[own]]
         out[~own] += rare[~own]
@@ -257,31 +272,32 @@ def first_model(totals: Totals) -> Model:
     counts[totals.slot[own]] = totals.counts[own]
     per_class = np.bincount(np.arange(totals.slots) // MEMBERS, weights=counts, minlength=FREQUENT_CLASSES)[:FREQUENT_CLASSES] if totals.slots else np.zeros(FREQUENT_CLASSES)
     share[:FREQUENT_CLASSES] = np.where(per_class > 0, per_class, 1e-12)
-    weights = np.zeros((BUCKETS + 1, CLASSES), np.float32)
-    weights[BUCKETS] = np.log(share / share.sum())
+    weights = np.zeros((buckets_of(totals.n) + 1, CLASSES), np.float32)
+    weights[-1] = np.log(share / share.sum())
     inner = np.tile(np.log(np.maximum(counts, 1e-9)), (CLASSES + 1, 1)).astype(np.float32)
     return Model(weights, inner, totals.slots)
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
-    p = np.exp(s - s.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+    p = s - s.max(1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(1, keepdims=True)
+    return p
 
 
 def _sums_by_row(flat: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct rows, sum of the gradients of each); position k of ``flat`` has the gradient ``k % len(g)``."""
-    order = np.argsort(flat.astype(np.min_scalar_type(BUCKETS)), kind="stable")
-    name = flat[order]
+    order = np.argsort(flat.astype(np.min_scalar_type(int(flat.max()))), kind="stable")
+    name, at = flat[order], order % len(g)
     first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
     size = np.diff(np.append(first, len(name)))
-    x = g[order % len(g)]
-    out = x[first]
+    out = g.take(at[first], axis=0)
     # Short runs are added place by place for all rows at once, long ones singly.
     for k in range(1, 8):
         some = np.flatnonzero((size > k) & (size <= 8))
-        out[some] += x[first[some] + k]
+        out[some] += g.take(at[first[some] + k], axis=0)
     for k in np.flatnonzero(size > 8):
-        out[k] = x[first[k] : first[k] + size[k]].sum(0)
+        out[k] = g.take(at[first[k] : first[k] + size[k]], axis=0).sum(0)
     return name[first], out
 
 
@@ -294,7 +310,7 @@ def update(model: Model, tokens: np.ndarray, slot: np.ndarray, classes: np.ndarr
         g = _softmax(model.class_scores(r))
         g[np.arange(len(c)), c] -= 1
         name, grad = _sums_by_row(r.T.ravel(), g)
-        name, grad = np.append(name, BUCKETS), np.concatenate([grad, g.sum(0, keepdims=True)])
+        name, grad = np.append(name, model.buckets), np.concatenate([grad, g.sum(0, keepdims=True)])
         seen[name] += grad * grad
         model.weights[name] -= rate * grad / np.sqrt(seen[name] + 1)
         own = np.flatnonzero(slot[cut] >= 0)

@@ -194,6 +194,27 @@ def test_every_training_row_moves_the_weights(spark):
         assert model.weights[seen[1, 0]].any() and model.weights[seen[1, 2]].any(), text
 
 
+def test_feature_table_grows_with_the_training_tokens(spark):
+    sizes = [maxent.buckets_of(n) for n in (0, 10**6, 10**9, 10**12)]
+    assert sizes == sorted(set(sizes)) and sizes[0] == maxent.BUCKETS
+    for n in (1, 400):
+        docs = spark.createDataFrame([(k, "a b c d e f g h i") for k in range(n)], "doc_id long, text string")
+        totals = maxent.totals_of(maxent.training_counts(docs))
+        model = maxent.train(docs, totals)
+        assert model.buckets == maxent.buckets_of(totals.n) == len(model.weights) - 1
+
+
+def test_sums_by_row_are_those_of_single_additions():
+    rng = np.random.default_rng(3)
+    g = rng.normal(size=(50, maxent.CLASSES))
+    flat = np.concatenate([rng.integers(0, 6, 100), rng.integers(0, 5000, 150)])
+    name, got = maxent._sums_by_row(flat, g)
+    want = {int(r): np.zeros(maxent.CLASSES) for r in flat}
+    for k, r in enumerate(flat):
+        want[int(r)] += g[k % 50]
+    assert name.tolist() == sorted(want) and np.allclose(got, [want[r] for r in name.tolist()])
+
+
 def test_empty_language_model(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert maxent.score_texts(empty).count() == 0
