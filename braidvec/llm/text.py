@@ -146,7 +146,7 @@ def row_numbers(at: np.ndarray) -> np.ndarray:
 
 
 def parts_of(df: DataFrame) -> int:
-    """Number of hash ranges of an exchange: the session's number of shuffle partitions, which grows with the data."""
+    """Number of hash ranges of an exchange: the session's number of shuffle partitions, to be set in proportion to the data."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
