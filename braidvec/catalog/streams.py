@@ -14,10 +14,15 @@ from braidvec.schema import EncoderConfig
 from braidvec.streaming import streams as S
 
 
+def _table_stream(t, name: str):
+    """A table as a file stream, be it one file or a folder of files. The pattern has this one match; a plain path to a single file
+    is refused by the stream's search for partitions."""
+    return t.spark.readStream.schema(t.read(name).schema).parquet(f"{t.root}/{name}.parque[t]")
+
+
 def _event_stream(t):
     """The events table as a file stream: each event stands for one numbered draw."""
-    schema = t.read("events").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.root)
+    return _table_stream(t, "events")
 
 
 def _graph_stream(t, folder: str):
@@ -133,7 +138,7 @@ def _(t):
 @query("stream_novel", "SELECT DISTINCT md5(lower(trim(text))) AS key FROM documents WHERE doc_id % 3 <> 0 AND md5(lower(trim(text))) NOT IN (SELECT md5(lower(trim(text))) FROM documents WHERE doc_id % 3 = 0)")
 def _(t):
     docs = t.read("documents")
-    stream = t.spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(t.root)
+    stream = _table_stream(t, "documents")
     key = F.md5(F.lower(F.trim("text"))).alias("key")
     fresh = S.stream_novel(stream.filter("doc_id % 3 <> 0").select(key), docs.filter("doc_id % 3 = 0").select(key), "key")
     return _finish(t, fresh, scratch(t))
