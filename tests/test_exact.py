@@ -63,3 +63,31 @@ def test_streams_read_tables_kept_as_folders(spark, tmp_path, parts):
         query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
         query.awaitTermination()
         assert spark.table(name).count() == t.read("events").count()
+
+
+def test_matchings_made_in_tasks_are_those_of_the_joins(spark, sample, monkeypatch):
+    """Both ways, whole pieces and pieces of one sample, also for edges that do not use up whole nodes."""
+    from braidvec.operators import matchings as Q
+
+    pairs = E.edge_pair_counts(*sample, ORDER_BINS)
+    broken = pairs.filter("(a + 2 * b + graph_id) % 7 <> 0 AND graph_id < 60").withColumn("graph_id", F.col("graph_id") + 1000)
+    pairs = pairs.filter("graph_id < 100").unionByName(broken).persist()
+    rows = lambda tables: [sorted(tuple(map(str, r)) for r in t.select("query_id", "graph_id", *[c for c in t.columns if c not in ("query_id", "graph_id")]).collect()) for t in tables]
+    want = rows(D._matchings_by_joins(pairs, ORDER_BINS, 3, 1, "graph_id"))
+    assert want[0] and rows(D.sample_matchings(pairs, ORDER_BINS, 3, 1)) == want
+    some = D.sample_matchings(pairs, ORDER_BINS, 3, 1, distinct=True)
+    first = {}
+    for g, q, s, d in sorted((int(r[1]), int(r[0]), r[2], r[3]) for r in want[1]):
+        first.setdefault((q, g), set()).add((s, d))
+    kept, seen = set(), set()
+    for (q, g), links in sorted(first.items()):
+        if (q, frozenset(links)) not in seen:
+            seen.add((q, frozenset(links)))
+            kept.add(g)
+    assert len(kept) < len(first)
+    assert rows(some) == [[r for r in part if int(r[1]) in kept] for part in want]
+    task = Q.matching_task("graph_id", ORDER_BINS, 3, 1, "edges", False)
+    monkeypatch.setattr(Q, "ENDS", 4)
+    batch = pairs.groupBy("graph_id").agg(F.collect_list(F.struct("a", "b", "cnt")).alias("_pairs")).select("graph_id", F.col("graph_id").cast("string").alias("_name"), "_pairs").toArrow()
+    cut = sorted(tuple(str(v) for v in r.values()) for b in task(iter(batch.to_batches())) for r in b.to_pylist())
+    assert cut == want[1]
