@@ -49,6 +49,24 @@ def test_a_vector_that_no_counts_explain_keeps_its_peeled_pairs():
     assert set(row.tolist()) == set(range(5))
 
 
+@pytest.mark.parametrize("few", [0, 6, 300])
+def test_similarity_of_rows_of_few_and_of_many_bits(few, monkeypatch):
+    from braidvec.operators import similarity as S
+
+    monkeypatch.setattr(S, "SPARSE_BITS", min(few, 255))
+    rng = np.random.default_rng(few)
+    rows = [(rng.random((n, 512)) < rng.choice([0.0, 0.01, 0.3, 0.45], (n, 1))).astype(np.uint8) for n in (37, 50)]
+    weights = [rng.integers(1, 5, len(r)).astype(np.float64) for r in rows]
+    sim = lambda x, y: (x & y).sum() / (x | y).sum() if (x | y).any() else 0.0
+    (x, y), (u, v) = rows, weights
+    across = sum(u[i] * v[j] * sim(x[i], y[j]) for i in range(len(x)) for j in range(len(y)))
+    inside = sum((u[i] * u[j] if i < j else u[i] * (u[i] - 1) / 2) * sim(x[i], x[j]) for i in range(len(x)) for j in range(i, len(x)))
+    packed = [np.packbits(r, axis=1) for r in rows]
+    for block in (8, 4096):
+        assert np.isclose(S.cell_sum(packed[0], u, packed[1], v, False, block), across)
+        assert np.isclose(S.cell_sum(packed[0], u, packed[0], u, True, block), inside)
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_streams_read_tables_kept_as_folders(spark, tmp_path, parts):
     from braidvec.catalog.streams import _table_stream
