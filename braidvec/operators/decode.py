@@ -24,7 +24,7 @@ from braidvec.operators.decode_wide import decode_pairs_by_rounds, decode_pairs_
 from braidvec.operators.encode import GRAPH_LIMIT, encode
 from braidvec.operators.graphs import components, double_edges, draw_class, graph_hash
 from braidvec.operators.matchings import matching_task
-from braidvec.plans.skew import few_keys, graph_sizes, split_large, with_group_rank
+from braidvec.plans.skew import few_keys, graph_sizes, if_small, split_large, with_group_rank
 from braidvec.schema import EncoderConfig
 from braidvec.session import BROADCAST_CELLS, cut_lineage
 
@@ -442,11 +442,21 @@ def degree_gap(number: Column | str, base: Column | str) -> Column:
     return F.struct(F.rint(extra / b).cast("long").alias("extra"), F.rint(missing / b).cast("long").alias("missing"))
 
 
+# Types of a key up to which all of them are paired with each other.
+MANY_TYPES = 1000
+
+
 def pairing_possible(stubs: DataFrame, valid_pairs: DataFrame, key: str = "graph_id") -> DataFrame:
     """Whether every stub type (key, idx, cnt) has enough valid partners; a type meets itself one time less."""
     both = valid_pairs.select("a", "b").unionByName(valid_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    partners = stubs.select(key, F.col("idx").alias("b"), F.col("cnt").alias("_have"))
-    options = stubs.select(key, F.col("idx").alias("a")).join(both, "a").join(partners, [key, "b"])
+    partners = lambda some: some.select(key, F.col("idx").alias("b"), F.col("cnt").alias("_have"))
+    own = lambda some: some.select(key, F.col("idx").alias("a"))
+    # The types of a key meet each other where the key is; only a key of very many types is joined through the pairs.
+    large = few_keys(stubs.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > MANY_TYPES).select(key))
+    small, big = split_large(stubs, large, [key])
+    options = own(small).join(partners(small), key).join(if_small(cut_lineage(both)), ["a", "b"], "left_semi")
+    if big is not None:
+        options = options.unionByName(own(big).join(both, "a").join(partners(big), [key, "b"]))
     have = F.sum(F.when(F.col("a") == F.col("b"), F.col("_have") - 1).otherwise(F.col("_have")))
     available = options.groupBy(key, F.col("a").alias("idx")).agg(have.alias("_available"))
     joined = stubs.join(available, [key, "idx"], "left")

@@ -109,3 +109,28 @@ def test_matchings_made_in_tasks_are_those_of_the_joins(spark, sample, monkeypat
     batch = pairs.groupBy("graph_id").agg(F.collect_list(F.struct("a", "b", "cnt")).alias("_pairs")).select("graph_id", F.col("graph_id").cast("string").alias("_name"), "_pairs").toArrow()
     cut = sorted(tuple(str(v) for v in r.values()) for b in task(iter(batch.to_batches())) for r in b.to_pylist())
     assert cut == want[1]
+
+
+def test_items_without_a_score_come_last(spark):
+    rows = [(1, 1, None), (1, 2, 4.0), (1, 3, 2.0), (2, 7, None), (2, 5, None), (3, 1, float("inf")), (3, 2, None)]
+    out = D.best_of_n(spark.createDataFrame(rows, "g int, i int, score double"), "g", "i")
+    inf = float("inf")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 3, 2.0, 3.0), (2, 5, None, inf), (3, 1, inf, inf)]
+
+
+def test_pairing_goes_through_the_types_of_a_key(spark, monkeypatch):
+    stubs = spark.range(2000).selectExpr("id as graph_id", "explode(sequence(0L, 1 + id % 3)) as idx").selectExpr("graph_id", "idx", "1 + (graph_id + idx) % 3 as cnt")
+    pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(a, 60) if (a + b) % 4 != 1], "a long, b long")
+    allowed = {(r["a"], r["b"]) for r in pairs.collect()}
+    own = {}
+    for g, i, n in (tuple(r) for r in stubs.collect()):
+        own.setdefault(g, {})[i] = n
+    ok = lambda a, b: (a, b) in allowed or (b, a) in allowed
+    want = {(g, all(sum(n - (i == j) for j, n in have.items() if ok(i, j)) >= have[i] for i in have)) for g, have in own.items()}
+    assert {x for _, x in want} == {True, False}
+    for most in (1000, 2):
+        monkeypatch.setattr(D, "MANY_TYPES", most)
+        out = D.pairing_possible(stubs, pairs)
+        assert {tuple(r) for r in out.collect()} == want
+        if most == 1000:
+            assert "[a#" not in " ".join(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in x)
