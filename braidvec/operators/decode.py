@@ -597,12 +597,12 @@ def residual_target(queries: DataFrame, leftovers: DataFrame, vector: str = "vec
 def best_of_n(scores: DataFrame, group: str, item: str, score: Column | str = "score") -> DataFrame:
     """Per group the item of lowest score (lowest item on ties) and the mean of the finite scores, infinity if none.
 
-    ``score`` may be any column expression; lower is better."""
+    ``score`` may be any column expression; lower is better. An item without a score, or without a name, comes after all others."""
     value = F.col(score) if isinstance(score, str) else score
     marked = scores.select(group, F.col(item).alias("_i"), value.cast("double").alias("_s"))
     finite = F.when(F.col("_s") < F.lit(math.inf), F.col("_s"))
     return marked.groupBy(group).agg(
-        F.min_by("_i", F.struct("_s", "_i")).alias("best_item"), F.min("_s").alias("best_score"),
+        F.min_by("_i", F.struct(F.col("_s").isNull(), "_s", F.col("_i").isNull(), "_i")).alias("best_item"), F.min("_s").alias("best_score"),
         F.coalesce(F.avg(finite), F.lit(math.inf)).alias("avg_score"),
     )
 
