@@ -39,6 +39,7 @@ REACH = SPAN - GRAM + 1  # anchors that a window chooses from
 HOT_SEGMENTS = 1024  # distinct segments of an anchor above which its windows are dealt out singly
 BLOCK = 1 << 20  # bytes whose windows are found at once; positions take 21 bits
 BUFFER = 1 << 21  # segments that a task gathers before it sends them
+SEND = 1 << 22  # bytes of requested text that a task gathers before it sends them
 _LOW = U64((1 << 21) - 1)
 NO_ID = -(1 << 63)
 
@@ -302,13 +303,18 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - at, size) + np.arange(int(size.sum()))
 
 
-def _send_text(parts: int):
+def _send_text(parts: int, held_bytes: int = SEND):
+    """Requested bytes, dealt out by anchor (single windows by their hash). What a task gathers leaves as one row for each part,
+    whatever number of documents it comes from, so rows do not multiply with documents and parts."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {_REQUEST: [], _WINDOW: []}
+        size = 0
         for batch in batches:
             data, offsets = string_buffer(batch.column("text"))
             for row, (doc, asked) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
                 own = data[offsets[row] : offsets[row + 1]]
-                for kind in (_REQUEST, _WINDOW):
+                for kind in held:
                     some = [r for r in asked if r["kind"] == kind]
                     if not some:
                         continue
@@ -318,45 +324,38 @@ def _send_text(parts: int):
                     fits = first + count + SPAN - 1 <= len(own)  # of several texts under one id, only the one it came from
                     anchor, first, count = anchor[fits], first[fits], count[fits]
                     if kind == _REQUEST:
-                        yield from send(kind, doc, anchor, first, count, own)
+                        route, length = anchor, count + SPAN - 1
+                        text = own[_ragged(first, length)]
                     else:
                         begin = _ragged(first, count)
-                        sums = prefix_sums(BYTE_VALUE[own])
-                        window = range_hash(sums, begin, begin + SPAN)
-                        yield from send(kind, doc, window, begin, np.ones(len(begin), np.int64), np.repeat(anchor, count), window)
-
-    def send(kind: int, doc: int, route: np.ndarray, first: np.ndarray, count: np.ndarray, *what: np.ndarray) -> Iterator[pa.RecordBatch]:
-        part = (mix(route) % U64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, first, count = part[order], first[order], count[order]
-        lead = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-        cuts = np.append(lead, len(part))
-        if kind == _REQUEST:
-            size = count + SPAN - 1
-            text = packed(what[0][_ragged(first, size)], np.concatenate([[0], np.cumsum(size)])[cuts])
-        else:
-            text = packed(np.stack([what[0][order], what[1][order]], 1).reshape(-1), cuts * 2)
-        n = len(lead)
-        yield record(_TEXT, part[lead], [kind] * n, packed(np.full(len(part), doc, np.int64), cuts), packed(first.astype(np.int32), cuts), packed(count.astype(np.uint8), cuts), text)
-
-    return _gathered(task)
+                        route = range_hash(prefix_sums(BYTE_VALUE[own]), begin, begin + SPAN)
+                        text = np.stack([np.repeat(anchor, count), route], 1).reshape(-1).view(np.uint8)
+                        first, count = begin, np.ones(len(begin), np.int64)
+                        length = np.full(len(begin), 16)
+                    part = (mix(route) % U64(parts)).astype(np.int64)
+                    held[kind].append((part, np.full(len(part), doc, np.int64), first.astype(np.int32), count.astype(np.uint8), length, text))
+                    size += len(text)
+                if size >= held_bytes:
+                    yield from send(held)
+                    held, size = {kind: [] for kind in held}, 0
+        yield from send(held)
+
+    def send(held: dict[int, list[tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+        for kind, pieces in held.items():
+            if not pieces:
+                continue
+            part, doc, first, count, length, text = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            if not len(part):
+                continue
+            begin = np.cumsum(length) - length
+            order = np.argsort(part, kind="stable")
+            part, doc, first, count, length = (x[order] for x in (part, doc, first, count, length))
+            lead = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            cuts = np.append(lead, len(part))
+            text = packed(text[_ragged(begin[order], length)], np.concatenate([[0], np.cumsum(length)])[cuts])
+            yield record(_TEXT, part[lead], [kind] * len(lead), packed(doc, cuts), packed(first, cuts), packed(count, cuts), text)
 
-
-def _gathered(task, rows: int = 4096):
-    """Join small batches, which cost more than their rows."""
-
-    def joined(batches):
-        held, n = [], 0
-        for b in task(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if n:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return joined
+    return task
 
 
 def _compare_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from braidvec.llm import suffix
@@ -87,3 +88,36 @@ def test_empty_table_and_missing_ids(spark):
     rows = [(None, long), (1, long)]
     got = {r.doc_id: r.n_removed for r in suffix.remove_repeats(spark.createDataFrame(rows, schema)).collect()}
     assert got == {None: 0, 1: len(long)}
+
+
+def test_requested_text_leaves_as_one_row_a_part_whatever_the_documents():
+    rng = np.random.default_rng(9)
+    rows, asked = [], {}
+    for doc in range(60):
+        own = rng.integers(97, 123, 900).astype(np.uint8)
+        owner, first, count, anchor, _ = suffix.segments(own, np.array([0, len(own)]))
+        one = lambda x, t: x.astype(t).tobytes()
+        kinds = np.arange(len(first)) % 2 == 0
+        wants = [
+            {"kind": kind, "anchor": one(anchor[some], np.uint64), "first": one(first[some], np.int32), "count": one(count[some], np.uint8)}
+            for kind, some in ((suffix._REQUEST, kinds), (suffix._WINDOW, ~kinds))
+        ]
+        rows.append({"doc_id": doc, "text": own.tobytes().decode(), "asked": wants})
+        asked |= {(doc, int(a), int(n)): own[a : a + n + suffix.SPAN - 1].tobytes() for a, n in zip(first[kinds], count[kinds], strict=True)}
+        asked |= {(doc, int(a) + k, 1): None for a, n in zip(first[~kinds], count[~kinds], strict=True) for k in range(int(n))}
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=7)
+    sent = pa.Table.from_batches(list(suffix._send_text(12)(iter(batches)))).to_pylist()
+    assert len(sent) <= 2 * 12  # documents times parts before
+    several = pa.Table.from_batches(list(suffix._send_text(12, 20_000)(iter(batches)))).to_pylist()
+    assert len(several) > len(sent)
+    for found in (sent, several):
+        got = {}
+        for row in found:
+            ids = (np.frombuffer(row[c], t) for c, t in (("doc", np.int64), ("first", np.int32), ("count", np.uint8)))
+            at = 0
+            for doc, first, count in zip(*(x.tolist() for x in ids), strict=True):
+                size = count + suffix.SPAN - 1 if row["kind"] == suffix._REQUEST else 16
+                got[doc, first, count] = row["bytes"][at : at + size] if row["kind"] == suffix._REQUEST else None
+                at += size
+            assert at == len(row["bytes"])
+        assert got == asked
