@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -255,24 +256,65 @@ def wl_labels(nodes: DataFrame, edges: DataFrame, iters: int = 3, keep_rounds: b
     return state
 
 
-def wl_hash(nodes: DataFrame, edges: DataFrame, iters: int = 3, sizes: DataFrame | None = None) -> DataFrame:
-    """Structural hash of each graph: (graph_id, wl)."""
+def _digest_lanes(texts: list[str]) -> np.ndarray:
+    """Lanes of the md5 of every text, as ``lanes_of`` reads them."""
+    return np.frombuffer(b"".join([hashlib.md5(x.encode()).digest() for x in texts]), ">u4").reshape(-1, 4)[:, :LANES].astype(np.int64)
+
+
+def _joined(values: np.ndarray) -> list[str]:
+    """The numbers of every row as ``keyed_md5`` joins them."""
+    form = "|".join(["%d"] * values.shape[1])
+    return [form % tuple(row) for row in values.tolist()]
+
+
+def _wl_task(iters: int):
+    """Structural hash, nodes and directed edges of nested graphs: the rounds of ``wl_labels`` on all graphs of a batch at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in B.chunks(batch, 2 * LANES):
+                flat = B.flatten_graphs(piece)
+                texts = pa.array(flat.node["text"], pa.string()).dictionary_encode()
+                lanes = _digest_lanes(texts.dictionary.to_pylist())[texts.indices.to_numpy()]
+                for _ in range(iters):
+                    around = B.segment_sum(lanes[flat.src], flat.dst, len(lanes))
+                    lanes = _digest_lanes(_joined(np.concatenate([lanes, around], axis=1)))
+                n = np.bincount(flat.graph_of_node, minlength=flat.count)
+                sums = B.segment_sum(lanes, flat.graph_of_node, flat.count)
+                wl = [hashlib.md5(x.encode()).hexdigest() for x in _joined(np.concatenate([n[:, None], sums], axis=1))]
+                m = np.bincount(flat.graph_of_edge, minlength=flat.count)
+                yield pa.RecordBatch.from_arrays([piece.column("graph_id"), pa.array(wl, pa.string()), pa.array(n), pa.array(m)], ["graph_id", "wl", "n", "_m"])
+
+    return run
+
+
+def _hashes(nodes: DataFrame, edges: DataFrame, iters: int, sizes: DataFrame | None) -> DataFrame:
+    """(graph_id, wl, n, _m) with _m directed edges."""
 
     def job(n: DataFrame, e: DataFrame, whole: bool) -> DataFrame:
+        if whole:
+            # The text of a node is made after the exchange, and hashed in the task.
+            text = n.select("graph_id", "node_id", F.concat_ws(",", F.col("feat").cast("array<string>")).alias("text"))
+            kind = n.schema["graph_id"].dataType.simpleString()
+            return nest_graphs(text, e, ["text"], []).mapInArrow(_wl_task(iters), f"graph_id {kind}, wl string, n long, _m long")
         labels = wl_labels(n, e, iters, whole=whole)
         sums = [F.sum(f"w{i}").alias(f"_s{i}") for i in range(LANES)]
         grouped = labels.groupBy("graph_id").agg(F.count("*").alias("n"), *sums)
-        return grouped.select("graph_id", keyed_md5(F.col("n"), *[F.col(f"_s{i}") for i in range(LANES)]).alias("wl"), "n")
+        hashed = grouped.select("graph_id", keyed_md5(F.col("n"), *[F.col(f"_s{i}") for i in range(LANES)]).alias("wl"), "n")
+        counts = e.groupBy("graph_id").agg(F.count("*").alias("_m"))
+        return hashed.join(counts, "graph_id", "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
 
     return per_graph(nodes.select("graph_id", "node_id", "feat"), edges.select("graph_id", "src", "dst"), job, GRAPH_LIMIT, sizes)
 
 
+def wl_hash(nodes: DataFrame, edges: DataFrame, iters: int = 3, sizes: DataFrame | None = None) -> DataFrame:
+    """Structural hash of each graph: (graph_id, wl, n)."""
+    return _hashes(nodes, edges, iters, sizes).drop("_m")
+
+
 def graph_hash(nodes: DataFrame, edges: DataFrame, iters: int = 3, sizes: DataFrame | None = None) -> DataFrame:
     """(graph_id, wl, n, m) with m undirected edges. ``sizes`` may hold the graphs' ``graph_sizes``."""
-    counts = edges.groupBy("graph_id").agg(F.count("*").alias("_m"))
-    joined = wl_hash(nodes, edges, iters, sizes).join(counts, "graph_id", "left")
-    m = F.floor(F.coalesce("_m", F.lit(0)) / 2).cast("long")
-    return joined.select("graph_id", "wl", "n", m.alias("m"))
+    return _hashes(nodes, edges, iters, sizes).select("graph_id", "wl", "n", F.floor(F.col("_m") / 2).cast("long").alias("m"))
 
 
 def dedup_graphs(hashes: DataFrame) -> DataFrame:

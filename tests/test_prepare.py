@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from braidvec.operators import graphs as G
 from braidvec.operators.graphs import degrees
 from braidvec.plans import skew
 from braidvec.plans.tables import Tables
@@ -44,3 +45,13 @@ def test_large_keys_are_found_whatever_bucket_they_share(spark, monkeypatch, buc
     df = spark.createDataFrame([(k,) for k in range(300) for _ in range(30 if k in (7, 250) else 1)] + [(None,)] * 25, "k long")
     assert {r[0] for r in skew.large_keys(df, ["k"], 20).collect()} == {7, 250, None}
     assert skew.large_keys(df, ["k"], 30) is None
+
+
+def test_hash_of_ordinary_graphs_takes_one_join_and_agrees_with_the_spread_way(spark, monkeypatch):
+    nodes = spark.createDataFrame([(g, i, [i % 3, g % 2, 0, 0]) for g in range(12) for i in range(2 + g % 5)], "graph_id long, node_id int, feat array<int>")
+    ends = [(g, i, (i * 2 + g) % (2 + g % 5)) for g in range(12) if g != 4 for i in range(2 + g % 5)]  # one way only, with loops; graph 4 has none
+    edges = spark.createDataFrame(ends, "graph_id long, src int, dst int")
+    hashed = G.graph_hash(nodes, edges)
+    assert hashed._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 1  # three rounds took one each
+    monkeypatch.setattr(G, "GRAPH_LIMIT", 0)
+    assert rows_of(G.graph_hash(nodes, edges)) == rows_of(hashed)
