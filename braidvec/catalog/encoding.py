@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from braidvec.catalog.algebra import book
@@ -9,6 +13,7 @@ from braidvec.catalog.common import BINS, ROWS, long_rows
 from braidvec.catalog.registry import query
 from braidvec.catalog.relations import _RW_SQL, _pagerank_sql
 from braidvec.catalog.sqltext import WITH, fhrr_codebook, hrr_codebook, map_codebook, r6 as sql_r6
+from braidvec.functions import batch as B
 from braidvec.operators import encode as E
 from braidvec.operators import graphs as G
 from braidvec.operators.walks import augment_rw
@@ -47,11 +52,10 @@ def _parts_sql(prefix: str = "s") -> str:
 
 
 def _three(encoded):
-    out = None
-    for name, column in (("node", "node_terms"), ("edge", "edge_terms"), ("graph", "graph_embedding")):
-        rows = long_rows(encoded, ["graph_id"], column).withColumn("part", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """The three vectors in long form, from one encoding: a union of three would encode three times."""
+    parts = [F.struct(F.lit(name).alias("part"), F.col(c).alias("v")) for name, c in (("node", "node_terms"), ("edge", "edge_terms"), ("graph", "graph_embedding"))]
+    rows = encoded.select("graph_id", F.explode(F.array(*parts)).alias("_p")).select("graph_id", "_p.part", F.col("_p.v").alias("_vector"))
+    return long_rows(rows, ["graph_id", "part"], "_vector").select("graph_id", "d", "v", "part")
 
 
 @query("node_terms", f"{WITH}, {_CB} SELECT n.graph_id, cb.d, CAST(sum(v) AS BIGINT) AS v FROM idx_nodes n JOIN cb USING (idx) GROUP BY ALL")
@@ -210,11 +214,15 @@ _WIDE = 256
 def _(t):
     """At a vector size of practical use; every entry counts in the sums."""
     cfg = EncoderConfig(bins=BINS, dim=_WIDE, depth=2, vsa="MAP", seed=SEED, normalize=False)
-    v = F.transform("graph_embedding", lambda x: F.rint(x).cast("long"))
-    add = lambda acc, x: acc + x
-    checksum = F.aggregate(F.transform(v, lambda x, d: x * (1 + d * 37 % 101)), F.lit(0).cast("long"), add)
-    squares = F.aggregate(F.transform(v, lambda x: x * x), F.lit(0).cast("long"), add)
-    return E.encode(t.nodes, t.edges, cfg).select("graph_id", checksum.alias("checksum"), squares.alias("squares"))
+    return E.encode(t.nodes, t.edges, cfg, terms=False).mapInArrow(_digests, "graph_id long, checksum long, squares long")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted sum and sum of squares of the rounded entries of every vector."""
+    for batch in batches:
+        v = np.rint(B.vector_rows(batch.column("graph_embedding"))).astype(np.int64)
+        weight = 1 + np.arange(v.shape[1]) * 37 % 101
+        yield pa.RecordBatch.from_arrays([batch.column("graph_id"), pa.array((v * weight).sum(axis=1)), pa.array((v * v).sum(axis=1))], ["graph_id", "checksum", "squares"])
 
 
 @query("encode_dataset", f"{WITH}, {_CB}, {map_layers(2, True)} {_parts_sql()}")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 CELLS_PER_CHUNK = 1 << 20  # vector cells handled at once: 8 MiB of doubles
+CELLS_IN_CACHE = 1 << 18  # where several arrays of that size are passed over again and again
 
 
 @dataclass
@@ -65,12 +66,12 @@ def segment_sum(values: np.ndarray, segment: np.ndarray, count: int) -> np.ndarr
     return out
 
 
-def chunks(batch: pa.RecordBatch, dim: int) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, dim: int, cells: int = CELLS_PER_CHUNK) -> Iterator[pa.RecordBatch]:
     """Cut a batch of graphs so that its vectors fit the cell budget (one graph at least)."""
     sizes = np.zeros(batch.num_rows, np.int64)
     for name in ("nodes", "edges"):
         sizes += batch.column(name).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    budget = max(CELLS_PER_CHUNK // dim, 1)
+    budget = max(cells // dim, 1)
     begin = 0
     while begin < batch.num_rows:
         total = np.cumsum(sizes[begin:])

@@ -107,14 +107,14 @@ def nest_graphs(nodes: DataFrame, edges: DataFrame, node_cols: Sequence[str], ed
 class BatchEncoder:
     """Picklable job for ``mapInArrow`` over nested graphs: all layers of all members on one batch."""
 
-    def __init__(self, sent, depths: Sequence[int], dims: Sequence[int], cfg: EncoderConfig, node_terms_book: int) -> None:
+    def __init__(self, sent, depths: Sequence[int], dims: Sequence[int], cfg: EncoderConfig, node_terms_book: int, terms: bool = True) -> None:
         self.sent, self.depths, self.dims = sent, list(depths), list(dims)
         self.vsa, self.normalize, self.normalize_graph = cfg.vsa, cfg.normalize, cfg.normalize_graph
-        self.isolated, self.node_terms_book = cfg.isolated, node_terms_book
+        self.isolated, self.node_terms_book, self.terms = cfg.isolated, node_terms_book, terms
 
-    def encode(self, flat: B.FlatGraphs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """node_terms, edge_terms, graph_embedding of each graph of the batch."""
-        embeddings, first_terms = [], None
+    def encode(self, flat: B.FlatGraphs) -> tuple[np.ndarray, ...]:
+        """node_terms, edge_terms, graph_embedding of each graph of the batch, or the last alone."""
+        embeddings, first_terms = [], []
         weight = flat.node.get("weight")
         for i, depth in enumerate(self.depths):
             known, matrix = self.sent.value[i]
@@ -127,26 +127,26 @@ class BatchEncoder:
             if self.normalize_graph:
                 graph = B.unit_rows(graph, weights)
             embeddings.append(B.from_engine(graph, self.vsa, self.dims[i]))
-            if i == 0:
+            if i == 0 and self.terms:
                 plain = start
                 if self.node_terms_book:
                     known, matrix = self.sent.value[self.node_terms_book]
                     plain = matrix[rows_of(known, flat.node["full_idx"])]
                 sums = [B.segment_sum(v, flat.graph_of_node, flat.count) for v in (plain, first)]
                 first_terms = [B.from_engine(v, self.vsa, self.dims[i]) for v in sums]
-        return first_terms[0], first_terms[1], np.concatenate(embeddings, axis=1)
+        return (*first_terms, embeddings[0] if len(embeddings) == 1 else np.concatenate(embeddings, axis=1))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["graph_id", "node_terms", "edge_terms", "graph_embedding"]
+        names = ["graph_id", *(["node_terms", "edge_terms"] if self.terms else []), "graph_embedding"]
         for whole in batches:
-            for piece in B.chunks(whole, max(self.dims)):
+            for piece in B.chunks(whole, max(self.dims), B.CELLS_IN_CACHE):
                 columns = [B.vector_column(v) for v in self.encode(B.flatten_graphs(piece))]
                 yield pa.RecordBatch.from_arrays([piece.column("graph_id"), *columns], names)
 
 
-def _encoded_schema(vsa: str) -> str:
+def _encoded_schema(vsa: str, terms: bool = True) -> str:
     kind = _vector_type(vsa)
-    return f"graph_id long, node_terms {kind}, edge_terms {kind}, graph_embedding {kind}"
+    return f"graph_id long, node_terms {kind}, edge_terms {kind}, graph_embedding {kind}" if terms else f"graph_id long, graph_embedding {kind}"
 
 
 def _encode_spread(nodes: DataFrame, edges: DataFrame, books: list[Codebook], depths: Sequence[int], cfg: EncoderConfig, full: Codebook | None) -> DataFrame:
@@ -230,21 +230,22 @@ def _unit(hv: Column, vsa: str, parseval: int) -> Column:
     )
 
 
-def _encode(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, books: list[Codebook], depths: Sequence[int], full: Codebook | None = None, limit: int = GRAPH_LIMIT, sizes: DataFrame | None = None) -> DataFrame:
+def _encode(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, books: list[Codebook], depths: Sequence[int], full: Codebook | None = None, limit: int = GRAPH_LIMIT, sizes: DataFrame | None = None, terms: bool = True) -> DataFrame:
     node_cols = ["idx"] + [c for c in ("full_idx", "weight") if c in nodes.columns]
     edge_cols = [c for c in ("weight",) if c in edges.columns]
     nodes = nodes.select("graph_id", "node_id", *node_cols)
     edges = edges.select("graph_id", "src", "dst", *edge_cols)
     every_book = books + ([full] if full is not None else [])
+    wanted = ["graph_id", *(["node_terms", "edge_terms"] if terms else []), "graph_embedding"]
     if not all(b.fits for b in every_book):
-        return _encode_spread(nodes, edges, books, depths, cfg, full)
+        return _encode_spread(nodes, edges, books, depths, cfg, full).select(*wanted)
     sent = nodes.sparkSession.sparkContext.broadcast([b.matrix() for b in every_book])
-    task = BatchEncoder(sent, depths, [b.dim for b in books], cfg, len(books) if full is not None else 0)
+    task = BatchEncoder(sent, depths, [b.dim for b in books], cfg, len(books) if full is not None else 0, terms)
 
     def job(part_nodes: DataFrame, part_edges: DataFrame, together: bool) -> DataFrame:
         if not together:
-            return _encode_spread(part_nodes, part_edges, books, depths, cfg, full)
-        return nest_graphs(part_nodes, part_edges, node_cols, edge_cols).mapInArrow(task, _encoded_schema(cfg.vsa))
+            return _encode_spread(part_nodes, part_edges, books, depths, cfg, full).select(*wanted)
+        return nest_graphs(part_nodes, part_edges, node_cols, edge_cols).mapInArrow(task, _encoded_schema(cfg.vsa, terms))
 
     return per_graph(nodes, edges, job, limit, sizes)
 
@@ -254,10 +255,11 @@ def codebook_for(spark: SparkSession, cfg: EncoderConfig) -> Codebook:
     return make_codebook(spark, cfg.bins, cfg.dim, cfg.vsa, cfg.seed)
 
 
-def encode(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, codebook: Codebook | None = None, limit: int = GRAPH_LIMIT, sizes: DataFrame | None = None) -> DataFrame:
-    """(graph_id, node_terms, edge_terms, graph_embedding) for every graph. ``sizes`` may hold the graphs' ``graph_sizes``."""
+def encode(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, codebook: Codebook | None = None, limit: int = GRAPH_LIMIT, sizes: DataFrame | None = None, terms: bool = True) -> DataFrame:
+    """(graph_id, node_terms, edge_terms, graph_embedding) for every graph, or without ``terms`` (graph_id, graph_embedding), where the
+    other two are neither made nor sent. ``sizes`` may hold the graphs' ``graph_sizes``."""
     book = codebook or codebook_for(nodes.sparkSession, cfg)
-    return _encode(with_index(nodes, cfg.bins), edges.drop("weight"), cfg, [book], [cfg.depth], limit=limit, sizes=sizes)
+    return _encode(with_index(nodes, cfg.bins), edges.drop("weight"), cfg, [book], [cfg.depth], limit=limit, sizes=sizes, terms=terms)
 
 
 def encode_soft(nodes: DataFrame, edges: DataFrame, cfg: EncoderConfig, codebook: Codebook | None = None, limit: int = GRAPH_LIMIT) -> DataFrame:

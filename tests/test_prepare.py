@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from braidvec.operators import encode as E
 from braidvec.operators import graphs as G
 from braidvec.operators.graphs import degrees
 from braidvec.plans import skew
 from braidvec.plans.tables import Tables
+from braidvec.schema import EncoderConfig
 
 
 def rows_of(df):
@@ -55,3 +57,19 @@ def test_hash_of_ordinary_graphs_takes_one_join_and_agrees_with_the_spread_way(s
     assert hashed._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 1  # three rounds took one each
     monkeypatch.setattr(G, "GRAPH_LIMIT", 0)
     assert rows_of(G.graph_hash(nodes, edges)) == rows_of(hashed)
+
+
+def test_graph_vectors_alone_and_three_vectors_from_one_encoding(spark, sample):
+    from braidvec.catalog.encoding import _three
+
+    nodes, edges = sample
+    cfg = EncoderConfig(bins=(3, 6, 2, 5), dim=8, depth=2, vsa="MAP", seed=1, normalize=True)
+    whole = E.encode(nodes, edges, cfg)
+    for limit in (E.GRAPH_LIMIT, 0):
+        alone = E.encode(nodes, edges, cfg, limit=limit, terms=False)
+        assert alone.columns == ["graph_id", "graph_embedding"]
+        far = alone.withColumnRenamed("graph_embedding", "v").join(whole, "graph_id").selectExpr("exists(zip_with(v, graph_embedding, (x, y) -> abs(x - y)), d -> d > 1e-9) AS far")
+        assert {r[0] for r in far.collect()} == {False}
+    long = _three(whole)
+    assert long._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # three encodings before
+    assert long.count() == 24 * whole.count()
