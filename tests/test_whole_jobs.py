@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from braidvec.operators import contrastive as CT
 from braidvec.operators import stats as T
 from braidvec.operators.encode import encode_ensemble
 from braidvec.operators.walks import augment_rw
@@ -111,3 +112,22 @@ def test_novelty_by_a_key_store(spark, tmp_path):
     assert sorted(r["key"] for r in spark.read.parquet(folded).collect()) == ["a", "b", "c", "d", "e"]
     ST.run_novel(read(), "key", folded, 4, str(tmp_path / "rest"), str(tmp_path / "third"))
     assert spark.read.parquet(f"{tmp_path}/rest").count() == 0
+
+
+def test_a_finer_grid_than_the_tasks_need_is_not_made(spark):
+    """The number of groups a row goes to is bounded by the tasks, whatever the batch, until a group passes its bound in numbers."""
+    sides = spark.createDataFrame([(40,), (1000,), (10**6,), (10**9,)], "n long").select(CT._grid_side(F.col("n"), 16, 32, 12)).collect()
+    assert [r[0] for r in sides] == [3, 10, 16, math.ceil(10**9 / (CT.GROUP_CELLS // 32))]
+
+
+@pytest.mark.parametrize("temperature", [0.5, -0.2, 1 / 300])
+def test_bounded_logits_give_the_sums_of_the_peaks(monkeypatch, temperature):
+    rng = np.random.default_rng(4)
+    x, y = (CT._unit(rng.normal(size=(n, 6))) for n in (301, 2100))
+    x[3] = 0.0
+    y[:300] = x[:300]
+    shared = CT._log_sums(x, y, temperature, None)
+    monkeypatch.setattr(CT, "SHARED_PEAK", 0.0)
+    own = CT._log_sums(x, y, temperature, 7)
+    for k in (0, 2):
+        assert np.allclose(shared[k] + np.log(shared[k + 1]), own[k] + np.log(own[k + 1]), rtol=1e-12, atol=1e-12)
