@@ -167,6 +167,17 @@ def test_assembled_graphs_are_connected(spark):
     assert is_valid_graph(made, bonds).filter("NOT valid").count() == 0
 
 
+def test_labels_of_points_take_no_exchange(spark):
+    """A point stands for each label it goes with, and these rows stay where their points were brought together."""
+    nodes, edges = fragment(spark, {1: ([((1, 0, 0, 2), 7), ((1, 0, 0, 2), None)], [(0, 1)])})
+    points = X.cut_lineage(X.attachment_points(nodes, edges))
+    picked = X._picked(points, points, X.label_rules(spark), 1)
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
+    # Label 7 goes with itself only; the neighbour of point 0 is node 1.
+    assert [tuple(r) for r in picked.collect()] == [(1, 0, 1, 0, 1)]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "train_smile.txt").write_text("smiles\nCCO extra\n\n  C.C\nc1ccccc1\n")
     for name in ("valid", "test"):
