@@ -41,6 +41,23 @@ def test_edges_without_node_counts_that_peeling_misses_are_fitted(spark, tables)
     assert {tuple(r) for r in D.decode_edges_free(terms, book, pairs=seen).collect()} == want
 
 
+@pytest.mark.parametrize(("seed", "k"), [(10, 10), (39, 10), (18, 12), (1, 14)])
+def test_a_pair_that_peeling_took_wrongly_is_exchanged(seed, k):
+    rng = np.random.default_rng(seed)
+    weights = B.measure("HRR", 64)
+    m = B.to_engine(rng.normal(size=(40, 64)) / 8, "HRR")
+    a, b = np.triu_indices(40)
+    for count in (8, 10, 12, 14, 16):
+        true = np.sort(rng.choice(len(a), count, replace=False))
+        if count == k:
+            break
+    e = (2 * (m[a] * m[b])[true].sum(0))[None]
+    want = list(zip(a[true].tolist(), b[true].tolist(), strict=True))
+    _, x, y = peel_bound(e, a, b, m[a] * m[b], weights, None, 0.01)
+    assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == want
+    assert sorted((min(p), max(p)) for p in D.peel_pairs(e, m[None], None, None, weights, 0.01)[0]) == want
+
+
 def test_a_vector_that_no_counts_explain_keeps_its_peeled_pairs():
     rng = np.random.default_rng(3)
     bound, weights = rng.normal(size=(40, 16)), np.ones(16)
