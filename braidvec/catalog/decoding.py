@@ -17,7 +17,7 @@ from braidvec.operators import metrics as M
 from braidvec.operators.codebook import make_codebook
 from braidvec.operators.decode_graph import DecodeSettings, decode_graph
 from braidvec.schema import EncoderConfig
-from braidvec.session import cut_lineage
+from braidvec.session import cut_lineage, parts_for
 
 WIDE = 256
 
@@ -36,8 +36,7 @@ _COMPARED = f"""{_DECODED}, both_c AS (SELECT coalesce(d.graph_id, c.graph_id) A
 
 def decoded(t, dim: int = WIDE):
     """Order-0 vectors of all graphs and the counts decoded from them."""
-    cb = make_codebook(t.spark, BINS, dim, "MAP", 42)
-    return D.decode_counts(E.node_terms(t.nodes, cb), cb)
+    return D.decode_counts_of_nodes(t.nodes, make_codebook(t.spark, BINS, dim, "MAP", 42), parts_for(t.nodes))
 
 
 def truth(t):
@@ -54,7 +53,8 @@ def _(t):
     f"{_COMPARED} SELECT graph_id, sum(abs(x - y)) = 0 AS exact_match, CAST(sum(greatest(y - x, 0)) AS BIGINT) AS missing, CAST(sum(greatest(x - y, 0)) AS BIGINT) AS extra, CAST(sum(x) AS BIGINT) AS decoded_total, CAST(sum(y) AS BIGINT) AS truth_total FROM both_c GROUP BY ALL",
 )
 def compare(t):
-    return M.compare_counts(decoded(t), truth(t))
+    each = E.with_index(t.nodes, BINS).select("graph_id", "idx", F.lit(1).cast("long").alias("cnt"))
+    return M.compare_counts(decoded(t), each, parts=parts_for(t.nodes))
 
 
 @query(
@@ -76,13 +76,13 @@ _TRUE_EDGES = f"{_EDGE_COUNTS} SELECT graph_id, a, b, CAST(cnt AS BIGINT) AS cnt
 @query("decode_nodes_iterative", f"{WITH} SELECT graph_id, idx, count(*) AS cnt FROM idx_nodes GROUP BY ALL")
 def _(t):
     cb = book(t, "MAP", WIDE)
-    return D.decode_nodes_iterative(E.node_terms(t.nodes, cb), cb)
+    return D.decode_nodes_iterative_of(t.nodes, cb, parts=parts_for(t.nodes))
 
 
 @query("decode_nodes_iterative_debug")
 def _(t):
     cb = book(t, "HRR", WIDE)
-    out = D.decode_nodes_iterative(E.node_terms(t.nodes, cb), cb, debug=True)
+    out = D.decode_nodes_iterative_of(t.nodes, cb, debug=True, parts=parts_for(t.nodes))
     return out.select("graph_id", F.size("picks").alias("n"), r6(F.element_at("norms", -1)).alias("last_norm"), r6(F.get("sims", F.lit(0))).alias("first_sim"))
 
 

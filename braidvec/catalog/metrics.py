@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from braidvec.catalog.common import BINS, r6, text
-from braidvec.catalog.decoding import _COMPARED, compare, decoded, truth
+from braidvec.catalog.decoding import _COMPARED, compare
 from braidvec.catalog.registry import query
 from braidvec.catalog.relations import RINGS_SQL
 from braidvec.catalog.similarity import vectors
@@ -286,7 +286,7 @@ def _(t):
 )
 def _(t):
     name = F.when(F.col("graph_id") % 3 == 0, "train").when(F.col("graph_id") % 3 == 1, "valid").otherwise("test")
-    c = M.compare_counts(decoded(t), truth(t)).withColumn("split", name).withColumn("dim", F.lit(256))
+    c = compare(t).withColumn("split", name).withColumn("dim", F.lit(256))
     return _rounded(M.node_decode_accuracy(c))
 
 

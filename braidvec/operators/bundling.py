@@ -22,6 +22,8 @@ from braidvec.functions import vsa as V
 HELD_CELLS = 1 << 22
 # Rows that are counted together before anything is sent.
 COUNTED_ROWS = 1 << 16
+# Entries of a key up to which they are added place by place, which is faster than sums over segments.
+STEPS = 32
 # Groups of tasks whose partial sums are added before the last exchange of a tree.
 TREE_GROUPS = 64
 _ENTRY = np.dtype([("a", "<i4"), ("b", "<i4"), ("n", "<f8")])
@@ -123,22 +125,38 @@ def _buffered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def sum_counted(counts: DataFrame, key: str, sent, out: str, pairs: bool, finish: Callable[[np.ndarray], pa.Array], kind: str) -> DataFrame:
+def sum_counted(counts: DataFrame, key: str, sent, out: str, pairs: bool, finish: Callable[[np.ndarray], pa.Array], kind: str, then: tuple[Callable, str] | None = None, parts: int = 0) -> DataFrame:
     """Σ n · row(a), or Σ n · row(a) · row(b) with ``pairs``, per key, from rows (key, a[, b], n); equal entries may come in
-    several rows. ``sent`` is a broadcast (sorted idx, matrix) and ``finish`` turns sums into the column ``out`` of type ``kind``."""
+    several rows. ``sent`` is a broadcast (sorted idx, matrix) and ``finish`` turns sums into the column ``out`` of type ``kind``.
+
+    With ``then`` = (job on batches, its schema) the sums go on to the job inside their task and do not leave it themselves. ``parts``
+    is the least number of parts the keys are dealt into."""
     key_type = counts.schema[key].dataType.simpleString()
 
     def vectors(matrix: np.ndarray, entries: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Sums of entries (rows of the matrix) by sorted owner, a bounded number of cells at a time."""
         total = np.zeros((n, matrix.shape[1]), matrix.dtype)
-        step = max(1, B.CELLS_PER_CHUNK // max(matrix.shape[1], 1))
+        step = max(1, B.CELLS_IN_CACHE // max(matrix.shape[1], 1))
         for low in range(0, len(entries), step):
             some, at = entries[low : low + step], owner[low : low + step]
-            values = matrix[some["a"]] * matrix[some["b"]] if pairs else matrix[some["a"]]
-            first = int(at[0])
-            total[first : int(at[-1]) + 1] += B.segment_sum(values * some["n"][:, None], at - first, int(at[-1]) + 1 - first)
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            if place.max() >= STEPS:
+                total[at[first]] += np.add.reduceat(rows(matrix, some), first, axis=0)
+                continue
+            for k in range(int(place.max()) + 1):  # the entries at place k belong to different keys
+                mine = np.flatnonzero(place == k)
+                total[at[mine]] += rows(matrix, some[mine])
         return total
 
+    def rows(matrix: np.ndarray, some: np.ndarray) -> np.ndarray:
+        values = matrix[some["a"]]
+        if pairs:
+            values *= matrix[some["b"]]
+        if (some["n"] != 1).any():
+            values *= some["n"][:, None]
+        return values
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, matrix = sent.value
         names = [key, "entries", "vector"]
@@ -210,8 +228,12 @@ def sum_counted(counts: DataFrame, key: str, sent, out: str, pairs: bool, finish
         return pa.RecordBatch.from_arrays([keys.column(0).combine_chunks(), finish(sums)], [key, out])
 
     partial = counts.mapInArrow(count, f"`{key}` {key_type}, entries binary, vector binary")
-    wanted = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.sparkSession.sparkContext.defaultParallelism)
-    return partial.repartition(wanted, key).sortWithinPartitions(key).mapInArrow(total, f"`{key}` {key_type}, `{out}` {kind}")
+    wanted = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.sparkSession.sparkContext.defaultParallelism, parts)
+    dealt = partial.repartition(wanted, key).sortWithinPartitions(key)
+    if then is None:
+        return dealt.mapInArrow(total, f"`{key}` {key_type}, `{out}` {kind}")
+    job, schema = then
+    return dealt.mapInArrow(lambda batches: job(total(batches)), schema)
 
 
 def rows_of(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:

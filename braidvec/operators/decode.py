@@ -21,7 +21,7 @@ from braidvec.functions.hashing import keyed_md5, unit_uniform
 from braidvec.operators.codebook import Codebook
 from braidvec.operators.bundling import rows_of
 from braidvec.operators.decode_wide import decode_pairs_by_rounds, decode_pairs_in_tasks, exchanged, fitted, pair_blocks
-from braidvec.operators.encode import GRAPH_LIMIT, encode
+from braidvec.operators.encode import GRAPH_LIMIT, encode, node_terms
 from braidvec.operators.graphs import components, double_edges, draw_class, graph_hash
 from braidvec.operators.matchings import matching_task
 from braidvec.plans.skew import few_keys, graph_sizes, if_small, split_large, with_group_rank
@@ -66,8 +66,7 @@ def _over_blocks(df: DataFrame, codebook: Codebook, job: Callable, schema: str)
     A codebook that fits is sent to every task. One of any other size meets the vectors on a grid: the vectors are cut into groups of
     about GROUP_ROWS, the codebook into ranges of at most BLOCK_CELLS numbers, and a task holds one of each; the driver sees neither."""
     if codebook.fits:
-        known, matrix = codebook.matrix()
-        return df.mapInArrow(job(df.sparkSession.sparkContext.broadcast((known, B.from_engine(matrix, codebook.vsa, codebook.dim)))), schema)
+        return df.mapInArrow(job(_sent_rows(codebook)), schema)
     vsa, dim = codebook.vsa, codebook.dim
     step = _block_rows(codebook, min(BLOCK_CELLS, BROADCAST_CELLS))
     numbered = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
@@ -95,6 +94,25 @@ def _over_blocks(df: DataFrame, codebook: Codebook, job: Callable, schema: str)
 
 def decode_counts(embeddings: DataFrame, codebook: Codebook, key: str = "graph_id", vector: str = "node_terms") -> DataFrame:
     """(key, idx, cnt): rounded inner product with every codebook row, kept when positive."""
+    kind = embeddings.schema[key].dataType.simpleString()
+    return _over_blocks(embeddings.select(key, F.col(vector).alias("v")), codebook, _counts_job(codebook, key, "v"), f"{key} {kind}, idx long, cnt long")
+
+
+def decode_counts_of_nodes(nodes: DataFrame, codebook: Codebook, parts: int = 0) -> DataFrame:
+    """``decode_counts(node_terms(nodes))``, decoded by the tasks that make the vectors where the codebook fits them."""
+    if not codebook.fits:
+        return decode_counts(node_terms(nodes, codebook), codebook)
+    kind = nodes.schema["graph_id"].dataType.simpleString()
+    return node_terms(nodes, codebook, (_counts_job(codebook, "graph_id", "node_terms")(_sent_rows(codebook)), f"graph_id {kind}, idx long, cnt long"), parts)
+
+
+def _sent_rows(codebook: Codebook):
+    """Broadcast (sorted idx, rows as stored) of a codebook that fits."""
+    known, matrix = codebook.matrix()
+    return codebook.table.sparkSession.sparkContext.broadcast((known, B.from_engine(matrix, codebook.vsa, codebook.dim)))
+
+
+def _counts_job(codebook: Codebook, key: str, vector: str):
     scale = 1.0 if codebook.vsa == "HRR" else float(codebook.dim)
 
     def job(sent):
@@ -102,7 +120,7 @@ def decode_counts(embeddings: DataFrame, codebook: Codebook, key: str = "graph_i
             known, matrix = sent.value
             for whole in batches:
                 for piece in _tiles(whole, len(known)):
-                    products = (B.vector_rows(piece.column("v")) @ matrix.conj().T).real
+                    products = (B.vector_rows(piece.column(vector)) @ matrix.conj().T).real
                     counts = np.rint(products / scale).astype(np.int64)
                     row, col = np.nonzero(counts > 0)
                     columns = [piece.column(key).take(pa.array(row)), pa.array(known[col]), pa.array(counts[row, col])]
@@ -110,8 +128,7 @@ def decode_counts(embeddings: DataFrame, codebook: Codebook, key: str = "graph_i
 
         return run
 
-    kind = embeddings.schema[key].dataType.simpleString()
-    return _over_blocks(embeddings.select(key, F.col(vector).alias("v")), codebook, job, f"{key} {kind}, idx long, cnt long")
+    return job
 
 
 def nearest_entry(embeddings: DataFrame, codebook: Codebook, key: str = "graph_id", vector: str = "node_terms") -> DataFrame:
@@ -150,30 +167,47 @@ def _first_best(sims: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- peeling
 
 
-def peel(x: np.ndarray, matrix: np.ndarray, most: int | None, eps: float) -> tuple[list[list[int]], list[list[float]], list[list[float]]]:
-    """Subtract the best codebook row from every vector until it is used up, stops shrinking, or has ``most`` rows (None: any)."""
+# Codebook rows up to which their inner products are kept, and rounds after which running products are made anew.
+GRAM_ROWS, FRESH_ROUNDS = 1 << 10, 16
+
+
+def peel(x: np.ndarray, matrix: np.ndarray, most: int | None, eps: float) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Subtract the best codebook row from every vector until it is used up, stops shrinking, or has ``most`` rows (None: any).
+
+    The picks, lengths and similarities of all vectors, each as (vector, value) by vector and in order."""
     lengths = np.maximum(np.linalg.norm(matrix, axis=1), V.EPSILON)
-    residual, norm = x.copy(), np.linalg.norm(x, axis=1)
-    picks, norms, sims = ([[] for _ in x] for _ in range(3))
-    active = np.arange(len(x))
-    for _ in itertools.count() if most is None else range(most):
-        for row in active:
-            norms[row].append(float(norm[row]))
-        active = active[norm[active] > eps]
+    other = matrix.conj().T
+    gram = (matrix @ other).real if len(matrix) <= GRAM_ROWS else None
+    rest, norm, active = x, np.linalg.norm(x, axis=1), np.arange(len(x))
+    products, found = None, ([], [], [])
+    for step in itertools.count() if most is None else range(most):
+        found[1].append((active, norm))
+        open_ = norm > eps
+        active, rest, norm = active[open_], rest[open_], norm[open_]
         if not len(active):
             break
-        scores = (residual[active] @ matrix.conj().T).real / lengths / np.maximum(norm[active], V.EPSILON)[:, None]
+        products = (rest @ other).real if gram is None or step % FRESH_ROUNDS == 0 else products[open_]
+        scores = products / lengths / np.maximum(norm, V.EPSILON)[:, None]
         best = _first_best(scores)
-        after = residual[active] - matrix[best]
+        after = rest - matrix[best]
         length = np.linalg.norm(after, axis=1)
-        for at, row in enumerate(active):
-            sims[row].append(float(scores[at, best[at]]))
-        good = length < norm[active]
-        for at in np.flatnonzero(good):
-            picks[active[at]].append(int(best[at]))
-        residual[active[good]], norm[active[good]] = after[good], length[good]
-        active = active[good]
-    return picks, norms, sims
+        found[2].append((active, scores[np.arange(len(best)), best]))
+        good = length < norm
+        active, rest, norm, best = active[good], after[good], length[good], best[good]
+        found[0].append((active, best))
+        if gram is not None:
+            products = products[good] - gram[best]
+    return tuple(_by_vector(steps, kind) for steps, kind in zip(found, (np.int64, np.float64, np.float64), strict=True))
+
+
+def _by_vector(steps: list[tuple[np.ndarray, np.ndarray]], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    row = np.concatenate([np.zeros(0, np.int64), *[r for r, _ in steps]])
+    order = np.argsort(row, kind="stable")
+    return row[order], np.concatenate([np.zeros(0, kind), *[v for _, v in steps]])[order]
+
+
+def _lists(row: np.ndarray, values: np.ndarray, count: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(count + 1)).astype(np.int32)), pa.array(values))
 
 
 def decode_nodes_iterative(
@@ -188,34 +222,44 @@ def decode_nodes_iterative(
         if debug:
             raise ValueError("debug needs a codebook that fits a task")
         return decode_nodes_rounds(embeddings, codebook, max_nodes, eps_share, key, vector)
-    known, matrix = codebook.matrix()
-    sent = embeddings.sparkSession.sparkContext.broadcast((known, B.from_engine(matrix, codebook.vsa, codebook.dim)))
+    run, tail = _nodes_job(codebook, max_nodes, eps_share, key, "v", debug)
+    kind = embeddings.schema[key].dataType.simpleString()
+    return embeddings.select(key, F.col(vector).alias("v")).mapInArrow(run, f"{key} {kind}, {tail}")
+
+
+def decode_nodes_iterative_of(nodes: DataFrame, codebook: Codebook, max_nodes: int | None = None, eps_share: float = 0.01, debug: bool = False, parts: int = 0) -> DataFrame:
+    """``decode_nodes_iterative(node_terms(nodes))``, peeled by the tasks that make the vectors where the codebook fits them."""
+    if not codebook.fits:
+        return decode_nodes_iterative(node_terms(nodes, codebook), codebook, max_nodes, eps_share, debug=debug)
+    run, tail = _nodes_job(codebook, max_nodes, eps_share, "graph_id", "node_terms", debug)
+    kind = nodes.schema["graph_id"].dataType.simpleString()
+    return node_terms(nodes, codebook, (run, f"graph_id {kind}, {tail}"), parts)
+
+
+def _nodes_job(codebook: Codebook, max_nodes: int | None, eps_share: float, key: str, vector: str, debug: bool):
+    """The peeling on Arrow batches of (key, vector), and the columns it adds to the key."""
+    sent = _sent_rows(codebook)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, matrix = sent.value
         eps = eps_share * float(np.linalg.norm(matrix, axis=1).min())
         for whole in batches:
-            for piece in _tiles(whole, len(known)):
-                picks, norms, sims = peel(B.vector_rows(piece.column("v")), matrix, max_nodes, eps)
-                full = np.array([max_nodes is not None and len(p) >= max_nodes for p in picks], bool)
+            for piece in _tiles(whole, max(len(known), 4 * matrix.shape[1])):
+                n = piece.num_rows
+                picks, norms, sims = peel(B.vector_rows(piece.column(vector)), matrix, max_nodes, eps)
+                full = np.bincount(picks[0], minlength=n) >= (np.inf if max_nodes is None else max_nodes)
                 more = [] if max_nodes is None else ["capped"]
                 if debug:
-                    columns = [piece.column(key), pa.array([[int(known[i]) for i in p] for p in picks], pa.list_(pa.int64())), pa.array(norms, pa.list_(pa.float64())), pa.array(sims, pa.list_(pa.float64()))]
+                    columns = [piece.column(key), _lists(picks[0], known[picks[1]], n), _lists(*norms, n), _lists(*sims, n)]
                     yield pa.RecordBatch.from_arrays(columns + [pa.array(full)] * len(more), [key, "picks", "norms", "sims", *more])
                     continue
-                rows, idx, cnt = [], [], []
-                for row, p in enumerate(picks):
-                    values, times = np.unique(np.array(p, np.int64), return_counts=True)
-                    rows += [row] * len(values)
-                    idx.append(known[values])
-                    cnt.append(times)
-                empty = np.zeros(0, np.int64)
-                columns = [piece.column(key).take(pa.array(rows, pa.int64())), pa.array(np.concatenate([empty, *idx])), pa.array(np.concatenate([empty, *cnt]))]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(full[np.array(rows, np.int64)])] * len(more), [key, "idx", "cnt", *more])
+                entry, cnt = np.unique(picks[0] * len(known) + picks[1], return_counts=True)
+                rows, idx = np.divmod(entry, max(len(known), 1))
+                columns = [piece.column(key).take(pa.array(rows)), pa.array(known[idx]), pa.array(cnt)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(full[rows])] * len(more), [key, "idx", "cnt", *more])
 
-    kind = embeddings.schema[key].dataType.simpleString()
     tail = ("picks array<long>, norms array<double>, sims array<double>" if debug else "idx long, cnt long") + (", capped boolean" if max_nodes is not None else "")
-    return embeddings.select(key, F.col(vector).alias("v")).mapInArrow(run, f"{key} {kind}, {tail}")
+    return run, tail
 
 
 def decode_nodes_rounds(embeddings: DataFrame, codebook: Codebook, max_nodes: int | None = None, eps_share: float = 0.01, key: str = "graph_id", vector: str = "node_terms") -> DataFrame:

@@ -35,28 +35,30 @@ def _finish_column(hv: Column, vsa: str) -> Column:
     return V.from_spectral(hv) if vsa == "HRR" else hv
 
 
-def _sum_of_counts(counts: DataFrame, key: str, codebook: Codebook, out: str, pairs: bool) -> DataFrame:
-    """Σ count · vector per key from rows (key, idx, cnt), or Σ count · bind from rows (key, a, b, cnt); equal rows may repeat."""
+def _sum_of_counts(counts: DataFrame, key: str, codebook: Codebook, out: str, pairs: bool, then: tuple | None = None, parts: int = 0) -> DataFrame:
+    """Σ count · vector per key from rows (key, idx, cnt), or Σ count · bind from rows (key, a, b, cnt); equal rows may repeat.
+    ``then`` and ``parts`` as in ``sum_counted``."""
     vsa, dim = codebook.vsa, codebook.dim
-    parts = ["a", "b"] if pairs else ["idx"]
+    ends = ["a", "b"] if pairs else ["idx"]
     if not codebook.fits:
         # A book of this size is joined, and never broadcast on the strength of an estimate.
-        rows = counts.groupBy(key, *parts).agg(F.sum("cnt").alias("cnt"))
-        for part in parts:
+        rows = counts.groupBy(key, *ends).agg(F.sum("cnt").alias("cnt"))
+        for part in ends:
             book = named_rows(codebook, rows, part).spectral()
             rows = rows.join(book.table.select(F.col("idx").alias(part), F.col("hv").alias(f"_h{part}")).hint("merge"), part)
         rows = rows.withColumn("hv", V.bind("_ha", "_hb", vsa) if pairs else F.col("_hidx"))
-        sums = bundle(rows, [key], weight="cnt")
-        return sums.select(key, _finish_column(F.col("hv"), vsa).alias(out))
+        sums = bundle(rows, [key], weight="cnt").select(key, _finish_column(F.col("hv"), vsa).alias(out))
+        return sums if then is None else sums.mapInArrow(*then)
     sent = counts.sparkSession.sparkContext.broadcast(codebook.matrix())
-    rows = counts.select(key, F.col(parts[0]).alias("a"), *(["b"] if pairs else []), F.col("cnt").alias("n"))
-    return sum_counted(rows, key, sent, out, pairs, lambda sums: B.vector_column(B.from_engine(sums, vsa, dim)), _vector_type(vsa))
+    rows = counts.select(key, F.col(ends[0]).alias("a"), *(["b"] if pairs else []), F.col("cnt").alias("n"))
+    return sum_counted(rows, key, sent, out, pairs, lambda sums: B.vector_column(B.from_engine(sums, vsa, dim)), _vector_type(vsa), then, parts)
 
 
-def node_terms(nodes: DataFrame, codebook: Codebook) -> DataFrame:
-    """Sum of the node vectors of each graph."""
+def node_terms(nodes: DataFrame, codebook: Codebook, then: tuple | None = None, parts: int = 0) -> DataFrame:
+    """Sum of the node vectors of each graph. With ``then`` = (job on Arrow batches of (graph_id, node_terms), its schema) the rows of
+    that job instead, which runs in the tasks that make the vectors."""
     rows = with_index(nodes, codebook.bins).select("graph_id", "idx", F.lit(1).alias("cnt"))
-    return _sum_of_counts(rows, "graph_id", codebook, "node_terms", pairs=False)
+    return _sum_of_counts(rows, "graph_id", codebook, "node_terms", False, then, parts)
 
 
 def _edge_pairs(nodes: DataFrame, edges: DataFrame, bins: Sequence[int]) -> DataFrame:

@@ -149,10 +149,13 @@ def target_error(df: DataFrame, value: str, target: float, keys: Sequence[str] =
     return df.groupBy(*keys).agg(F.avg(e).alias("mae"), share(e < 0.5).alias("within_0_5"), share(e < 1.0).alias("within_1_0"))
 
 
-def _paired(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    left = a.groupBy(*keys).agg(F.sum("cnt").alias("ca"))
-    right = b.groupBy(*keys).agg(F.sum("cnt").alias("cb"))
-    return left.join(right, list(keys), "full_outer").fillna(0, ["ca", "cb"])
+def _paired(a: DataFrame, b: DataFrame, keys: Sequence[str], parts: int = 0) -> DataFrame:
+    """Sums of ``cnt`` of both tables per keys. The rows of both are brought together once, by the first key, and grouped there; a null
+    key is a value like any other."""
+    none = lambda df: F.lit(0).cast(df.schema["cnt"].dataType)
+    rows = a.select(*keys, F.col("cnt").alias("ca"), none(b).alias("cb")).union(b.select(*keys, none(a).alias("ca"), F.col("cnt").alias("cb")))
+    dealt = rows.repartition(parts, keys[0]) if parts else rows.repartition(keys[0])
+    return dealt.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ca", "cb")])
 
 
 def edge_iou(a: DataFrame, b: DataFrame, graph: str = "graph_id", items: Sequence[str] = ("a", "b")) -> DataFrame:
@@ -162,9 +165,10 @@ def edge_iou(a: DataFrame, b: DataFrame, graph: str = "graph_id", items: Sequenc
     return both.groupBy(graph).agg(_ratio(F.sum(F.least("ca", "cb")), union).alias("iou"))
 
 
-def compare_counts(decoded: DataFrame, truth: DataFrame, item: str = "idx", graphs: DataFrame | None = None) -> DataFrame:
-    """Exact match, missing, extra and totals of two count tables per graph."""
-    both = _paired(decoded, truth, ["graph_id", item])
+def compare_counts(decoded: DataFrame, truth: DataFrame, item: str = "idx", graphs: DataFrame | None = None, parts: int = 0) -> DataFrame:
+    """Exact match, missing, extra and totals of two count tables per graph. Rows of equal items are added; ``parts`` sets the number
+    of tasks (``session.parts_for``), by default the session's number of partitions."""
+    both = _paired(decoded, truth, ["graph_id", item], parts)
     gap = F.col("ca") - F.col("cb")
     out = both.groupBy("graph_id").agg(
         (F.sum(F.abs(gap)) == 0).alias("exact_match"), F.sum(F.greatest(-gap, F.lit(0))).alias("missing"),
