@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from braidvec.catalog.algebra import book
-from braidvec.catalog.common import BINS, ROWS, r6, text
+from braidvec.catalog.common import BINS, ROWS, r6, r6_scaled, text
 from braidvec.catalog.encoding import MAP_PLAIN, map_layers
 from braidvec.catalog.registry import query
 from braidvec.catalog.relations import wl_sql
@@ -233,7 +233,7 @@ def _(t):
 def _(t):
     score = F.when(F.col("l_quantity") > 45, float("inf")).otherwise(F.col("l_quantity"))
     out = D.best_of_n(t.read("lineitem"), "l_orderkey", "l_linenumber", score)
-    return out.withColumn("avg_score", F.round("avg_score", 6))
+    return out.withColumn("avg_score", r6_scaled("avg_score"))
 
 
 @query("nearest_entry", f"{WITH}, {_gram(WIDE)}, rk AS (SELECT graph_id, idx, row_number() OVER (PARTITION BY graph_id ORDER BY dot DESC, idx) AS r FROM dots) SELECT graph_id, idx, concat_ws(',', idx // 60, (idx // 10) % 6, (idx // 5) % 2, idx % 5) AS feat FROM rk WHERE r = 1")
