@@ -9,7 +9,9 @@ The result is one row per document with the component of the link graph it belon
    fewer offered shingles that occur in a second set cannot link. Occurrences are counted by hash range; a task that has seen a
    shingle in two sets says so once, so a common shingle costs a row a task. What is left is a superset of the linked documents.
 3. *Blocks.* The sets of those are tied by their prefixes (a quarter of the shingles, rare ones first); linked documents share a
-   prefix shingle, so each component of this coarser graph is a block. Blocks above ``CHUNK`` sets are cut into chunks.
+   prefix shingle, so each component of this coarser graph is a block. In many texts, shingles that are not rare tie texts of
+   all sizes into one block, so blocks above ``CHUNK`` sets are tied anew for sets of one size level and the next only, and by the
+   shorter prefix that the smaller of two linked sets shares. Those that are still larger are cut into chunks.
 4. *Signature trees.* In a chunk the sets are ordered by size and smallest hashes and become leaves of a tree whose nodes hold
    the OR of their bitmaps and the range of their sizes. A dual traversal from (root, root) drops pairs of nodes whose largest
    possible overlap is too small, whose sizes are too different, or whose members are all linked already. Leaf pairs left are
@@ -740,23 +742,99 @@ def _labelled(df: DataFrame, edges: DataFrame) -> DataFrame:
     return df.join(names, df["rep"] == names["node"], "left").select(df["*"], F.coalesce("label", "rep").alias("label"))
 
 
-def _placed(classes: DataFrame, sets: DataFrame, parts: int, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """(block, level, chunk, rep, n, d1, members) of the classes in blocks of one chunk, and of those in larger blocks."""
+_TIE_SIZES = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+_TIE_SIZES_SQL = "part int, keys binary, nodes binary, sizes binary"
+
+
+def lesser(size: np.ndarray) -> np.ndarray:
+    """Fewest shingles that a set of this size shares with a set it links with that is no smaller."""
+    return -(-2 * size * PERCENT // (100 + PERCENT))
+
+
+def _window_ties(parts: int, rarity: np.ndarray, spark):
+    """Prefix shingles of sets under the two windows they belong to: as a set of the window's level, and as one of the level above
+    it. Sizes are negative where the shingle is in the prefix that a set shares with others no smaller."""
+    sent = spark.sparkContext.broadcast(rarity)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, items, at in _iter_sets(batches):
+            n = np.diff(at)
+            row = np.repeat(np.arange(len(n)), n)
+            count = sent.value[(items >> U64(40)).astype(np.int64) % SKETCH]
+            order = np.lexsort((items, count, row))
+            inside = np.arange(len(items)) - np.repeat(at[:-1], n)
+            kept = inside < np.repeat(n - need(n) + 1, n)
+            first = (inside < np.repeat(n - lesser(n) + 1, n))[kept]
+            row, item = row[kept], items[order[kept]]
+            level = rows.column("level").to_numpy()[row]
+            key = np.concatenate([mix(item ^ mix(k.astype(U64))) for k in (level, level - 1)])
+            node = np.concatenate([rows.column(c).to_numpy()[row] for c in ("own", "below")])
+            size = np.concatenate([np.where(first, -n[row], n[row]), n[row]]).astype(np.int32)
+            part = (key % U64(parts)).astype(np.int64)
+            for p, a, b, c in deal(part, parts, key, node, size):
+                yield record(_TIE_SIZES, [p], [a], [b], [c])
+
+    return task
+
+
+def _window_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one hash range: edges that tie, under every key, the sets of negative size and the others that are no smaller than one of
+    them, as stars around the smallest of each component."""
+    keys, nodes, sizes = [], [], []
+    for b in batches:
+        for held, name, kind in ((keys, "keys", U64), (nodes, "nodes", np.int64), (sizes, "sizes", np.int32)):
+            held.append(np.frombuffer(string_buffer(b.column(name))[0].tobytes(), kind))
+    if not keys:
+        return
+    key, node, size = (np.concatenate(x) for x in (keys, nodes, sizes))
+    order = np.lexsort((np.abs(size), size > 0, key))
+    key, node, size = key[order], node[order], size[order]
+    first, run = _runs(key)
+    tied = (size[first] < 0)[run] & ((size < 0) | (size >= -size[first][run]))
+    names, number = np.unique(node, return_inverse=True)
+    label = _merge_labels(number[first][run[tied]], number[tied], len(names))
+    far = label != np.arange(len(names))
+    yield record(_EDGE, names[label[far]], names[far])
+
+
+def _windows(large: DataFrame, sets: DataFrame, rarity: np.ndarray, parts: int) -> DataFrame:
+    """(block, window, level, rep, n, d1, members) of the sets of ``large`` (rep, n, d1, members, level): blocks of sets of the
+    window's level and of the next one. A set is in up to two of them; one that nothing ties is left out, as it has no link."""
     spark = sets.sparkSession
-    ties = sets.mapInArrow(_ties(parts, _sketch(sets), spark), _TIE_SQL).repartitionById(parts, F.col("part")).mapInArrow(_tie_edges, _EDGE_SQL)
+    node = lambda k: F.xxhash64("rep", "d1", F.col("level") - k)
+    levelled = sets.join(_few(large.select("rep", "d1", "level")), ["rep", "d1"]).select("rep", "level", node(0).alias("own"), node(1).alias("below"), "items")
+    ties = levelled.mapInArrow(_window_ties(parts, rarity, spark), _TIE_SIZES_SQL).repartitionById(parts, F.col("part")).mapInArrow(_window_edges, _EDGE_SQL)
+    blocks = components(ties).select("node", F.col("label").alias("block"))
+    both = large.withColumn("window", F.explode(F.array(F.col("level"), F.col("level") - 1)))
+    both = both.withColumn("node", F.xxhash64("rep", "d1", "window"))
+    return both.join(blocks, "node").select("block", "window", "level", "rep", "n", "d1", "members")
+
+
+def _placed(classes: DataFrame, sets: DataFrame, parts: int, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(block, window, level, chunk, rep, n, d1, members) of the classes in blocks of one chunk, and of those in larger blocks under
+    the blocks of their windows: in windows of one chunk, and in larger ones."""
+    rarity = _sketch(sets)
+    ties = sets.mapInArrow(_ties(parts, rarity, sets.sparkSession), _TIE_SQL).repartitionById(parts, F.col("part")).mapInArrow(_tie_edges, _EDGE_SQL)
     blocks = components(ties).select(F.col("node").alias("rep"), F.col("label").alias("block"))
     # Everything is planned on narrow rows; the sets join last.
     placed = cut_lineage(blocks.join(classes.select("rep", "n", "d1", "members"), "rep"))
     share = F.greatest(F.count("*") / chunk, F.sum("n") / CHUNK_ITEMS)
     size = placed.groupBy("block").agg(share.alias("share"))
-    columns = ["rep", "n", "d1", "members"]
-    few = placed.join(size.filter("share <= 1"), "block").select("block", F.lit(0).alias("level"), F.lit(0).alias("chunk"), *columns)
+    columns = ["block", "window", "level", "chunk", "rep", "n", "d1", "members"]
+    alone = {c: F.lit(0) for c in ("window", "level", "chunk")}
+    few = placed.join(size.filter("share <= 1"), "block").withColumns(alone).select(*columns)
     # Large blocks are cut by size of the set, in steps such that linked sets are on one level or on neighbouring ones, and by hash.
     level = F.floor(F.ln("n") / F.lit(LEVEL)).cast("int")
-    levels = placed.join(size.filter("share > 1"), "block").withColumn("level", level)
+    large = cut_lineage(placed.join(size.filter("share > 1"), "block").select("rep", "n", "d1", "members", level.alias("level")))
+    if not large.head(1):
+        return few, few.limit(0), few.limit(0)
+    levels = cut_lineage(_windows(large, sets, rarity, parts))
+    size = levels.groupBy("block").agg(share.alias("share"))
+    small = levels.join(size.filter("share <= 1"), "block").withColumn("chunk", F.lit(0)).select(*columns)
+    levels = levels.join(size.filter("share > 1").select("block"), "block")
     count = levels.groupBy("block", "level").agg(F.ceil(2 * share).alias("chunks"))
-    many = levels.join(count, ["block", "level"]).select("block", "level", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), *columns)
-    return few, cut_lineage(many)
+    many = levels.join(count, ["block", "level"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).select(*columns)
+    return few, small, cut_lineage(many)
 
 
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
@@ -764,8 +842,10 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, chunk: int = CHUNK
     rows, classes = _thin(docs, width)
     sets = cut_lineage(_candidate_sets(docs, classes, width))
     parts = parts_of(docs)
-    few, many = _placed(classes, sets, parts, chunk)
-    links = cut_lineage(_links_within(few.unionByName(many), sets, parts))
+    few, small, many = _placed(classes, sets, parts, chunk)
+    # The sets of the level above a window's are compared with each other in the window of their own.
+    within = few.unionByName(small.withColumn("level", F.lit(0))).unionByName(many.filter("level = window"))
+    links = cut_lineage(_links_within(within, sets, parts))
     if many.head(1):
         links = _link_large(many.drop("members"), sets, links, parts, chunk)
     joined = components(links)
@@ -778,8 +858,8 @@ def jaccard_links(docs: DataFrame, width: int = SHINGLE, chunk: int = LINK_CHUNK
     rows, classes = _thin(docs, width)
     sets = cut_lineage(_candidate_sets(docs, classes, width))
     parts = parts_of(docs)
-    few, many = _placed(classes, sets, parts, chunk)
-    found = cut_lineage(_count_all(few, many, sets, parts))
+    few, small, many = _placed(classes, sets, parts, chunk)
+    found = cut_lineage(_count_all(few, small.unionByName(many), sets, parts))
     joined = components(found.filter("links is null").select("a", "b"))
     counts = found.filter("links is not null").groupBy(F.col("a").alias("rep"), F.col("b").alias("d1")).agg(F.sum("links").alias("links"))
     named = classes.join(joined, classes["rep"] == joined["node"]).join(counts, ["rep", "d1"], "left")
@@ -787,12 +867,12 @@ def jaccard_links(docs: DataFrame, width: int = SHINGLE, chunk: int = LINK_CHUNK
 
 
 def _count_all(few: DataFrame, many: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Counted and spanning links of all chunks, and of all pairs of chunks of a block that can hold linked sets."""
+    """Counted and spanning links of all chunks, and of all pairs of chunks of a window that can hold linked sets: those of its
+    level with each other and with those of the next."""
     at = F.struct("level", "chunk").alias("at")
-    chunks = many.select("block", at).distinct()
-    one, two = chunks.alias("p"), chunks.alias("q")
-    near = F.abs(F.col("p.at.level") - F.col("q.at.level")) <= 1
-    pairs = one.join(two, (F.col("p.block") == F.col("q.block")) & (F.col("p.at") <= F.col("q.at")) & near)
+    chunks = many.select("block", "window", at).distinct()
+    one, two = chunks.filter("at.level = window").alias("p"), chunks.alias("q")
+    pairs = one.join(two, (F.col("p.block") == F.col("q.block")) & (F.col("p.at") <= F.col("q.at")))
     side = lambda k, t: F.struct(F.lit(k).alias("side"), F.col(f"{t}.at").alias("at"))
     sides = F.when(F.col("p.at") == F.col("q.at"), F.array(side(0, "p"))).otherwise(F.array(side(0, "p"), side(1, "q")))
     ends = [F.col(f"{t}.at.{c}").alias(f"{n}_{c}") for t, n in (("p", "x"), ("q", "y")) for c in ("level", "chunk")]
@@ -826,12 +906,11 @@ def _link_large(large: DataFrame, sets: DataFrame, links: DataFrame, parts: int,
     pivots = pivots.drop("chunk").join(count, ["block", "level"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     links = cut_lineage(links.unionByName(_links_within(pivots, sets, parts)))
     state = cut_lineage(_labelled(large, links).withColumn("at", F.struct("level", "chunk")))
-    # Pairs of chunks that hold more than one component, on levels that can hold linked sets.
-    chunks = state.groupBy("block", "at").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    one, two = chunks.alias("p"), chunks.alias("q")
+    # Pairs of chunks that hold more than one component: of the window's level with each other and with those of the next.
+    chunks = state.groupBy("block", "window", "at").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    one, two = chunks.filter("at.level = window").alias("p"), chunks.alias("q")
     apart = F.least("p.low", "q.low") != F.greatest("p.high", "q.high")
-    near = F.abs(F.col("p.at.level") - F.col("q.at.level")) <= 1
-    pairs = one.join(two, (F.col("p.block") == F.col("q.block")) & (F.col("p.at") < F.col("q.at")) & near & apart)
+    pairs = one.join(two, (F.col("p.block") == F.col("q.block")) & (F.col("p.at") < F.col("q.at")) & apart)
     key = ["block", "x_level", "x_chunk", "y_level", "y_chunk"]
     side = lambda k, t: F.struct(F.lit(k).alias("side"), F.col(f"{t}.at").alias("at"))
     both = F.explode(F.array(side(0, "p"), side(1, "q"))).alias("one")

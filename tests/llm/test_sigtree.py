@@ -142,3 +142,30 @@ def test_counted_overlaps_are_those_of_the_sets():
     for inner, outer in ((range(0, 64), range(70, 134)), (range(64, 70), range(134, 150)), (range(0, 64), range(0, 64))):
         overlaps.hold(inner)
         assert overlaps.sizes(outer).tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in outer] for i in inner]
+
+
+def test_sets_of_other_sizes_are_not_in_one_window(spark):
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    chain, pools, sets = draw(241), {}, []
+    for i in range(240):  # neighbours of the chain share a rare shingle and differ in size; four sets of one size share half of theirs
+        quarters = pools.setdefault((i // 16, i % 4), [draw(4 << i % 4) for _ in range(4)])
+        sets.append(np.unique(np.concatenate([*quarters[: i // 4 % 4], *quarters[i // 4 % 4 + 1 :], chain[i : i + 2]])))
+    sets += [s[:-1] for s in sets[:40]]  # these link
+    n = np.array([len(s) for s in sets])
+    d1 = [int(x) for x in sigtree.set_digests(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))[0].view(np.int64)]
+    rows = spark.createDataFrame([(k, d1[k], s.tobytes()) for k, s in enumerate(sets)], "rep long, d1 long, items binary").repartition(3)
+    classes = spark.createDataFrame([(k, int(n[k]), d1[k], 0, 1) for k in range(len(sets))], "rep long, n long, d1 long, d2 long, members long")
+    few, small, many = (x.collect() for x in sigtree._placed(classes, rows, 4, 12))
+    whole = small + many
+    blocks: dict[int, list] = {}
+    for r in whole:
+        assert r.level - r.window in (0, 1)
+        blocks.setdefault(r.block, []).append(r)
+    together = {(a.rep, b.rep) for block in blocks.values() for a in block for b in block if a.level == a.window}
+    together |= {(b, a) for a, b in together} | {(a.rep, b.rep) for a in few for b in few if a.block == b.block}
+    for a in range(len(sets)):
+        for b in range(a):
+            assert not sigtree.linked(sets[a], sets[b]) or (a, b) in together
+    # One block of all sets would be compared, and sent, in the square of their number.
+    assert len(whole) > 100 and sum(len(b) ** 2 for b in blocks.values()) < len(sets) ** 2 / 10
