@@ -89,14 +89,14 @@ def _(t):
 @query("decode_edges", _TRUE_EDGES)
 def _(t):
     cb = book(t, "HRR", WIDE)
-    return D.decode_edges(E.edge_terms(t.nodes, t.edges, cb), truth(t), cb)
+    return D.decode_edges_of(t.nodes, t.edges, truth(t), cb)
 
 
 @query("decode_edges_free", _TRUE_EDGES)
 def _(t):
     cb = book(t, "HRR", WIDE)
     pairs = E.edge_pair_counts(t.nodes, t.edges, BINS).select("a", "b").distinct()
-    return D.decode_edges_free(E.edge_terms(t.nodes, t.edges, cb), cb, pairs=pairs)
+    return D.decode_edges_free_of(t.nodes, t.edges, cb, pairs=pairs, parts=parts_for(t.nodes))
 
 
 def _pairs(t):

@@ -21,10 +21,10 @@ from braidvec.functions.hashing import keyed_md5, unit_uniform
 from braidvec.operators.codebook import Codebook
 from braidvec.operators.bundling import rows_of
 from braidvec.operators.decode_wide import decode_pairs_by_rounds, decode_pairs_in_tasks, exchanged, fitted, pair_blocks
-from braidvec.operators.encode import GRAPH_LIMIT, encode, node_terms
+from braidvec.operators.encode import GRAPH_LIMIT, edge_pairs, edge_terms, encode, node_terms
 from braidvec.operators.graphs import components, double_edges, draw_class, graph_hash
 from braidvec.operators.matchings import matching_task
-from braidvec.plans.skew import few_keys, graph_sizes, if_small, split_large, with_group_rank
+from braidvec.plans.skew import few_keys, graph_sizes, if_small, per_graph, split_large, with_group_rank
 from braidvec.schema import EncoderConfig
 from braidvec.session import BROADCAST_CELLS, cut_lineage
 
@@ -294,12 +294,31 @@ def _pair_lengths(matrix: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.maximum(np.sqrt((square * weights) @ square.T), V.EPSILON)
 
 
-def peel_pairs(e: np.ndarray, matrix: np.ndarray, allowed: np.ndarray | None, rounds: np.ndarray | None, weights: np.ndarray, eps: np.ndarray | None) -> list[list[tuple[int, int]]]:
+def _real_parts(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([values.real, values.imag], axis=-1) if np.iscomplexobj(values) else values
+
+
+# Numbers of the bound vectors of all allowed pairs, up to which a task keeps them.
+PAIR_CELLS = 1 << 22
+
+
+def bound_pairs(matrix: np.ndarray, allowed: np.ndarray | None, weights: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """(a, b, bound vectors as columns, lengths) of the allowed pairs a <= b, if they may be kept."""
+    if allowed is None or np.count_nonzero(allowed) * matrix.shape[1] > PAIR_CELLS:
+        return None
+    a, b = np.nonzero(np.triu(allowed))
+    return a, b, np.ascontiguousarray(_real_parts((matrix[a] * matrix[b]).conj()).T), _pair_lengths(matrix, weights)[a, b]
+
+
+def peel_pairs(
+    e: np.ndarray, matrix: np.ndarray, allowed: np.ndarray | None, rounds: np.ndarray | None, weights: np.ndarray, eps: np.ndarray | None, kept: tuple[np.ndarray, ...] | None = None
+) -> list[list[tuple[int, int]]]:
     """Pairs of every vector of ``e``, best first, both directions subtracted; all vectors advance together.
 
     ``matrix`` is (vectors, tuples, dim), or (1, tuples, dim) when they share their tuples. ``rounds`` bounds the pairs of each
     vector; with ``eps`` a vector also stops when its remainder is below it or no longer shrinks. The products with bind(a, b)
-    for all tuples a, b are one matrix product; the bound vectors are never formed.
+    for all tuples a, b are one matrix product; the bound vectors are never formed, unless the few that are allowed are given by
+    ``kept`` (``bound_pairs``).
 
     A wrong pair that was taken once stays, and leaves a remainder. The pairs of such vectors (few) are exchanged until nothing is left,
     or else the vectors are fitted again with free counts, and where whole counts leave nothing these are the answer; a vector that
@@ -311,6 +330,8 @@ def peel_pairs(e: np.ndarray, matrix: np.ndarray, allowed: np.ndarray | None, ro
     lengths = np.stack([_pair_lengths(m, weights) for m in matrix])
     given, e, norm = e, e.copy(), np.sqrt(B.squares(e) @ weights)
     active, size = np.arange(len(e)), matrix.shape[1]
+    # The real part of a product of complex numbers as one real product of twice the length.
+    columns = None if kept else np.ascontiguousarray(_real_parts(matrix.conj()).transpose(0, 2, 1))
     while True:
         if rounds is not None:
             active = active[np.array([len(found[k]) for k in active], np.int64) < rounds[active]]
@@ -318,13 +339,19 @@ def peel_pairs(e: np.ndarray, matrix: np.ndarray, allowed: np.ndarray | None, ro
             active = active[norm[active] > eps]
         if not len(active):
             break
-        m = matrix if shared else matrix[active]
-        sims = (((e[active].conj() * weights)[:, None, :] * m) @ m.transpose(0, 2, 1)).real / (lengths if shared else lengths[active])
-        if allowed is not None:
-            sims = np.where(allowed, sims, -np.inf)
-        flat = sims.reshape(len(active), -1)
+        if kept is not None:
+            flat = _real_parts(e[active].conj() * weights) @ kept[2]
+            flat /= kept[3]
+        else:
+            m = matrix if shared else matrix[active]
+            halves = _real_parts((e[active].conj() * weights)[:, None, :] * m)
+            sims = (halves.reshape(-1, halves.shape[2]) @ columns[0]).reshape(len(active), size, size) if shared else halves @ columns[active]
+            sims /= lengths if shared else lengths[active]
+            if allowed is not None:
+                sims = np.where(allowed, sims, -np.inf)
+            flat = sims.reshape(len(active), -1)
         best = (flat >= flat.max(1, keepdims=True) - 1e-12 * np.maximum(1.0, norm[active])[:, None]).argmax(1)
-        a, b = np.divmod(best, size)
+        a, b = np.divmod(best, size) if kept is None else (kept[0][best], kept[1][best])
         own = np.zeros(len(active), np.int64) if shared else active
         after = e[active] - 2 * matrix[own, a] * matrix[own, b]
         length = np.sqrt(B.squares(after) @ weights)
@@ -396,35 +423,88 @@ def decode_edges(embeddings: DataFrame, counts: DataFrame, codebook: Codebook, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = B.to_engine(B.vector_rows(batch.column("v")), vsa)
-            names = [np.array(ids, np.int64) for ids in batch.column("ids").to_pylist()]
-            rounds = np.array(batch.column("total").to_pylist(), np.int64) // 2
-            found: list[list[tuple[int, int]]] = [[] for _ in names]
-            sizes = np.array([len(ids) for ids in names], np.int64)
-            for size in np.unique(sizes[sizes > 0]):
-                group = np.flatnonzero(sizes == size)
-                step = max(1, B.CELLS_PER_CHUNK // int(size * max(x.shape[1], size)))
-                for low in range(0, len(group), step):
-                    some = group[low : low + step]
-                    if fits:
-                        known, matrix = sent.value
-                        own = matrix[rows_of(known, np.concatenate([names[k] for k in some]))]
-                    else:
-                        own = np.concatenate([B.to_engine(B.vector_rows(batch.column("hvs")[int(k)].values), vsa) for k in some])
-                    pairs = peel_pairs(x[some], own.reshape(len(some), size, -1), None, rounds[some], weights, None)
-                    for k, p in zip(some, pairs, strict=True):
-                        found[k] = p
-            yield _pair_rows(key, batch.column(key), found, names)
+            names, rounds = _names_and_rounds(batch)
+
+            def vectors(some: np.ndarray, batch=batch, names=names) -> np.ndarray:
+                if fits:
+                    known, matrix = sent.value
+                    return matrix[rows_of(known, np.concatenate([names[k] for k in some]))]
+                return np.concatenate([B.to_engine(B.vector_rows(batch.column("hvs")[int(k)].values), vsa) for k in some])
+
+            yield _pair_rows(key, batch.column(key), _peeled_in_groups(x, names, rounds, vectors, weights), names)
 
     kind = embeddings.schema[key].dataType.simpleString()
     return rows.mapInArrow(run, f"{key} {kind}, a long, b long").groupBy(key, "a", "b").agg(F.count("*").alias("cnt"))
 
 
+def _names_and_rounds(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+    return [np.array(ids, np.int64) for ids in batch.column("ids").to_pylist()], np.array(batch.column("total").to_pylist(), np.int64) // 2
+
+
+def _peeled_in_groups(x: np.ndarray, names: list[np.ndarray], rounds: np.ndarray, vectors: Callable[[np.ndarray], np.ndarray], weights: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Pairs of every vector over its own tuples, vectors of as many tuples together."""
+    found: list[list[tuple[int, int]]] = [[] for _ in names]
+    sizes = np.array([len(ids) for ids in names], np.int64)
+    for size in np.unique(sizes[sizes > 0]):
+        group = np.flatnonzero(sizes == size)
+        step = max(1, B.CELLS_PER_CHUNK // int(size * max(x.shape[1], size)))
+        for low in range(0, len(group), step):
+            some = group[low : low + step]
+            pairs = peel_pairs(x[some], vectors(some).reshape(len(some), size, -1), None, rounds[some], weights, None)
+            for k, p in zip(some, pairs, strict=True):
+                found[k] = p
+    return found
+
+
+def _counted(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Equal rows with their number ``cnt``, where all rows of a key are in the batch."""
+    names = rows.schema.names
+    yield from pa.Table.from_batches([rows]).group_by(names, use_threads=False).aggregate([([], "count_all")]).select([*names, "count_all"]).rename_columns([*names, "cnt"]).to_batches()
+
+
+def decode_edges_of(nodes: DataFrame, edges: DataFrame, counts: DataFrame, codebook: Codebook, limit: int = GRAPH_LIMIT) -> DataFrame:
+    """``decode_edges(edge_terms(nodes, edges), counts)``. The vectors of graphs up to the size limit are made in the tasks that decode
+    them, and do not leave these."""
+    if not codebook.fits:
+        return decode_edges(edge_terms(nodes, edges, codebook), counts, codebook)
+    weights = B.measure(codebook.vsa, codebook.dim)
+    sent = nodes.sparkSession.sparkContext.broadcast(codebook.matrix())
+    degree = feature_tuple("idx", codebook.bins)[1] + 1
+    lists = counts.groupBy("graph_id").agg(F.array_sort(F.collect_set("idx")).alias("ids"), F.sum(degree * F.col("cnt")).alias("total"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, matrix = sent.value
+        for whole in batches:
+            size = np.maximum(whole.column("_p").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 1)
+            group = np.cumsum(size) * matrix.shape[1] // B.CELLS_PER_CHUNK
+            cuts = np.searchsorted(group, np.unique(group))
+            for low, high in zip(cuts, [*cuts[1:], whole.num_rows], strict=True):
+                batch = whole.slice(low, high - low)
+                held = batch.column("_p")
+                flat = held.flatten()
+                a, b = (rows_of(known, flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64)) for c in ("a", "b"))
+                owner = np.repeat(np.arange(batch.num_rows), held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                x = B.segment_sum(matrix[a] * matrix[b], owner, batch.num_rows)
+                names, rounds = _names_and_rounds(batch)
+                found = _peeled_in_groups(x, names, rounds, lambda some, names=names: matrix[rows_of(known, np.concatenate([names[k] for k in some]))], weights)
+                yield from _counted(_pair_rows("graph_id", batch.column("graph_id"), found, names))
+
+    def job(part_nodes: DataFrame, part_edges: DataFrame, whole: bool) -> DataFrame:
+        if not whole:
+            return decode_edges(edge_terms(part_nodes, part_edges, codebook), counts, codebook)
+        pairs = edge_pairs(part_nodes, part_edges, codebook.bins).groupBy("graph_id").agg(F.collect_list(F.struct("a", "b")).alias("_p"))
+        mine = part_nodes.select("graph_id").distinct().join(lists, "graph_id").join(pairs, "graph_id", "left")
+        kind = nodes.schema["graph_id"].dataType.simpleString()
+        return mine.select("graph_id", "ids", "total", "_p").mapInArrow(run, f"graph_id {kind}, a long, b long, cnt long")
+
+    return per_graph(nodes, edges, job, limit)
+
+
 def decode_edges_free(embeddings: DataFrame, codebook: Codebook, limit: int | None = None, pairs: DataFrame | None = None, key: str = "graph_id", vector: str = "edge_terms") -> DataFrame:
     """(key, a, b, cnt) without node counts: all pairs of the codebook, or only the given ones (a, b). Vectors are peeled until
     the remainder is small or no longer shrinks; ``limit`` sets a bound on directed edges in addition (an odd one is rounded
     down), and the output then has a column ``capped``."""
-    weights = B.measure(codebook.vsa, codebook.dim)
-    if codebook.rows**2 > BROADCAST_CELLS or not codebook.fits:
+    if not _searched_whole(codebook):
         rows = embeddings.select(key, F.col(vector).alias("v"))
         blocks = None if pairs is None else pair_blocks(pairs, codebook, BROADCAST_CELLS)
         if blocks is not None and len(blocks) == 1:
@@ -436,6 +516,34 @@ def decode_edges_free(embeddings: DataFrame, codebook: Codebook, limit: int | No
             return counted
         total = counted.groupBy(key).agg((F.sum("cnt") >= limit // 2 * 2).alias("capped"))
         return counted.join(total, key).select(key, "a", "b", "capped", "cnt")
+    run, tail, more = _free_job(codebook, limit, pairs, key, "v")
+    kind = embeddings.schema[key].dataType.simpleString()
+    rows = embeddings.select(key, F.col(vector).alias("v")).mapInArrow(run, f"{key} {kind}, a long, b long{tail}")
+    return rows.groupBy(key, "a", "b", *more).agg(F.count("*").alias("cnt"))
+
+
+def _searched_whole(codebook: Codebook) -> bool:
+    return codebook.fits and codebook.rows**2 <= BROADCAST_CELLS
+
+
+def decode_edges_free_of(nodes: DataFrame, edges: DataFrame, codebook: Codebook, limit: int | None = None, pairs: DataFrame | None = None, parts: int = 0) -> DataFrame:
+    """``decode_edges_free(edge_terms(nodes, edges))``, decoded by the tasks that make the vectors where the codebook allows that."""
+    if not _searched_whole(codebook):
+        return decode_edges_free(edge_terms(nodes, edges, codebook), codebook, limit, pairs)
+    run, tail, _ = _free_job(codebook, limit, pairs, "graph_id", "edge_terms")
+    kind = nodes.schema["graph_id"].dataType.simpleString()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in run(batches):
+            yield from _counted(rows)
+
+    return edge_terms(nodes, edges, codebook, (counted, f"graph_id {kind}, a long, b long{tail}, cnt long"), parts)
+
+
+def _free_job(codebook: Codebook, limit: int | None, pairs: DataFrame | None, key: str, vector: str):
+    """The peeling on Arrow batches of (key, vector), the columns it adds to the key and the pair, and their names. All rows of a vector
+    come in one batch."""
+    weights, vsa = B.measure(codebook.vsa, codebook.dim), codebook.vsa
     known, matrix = codebook.matrix()
     allowed = None
     if pairs is not None:
@@ -443,30 +551,30 @@ def decode_edges_free(embeddings: DataFrame, codebook: Codebook, limit: int | No
         allowed = np.zeros((len(known), len(known)), bool)
         a, b = rows_of(known, seen["a"].to_numpy()), rows_of(known, seen["b"].to_numpy())
         allowed[a, b] = allowed[b, a] = True
-    sent = embeddings.sparkSession.sparkContext.broadcast((known, matrix, allowed))
-    vsa = codebook.vsa
+        # Tuples that are in no pair are not searched.
+        used = allowed.any(1)
+        known, matrix, allowed = known[used], matrix[used], allowed[np.ix_(used, used)]
+    sent = codebook.table.sparkSession.sparkContext.broadcast((known, matrix, allowed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, matrix, allowed = sent.value
         lengths = _pair_lengths(matrix, weights)
         eps = 0.01 * 2 * float(lengths.min() if allowed is None else lengths[allowed].min()) if lengths.size else 0.0
-        step = max(1, B.CELLS_PER_CHUNK // max(1, len(known) * max(matrix.shape[1], len(known))))
+        kept = bound_pairs(matrix, allowed, weights)
+        step = max(1, B.CELLS_PER_CHUNK // max(1, len(known) * max(matrix.shape[1], len(known)) if kept is None else max(2 * matrix.shape[1], len(kept[0]))))
         for batch in batches:
-            x = B.to_engine(B.vector_rows(batch.column("v")), vsa)
+            x = B.to_engine(B.vector_rows(batch.column(vector)), vsa)
             for low in range(0, len(x), step):
                 some = x[low : low + step]
                 rounds = None if limit is None else np.full(len(some), limit // 2)
-                found = peel_pairs(some, matrix[None], allowed, rounds, weights, eps)
+                found = peel_pairs(some, matrix[None], allowed, rounds, weights, eps, kept)
                 out = _pair_rows(key, batch.column(key).slice(low, step), found, [known] * len(found))
                 if limit is not None:
                     full = np.repeat([len(p) >= limit // 2 for p in found], [2 * len(p) for p in found])
                     out = pa.RecordBatch.from_arrays([*out.columns, pa.array(full.astype(bool))], [*out.schema.names, "capped"])
                 yield out
 
-    kind = embeddings.schema[key].dataType.simpleString()
-    tail, more = (", capped boolean", ["capped"]) if limit is not None else ("", [])
-    rows = embeddings.select(key, F.col(vector).alias("v")).mapInArrow(run, f"{key} {kind}, a long, b long{tail}")
-    return rows.groupBy(key, "a", "b", *more).agg(F.count("*").alias("cnt"))
+    return run, *((", capped boolean", ["capped"]) if limit is not None else ("", []))
 
 
 # ---------------------------------------------------------------- consistency of decoded edges

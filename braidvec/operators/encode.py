@@ -61,7 +61,7 @@ def node_terms(nodes: DataFrame, codebook: Codebook, then: tuple | None = None,
     return _sum_of_counts(rows, "graph_id", codebook, "node_terms", False, then, parts)
 
 
-def _edge_pairs(nodes: DataFrame, edges: DataFrame, bins: Sequence[int]) -> DataFrame:
+def edge_pairs(nodes: DataFrame, edges: DataFrame, bins: Sequence[int]) -> DataFrame:
     """(graph_id, a, b) of the tuples of every directed edge."""
     indexed = with_index(nodes, bins).select("graph_id", "node_id", "idx")
     source = indexed.select("graph_id", F.col("node_id").alias("src"), F.col("idx").alias("a"))
@@ -72,12 +72,15 @@ def _edge_pairs(nodes: DataFrame, edges: DataFrame, bins: Sequence[int]) -> Data
 
 def edge_pair_counts(nodes: DataFrame, edges: DataFrame, bins: Sequence[int]) -> DataFrame:
     """How often each ordered pair of tuples is joined by a directed edge: (graph_id, a, b, cnt)."""
-    return _edge_pairs(nodes, edges, bins).groupBy("graph_id", "a", "b").agg(F.count("*").alias("cnt"))
+    return edge_pairs(nodes, edges, bins).groupBy("graph_id", "a", "b").agg(F.count("*").alias("cnt"))
 
 
-def edge_terms(nodes: DataFrame, edges: DataFrame, codebook: Codebook) -> DataFrame:
-    """Sum over directed edges of bind(source, target); graphs without edges get zeros."""
-    rows = _edge_pairs(nodes, edges, codebook.bins).withColumn("cnt", F.lit(1))
+def edge_terms(nodes: DataFrame, edges: DataFrame, codebook: Codebook, then: tuple | None = None, parts: int = 0) -> DataFrame:
+    """Sum over directed edges of bind(source, target); graphs without edges get zeros. With ``then`` the rows of that job instead, as in
+    ``node_terms``; it does not see graphs without edges."""
+    rows = edge_pairs(nodes, edges, codebook.bins).withColumn("cnt", F.lit(1))
+    if then is not None:
+        return _sum_of_counts(rows, "graph_id", codebook, "edge_terms", True, then, parts)
     sums = _sum_of_counts(rows, "graph_id", codebook, "edge_terms", pairs=True)
     zeros = F.array_repeat(F.lit(0.0), codebook.dim)
     if codebook.vsa == "FHRR":
