@@ -178,3 +178,23 @@ def test_sizes_are_counted_once(spark, monkeypatch):
     q = spark.createDataFrame([(1, [1.0] * DIM)], "query_id long, vector array<double>")
     assert D.rank_candidates(q, nodes.selectExpr("*", "1L as query_id"), edges.selectExpr("*", "1L as query_id"), CFG).count() == 1
     assert len(calls) == 1
+
+
+def test_groups_of_graphs_give_what_all_give(spark, sample):
+    from pyspark.sql import functions as F
+
+    from braidvec.operators.decode_graph import decode_graph_of
+    from braidvec.plans.tables import ORDER_BINS
+
+    nodes, edges = (x.filter("graph_id < 30") for x in sample)
+    cfg = EncoderConfig(bins=ORDER_BINS, dim=256, depth=3, vsa="HRR", seed=42)
+    pairs = E.edge_pair_counts(nodes, edges, ORDER_BINS).select("a", "b").distinct()
+    settings = DecodeSettings(top_k=2, probe=4, rounds=0, early_stopping=True)
+    vectors = E.encode(nodes, edges, cfg).selectExpr("graph_id as query_id", "edge_terms as edge_vector", "graph_embedding as graph_vector")
+    want = decode_graph(vectors.persist(), cfg, None, pairs, settings)
+    got = decode_graph_of(nodes, edges, cfg, None, pairs, settings, at_once=10)
+    for name in ("states", "ranked", "nodes", "edges"):
+        a, b = getattr(got, name), getattr(want, name)
+        round_ = lambda df: [F.round(c, 9).alias(c) if t == "double" else c for c, t in sorted(df.dtypes)]  # noqa: B023, E731
+        assert sorted(str(r) for r in a.select(*round_(a)).collect()) == sorted(str(r) for r in b.select(*round_(b)).collect())
+    assert got.states.count() == nodes.select("graph_id").distinct().count()
